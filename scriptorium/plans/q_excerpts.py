@@ -1,3 +1,167 @@
-"""Registered queries."""
+"""Registered queries: citation excerpts, verdicts, training pairs, minibatches."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scriptorium.functions.draws import draw_key
+from scriptorium.operators import excerpts as ex
+from scriptorium.operators.batching import minibatches
+from scriptorium.operators.corpus import paper_scan
+from scriptorium.operators.models import generate
+from scriptorium.operators.prompts import ATTRIBUTION_ANSWER_PREFIX, ATTRIBUTION_INSTRUCTION, attribution_prompt
+from scriptorium.plans import stubs
+from scriptorium.plans.registry import register
+from scriptorium.plans.sql_views import sql_str, with_views
+from scriptorium.session import checkpoint_dir
+from scriptorium.sources import tables as tb
+from scriptorium.sources.materialize import cache_key, run_sharded
+
+FIELD = "en"
+SEED = "42"
+
+
+def excerpt_table(spark, sf_dir):
+    """Papers (field, 2016-, >= 30 citations) JOIN citations."""
+    p = paper_scan(tb.papers(spark, sf_dir), field=FIELD, year="2016-", min_citation_count=30)
+    return ex.citation_excerpts(p, tb.citations(spark, sf_dir))
+
+
+def excerpt_rows(spark, sf_dir):
+    """G1: one row per (cited paper, citing paper, excerpt)."""
+    e = ex.explode_excerpts(excerpt_table(spark, sf_dir))
+    return e.select(F.col("paper.paperId").alias("paperId"), F.col("paper.title").alias("title"),
+                    F.col("citingPaper.paperId").alias("citingPaperId"), "seq", "pos", "excerpt")
+
+
+def verdicts(spark, sf_dir, make_fn=stubs.make_verdict_model):
+    """C6 core: attribution prompt per excerpt, then the injected verdict model (M4)."""
+    rows = excerpt_rows(spark, sf_dir).withColumn("prompt", attribution_prompt(F.col("title"), F.col("excerpt")))
+    return rows.withColumn("eval", generate(F.col("prompt"), make_fn, batch_size=32))
+
+
+_EX_CTES = """
+cp AS (SELECT * FROM papers WHERE fieldOfStudy = 'en' AND year >= 2016 AND citationCount >= 30),
+ex AS (SELECT c.seq, c.citedPaperId AS paperId, c.citingPaperId, c.citingTitle,
+              unnest(c.contexts) AS excerpt, unnest(generate_series(1, len(c.contexts))) AS pos
+       FROM citations c WHERE c.citedPaperId IN (SELECT paperId FROM cp)),
+exs AS (SELECT ex.*, cp.title FROM ex JOIN cp ON cp.paperId = ex.paperId)"""
+
+_USER_FIXED = len(ATTRIBUTION_INSTRUCTION) + len("Cited paper title: ") + len("\nExcerpts: ") + 1
+_VERDICT_SQL = (f"CASE WHEN ({_USER_FIXED} + length(title) + length(substring(excerpt, 1, 256))) % 3 <> 0 "
+                "THEN ' YES, attributable' ELSE ' NO, not attributable' END")
+
+
+def _ex_sql(body: str) -> str:
+    return with_views(["papers", "citations"], "", []).rstrip("\n") + "," + _EX_CTES + "\n" + body
+
+
+@register("citation_excerpt_rows", with_views(["papers", "citations"], """
+SELECT p.paperId, p.title, c.citingPaperId, c.citingTitle, c.seq, CAST(len(c.contexts) AS INTEGER) AS n_excerpts
+FROM citations c JOIN papers p ON p.paperId = c.citedPaperId
+WHERE p.fieldOfStudy = 'en' AND p.year >= 2016 AND p.citationCount >= 30"""))
+def citation_excerpt_rows(spark, sf_dir):
+    """{paper, citingPaper, excerpts} per citation edge."""
+    t = excerpt_table(spark, sf_dir)
+    return t.select(F.col("paper.paperId").alias("paperId"), F.col("paper.title").alias("title"),
+                    F.col("citingPaper.paperId").alias("citingPaperId"),
+                    F.col("citingPaper.title").alias("citingTitle"), "seq",
+                    F.size("excerpts").alias("n_excerpts"))
+
+
+@register("excerpt_explode", _ex_sql("SELECT paperId, citingPaperId, seq, pos, excerpt FROM exs"))
+def excerpt_explode(spark, sf_dir):
+    """G1: N citations -> M excerpt rows."""
+    return excerpt_rows(spark, sf_dir).select("paperId", "citingPaperId", "seq", "pos", "excerpt")
+
+
+@register("attribution_prompt", _ex_sql(f"""
+SELECT paperId, seq, pos,
+       {sql_str(ATTRIBUTION_INSTRUCTION)} || 'Cited paper title: ' || title || chr(10) || 'Excerpts: '
+         || substring(excerpt, 1, 256) || chr(10) AS user_content,
+       {sql_str(ATTRIBUTION_ANSWER_PREFIX)} AS assistant_content,
+       excerpt
+FROM exs"""))
+def attribution_prompt_q(spark, sf_dir):
+    """The verdict prompt; the full excerpt stays in the row."""
+    r = excerpt_rows(spark, sf_dir).withColumn("prompt", attribution_prompt(F.col("title"), F.col("excerpt")))
+    return r.select("paperId", "seq", "pos", F.col("prompt")[0]["content"].alias("user_content"),
+                    F.col("prompt")[1]["content"].alias("assistant_content"), "excerpt")
+
+
+@register("attributable_filter", _ex_sql(f"""
+SELECT paperId, title, seq, pos, excerpt, {_VERDICT_SQL} AS eval FROM exs
+WHERE starts_with({_VERDICT_SQL}, ' YES')"""))
+def attributable_filter(spark, sf_dir):
+    """M4 (stub model) F5 R7: keep excerpts whose verdict starts with ' YES'."""
+    v = verdicts(spark, sf_dir)
+    return ex.attributable(v).select("paperId", "title", "seq", "pos", "excerpt", "eval")
+
+
+@register("sharded_verdict_union", _ex_sql(f"SELECT paperId, seq, pos, {_VERDICT_SQL} AS eval FROM exs"))
+def sharded_verdict_union(spark, sf_dir):
+    """Verdicts computed per hash shard, each shard written as a
+    checkpoint partition (only missing shards run on a re-run), then read
+    back as one table."""
+    rows = excerpt_rows(spark, sf_dir).withColumn("prompt", attribution_prompt(F.col("title"), F.col("excerpt")))
+    base = f"{checkpoint_dir(spark)}/verdict_shards/{cache_key(sf_dir=sf_dir, model='verdict-stub-v1', shards=8)}"
+
+    def job(shard_df):
+        return shard_df.withColumn("eval", generate(F.col("prompt"), stubs.make_verdict_model)) \
+            .select("paperId", "seq", "pos", "eval")
+
+    return run_sharded(rows, job, base, shards=8, key=["seq", "pos"])
+
+
+def training_pairs(spark, sf_dir, num_excerpts=160):
+    p = paper_scan(tb.papers(spark, sf_dir), field=FIELD, year="2016-", min_citation_count=20)
+    return ex.sample_training_pairs(p, tb.citations(spark, sf_dir), num_excerpts, SEED)
+
+
+@register("training_pairs_capped", with_views(["papers", "citations"], f"""
+, cp AS (SELECT paperId, title, md5('{SEED}|' || paperId) AS draw FROM papers
+         WHERE fieldOfStudy = 'en' AND year >= 2016 AND citationCount >= 20),
+c5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY citedPaperId ORDER BY seq) AS rn FROM citations) t
+       WHERE rn <= 5),
+x AS (SELECT cp.paperId, cp.title, cp.draw, c5.seq, unnest(c5.contexts) AS excerpt,
+             unnest(generate_series(0, len(c5.contexts) - 1)) AS pos
+      FROM c5 JOIN cp ON cp.paperId = c5.citedPaperId)
+SELECT paperId AS cited_paperId, title AS cited_title, excerpt, seq, pos FROM x
+ORDER BY draw, seq, pos LIMIT 160""").replace(")\n\n, cp AS", "),\ncp AS"))
+def training_pairs_capped(spark, sf_dir):
+    """Shuffled papers, first 5 citations each, 160 excerpts."""
+    t = training_pairs(spark, sf_dir)
+    return t.select(F.col("cited.paperId").alias("cited_paperId"), F.col("cited.title").alias("cited_title"),
+                    "excerpt", "seq", "pos")
+
+
+def short_training_rows(spark, sf_dir):
+    a = ex.attributable(verdicts(spark, sf_dir))
+    return ex.short_pairs(a)
+
+
+_SHORT_SQL = f"""
+SELECT paperId AS cited_paperId, title AS cited_title, excerpt, seq, pos FROM exs
+WHERE starts_with({_VERDICT_SQL}, ' YES') AND length(excerpt || title) < 350
+ORDER BY seq, pos LIMIT 10000"""
+
+
+@register("training_pairs_short", _ex_sql(_SHORT_SQL))
+def training_pairs_short(spark, sf_dir):
+    """Attributable excerpts shorter than 350 with the title; first 10,000."""
+    s = short_training_rows(spark, sf_dir)
+    return s.select(F.col("cited.paperId").alias("cited_paperId"), F.col("cited.title").alias("cited_title"),
+                    "excerpt", "seq", "pos")
+
+
+@register("minibatches_drop_last", _ex_sql(f"""
+, s AS ({_SHORT_SQL}),
+n AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|' || CAST(seq AS VARCHAR) || '|' || CAST(pos AS VARCHAR)),
+                                             seq, pos) AS rn FROM s)
+SELECT seq, pos, CAST((rn - 1) // 4 AS BIGINT) AS batch_id FROM n
+WHERE rn <= (SELECT (count(*) // 4) * 4 FROM s)""").replace("\n\n, s AS", ",\ns AS"))
+def minibatches_drop_last(spark, sf_dir):
+    """Seeded shuffle, batches of 4, the short last batch dropped."""
+    s = short_training_rows(spark, sf_dir).withColumn("draw", draw_key(SEED, F.col("seq"), F.col("pos")))
+    b = minibatches(s, 4, "draw", ["seq", "pos"])
+    return b.select("seq", "pos", "batch_id")

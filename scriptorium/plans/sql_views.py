@@ -34,19 +34,11 @@ VIEWS: dict[str, str] = {
               FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0
               GROUP BY b.item_id, b.text) g
         JOIN papers p ON p.paperId = g.paperId""",
-    "excerpts": """
-        SELECT c.seq, e.pos, p.paperId, p.title, c.citingPaperId, e.excerpt
-        FROM (SELECT seq, citedPaperId, citingPaperId,
-                     unnest(contexts) AS excerpt,
-                     unnest(range(1, len(contexts) + 1)) AS pos
-              FROM citations) e
-        JOIN citations c ON c.seq = e.seq
-        JOIN papers p ON p.paperId = e.citedPaperId""",
 }
 
 # dependency order
-_ORDER = ["papers", "citations", "eval_set", "gold", "excerpts"]
-_DEPS = {"gold": ["papers"], "excerpts": ["citations", "papers"]}
+_ORDER = ["papers", "citations", "eval_set", "gold"]
+_DEPS = {"gold": ["papers"]}
 
 
 def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:
@@ -63,3 +55,16 @@ def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None
     ctes = [f"{n} AS ({VIEWS[n]})" for n in _ORDER if n in need]
     ctes += [f"{n} AS ({sql})" for n, sql in (extra or [])]
     return "WITH " + ",\n".join(ctes) + "\n" + body if ctes else body
+
+
+def sql_str(s: str) -> str:
+    """A DuckDB string expression for ``s`` (quotes doubled, newlines as chr(10))."""
+    parts = s.split("\n")
+    quoted = ["'" + p.replace("'", "''") + "'" for p in parts]
+    return "(" + " || chr(10) || ".join(quoted) + ")"
+
+
+META_JSON = """CASE WHEN abstract IS NULL
+     THEN to_json(struct_pack(paperId := paperId, title := title, year := year, citationCount := citationCount))
+     ELSE to_json(struct_pack(paperId := paperId, title := title, year := year, citationCount := citationCount,
+                              abstract := abstract)) END"""
