@@ -1,3 +1,175 @@
-"""Registered queries."""
+"""Registered queries: corpus search, ranking of gold queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scriptorium.operators import ranking as rk
+from scriptorium.operators import search as se
+from scriptorium.operators.prompts import paper_listing
+from scriptorium.plans.registry import register
+from scriptorium.plans.sql_views import with_views
+from scriptorium.sources import tables as tb
+
+# --- oracle: BM25 postings join over a query source ``qsrc(qid, query)`` -----
+_TERMS = "list_filter(list_transform(regexp_split_to_array({c}, '[^A-Za-z0-9]+'), lambda t: lower(t)), lambda t: length(t) > 0)"
+SEARCH_CTES = f"""
+content AS (SELECT paperId, citationCount, title, abstract,
+                   title || CASE WHEN coalesce(length(abstract), 0) > 0 THEN ' ' || abstract ELSE '' END AS content
+            FROM papers),
+toks AS (SELECT paperId, {_TERMS.format(c='content')} AS t FROM content),
+dl AS (SELECT paperId, len(t) AS dl FROM toks),
+post AS (SELECT paperId, term, count(*) AS tf FROM (SELECT paperId, unnest(t) AS term FROM toks) u GROUP BY paperId, term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+qterms AS (SELECT qid, unnest(qt) AS term, len(qt) AS nt
+           FROM (SELECT qid, list_distinct({_TERMS.format(c='query')}) AS qt FROM qsrc) z),
+hits AS (SELECT qid, paperId, round(score, 6) AS score FROM (
+           SELECT qterms.qid, post.paperId, count(*) AS matched, max(qterms.nt) AS nt,
+                  sum(ln(1.0 + (st.n - dfs.df + 0.5) / (dfs.df + 0.5)) * post.tf * 2.2
+                      / (post.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))) AS score
+           FROM qterms JOIN post ON post.term = qterms.term JOIN dfs ON dfs.term = qterms.term
+                JOIN dl ON dl.paperId = post.paperId CROSS JOIN st
+           GROUP BY qterms.qid, post.paperId) m
+         WHERE matched = nt),
+tot AS (SELECT qid, count(*) AS total FROM hits GROUP BY qid),
+rel AS (SELECT h.*, c.citationCount, c.title, c.abstract,
+               row_number() OVER (PARTITION BY h.qid ORDER BY h.score DESC, h.paperId) AS pos
+        FROM hits h JOIN content c ON c.paperId = h.paperId)"""
+
+
+def search_sql(qsrc: str, body: str, views=("papers", "gold")) -> str:
+    return with_views(list(views), "").rstrip("\n") + f",\nqsrc AS ({qsrc})," + SEARCH_CTES + "\n" + body
+
+
+_GOLD_Q = "SELECT item_id AS qid, query FROM gold"
+
+# ranked gold rows: results = top 30 by relevance, citation rank stable within the page
+RANKED_CTES = """,
+page AS (SELECT * FROM rel WHERE pos <= 30),
+cit AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY citationCount DESC, pos) AS cpos FROM page),
+nres AS (SELECT qid, count(*) AS n_results FROM page GROUP BY qid),
+ranked AS (
+  SELECT g.item_id, g.paperId, g.title, g.query, g.excerpt, g.reason,
+         CAST(coalesce(t.pos - 1, -1) AS INTEGER) AS relevance_rank,
+         CAST(coalesce(t.cpos - 1, -1) AS INTEGER) AS citation_rank,
+         CAST(coalesce(t.citationCount, -1) AS INTEGER) AS citations,
+         CAST(coalesce(n.n_results, 0) AS INTEGER) AS n_results
+  FROM gold g LEFT JOIN cit t ON t.qid = g.item_id AND t.paperId = g.paperId
+       LEFT JOIN nres n ON n.qid = g.item_id)"""
+
+
+def gold_queries(spark, sf_dir):
+    return tb.gold(spark, sf_dir)
+
+
+def search_gold(spark, sf_dir):
+    idx = se.build_index(tb.papers(spark, sf_dir))
+    g = gold_queries(spark, sf_dir).select(F.col("item_id").alias("qid"), "query")
+    return idx, se.matches(idx, g)
+
+
+def ranked_gold(spark, sf_dir, limit=30):
+    """Every gold row with relevance_rank, citation_rank, citations, results."""
+    idx, hits = search_gold(spark, sf_dir)
+    page = se.with_meta(se.top_relevance(hits, limit), idx)
+    res = se.results_array(page).withColumnRenamed("qid", "item_id")
+    g = gold_queries(spark, sf_dir)
+    return rk.ranked(g.join(res, "item_id", "left"))
+
+
+@register("corpus_search_topk", search_sql(_GOLD_Q, "SELECT qid AS item_id, pos AS rank, paperId, score FROM rel WHERE pos <= 30"))
+def corpus_search_topk(spark, sf_dir):
+    """Top 30 papers per gold query, BM25, all terms required."""
+    _, hits = search_gold(spark, sf_dir)
+    t = se.top_relevance(hits, 30)
+    return t.select(F.col("qid").alias("item_id"), F.col("pos").cast("long").alias("rank"), "paperId", "score")
+
+
+@register("search_total_matches", search_sql(_GOLD_Q, """
+SELECT g.item_id, coalesce(t.total, 0) AS total FROM gold g LEFT JOIN tot t ON t.qid = g.item_id"""))
+def search_total_matches(spark, sf_dir):
+    """A1: matches per query counted before the page limit."""
+    _, hits = search_gold(spark, sf_dir)
+    g = gold_queries(spark, sf_dir).select("item_id")
+    t = se.totals(hits).withColumnRenamed("qid", "item_id")
+    return g.join(t, "item_id", "left").select("item_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+
+
+@register("search_resort_page", search_sql(_GOLD_Q, """
+SELECT qid AS item_id, row_number() OVER (PARTITION BY qid ORDER BY citationCount DESC, pos) AS rank,
+       paperId, citationCount
+FROM rel WHERE pos <= 100"""))
+def search_resort_page(spark, sf_dir):
+    """T4: page of 100 by relevance, then re-sorted by citation count inside the page."""
+    idx, hits = search_gold(spark, sf_dir)
+    page = se.resort_page(se.with_meta(se.top_relevance(hits, 100), idx))
+    return page.select(F.col("qid").alias("item_id"), F.col("cpos").cast("long").alias("rank"),
+                       "paperId", "citationCount")
+
+
+@register("search_sort_then_limit", search_sql(_GOLD_Q, """
+SELECT item_id, rank, paperId, citationCount FROM (
+  SELECT qid AS item_id, row_number() OVER (PARTITION BY qid ORDER BY citationCount DESC, paperId) AS rank,
+         paperId, citationCount FROM rel) t
+WHERE rank <= 10"""))
+def search_sort_then_limit(spark, sf_dir):
+    """T5: all matches sorted by citation count, then the first 10."""
+    idx, hits = search_gold(spark, sf_dir)
+    t = se.sort_then_limit(se.with_meta(hits, idx), 10)
+    return t.select(F.col("qid").alias("item_id"), F.col("pos").cast("long").alias("rank"),
+                    "paperId", "citationCount")
+
+
+@register("rank_queries", search_sql(_GOLD_Q, RANKED_CTES + """
+SELECT item_id, paperId, relevance_rank, citation_rank, citations, n_results FROM ranked"""))
+def rank_queries(spark, sf_dir):
+    """Where the gold paper lands by relevance and by citations."""
+    r = ranked_gold(spark, sf_dir)
+    return r.select("item_id", "paperId", "relevance_rank", "citation_rank", "citations",
+                    F.size("results").alias("n_results"))
+
+
+@register("ranked_filter", search_sql(_GOLD_Q, RANKED_CTES + """
+SELECT item_id, paperId, relevance_rank, citation_rank FROM ranked
+WHERE (relevance_rank <= 10 OR citation_rank <= 10) AND relevance_rank >= 0"""))
+def ranked_filter(spark, sf_dir):
+    """Rank filter (-1 passes), then the target must be in the results."""
+    r = rk.selectable(ranked_gold(spark, sf_dir))
+    return r.select("item_id", "paperId", "relevance_rank", "citation_rank")
+
+
+_ACTION_SQL = ("CASE WHEN relevance_rank < citation_rank THEN 'search_relevance' "
+               "ELSE 'search_citation_count' END")
+
+
+@register("choose_action", search_sql(_GOLD_Q, RANKED_CTES + f"""
+SELECT item_id, relevance_rank, citation_rank, {_ACTION_SQL} AS action FROM ranked"""))
+def choose_action(spark, sf_dir):
+    """X11: strict < picks relevance, ties pick citation count."""
+    r = ranked_gold(spark, sf_dir)
+    return r.select("item_id", "relevance_rank", "citation_rank",
+                    rk.choose_action(F.col("relevance_rank"), F.col("citation_rank")).alias("action"))
+
+
+LISTING_BLOCK_SQL = ("'- Paper ID: ' || paperId || chr(10) || chr(9) || 'Title: ' || title || chr(10) || "
+                     "CASE WHEN coalesce(length(abstract), 0) > 0 THEN chr(9) || 'Abstract: ' || "
+                     "substring(abstract, 1, 128) || chr(10) ELSE '' END || chr(9) || 'Citation Count: ' || "
+                     "CAST(citationCount AS VARCHAR) || chr(10) || chr(10)")
+
+
+@register("search_results_listing", search_sql(_GOLD_Q, RANKED_CTES + f""",
+acts AS (SELECT item_id, {_ACTION_SQL} AS action FROM ranked),
+shown AS (SELECT a.item_id, a.action, c.paperId, c.title, c.abstract, c.citationCount,
+                 CASE WHEN a.action = 'search_citation_count' THEN c.cpos ELSE c.pos END AS ord
+          FROM acts a JOIN cit c ON c.qid = a.item_id)
+SELECT a.item_id, a.action,
+       coalesce((SELECT string_agg({LISTING_BLOCK_SQL}, '' ORDER BY ord) FROM shown s
+                 WHERE s.item_id = a.item_id AND s.ord <= 10), '') AS listing
+FROM acts a""").replace("ranked)\n,\nacts", "ranked),\nacts"))
+def search_results_listing(spark, sf_dir):
+    """The first 10 results as the chosen search orders them, as text."""
+    r = ranked_gold(spark, sf_dir)
+    action = rk.choose_action(F.col("relevance_rank"), F.col("citation_rank"))
+    return r.select("item_id", action.alias("action"),
+                    paper_listing(rk.shown_results(F.col("results"), action)).alias("listing"))
