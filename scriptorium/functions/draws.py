@@ -28,11 +28,15 @@ def hex_digit(h: Column, i: int) -> Column:
     return F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
 
 
+def hex4(h: Column) -> Column:
+    """Value 0..65535 of the first four hex digits (digit arithmetic, so SQL engines agree)."""
+    return hex_digit(h, 1) * 4096 + hex_digit(h, 2) * 256 + hex_digit(h, 3) * 16 + hex_digit(h, 4)
+
+
 def uniform_int(seed, key, lo: int, hi: int, salt: str = "k") -> Column:
     """Integer in [lo, hi] from the first four hex digits of the draw key."""
     h = draw_key(seed, salt, key)
-    v = F.conv(F.substring(h, 1, 4), 16, 10).cast("long")
-    return (F.lit(lo) + v % (hi - lo + 1)).cast("int")
+    return (F.lit(lo) + hex4(h) % (hi - lo + 1)).cast("int")
 
 
 def coin(seed, key, salt: str) -> Column:

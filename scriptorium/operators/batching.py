@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.session import checkpoint_dir
+
 TARGET_ROWS_PER_BUCKET = 1_000_000
 
 
 def global_row_number(df: DataFrame, order_key: str, tiebreak: list[str], out: str = "rn") -> DataFrame:
+    return _numbered(df, order_key, tiebreak, out)[0]
+
+
+def _numbered(df: DataFrame, order_key: str, tiebreak: list[str], out: str = "rn") -> tuple[DataFrame, int]:
     """1-based row number in ``(order_key, *tiebreak)`` order.
 
     ``order_key`` must be a lowercase hex string that is uniform (an md5
@@ -20,7 +26,11 @@ def global_row_number(df: DataFrame, order_key: str, tiebreak: list[str], out: s
     B-row table whose prefix sums are the bucket offsets; ``row_number``
     inside each bucket adds the rest.  No task ever sees more than one
     bucket, and the offset table is the only thing broadcast (B rows, bound
-    by the row count / TARGET_ROWS_PER_BUCKET)."""
+    by the row count / TARGET_ROWS_PER_BUCKET).  The input is checkpointed
+    first (reliable checkpoint in the cluster's checkpoint folder), so the
+    counting passes do not recompute its lineage."""
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     n = df.count()
     buckets = max(1, math.ceil(n / TARGET_ROWS_PER_BUCKET))
     prefix = F.conv(F.substring(order_key, 1, 8), 16, 10).cast("long")
@@ -36,14 +46,13 @@ def global_row_number(df: DataFrame, order_key: str, tiebreak: list[str], out: s
     w = Window.partitionBy("_bucket").orderBy(order_key, *tiebreak)
     return (b.join(F.broadcast(off), "_bucket")
             .withColumn(out, F.col("_offset") + F.row_number().over(w))
-            .drop("_bucket", "_offset"))
+            .drop("_bucket", "_offset")), n
 
 
 def minibatches(df: DataFrame, batch_size: int, order_key: str, tiebreak: list[str],
                 drop_last: bool = True) -> DataFrame:
     """Batch id ``(rn - 1) div b``; the one short final batch is dropped."""
-    n = df.count()
-    numbered = global_row_number(df, order_key, tiebreak)
+    numbered, n = _numbered(df, order_key, tiebreak)
     out = numbered.withColumn("batch_id", F.floor((F.col("rn") - 1) / batch_size).cast("long"))
     if drop_last:
         full = (n // batch_size) * batch_size

@@ -43,7 +43,10 @@ def model_column(make_fn: Callable, return_type: T.DataType, batch_size: int = 3
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = _model(make_fn)
         for s in batches:
-            items = [_to_python(v) for v in s.tolist()]
+            if isinstance(s, pd.DataFrame):     # struct input arrives as columns
+                items = [_to_python(v) for v in s.to_dict("records")]
+            else:
+                items = [_to_python(v) for v in s.tolist()]
             out: list = []
             for i in range(0, len(items), batch_size):
                 out.extend(predict(items[i:i + batch_size]))
