@@ -58,6 +58,20 @@ def attach_vectors(papers: DataFrame, vectors: DataFrame, key: str = "paperId",
     return papers.join(vectors.select(key, F.col(vec).alias("embeddings")), key, "left")
 
 
+def attach_or_embed(papers: DataFrame, vectors: DataFrame, make_fn=None, key: str = "paperId",
+                    vec: str = "embedding", batch_size: int = 256) -> DataFrame:
+    """Vectors looked up by id (M3); with an encoder, missing ones are computed
+    from the P3 content (M1 fallback).  Adds ``embeddings`` and ``computed``."""
+    from scriptorium.operators.models import embed
+    j = attach_vectors(papers, vectors, key, vec)
+    missing = F.col("embeddings").isNull()
+    if make_fn is None:
+        return j.withColumn("computed", F.lit(False))
+    content = embedding_content(F.col("title"), F.col("abstract"))
+    filled = F.when(missing, embed(content, make_fn, batch_size)).otherwise(F.col("embeddings"))
+    return j.withColumn("computed", missing).withColumn("embeddings", filled)
+
+
 def semantic_record(df: DataFrame, model: str, namespace: str = "semanticscholar-metadata",
                     values: str = "embeddings") -> DataFrame:
     """Vector record ``{id, values, metadata}``.

@@ -141,6 +141,7 @@ def arxiv_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = d.doc_id.cast("string")
     return d.select(
         d.doc_id.alias("seq"),
+        pid.alias("paperId"),
         first_line_title(d.text).alias("title"),
         after_first_line(d.text).alias("abstract"),
         F.array(F.struct(d.source.alias("name")),
