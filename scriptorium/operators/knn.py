@@ -88,9 +88,12 @@ def topk_block(qids: np.ndarray, Q: np.ndarray, ids: np.ndarray, X: np.ndarray,
         else:
             raise ValueError(f"unknown metric {metric!r}")
         if exclude_self:
-            approx = np.where(qids[qs, None] == ids[None, :], np.inf, approx)
+            self_pair = qids[qs, None] == ids[None, :]
+            approx = np.where(self_pair, np.inf, approx)
         kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
         keep = approx <= (kth[:, None] + slack + tol)
+        if exclude_self:
+            keep &= ~self_pair
         rows, cols = np.nonzero(keep)
         rows = rows + s
         if rows.size == 0:
@@ -218,9 +221,9 @@ def _blocked_partial(q, c, k, dim, nq, metric, exclude_self, decimals, out_schem
     B = max(1, math.ceil(nq * dim * 4 / block_bytes))
     C = max(1, math.ceil(n * dim * 4 / block_bytes))
     qb = (q.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(B)))
-          .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(C - 1))).cast("long")))
+          .withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(C - 1).cast("long")))))
     cb = (c.withColumn("_cb", F.pmod(F.xxhash64("id"), F.lit(C)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).cast("long")))
+          .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(B - 1).cast("long")))))
 
     def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
