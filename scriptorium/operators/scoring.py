@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.actions import parse_action
 from scriptorium.functions.text import is_empty_or_multiline, letter_count, py_strip
 from scriptorium.operators import search as se
+from scriptorium.session import checkpoint_dir
 
 INVALID = -1.0
 PENALTY = -0.3
@@ -42,11 +43,17 @@ def query_rewards(idx: se.SearchIndex, parsed: DataFrame, key: str, target: str
     Each query searches the corpus (page of ``page``, total before the
     limit); ``sort == 'search_citation_count'`` re-sorts the page by
     citations, anything else keeps relevance order (T4).  Adds ``reward``,
-    ``found``, ``rank`` (1-based, W4) and ``total``."""
+    ``found``, ``rank`` (1-based, W4) and ``total``.
+
+    The parsed responses feed three branches; they are checkpointed first
+    (model output is the expensive part and must not be recomputed)."""
+    checkpoint_dir(parsed.sparkSession)
+    parsed = parsed.checkpoint(eager=True)
     todo = parsed.where(F.col("pre_reward").isNull())
     hits = se.matches(idx, todo.select(F.col(key).alias("qid"), "query"))
-    tot = se.totals(hits)
-    pg = se.resort_page(se.with_meta(se.top_relevance(hits, page), idx))
+    # the page (<= ``page`` rows per query) feeds two branches: keep it once
+    pg = se.resort_page(se.with_meta(se.page_with_total(hits, page), idx)).checkpoint(eager=True)
+    tot = pg.where(F.col("pos") == 1).select("qid", "total")
     by_cit = todo.select(F.col(key).alias("qid"), (F.col("sort") == "search_citation_count").alias("bycit"),
                          F.col(target).alias("target"))
     pos = (pg.join(by_cit, "qid")

@@ -29,23 +29,47 @@ SCORE_DECIMALS = 6
 
 @dataclass
 class SearchIndex:
-    postings: DataFrame   # term, paperId, tf
-    doclen: DataFrame     # paperId, dl
-    dfreq: DataFrame      # term, df
+    postings: DataFrame   # tid, dk, tf, dl   (inverted index; integer keys, document length inline)
+    terms: DataFrame      # term, tid, df     (term dictionary)
+    docs: DataFrame       # dk, paperId       (document key -> id)
     n_docs: int
     avgdl: float
     meta: DataFrame       # paperId, citationCount, title, abstract
 
 
-def build_index(papers: DataFrame) -> SearchIndex:
-    toks = papers.select("paperId", terms(embedding_content(F.col("title"), F.col("abstract"))).alias("t"))
-    doclen = toks.select("paperId", F.size("t").alias("dl"))
-    postings = (toks.select("paperId", F.explode("t").alias("term"))
-                .groupBy("term", "paperId").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    st = doclen.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+def _checkpointed(spark):
+    from scriptorium.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return lambda name, build: build().checkpoint(eager=True)
+
+
+def build_index(papers: DataFrame, persist=None) -> SearchIndex:
+    """Term dictionary and inverted index of ``papers``.
+
+    Terms and papers get dense integer keys once, at build time, so every
+    query-time join and shuffle moves longs; the document length rides in
+    each posting so scoring needs no document join.  ``persist(name,
+    builder) -> DataFrame`` stores each part once (a table in the checkpoint
+    folder by default): the keys are stable for every reader and no query
+    re-tokenises the corpus."""
+    keep = persist or _checkpointed(papers.sparkSession)
+
+    def doc_build():
+        toks = papers.select("paperId", terms(embedding_content(F.col("title"), F.col("abstract"))).alias("t"))
+        return toks.select(F.monotonically_increasing_id().alias("dk"), "paperId", F.size("t").alias("dl"), "t")
+
+    doc_terms = keep("doc_terms", doc_build)
+    raw = keep("raw_postings", lambda: (doc_terms.select("dk", "dl", F.explode("t").alias("term"))
+                                        .groupBy("term", "dk").agg(F.count(F.lit(1)).alias("tf"),
+                                                                   F.first("dl").alias("dl"))))
+    vocab = keep("terms", lambda: (raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                                   .withColumn("tid", F.monotonically_increasing_id())))
+    postings = keep("postings", lambda: raw.join(vocab.select("term", "tid"), "term")
+                    .select("tid", "dk", "tf", "dl"))
+    st = doc_terms.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     meta = papers.select("paperId", "citationCount", "title", "abstract")
-    return SearchIndex(postings, doclen, dfreq, int(st["n"]), float(st["avgdl"] or 0.0), meta)
+    return SearchIndex(postings, vocab, doc_terms.select("dk", "paperId"), int(st["n"]),
+                       float(st["avgdl"] or 0.0), meta)
 
 
 def _bm25(idx: SearchIndex):
@@ -55,27 +79,49 @@ def _bm25(idx: SearchIndex):
     return idf * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + norm)
 
 
+def query_terms(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
+    """(qid, term, tid, df): distinct terms of each query; tid null when unknown."""
+    q = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
+    return q.join(idx.terms, "term", "left").select("qid", "term", "tid", F.coalesce("df", F.lit(0)).alias("df"))
+
+
 def matches(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str = "query",
             require_all: bool = True) -> DataFrame:
-    """Every (query, paper) match with its score: ``qid, paperId, score``."""
-    q = queries.select(F.col(qid).alias("qid"), F.array_distinct(terms(F.col(query))).alias("qt"))
-    qt = q.select("qid", F.explode("qt").alias("term"), F.size("qt").alias("nt"))
-    qdf = qt.join(idx.dfreq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    if require_all:
-        rare = (qdf.groupBy("qid").agg(F.min(F.struct("df", "term")).alias("r"))
-                .where(F.col("r.df") > 0)
-                .select("qid", F.col("r.term").alias("term")))
-        cand = rare.join(idx.postings.select("term", "paperId"), "term").select("qid", "paperId")
-        pairs = cand.join(qdf.where(F.col("df") > 0), "qid")
-        hit = pairs.join(idx.postings, ["term", "paperId"])
+    """Every (query, paper) match with its BM25 score: ``qid, paperId, score``.
+
+    AND semantics.  Per query (a group bounded by the query's term count)
+    the rarest term and the list of the others are gathered.  The rarest
+    term's postings give the candidates (the per-query side is the small
+    build side; postings stream past it) and each candidate carries the
+    list of other terms, so expanding it to (candidate, other term) is a
+    local explode, not a join.  Those pairs meet the postings once on
+    (tid, dk) - integer keys, evenly spread - and one aggregation per
+    (query, document) keeps the candidates holding every term.  A frequent
+    term never widens the candidate set."""
+    qt = query_terms(idx, queries, qid, query)
+    if not require_all:
+        hit = qt.where(F.col("df") > 0).join(idx.postings, "tid").withColumn("s", _bm25(idx))
+        agg = hit.groupBy("qid", "dk").agg(F.sum("s").alias("score"))
     else:
-        hit = qdf.where(F.col("df") > 0).join(idx.postings, "term")
-    scored = hit.join(idx.doclen, "paperId").withColumn("s", _bm25(idx))
-    agg = scored.groupBy("qid", "paperId").agg(F.count(F.lit(1)).alias("matched"), F.max("nt").alias("nt"),
-                                               F.sum("s").alias("score"))
-    if require_all:
-        agg = agg.where(F.col("matched") == F.col("nt"))
-    return agg.select("qid", "paperId", F.round("score", SCORE_DECIMALS).alias("score"))
+        per_q = (qt.groupBy("qid")
+                 .agg(F.min(F.struct("df", "tid")).alias("rare"),
+                      F.collect_list(F.struct("tid", "df")).alias("all"),
+                      F.sum(F.when(F.col("tid").isNull(), 1).otherwise(0)).alias("missing"))
+                 .where((F.col("missing") == 0) & (F.col("rare.df") > 0))
+                 .select("qid", F.col("rare.tid").alias("tid"), F.col("rare.df").alias("df"),
+                         F.filter("all", lambda x: x["tid"] != F.col("rare.tid")).alias("others")))
+        first = per_q.join(idx.postings, "tid").withColumn("s", _bm25(idx))
+        pairs = first.select("qid", "dk", F.size("others").alias("n_others"),
+                             F.explode("others").alias("o")) \
+                     .select("qid", "dk", F.col("o.tid").alias("tid"), F.col("o.df").alias("df"))
+        rest = pairs.join(idx.postings, ["tid", "dk"]).withColumn("s", _bm25(idx))
+        need = first.select("qid", "dk", (F.size("others") + 1).alias("need"), "s")
+        hit = need.unionByName(rest.select("qid", "dk", F.lit(None).cast("int").alias("need"), "s"))
+        agg = (hit.groupBy("qid", "dk")
+               .agg(F.count(F.lit(1)).alias("matched"), F.max("need").alias("need"), F.sum("s").alias("score"))
+               .where(F.col("matched") == F.col("need")))
+    return (agg.join(idx.docs, "dk")
+            .select("qid", "paperId", F.round("score", SCORE_DECIMALS).alias("score")))
 
 
 def totals(hits: DataFrame) -> DataFrame:
@@ -83,6 +129,15 @@ def totals(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
 
 
+def page_with_total(hits: DataFrame, limit: int) -> DataFrame:
+    """Top ``limit`` by relevance plus ``total`` (matches before the limit),
+    from one window pass over the matches (A1 + page)."""
+    part = Window.partitionBy("qid")
+    w = part.orderBy(F.col("score").desc(), F.col("paperId"))
+    return (hits.withColumn("total", F.count(F.lit(1)).over(part))
+            .withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit))
+
+
 def top_relevance(hits: DataFrame, limit: int) -> DataFrame:
     """Top ``limit`` per query by (score desc, paperId): ``pos`` 1-based."""
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("paperId"))

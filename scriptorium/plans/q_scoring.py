@@ -22,7 +22,7 @@ from scriptorium.operators.models import generate
 from scriptorium.operators.sampling import draw_candidates
 from scriptorium.plans import stubs
 from scriptorium.plans.q_excerpts import _EX_CTES, _SHORT_SQL, SEED, short_training_rows
-from scriptorium.plans.q_search import LISTING_BLOCK_SQL, RANKED_CTES, SEARCH_CTES, ranked_gold
+from scriptorium.plans.q_search import LISTING_BLOCK_SQL, RANKED_CTES, SEARCH_CTES, paper_index, ranked_gold
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.sources import tables as tb
@@ -56,7 +56,7 @@ def training_responses(spark, sf_dir):
 
 
 def scored_queries(spark, sf_dir):
-    idx = se.build_index(tb.papers(spark, sf_dir))
+    idx = paper_index(spark, sf_dir)
     parsed = sc.parse_queries(training_responses(spark, sf_dir))
     return sc.query_rewards(idx, parsed, key="key")
 

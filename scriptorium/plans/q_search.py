@@ -10,6 +10,7 @@ from scriptorium.operators.prompts import paper_listing
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import with_views
 from scriptorium.sources import tables as tb
+from scriptorium.sources.materialize import derived_table
 
 # --- oracle: BM25 postings join over a query source ``qsrc(qid, query)`` -----
 _TERMS = "list_filter(list_transform(regexp_split_to_array({c}, '[^A-Za-z0-9]+'), lambda t: lower(t)), lambda t: length(t) > 0)"
@@ -63,8 +64,15 @@ def gold_queries(spark, sf_dir):
     return tb.gold(spark, sf_dir)
 
 
+def paper_index(spark, sf_dir):
+    """The corpus search index, built once per input and kept as tables."""
+    src = [tb.table_path(sf_dir, "documents")]
+    return se.build_index(tb.papers(spark, sf_dir), persist=lambda name, build: derived_table(
+        spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=4))
+
+
 def search_gold(spark, sf_dir):
-    idx = se.build_index(tb.papers(spark, sf_dir))
+    idx = paper_index(spark, sf_dir)
     g = gold_queries(spark, sf_dir).select(F.col("item_id").alias("qid"), "query")
     return idx, se.matches(idx, g)
 

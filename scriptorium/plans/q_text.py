@@ -13,7 +13,7 @@ from scriptorium.operators import search as se
 from scriptorium.operators.knn import knn_join
 from scriptorium.operators.models import embed, generate
 from scriptorium.plans import stubs
-from scriptorium.plans.q_search import SEARCH_CTES
+from scriptorium.plans.q_search import SEARCH_CTES, paper_index
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.session import checkpoint_dir
@@ -116,7 +116,7 @@ def title_context(spark, sf_dir):
               .join(papers.select("paperId", "title"), "paperId")
               .select(F.col("qid").alias("item_id"), "rank", "title",
                       (F.col("qid") * 10 + F.col("rank")).alias("qid")))
-    idx = se.build_index(papers)
+    idx = paper_index(spark, sf_dir)
     page = se.top_relevance(se.matches(idx, titled.select("qid", F.col("title").alias("query"))), 10)
     ent = tb.arxiv_entries(spark, sf_dir).withColumn("plain", latex_to_text(F.col("title")))
     cites = (page.join(ent.select("paperId", "plain", "authors", "published", "short_id", "entry_id"), "paperId")

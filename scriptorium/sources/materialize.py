@@ -40,6 +40,34 @@ def cache_key(**params) -> str:
     return hashlib.md5(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def source_fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Sizes and modification times of the source files: a changed input
+    gives a new cache key, so a derived table is never stale."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            parts.append(f"{path}:missing")
+            continue
+        it = fs.listFiles(p, True)
+        while it.hasNext():
+            st = it.next()
+            parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(parts)).encode()).hexdigest()[:16]
+
+
+def derived_table(spark: SparkSession, name: str, sources: list[str], builder: Callable[[], DataFrame],
+                  **params) -> DataFrame:
+    """A table derived from ``sources``, written once into the cluster's
+    checkpoint folder and read back by every later job (lineage cut)."""
+    from scriptorium.session import checkpoint_dir
+    key = cache_key(fp=source_fingerprint(spark, *sources), **params)
+    return materialize(spark, f"{checkpoint_dir(spark)}/derived/{name}/{key}", builder)
+
+
 def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
     """Read-through cache (K7): read ``path`` if complete, else build, write, read."""
     if not is_complete(spark, path):

@@ -19,7 +19,26 @@ GIVEN_TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for per-row text work when the scan is coarser than the
+    cluster (e.g. one large row group).  On a many-file table the scan
+    already has more splits than cores and this is a no-op; filters and
+    column pruning still reach the scan below the repartition."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def first_line_title(text: Column) -> Column:
@@ -35,7 +54,7 @@ def after_first_line(text: Column) -> Column:
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paper metadata: one row per document."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select(
         d.doc_id.cast("string").alias("paperId"),
         d.doc_id.alias("seq"),
@@ -54,7 +73,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``contexts`` are the citing text's non-empty lines; ``seq`` is the order
     of arrival used wherever the reference relies on iteration order.
     """
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") >= 40)
+    d = documents(spark, sf_dir).where(F.col("doc_id") >= 40)
     return d.select(
         d.doc_id.alias("seq"),
         (d.doc_id % 40).cast("string").alias("citedPaperId"),
@@ -121,23 +140,28 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns as in the reference's gold CSV: paperId, title, query, excerpt,
     reason, plus ``item_id`` as a stable key.
     """
-    bench = table(spark, sf_dir, "benchmark")
-    docs = table(spark, sf_dir, "documents")
-    src = (passage_sources(bench, docs)
-           .groupBy("item_id").agg(F.min("doc_id").alias("doc_id")))
-    p = papers(spark, sf_dir).select("paperId", "title")
-    g = (bench.join(src, "item_id")
-         .select(bench.item_id,
-                 src.doc_id.cast("string").alias("paperId"),
-                 first_words(bench.text).alias("query"),
-                 bench.text.alias("excerpt"),
-                 F.concat(F.lit("r"), bench.item_id.cast("string")).alias("reason")))
-    return g.join(p, "paperId").select("item_id", "paperId", "title", "query", "excerpt", "reason")
+    def build():
+        bench = table(spark, sf_dir, "benchmark")
+        docs = documents(spark, sf_dir)
+        src = (passage_sources(bench, docs)
+               .groupBy("item_id").agg(F.min("doc_id").alias("doc_id")))
+        p = papers(spark, sf_dir).select("paperId", "title")
+        g = (bench.join(src, "item_id")
+             .select(bench.item_id,
+                     src.doc_id.cast("string").alias("paperId"),
+                     first_words(bench.text).alias("query"),
+                     bench.text.alias("excerpt"),
+                     F.concat(F.lit("r"), bench.item_id.cast("string")).alias("reason")))
+        return g.join(p, "paperId").select("item_id", "paperId", "title", "query", "excerpt", "reason")
+
+    from scriptorium.sources.materialize import derived_table
+    return derived_table(spark, "gold", [table_path(sf_dir, "benchmark"), table_path(sf_dir, "documents")],
+                         build, version=1)
 
 
 def arxiv_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title-lookup records (title, authors, published, short_id, entry_id)."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     pid = d.doc_id.cast("string")
     return d.select(
         d.doc_id.alias("seq"),
