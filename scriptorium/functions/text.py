@@ -80,3 +80,8 @@ def terms(c: Column) -> Column:
     """Search terms: ASCII alphanumeric runs, lower-cased, empties dropped."""
     return F.filter(F.transform(F.split(c, "[^A-Za-z0-9]+"), lambda t: F.lower(t)),
                     lambda t: F.length(t) > 0)
+
+
+def run_stamp(fmt: str = "yyyyMMdd_HHmmss") -> Column:
+    """Run date stamp (X14), e.g. ``MM-dd-yyyy`` for index names; paths take a run id argument."""
+    return F.date_format(F.current_timestamp(), fmt)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from scriptorium.functions import chat
 from scriptorium.functions.actions import format_action, format_select
 from scriptorium.functions.draws import draw_key, uniform_int
+from scriptorium.operators import corpus as co
 from scriptorium.operators import prompts as pr
 from scriptorium.operators import ranking as rk
 from scriptorium.operators import scoring as sc
@@ -240,13 +241,6 @@ def gold_selections(spark, sf_dir):
     return sc.gold_selection_rows(s, extra=[F.col("item_id").alias("seq")])
 
 
-def last_wins(gold, key: str = "paperId", seq: str = "seq"):
-    """A4: per key, the row with the highest ``seq`` (dict build, last row wins)."""
-    cols = [c for c in gold.columns if c != key]
-    return (gold.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_g"))
-            .select(key, "_g.*"))
-
-
 _GOLD_SEL = """,
 gsel AS (SELECT paperId, max_by(sel_reason, item_id) AS reason, max(item_id) AS gold_seq
          FROM srw WHERE reward = 2 GROUP BY paperId)"""
@@ -256,7 +250,7 @@ gsel AS (SELECT paperId, max_by(sel_reason, item_id) AS reason, max(item_id) AS
 SELECT r.item_id, r.paperId, g.reason, g.gold_seq FROM ranked r JOIN gsel g ON g.paperId = r.paperId"""))
 def gold_last_wins_lookup(spark, sf_dir):
     """Ranked rows of gold-selected papers with the last gold row's reason."""
-    g = last_wins(gold_selections(spark, sf_dir)).select("paperId", "reason", F.col("seq").alias("gold_seq"))
+    g = co.last_wins(gold_selections(spark, sf_dir)).select("paperId", "reason", F.col("seq").alias("gold_seq"))
     r = ranked_gold(spark, sf_dir).select("item_id", "paperId")
     return r.join(g, "paperId").select("item_id", "paperId", "reason", "gold_seq")
 
@@ -298,7 +292,7 @@ def _sft_sel_sql() -> str:
 @register("supervised_selection", _sft_sel_sql())
 def supervised_selection(spark, sf_dir):
     """Selection training text, k = 5."""
-    g = last_wins(gold_selections(spark, sf_dir)).select("paperId", F.col("reason").alias("gold_reason"))
+    g = co.last_wins(gold_selections(spark, sf_dir)).select("paperId", F.col("reason").alias("gold_reason"))
     r = ranked_gold(spark, sf_dir).join(g, "paperId", "left_semi")            # F9 (J4)
     r = r.where(rk.contains_target(F.col("results"), F.col("paperId")))       # F8
     r = r.join(g, "paperId")                                                   # J5
