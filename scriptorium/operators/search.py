@@ -25,6 +25,7 @@ from scriptorium.functions.text import embedding_content, terms
 K1 = 1.2
 B = 0.75
 SCORE_DECIMALS = 6
+PER_QUERY_BROADCAST_ROWS = 2_000_000   # one row per query; above this the join shuffles
 
 
 @dataclass
@@ -64,8 +65,9 @@ def build_index(papers: DataFrame, persist=None) -> SearchIndex:
                                                                    F.first("dl").alias("dl"))))
     vocab = keep("terms", lambda: (raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                                    .withColumn("tid", F.monotonically_increasing_id())))
+    parts = max(papers.sparkSession.sparkContext.defaultParallelism, 1)
     postings = keep("postings", lambda: raw.join(vocab.select("term", "tid"), "term")
-                    .select("tid", "dk", "tf", "dl"))
+                    .select("tid", "dk", "tf", "dl").repartition(parts, "tid"))
     st = doc_terms.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     meta = papers.select("paperId", "citationCount", "title", "abstract")
     return SearchIndex(postings, vocab, doc_terms.select("dk", "paperId"), int(st["n"]),
@@ -110,11 +112,21 @@ def matches(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str =
                  .where((F.col("missing") == 0) & (F.col("rare.df") > 0))
                  .select("qid", F.col("rare.tid").alias("tid"), F.col("rare.df").alias("df"),
                          F.filter("all", lambda x: x["tid"] != F.col("rare.tid")).alias("others")))
-        first = per_q.join(idx.postings, "tid").withColumn("s", _bm25(idx))
+        # The per-query side is tiny next to the postings: broadcast it when its
+        # row count (checked) is bounded, so the postings stream past it in
+        # their own splits; otherwise let the planner shuffle both sides.
+        n_q = per_q.count()
+        side = F.broadcast(per_q) if n_q <= PER_QUERY_BROADCAST_ROWS else per_q
+        first = side.join(idx.postings, "tid").withColumn("s", _bm25(idx))
         pairs = first.select("qid", "dk", F.size("others").alias("n_others"),
                              F.explode("others").alias("o")) \
                      .select("qid", "dk", F.col("o.tid").alias("tid"), F.col("o.df").alias("df"))
-        rest = pairs.join(idx.postings, ["tid", "dk"]).withColumn("s", _bm25(idx))
+        # only the posting lists of the queries' other terms take part
+        wanted = per_q.select(F.explode("others").alias("o")).select(F.col("o.tid").alias("tid")).distinct()
+        n_w = wanted.count()
+        wanted = F.broadcast(wanted) if n_w <= PER_QUERY_BROADCAST_ROWS else wanted
+        post = idx.postings.join(wanted, "tid", "left_semi")
+        rest = pairs.join(post, ["tid", "dk"]).withColumn("s", _bm25(idx))
         need = first.select("qid", "dk", (F.size("others") + 1).alias("need"), "s")
         hit = need.unionByName(rest.select("qid", "dk", F.lit(None).cast("int").alias("need"), "s"))
         agg = (hit.groupBy("qid", "dk")

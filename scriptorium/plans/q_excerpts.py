@@ -37,7 +37,7 @@ def excerpt_rows(spark, sf_dir):
 def verdicts(spark, sf_dir, make_fn=stubs.make_verdict_model):
     """C6 core: attribution prompt per excerpt, then the injected verdict model (M4)."""
     rows = excerpt_rows(spark, sf_dir).withColumn("prompt", attribution_prompt(F.col("title"), F.col("excerpt")))
-    return rows.withColumn("eval", generate(F.col("prompt"), make_fn, batch_size=32))
+    return tb.spread(rows).withColumn("eval", generate(F.col("prompt"), make_fn, batch_size=32))
 
 
 _EX_CTES = """

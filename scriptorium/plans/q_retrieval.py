@@ -48,12 +48,10 @@ def retrieve_titles(spark, sf_dir, k=3):
     bench = tb.table(spark, sf_dir, "benchmark").select("item_id")
     vec = tb.paper_vectors(spark, sf_dir)
     q = bench.join(vec.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
-    papers = tb.papers(spark, sf_dir).select("paperId", "title")
-    index = vec.join(papers, "paperId").select("vec_id", "embedding")
+    index = tb.vector_index(spark, sf_dir)
     hits = knn_join(q, index, k, query_id="item_id", query_vec="embedding",
                     corpus_id="vec_id", corpus_vec="embedding")
-    titled = (hits.join(vec.select(F.col("vec_id").alias("id"), "paperId"), "id")
-              .join(papers, "paperId")
+    titled = (hits.join(index.select(F.col("vec_id").alias("id"), "title"), "id")
               .select(F.col("qid").alias("item_id"), "rank", "title"))
     return numbered_titles_message(bench, titled, key="item_id")
 

@@ -52,6 +52,7 @@ def training_responses(spark, sf_dir):
         F.col("cited.paperId").alias("paperId"), F.col("cited.title").alias("title"), "excerpt", "seq", "pos")
     key = F.concat_ws("|", F.col("seq").cast("string"), F.col("pos").cast("string"))
     s = s.withColumn("key", key).withColumn("prompt", pr.query_prompt(F.col("excerpt"), pr.action_menu(SEED, key)))
+    s = tb.spread(s)                      # the capped rows arrive in one partition; models run on all cores
     model_in = F.struct("key", "title", "excerpt", "prompt")
     return s.withColumn("response", generate(model_in, stubs.make_query_responder))
 

@@ -67,8 +67,8 @@ def gold_queries(spark, sf_dir):
 def paper_index(spark, sf_dir):
     """The corpus search index, built once per input and kept as tables."""
     src = [tb.table_path(sf_dir, "documents")]
-    return se.build_index(tb.papers(spark, sf_dir), persist=lambda name, build: derived_table(
-        spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=4))
+    return se.build_index(tb.papers(spark, sf_dir, spread_rows=True), persist=lambda name, build: derived_table(
+        spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=5))
 
 
 def search_gold(spark, sf_dir):

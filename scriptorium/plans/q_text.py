@@ -107,13 +107,11 @@ def title_context(spark, sf_dir):
     strings -> ``Title:``/``citations:`` blocks in order -> context prompt."""
     bench = tb.table(spark, sf_dir, "benchmark").select("item_id", "text")
     vec = tb.paper_vectors(spark, sf_dir)
-    papers = tb.papers(spark, sf_dir)
     q = bench.join(vec.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
-    index = vec.join(papers.select("paperId"), "paperId").select("vec_id", "embedding")
+    index = tb.vector_index(spark, sf_dir)
     hits = knn_join(q, index, 3, query_id="item_id", query_vec="embedding", corpus_id="vec_id",
                     corpus_vec="embedding")
-    titled = (hits.join(vec.select(F.col("vec_id").alias("id"), "paperId"), "id")
-              .join(papers.select("paperId", "title"), "paperId")
+    titled = (hits.join(index.select(F.col("vec_id").alias("id"), "title"), "id")
               .select(F.col("qid").alias("item_id"), "rank", "title",
                       (F.col("qid") * 10 + F.col("rank")).alias("qid")))
     idx = paper_index(spark, sf_dir)
@@ -154,12 +152,10 @@ def agent_turns(spark, sf_dir, k=3, writer=stubs.make_query_writer, embedder=stu
     e = e.withColumn("answer1", generate(first, writer))
     e = e.withColumn("search_query", remove_prefix(F.col("answer1"), pr.QUERY_PREFIX))
     e = e.withColumn("qvec", embed(F.col("search_query"), embedder))
-    vec = tb.paper_vectors(spark, sf_dir)
-    papers = tb.papers(spark, sf_dir).select("paperId", "title")
-    index = vec.join(papers, "paperId").select("vec_id", "embedding")
+    index = tb.vector_index(spark, sf_dir)
     hits = knn_join(e.select("item_id", "qvec"), index, k, query_id="item_id", query_vec="qvec",
                     corpus_id="vec_id", corpus_vec="embedding")
-    titled = (hits.join(vec.select(F.col("vec_id").alias("id"), "paperId"), "id").join(papers, "paperId")
+    titled = (hits.join(index.select(F.col("vec_id").alias("id"), "title"), "id")
               .select(F.col("qid").alias("item_id"), "rank", "title"))
     msg = pr.numbered_titles_message(e.select("item_id"), titled, key="item_id")
     e = e.join(msg, "item_id", "left")

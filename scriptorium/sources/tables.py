@@ -37,8 +37,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+def documents(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return spread(d) if spread_rows else d
 
 
 def first_line_title(text: Column) -> Column:
@@ -52,9 +53,10 @@ def after_first_line(text: Column) -> Column:
     return F.when(pos > 0, F.substr(text, pos + 1))
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paper metadata: one row per document."""
-    d = documents(spark, sf_dir)
+def papers(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
+    """Paper metadata: one row per document.  ``spread_rows`` before per-row
+    text work (tokenising) when the scan is coarser than the cluster."""
+    d = documents(spark, sf_dir, spread_rows)
     return d.select(
         d.doc_id.cast("string").alias("paperId"),
         d.doc_id.alias("seq"),
@@ -142,7 +144,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     def build():
         bench = table(spark, sf_dir, "benchmark")
-        docs = documents(spark, sf_dir)
+        docs = documents(spark, sf_dir, spread_rows=True)
         src = (passage_sources(bench, docs)
                .groupBy("item_id").agg(F.min("doc_id").alias("doc_id")))
         p = papers(spark, sf_dir).select("paperId", "title")
@@ -176,3 +178,17 @@ def arxiv_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("http://arxiv.org/abs/"), pid, F.lit("v1")).alias("entry_id"),
         d.lang.alias("category"),
     )
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector table with the metadata retrieval needs (vec_id, paperId,
+    title, embedding): papers that have a vector, built once per input, so
+    retrieval reads the index and never the document text."""
+    def build():
+        vec = paper_vectors(spark, sf_dir)
+        return vec.join(papers(spark, sf_dir).select("paperId", "title"), "paperId") \
+            .select("vec_id", "paperId", "title", "embedding")
+
+    from scriptorium.sources.materialize import derived_table
+    return derived_table(spark, "vector_index", [table_path(sf_dir, "embeddings"), table_path(sf_dir, "documents")],
+                         build, version=1)
