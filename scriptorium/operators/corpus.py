@@ -31,7 +31,12 @@ def paper_scan(papers: DataFrame, *, field: str | None = None, year: int | str |
     """Filtered paper scan (S1, F3): every predicate reaches the parquet scan."""
     cond = year_predicate(year)
     if field is not None:
-        cond = cond & F.array_contains("fieldsOfStudy", field)
+        # a single-valued field column compares directly, so the predicate
+        # reaches the parquet scan; the list form needs array_contains
+        if "fieldOfStudy" in papers.columns:
+            cond = cond & (F.col("fieldOfStudy") == field)
+        else:
+            cond = cond & F.array_contains("fieldsOfStudy", field)
     if min_citation_count is not None:
         cond = cond & (F.col("citationCount") >= min_citation_count)
     out = papers.where(cond)
