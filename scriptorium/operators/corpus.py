@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import embedding_content, record_id
 
+# Fixed values (vector-record ids and namespaces must equal the reference's):
+# paper records are "{paperId}#semanticscholar-metadata#{model}" in namespace
+# "semanticscholar-metadata"; arXiv records are "{id}#arxiv-metadata#scibert"
+# in namespace "arxiv-metadata".
+PAPER_NAMESPACE = "semanticscholar-metadata"
+ARXIV_NAMESPACE = "arxiv-metadata"
+ARXIV_MODEL = "scibert"
+
 
 def year_predicate(year: int | str | None) -> Column:
     """``'2016-'`` is an open range, ``'2018'``/``2018`` an equality, ``'2016-2019'`` a closed range.
@@ -77,7 +85,7 @@ def attach_or_embed(papers: DataFrame, vectors: DataFrame, make_fn=None, key: st
     return j.withColumn("computed", missing).withColumn("embeddings", filled)
 
 
-def semantic_record(df: DataFrame, model: str, namespace: str = "semanticscholar-metadata",
+def semantic_record(df: DataFrame, model: str, namespace: str = PAPER_NAMESPACE,
                     values: str = "embeddings") -> DataFrame:
     """Vector record ``{id, values, metadata}``.
 
@@ -92,8 +100,8 @@ def semantic_record(df: DataFrame, model: str, namespace: str = "semanticscholar
                     F.lit(namespace).alias("namespace")))
 
 
-def arxiv_record(df: DataFrame, values: str = "embeddings", namespace: str = "arxiv-metadata",
-                 model: str = "scibert", extra: list[str] | None = None) -> DataFrame:
+def arxiv_record(df: DataFrame, values: str = "embeddings", namespace: str = ARXIV_NAMESPACE,
+                 model: str = ARXIV_MODEL, extra: list[str] | None = None) -> DataFrame:
     """arXiv-style record: id ``{id}#arxiv-metadata#scibert``; metadata keeps
     id, categories and title, nulls included (P5, F14)."""
     meta = F.struct("id", "categories", "title")

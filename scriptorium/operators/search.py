@@ -115,6 +115,11 @@ def matches(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str =
         # The per-query side is tiny next to the postings: broadcast it when its
         # row count (checked) is bounded, so the postings stream past it in
         # their own splits; otherwise let the planner shuffle both sides.
+        # It is kept once (reliable checkpoint) so the size checks and the
+        # joins do not recompute it.
+        from scriptorium.session import checkpoint_dir
+        checkpoint_dir(per_q.sparkSession)
+        per_q = per_q.checkpoint(eager=True)
         n_q = per_q.count()
         side = F.broadcast(per_q) if n_q <= PER_QUERY_BROADCAST_ROWS else per_q
         first = side.join(idx.postings, "tid").withColumn("s", _bm25(idx))

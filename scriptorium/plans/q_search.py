@@ -10,7 +10,7 @@ from scriptorium.operators.prompts import paper_listing
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import with_views
 from scriptorium.sources import tables as tb
-from scriptorium.sources.materialize import derived_table
+from scriptorium.sources.materialize import derived_table, source_fingerprint
 
 # --- oracle: BM25 postings join over a query source ``qsrc(qid, query)`` -----
 _TERMS = "list_filter(list_transform(regexp_split_to_array({c}, '[^A-Za-z0-9]+'), lambda t: lower(t)), lambda t: length(t) > 0)"
@@ -64,11 +64,19 @@ def gold_queries(spark, sf_dir):
     return tb.gold(spark, sf_dir)
 
 
+_INDEXES: dict = {}
+
+
 def paper_index(spark, sf_dir):
-    """The corpus search index, built once per input and kept as tables."""
+    """The corpus search index, built once per input and kept as tables
+    (reused within the session: the tables are immutable)."""
     src = [tb.table_path(sf_dir, "documents")]
-    return se.build_index(tb.papers(spark, sf_dir, spread_rows=True), persist=lambda name, build: derived_table(
-        spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=5))
+    key = (id(spark), source_fingerprint(spark, *src))
+    if key not in _INDEXES:
+        _INDEXES[key] = se.build_index(tb.papers(spark, sf_dir, spread_rows=True), persist=lambda name, build:
+                                       derived_table(spark, f"search_{name}", src, build, k1=se.K1, b=se.B,
+                                                     version=5))
+    return _INDEXES[key]
 
 
 def search_gold(spark, sf_dir):

@@ -68,11 +68,22 @@ def derived_table(spark: SparkSession, name: str, sources: list[str], builder: C
     return materialize(spark, f"{checkpoint_dir(spark)}/derived/{name}/{key}", builder)
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
-    """Read-through cache (K7): read ``path`` if complete, else build, write, read."""
+    """Read-through cache (K7): read ``path`` if complete, else build, write, read.
+
+    A complete directory never changes (its key covers the inputs and all
+    parameters), so the session reuses the DataFrame it read - no repeated
+    listing or schema inference."""
+    key = (id(spark), path)
+    if key in _READS:
+        return _READS[key]
     if not is_complete(spark, path):
         save(builder(), path)
-    return spark.read.parquet(path)
+    df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def run_sharded(rows: DataFrame, job: Callable[[DataFrame], DataFrame], base: str, shards: int = 8,
