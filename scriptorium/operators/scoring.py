@@ -50,9 +50,10 @@ def query_rewards(idx: se.SearchIndex, parsed: DataFrame, key: str, target: str
     checkpoint_dir(parsed.sparkSession)
     parsed = parsed.checkpoint(eager=True)
     todo = parsed.where(F.col("pre_reward").isNull())
-    hits = se.matches(idx, todo.select(F.col(key).alias("qid"), "query"))
-    # the page (<= ``page`` rows per query) feeds two branches: keep it once
-    pg = se.resort_page(se.with_meta(se.page_with_total(hits, page), idx)).checkpoint(eager=True)
+    # one search per distinct term set; the page (<= ``page`` rows per query)
+    # feeds two branches, so it is kept once
+    pg = se.resort_page(se.with_meta(se.search_page(idx, todo.select(F.col(key).alias("qid"), "query"), page),
+                                     idx)).checkpoint(eager=True)
     tot = pg.where(F.col("pos") == 1).select("qid", "total")
     by_cit = todo.select(F.col(key).alias("qid"), (F.col("sort") == "search_citation_count").alias("bycit"),
                          F.col(target).alias("target"))

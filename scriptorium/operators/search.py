@@ -141,6 +141,39 @@ def matches(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str =
             .select("qid", "paperId", F.round("score", SCORE_DECIMALS).alias("score")))
 
 
+def signatures(queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
+    """(qid, sig): the query's distinct terms, sorted and space-joined.  Queries
+    with the same terms have the same results, so work is done per signature."""
+    return queries.select(F.col(qid).alias("qid"),
+                          F.array_join(F.array_sort(F.array_distinct(terms(F.col(query)))), " ").alias("sig"))
+
+
+def search_page(idx: SearchIndex, queries: DataFrame, limit: int, qid: str = "qid", query: str = "query",
+                with_total: bool = True) -> DataFrame:
+    """Top ``limit`` by relevance with ``pos`` and ``total`` for every query.
+
+    Matching, totals and the page cut run once per distinct term signature;
+    only the cut pages (<= ``limit`` rows each) fan back out to the queries,
+    so repeated queries cost one search.  Without ``with_total`` the page is
+    a plain per-query top-L, which plans a partial WindowGroupLimit."""
+    qmap = signatures(queries, qid, query)
+    sigs = qmap.select(F.col("sig").alias("qid"), F.col("sig").alias("query")).distinct()
+    hits = matches(idx, sigs)
+    page = (page_with_total(hits, limit) if with_total else top_relevance(hits, limit)).withColumnRenamed("qid", "sig")
+    return qmap.join(page, "sig").drop("sig")
+
+
+def search_ranked(idx: SearchIndex, queries: DataFrame, limit: int, order: str = "relevance",
+                  qid: str = "qid", query: str = "query") -> DataFrame:
+    """Per query: the top ``limit`` with metadata, by relevance or by citation
+    count (sort-then-limit, T5), computed per signature and fanned out."""
+    qmap = signatures(queries, qid, query)
+    sigs = qmap.select(F.col("sig").alias("qid"), F.col("sig").alias("query")).distinct()
+    hits = with_meta(matches(idx, sigs), idx)
+    top = sort_then_limit(hits, limit) if order == "citations" else top_relevance(hits, limit)
+    return qmap.join(top.withColumnRenamed("qid", "sig"), "sig").drop("sig")
+
+
 def totals(hits: DataFrame) -> DataFrame:
     """Matches per query before any limit (A1)."""
     return hits.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))

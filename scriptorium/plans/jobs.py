@@ -130,8 +130,7 @@ def score_query_responses(responses: DataFrame, index: se.SearchIndex, *, key: s
 
 def rank_queries(gold: DataFrame, index: se.SearchIndex, *, key: str = "qid", limit: int = 30) -> DataFrame:
     """C9 core (R5): each gold row with relevance_rank, citation_rank, citations, results."""
-    hits = se.matches(index, gold.select(F.col(key).alias("qid"), "query"))
-    page = se.with_meta(se.top_relevance(hits, limit), index)
+    page = se.with_meta(se.search_page(index, gold.select(F.col(key).alias("qid"), "query"), limit), index)
     res = se.results_array(page).withColumnRenamed("qid", key)
     return rk.ranked(gold.join(res, key, "left"))
 
@@ -195,7 +194,7 @@ def title_context_prompts(titles: DataFrame, queries: DataFrame, index: se.Searc
     results become citation strings, blocks are concatenated in rank order and
     put into the context question with the key's query."""
     t = titles.withColumn("qid", F.concat_ws("#", F.col(key).cast("string"), F.col("rank").cast("string")))
-    page = se.top_relevance(se.matches(index, t.select("qid", F.col("title").alias("query"))), per_title)
+    page = se.search_page(index, t.select("qid", F.col("title").alias("query")), per_title)
     ent = entries.withColumn("plain", latex_to_text(F.col("title")))
     cites = page.join(ent.select("paperId", "plain", "authors", "published", "short_id", "entry_id"), "paperId") \
         .select("qid", "pos", F.col("plain").alias("title"),

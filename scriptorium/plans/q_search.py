@@ -82,13 +82,13 @@ def paper_index(spark, sf_dir):
 def search_gold(spark, sf_dir):
     idx = paper_index(spark, sf_dir)
     g = gold_queries(spark, sf_dir).select(F.col("item_id").alias("qid"), "query")
-    return idx, se.matches(idx, g)
+    return idx, g
 
 
 def ranked_gold(spark, sf_dir, limit=30):
     """Every gold row with relevance_rank, citation_rank, citations, results."""
-    idx, hits = search_gold(spark, sf_dir)
-    page = se.with_meta(se.top_relevance(hits, limit), idx)
+    idx, g = search_gold(spark, sf_dir)
+    page = se.with_meta(se.search_page(idx, g, limit, with_total=False), idx)
     res = se.results_array(page).withColumnRenamed("qid", "item_id")
     g = gold_queries(spark, sf_dir)
     return rk.ranked(g.join(res, "item_id", "left"))
@@ -97,8 +97,8 @@ def ranked_gold(spark, sf_dir, limit=30):
 @register("corpus_search_topk", search_sql(_GOLD_Q, "SELECT qid AS item_id, pos AS rank, paperId, score FROM rel WHERE pos <= 30"))
 def corpus_search_topk(spark, sf_dir):
     """Top 30 papers per gold query, BM25, all terms required."""
-    _, hits = search_gold(spark, sf_dir)
-    t = se.top_relevance(hits, 30)
+    idx, g = search_gold(spark, sf_dir)
+    t = se.search_page(idx, g, 30, with_total=False)
     return t.select(F.col("qid").alias("item_id"), F.col("pos").cast("long").alias("rank"), "paperId", "score")
 
 
@@ -106,9 +106,9 @@ def corpus_search_topk(spark, sf_dir):
 SELECT g.item_id, coalesce(t.total, 0) AS total FROM gold g LEFT JOIN tot t ON t.qid = g.item_id"""))
 def search_total_matches(spark, sf_dir):
     """A1: matches per query counted before the page limit."""
-    _, hits = search_gold(spark, sf_dir)
+    idx, q = search_gold(spark, sf_dir)
     g = gold_queries(spark, sf_dir).select("item_id")
-    t = se.totals(hits).withColumnRenamed("qid", "item_id")
+    t = se.search_page(idx, q, 1).select(F.col("qid").alias("item_id"), "total")
     return g.join(t, "item_id", "left").select("item_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
 
 
@@ -118,8 +118,8 @@ SELECT qid AS item_id, row_number() OVER (PARTITION BY qid ORDER BY citationCoun
 FROM rel WHERE pos <= 100"""))
 def search_resort_page(spark, sf_dir):
     """T4: page of 100 by relevance, then re-sorted by citation count inside the page."""
-    idx, hits = search_gold(spark, sf_dir)
-    page = se.resort_page(se.with_meta(se.top_relevance(hits, 100), idx))
+    idx, g = search_gold(spark, sf_dir)
+    page = se.resort_page(se.with_meta(se.search_page(idx, g, 100), idx))
     return page.select(F.col("qid").alias("item_id"), F.col("cpos").cast("long").alias("rank"),
                        "paperId", "citationCount")
 
@@ -131,8 +131,8 @@ SELECT item_id, rank, paperId, citationCount FROM (
 WHERE rank <= 10"""))
 def search_sort_then_limit(spark, sf_dir):
     """T5: all matches sorted by citation count, then the first 10."""
-    idx, hits = search_gold(spark, sf_dir)
-    t = se.sort_then_limit(se.with_meta(hits, idx), 10)
+    idx, g = search_gold(spark, sf_dir)
+    t = se.search_ranked(idx, g, 10, order="citations")
     return t.select(F.col("qid").alias("item_id"), F.col("pos").cast("long").alias("rank"),
                     "paperId", "citationCount")
 

@@ -115,7 +115,7 @@ def title_context(spark, sf_dir):
               .select(F.col("qid").alias("item_id"), "rank", "title",
                       (F.col("qid") * 10 + F.col("rank")).alias("qid")))
     idx = paper_index(spark, sf_dir)
-    page = se.top_relevance(se.matches(idx, titled.select("qid", F.col("title").alias("query"))), 10)
+    page = se.search_page(idx, titled.select("qid", F.col("title").alias("query")), 10, with_total=False)
     ent = tb.arxiv_entries(spark, sf_dir).withColumn("plain", latex_to_text(F.col("title")))
     cites = (page.join(ent.select("paperId", "plain", "authors", "published", "short_id", "entry_id"), "paperId")
              .select("qid", "pos", F.col("plain").alias("title"),
