@@ -44,34 +44,40 @@ def _checkpointed(spark):
     return lambda name, build: build().checkpoint(eager=True)
 
 
-def build_index(papers: DataFrame, persist=None) -> SearchIndex:
+def build_index(papers: DataFrame, persist=None, doc_key: str | None = None) -> SearchIndex:
     """Term dictionary and inverted index of ``papers``.
 
-    Terms and papers get dense integer keys once, at build time, so every
+    Terms and papers get integer keys once, at build time, so every
     query-time join and shuffle moves longs; the document length rides in
-    each posting so scoring needs no document join.  ``persist(name,
-    builder) -> DataFrame`` stores each part once (a table in the checkpoint
-    folder by default): the keys are stable for every reader and no query
-    re-tokenises the corpus."""
+    each posting so scoring needs no document join.  ``doc_key`` names a
+    unique long column of ``papers`` to use as the document key (the corpus
+    is then tokenised exactly once); without it a dense key is assigned and
+    kept with the documents.  ``persist(name, builder) -> DataFrame`` stores
+    each part once (a table in the checkpoint folder by default): keys are
+    stable for every reader and no query re-tokenises the corpus."""
     keep = persist or _checkpointed(papers.sparkSession)
-
-    def doc_build():
-        toks = papers.select("paperId", terms(embedding_content(F.col("title"), F.col("abstract"))).alias("t"))
-        return toks.select(F.monotonically_increasing_id().alias("dk"), "paperId", F.size("t").alias("dl"), "t")
-
-    doc_terms = keep("doc_terms", doc_build)
-    raw = keep("raw_postings", lambda: (doc_terms.select("dk", "dl", F.explode("t").alias("term"))
-                                        .groupBy("term", "dk").agg(F.count(F.lit(1)).alias("tf"),
-                                                                   F.first("dl").alias("dl"))))
+    content = terms(embedding_content(F.col("title"), F.col("abstract")))
+    if doc_key is None:
+        doc_terms = keep("doc_terms", lambda: papers.select(
+            F.monotonically_increasing_id().alias("dk"), "paperId", content.alias("t")))
+        docs = doc_terms.select("dk", "paperId")
+        toks = doc_terms.select("dk", "t")
+    else:
+        docs = papers.select(F.col(doc_key).alias("dk"), "paperId")
+        toks = papers.select(F.col(doc_key).alias("dk"), content.alias("t"))
+    raw = keep("raw_postings", lambda: (toks.select("dk", F.explode("t").alias("term"))
+                                        .groupBy("term", "dk").agg(F.count(F.lit(1)).alias("tf"))))
     vocab = keep("terms", lambda: (raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                                    .withColumn("tid", F.monotonically_increasing_id())))
     parts = max(papers.sparkSession.sparkContext.defaultParallelism, 1)
-    postings = keep("postings", lambda: raw.join(vocab.select("term", "tid"), "term")
+    doclen = raw.groupBy("dk").agg(F.sum("tf").alias("dl"))
+    postings = keep("postings", lambda: raw.join(vocab.select("term", "tid"), "term").join(doclen, "dk")
                     .select("tid", "dk", "tf", "dl").repartition(parts, "tid"))
-    st = doc_terms.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    # every document counts, including those without a single term
+    n_docs = docs.count()
+    total = raw.agg(F.sum("tf")).first()[0] or 0
     meta = papers.select("paperId", "citationCount", "title", "abstract")
-    return SearchIndex(postings, vocab, doc_terms.select("dk", "paperId"), int(st["n"]),
-                       float(st["avgdl"] or 0.0), meta)
+    return SearchIndex(postings, vocab, docs, int(n_docs), float(total) / n_docs if n_docs else 0.0, meta)
 
 
 def _bm25(idx: SearchIndex):

@@ -73,9 +73,9 @@ def paper_index(spark, sf_dir):
     src = [tb.table_path(sf_dir, "documents")]
     key = (id(spark), source_fingerprint(spark, *src))
     if key not in _INDEXES:
-        _INDEXES[key] = se.build_index(tb.papers(spark, sf_dir, spread_rows=True), persist=lambda name, build:
-                                       derived_table(spark, f"search_{name}", src, build, k1=se.K1, b=se.B,
-                                                     version=5))
+        _INDEXES[key] = se.build_index(tb.papers(spark, sf_dir, spread_rows=True), doc_key="seq",
+                                       persist=lambda name, build: derived_table(
+                                           spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=6))
     return _INDEXES[key]
 
 
