@@ -65,7 +65,11 @@ def build_index(papers: DataFrame, persist=None, doc_key: str | None = None) ->
     else:
         docs = papers.select(F.col(doc_key).alias("dk"), "paperId")
         toks = papers.select(F.col(doc_key).alias("dk"), content.alias("t"))
-    raw = keep("raw_postings", lambda: (toks.select("dk", F.explode("t").alias("term"))
+    # explode_outer + an explicit filter: a plain explode lets Spark infer a
+    # size(tokens) > 0 filter and push it into the scan, which would tokenise
+    # every document before the rows are spread over the cluster
+    raw = keep("raw_postings", lambda: (toks.select("dk", F.explode_outer("t").alias("term"))
+                                        .where(F.col("term").isNotNull())
                                         .groupBy("term", "dk").agg(F.count(F.lit(1)).alias("tf"))))
     vocab = keep("terms", lambda: (raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                                    .withColumn("tid", F.monotonically_increasing_id())))

@@ -119,8 +119,9 @@ def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id
         "_pid",
         F.explode(F.array_distinct(F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))))).alias("tok"),
     ).where(F.length("tok") > 0)
-    index = docs.select(F.col(did).alias("_did"),
-                        F.explode(F.array_distinct(F.split(F.col(dtext), r"\s+"))).alias("tok"))
+    index = (docs.select(F.col(did).alias("_did"),
+                         F.explode_outer(F.array_distinct(F.split(F.col(dtext), r"\s+"))).alias("tok"))
+             .where(F.col("tok").isNotNull()))     # no inferred size() filter pushed into the scan
     wanted = inner.select("tok").distinct()
     dfreq = index.join(wanted, "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
     anchor = (inner.join(dfreq, "tok", "left")
