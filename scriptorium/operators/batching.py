@@ -63,3 +63,38 @@ def minibatches(df: DataFrame, batch_size: int, order_key: str, tiebreak: list[s
 def batch_count(n_rows: int, batch_size: int = 500) -> int:
     """``ceil(count / b)``."""
     return (n_rows + batch_size - 1) // batch_size
+
+
+SMALL_TOP_N = 100_000
+
+
+def top_n(df: DataFrame, n: int, order: list[str], partitions: int | None = None) -> DataFrame:
+    """Exact first ``n`` rows in ``order`` (a unique key), without one task
+    merging partitions x n rows.
+
+    Small ``n``: ``orderBy().limit()`` (per-partition top-n, bounded merge).
+    Large ``n``: range-partition on the order (checkpointed, so partition ids
+    are stable), count rows per range partition (a small table), keep every
+    partition before the one where the running count crosses ``n``, and
+    number rows only inside that one partition."""
+    if n <= SMALL_TOP_N:
+        return df.orderBy(*order).limit(n)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    ranged = (df.repartitionByRange(parts, *order)
+              .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
+    counts = ranged.groupBy("_pid").count().orderBy("_pid").collect()
+    acc, cut, rest = 0, None, 0
+    for r in counts:
+        if acc + r["count"] >= n:
+            cut, rest = int(r["_pid"]), n - acc
+            break
+        acc += int(r["count"])
+    if cut is None:                                   # fewer than n rows: all of them
+        return ranged.drop("_pid")
+    head = ranged.where(F.col("_pid") < cut)
+    w = Window.partitionBy("_pid").orderBy(*order)
+    edge = (ranged.where(F.col("_pid") == cut).withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= rest).drop("_rn"))
+    return head.unionByName(edge).drop("_pid")

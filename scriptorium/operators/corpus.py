@@ -58,10 +58,11 @@ def harvest(papers: DataFrame, *, field: str, years=range(2018, 2025), min_citat
     The year range becomes a partition-pruned range predicate on a table
     ``partitionBy('year')``; the cap is a global top-N in a fixed order
     (the reference's cap is per worker and off by one)."""
+    from scriptorium.operators.batching import top_n
     ys = list(years)
     out = paper_scan(papers, field=field, year=f"{min(ys)}-{max(ys)}", min_citation_count=min_citation_count)
     if limit is not None:
-        out = out.orderBy(*order).limit(limit)
+        out = top_n(out, limit, list(order))
     return out
 
 

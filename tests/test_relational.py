@@ -160,3 +160,18 @@ def test_csv_logs_bind_by_name(spark, scratch):
     out = csv_logs.read_logs(spark, os.path.join(scratch, "gold_queries*")).collect()
     assert len(out) == 2
     assert all(r.paperId == "1" and r.excerpt == "line one\nline \"two\"" and r.reason == "r" for r in out)
+
+
+def test_top_n_large_path_equals_order_limit(spark):
+    import scriptorium.operators.batching as b
+    df = spark.range(0, 3000).withColumn("year", (F.col("id") * 7919 % 5).cast("int")) \
+        .withColumn("seq", F.col("id") * 3 % 3001)
+    old = b.SMALL_TOP_N
+    b.SMALL_TOP_N = 10                                  # force the distributed path
+    try:
+        for n in (1, 777, 2999, 5000):
+            got = [tuple(r) for r in b.top_n(df, n, ["year", "seq"], partitions=7).orderBy("year", "seq").collect()]
+            want = [tuple(r) for r in df.orderBy("year", "seq").limit(n).collect()]
+            assert got == want, n
+    finally:
+        b.SMALL_TOP_N = old
