@@ -58,3 +58,39 @@ def test_no_pairwise_joins(spark, name):
 def test_per_group_top_k_uses_window_group_limit(spark):
     df = entry.queries()["corpus_search_topk"](spark, SF_SMALL)
     assert "WindowGroupLimit" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan_nodes(node):
+    """All physical plan nodes, looking inside adaptive plans and query stages."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from _plan_nodes(node.executedPlan())
+        return
+    yield node
+    if name.endswith("QueryStageExec"):
+        yield from _plan_nodes(node.plan())
+    children = node.children()
+    for i in range(children.size()):
+        yield from _plan_nodes(children.apply(i))
+
+
+def _global_windows(df):
+    return [n for n in _plan_nodes(df._jdf.queryExecution().executedPlan())
+            if n.getClass().getSimpleName() == "WindowExec" and n.partitionSpec().isEmpty()]
+
+
+def test_no_registered_query_plans_pairwise_joins_or_global_windows(spark):
+    """SURVEY §5 scale checks over every registered query's physical plan."""
+    from pyspark.sql import Window, functions as F
+    probe = spark.range(10).withColumn("rn", F.row_number().over(Window.orderBy("id")))
+    assert _global_windows(probe)                       # the detector fires on a global window
+    bad = {}
+    for name, fn in sorted(entry.queries().items()):
+        df = fn(spark, SF_SMALL)
+        plan = _plan(df)
+        problems = [p for p in ("CartesianProduct", "BroadcastNestedLoopJoin") if p in plan]
+        if _global_windows(df):
+            problems.append("unpartitioned window")
+        if problems:
+            bad[name] = problems
+    assert not bad, bad
