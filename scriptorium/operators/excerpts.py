@@ -21,7 +21,7 @@ def citation_excerpts(papers: DataFrame, citations: DataFrame) -> DataFrame:
 def explode_excerpts(rows: DataFrame) -> DataFrame:
     """One row per excerpt; an empty list yields no row (G1)."""
     return rows.select("*", F.posexplode("excerpts").alias("pos", "excerpt")).drop("excerpts") \
-        .withColumn("pos", F.col("pos") + 1)
+        .withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
 def first_citations(citations: DataFrame, cap: int = 5, key: str = "citedPaperId", order: str = "seq") -> DataFrame:
@@ -42,7 +42,8 @@ def sample_training_pairs(papers: DataFrame, citations: DataFrame, num_excerpts:
     c = first_citations(citations, cap_per_paper)
     p = papers.select("paperId", "title", draw_key(seed, F.col("paperId")).alias("draw"))
     pairs = (c.join(p, c.citedPaperId == p.paperId)
-             .select("paperId", "title", "draw", "seq", F.posexplode("contexts").alias("pos", "excerpt")))
+             .select("paperId", "title", "draw", "seq", F.posexplode("contexts").alias("pos", "excerpt"))
+             .withColumn("pos", F.col("pos").cast("long")))
     return (pairs.orderBy("draw", "seq", "pos").limit(num_excerpts)
             .select("excerpt", F.struct("paperId", "title").alias("cited"), "draw", "seq", "pos"))
 

@@ -85,9 +85,9 @@ SELECT 'http://arxiv.org/abs/' || CAST(d.doc_id AS VARCHAR) || 'v1#arxiv-metadat
          CASE WHEN instr(d.text, chr(10)) > 0 AND length(substring(d.text, instr(d.text, chr(10)) + 1)) > 0
               THEN ' ' || substring(d.text, instr(d.text, chr(10)) + 1) ELSE '' END AS content,
        CAST(len(e.embedding) AS INTEGER) AS dim,
-       to_json(struct_pack(id := 'http://arxiv.org/abs/' || CAST(d.doc_id AS VARCHAR) || 'v1',
-                           categories := [d.lang],
-                           title := substring(split_part(d.text, chr(10), 1), 1, 80))) AS metadata
+       CAST(to_json(struct_pack(id := 'http://arxiv.org/abs/' || CAST(d.doc_id AS VARCHAR) || 'v1',
+                                categories := [d.lang],
+                                title := substring(split_part(d.text, chr(10), 1), 1, 80))) AS VARCHAR) AS metadata
 FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""")
 def index_records_arxiv(spark, sf_dir):
     """arXiv-style records; the key travels with the vector
@@ -118,7 +118,7 @@ def topic_scan_by_date(spark, sf_dir):
 @register("row_counts", with_views(["papers", "citations"], """
 SELECT 'papers' AS table_name, count(*) AS n_rows FROM papers
 UNION ALL SELECT 'citations', count(*) FROM citations
-UNION ALL SELECT 'excerpts', sum(len(contexts)) FROM citations
+UNION ALL SELECT 'excerpts', CAST(sum(len(contexts)) AS BIGINT) FROM citations
 UNION ALL SELECT 'vectors', count(*) FROM embeddings
 UNION ALL SELECT 'index_batches', CAST(ceil(count(*) / 500.0) AS BIGINT)
           FROM papers p JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = p.paperId"""))

@@ -182,7 +182,7 @@ def _sel_sql(body: str, kexpr: str = _K_DRAW) -> str:
 
 
 @register("selection_candidates", _sel_sql("""
-SELECT kk.item_id, kk.k, string_agg(cand.paperId, ',' ORDER BY cand.spos) AS candidates,
+SELECT kk.item_id, CAST(kk.k AS INTEGER) AS k, string_agg(cand.paperId, ',' ORDER BY cand.spos) AS candidates,
        max(CASE WHEN cand.paperId = kk.paperId THEN cand.spos END) AS target_pos
 FROM kk JOIN cand ON cand.item_id = kk.item_id GROUP BY kk.item_id, kk.k"""))
 def selection_candidates(spark, sf_dir):

@@ -64,7 +64,7 @@ def sql_str(s: str) -> str:
     return "(" + " || chr(10) || ".join(quoted) + ")"
 
 
-META_JSON = """CASE WHEN abstract IS NULL
+META_JSON = """CAST(CASE WHEN abstract IS NULL
      THEN to_json(struct_pack(paperId := paperId, title := title, year := year, citationCount := citationCount))
      ELSE to_json(struct_pack(paperId := paperId, title := title, year := year, citationCount := citationCount,
-                              abstract := abstract)) END"""
+                              abstract := abstract)) END AS VARCHAR)"""

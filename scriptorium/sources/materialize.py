@@ -35,8 +35,27 @@ def save(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[s
     w.parquet(path)
 
 
+_CODE_VERSION: list[str] = []
+
+
+def code_version() -> str:
+    """Fingerprint of this package's source: a cached table built by other code
+    is never reused (the checkpoint folder outlives sessions)."""
+    if not _CODE_VERSION:
+        import pathlib
+        root = pathlib.Path(__file__).resolve().parents[1]
+        h = hashlib.md5()
+        for f in sorted(root.rglob("*.py")):
+            h.update(str(f.relative_to(root)).encode())
+            h.update(f.read_bytes())
+        _CODE_VERSION.append(h.hexdigest()[:12])
+    return _CODE_VERSION[0]
+
+
 def cache_key(**params) -> str:
-    """Directory-name key over *all* parameters (the reference omits some)."""
+    """Directory-name key over *all* parameters (the reference omits some) and
+    the code version."""
+    params = dict(params, _code=code_version())
     return hashlib.md5(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
