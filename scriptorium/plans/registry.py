@@ -34,9 +34,20 @@ def load_all() -> None:
     )
 
 
+def _with_package(fn: QueryFn) -> QueryFn:
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from scriptorium.session import ship_package
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     load_all()
-    return dict(QUERIES)
+    return {name: _with_package(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

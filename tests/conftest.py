@@ -22,6 +22,8 @@ def spark():
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from scriptorium.session import ship_package
+    ship_package(s)
     if not s.conf.get("spark.checkpoint.dir", None):
         d = tempfile.mkdtemp(prefix="scriptorium-test-ckpt-")
         s.conf.set("spark.checkpoint.dir", d)
