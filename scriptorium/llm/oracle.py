@@ -55,3 +55,60 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
        coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
        coalesce(scores, '') AS scores
 FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def _fill(rel: str, family: str, name: str) -> str:
+    """Water-filling of one level over rel(family..., name, cap, w, budget)."""
+    return f"""
+SELECT *, CASE WHEN fl THEN cap ELSE coalesce(lft * w // nullif(opn, 0), 0) END AS alloc FROM (
+  SELECT *, budget - sum(CASE WHEN fl THEN cap ELSE 0 END) OVER (PARTITION BY {family}) AS lft,
+         sum(CASE WHEN fl THEN 0 ELSE w END) OVER (PARTITION BY {family}) AS opn
+  FROM (SELECT *, w > 0 AND cap * sum(w) OVER (PARTITION BY {family} ORDER BY cap / nullif(w, 0), {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+               <= (budget - coalesce(sum(cap) OVER (PARTITION BY {family} ORDER BY cap / nullif(w, 0), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS fl
+        FROM {rel}))"""
+
+
+def op6(weights: dict, epochs: int) -> str:
+    def weight(cols):
+        cases = ""
+        for path, w in reversed(list(weights.items())):
+            path = (path,) if isinstance(path, str) else path
+            if len(path) == len(cols):
+                cases += " WHEN " + " AND ".join("true" if v == "*" else f"{c} = '{v}'" for c, v in zip(cols, path, strict=True)) + f" THEN {w}"
+        return f"CASE{cases} ELSE 1 END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  CASE WHEN right(source, 1) BETWEEN '0' AND '4' THEN 'web' WHEN right(source, 1) BETWEEN '5' AND '7' THEN 'reference' ELSE 'forum' END AS domain,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+s0 AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS have, CAST(sum(n_tokens) * {epochs} AS BIGINT) AS cap, {weight(["domain", "lang", "source"])} AS w
+       FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+l0 AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, {weight(["domain", "lang"])} AS w FROM s0 GROUP BY ALL),
+d0 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {weight(["domain"])} AS w, 0 AS root, (SELECT CAST(sum(have) AS BIGINT) FROM s0) AS budget FROM l0 GROUP BY ALL),
+d1 AS ({_fill("d0", "root", "domain")}),
+l1 AS (SELECT l0.*, d1.alloc AS budget FROM l0 JOIN d1 USING (domain)),
+l2 AS ({_fill("l1", "domain", "lang")}),
+s1 AS (SELECT s0.*, l2.alloc AS budget FROM s0 JOIN l2 USING (domain, lang)),
+s2 AS ({_fill("s1", "domain, lang", "source")}),
+p AS (SELECT domain, lang, source, CAST(alloc // have AS BIGINT) AS f, alloc % have AS rest FROM s2),
+k AS (SELECT d.*, f, rest, md5('mix|' || f || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM d JOIN p USING (domain, lang, source)),
+c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest AS part FROM k)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, f + CASE WHEN part THEN 1 ELSE 0 END)) AS BIGINT) AS epoch FROM c"""
+
+
+def op9(budget: int, history: int) -> str:
+    esc = lambda c: f"replace(replace(replace({c}, '\\', '\\\\'), '</turn>', '\\e'), '##', '\\h')"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+k AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS tok,
+             4 + length(replace({esc("role")}, ':', '\\c')) + 2 + length({esc("text")}) + 8 AS chars,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+w AS (SELECT *, (sum(tok) OVER (PARTITION BY conv_id ORDER BY pos) - tok) // {budget} AS win FROM k),
+s AS (SELECT conv_id, win, min(pos) AS p FROM w GROUP BY ALL HAVING min(pos) > 1),
+r AS (SELECT s.conv_id, sum(w.chars) AS chars FROM s JOIN w ON w.conv_id IS NOT DISTINCT FROM s.conv_id
+      AND (w.pos BETWEEN s.p - {history} AND s.p - 1 OR (w.pos = 1 AND w.role = 'system')) GROUP BY ALL),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+             coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM w GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(g.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars
+FROM g LEFT JOIN r ON g.conv_id IS NOT DISTINCT FROM r.conv_id"""

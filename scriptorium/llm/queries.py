@@ -57,3 +57,40 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.array_join(F.transform("_pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
     return spans.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(line(base), 256).alias("base_sha256"),
                         line(F.col("_pii")).alias("spans"), scores.alias("scores"))
+
+
+#: Weights of the mix: paths domain, (domain, lang) and (domain, lang, source); any other node has weight 1.
+MIX_WEIGHTS = {"web": 3, "reference": 2, ("*", "en"): 4, ("*", "de"): 2, ("*", "fr"): 2, ("web", "en", "src1"): 3}
+MIX_EPOCHS = 4
+
+
+def source_domain(source):
+    """Domain of a source by the last digit of its name."""
+    last = F.substring(source, -1, 1)
+    return F.when(last.between("0", "4"), "web").when(last.between("5", "7"), "reference").otherwise("forum")
+
+
+@register("op6_mixing", oracle.op6(MIX_WEIGHTS, MIX_EPOCHS))
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.mixing import mix
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, source_domain(docs["source"]), MIX_WEIGHTS, max_epochs=MIX_EPOCHS)
+
+
+@register("op9_chat_format", oracle.op9(512, 2))
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import chat
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    windows = chat.format_chats(rows.unionByName(extra), budget=512, history=2)
+    turns = F.filter(chat.read_back(F.col("formatted")), lambda t: ~t["again"])
+    back = windows.select("conv_id", "window", F.length("formatted").alias("chars"), turns.alias("turns"),
+                          F.array_join(chat.masked_texts(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
+    back = back.select("conv_id", "chars", F.size("turns").alias("n"), F.struct(
+        "window", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"), "loss").alias("w"))
+    whole = back.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("w")).alias("ws"))
+    loss = F.array_join("ws.loss", "")
+    return whole.select("conv_id", "n_turns", F.sha2(F.array_join("ws.said", ""), 256).alias("turns_sha256"),
+                        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
