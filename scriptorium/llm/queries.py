@@ -94,3 +94,34 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = F.array_join("ws.loss", "")
     return whole.select("conv_id", "n_turns", F.sha2(F.array_join("ws.said", ""), 256).alias("turns_sha256"),
                         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@register("op8_url_filter")
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.url_filter import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+TOXIC_FROM = 0.3
+
+
+def held_out(doc_id):
+    """Rows whose labels no model sees."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    from scriptorium.llm import toxicity
+    model = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model, out="score")
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
