@@ -131,3 +131,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.near_dedup import near_dedup
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op7_fingerprint")
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm import fingerprint as fp
+    rows = fp.fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), fp.packed(F.col("_bins")).alias("fingerprint"),
+                       fp.packed(F.col("_edited_bins")).alias("edited_fingerprint"), fp.likeness(F.col("_bins"), F.col("_edited_bins")).alias("near_edited"),
+                       fp.likeness(F.col("_bins"), F.col("_next_bins")).alias("near_next"))
