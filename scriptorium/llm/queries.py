@@ -140,3 +140,9 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), fp.packed(F.col("_bins")).alias("fingerprint"),
                        fp.packed(F.col("_edited_bins")).alias("edited_fingerprint"), fp.likeness(F.col("_bins"), F.col("_edited_bins")).alias("near_edited"),
                        fp.likeness(F.col("_bins"), F.col("_next_bins")).alias("near_next"))
+
+
+@register("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.substring_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
