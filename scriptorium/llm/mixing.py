@@ -7,7 +7,7 @@ of one more, in the seeded order of that epoch.
 
 Scale: the tree is a small aggregate.  The prefix of a leaf is cut without sorting the leaf: token sums
 per (leaf, bucket of the seeded hash) give the one bucket where the budget ends, and only that bucket
-(1 / 65536 of a leaf) is ordered row by row.  Column expressions and joins only.
+(1 / 4096 of a leaf) is ordered row by row.  Column expressions and joins only.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from scriptorium.llm.common import Scratch
 
 #: Hex digits of the seeded hash that name a bucket.
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
