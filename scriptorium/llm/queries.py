@@ -146,3 +146,14 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.substring_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+@register("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, and the text decoded from them."""
+    from scriptorium.llm import pieces
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = pieces.decode_ids(pieces.encode_texts(docs))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace(text, F.lit("▁"), F.lit(" "))).alias("round_trip"))
