@@ -1,7 +1,72 @@
-"""The corpus pipeline: STAGES over ``documents``."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, tokenisation of ``documents``.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return
+the columns they were given.  ``run`` writes each stage's rows to the shared folder and reads them for the next.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm import queries as q
+from scriptorium.llm.common import Scratch
+from scriptorium.llm.exact_dedup import exact_dedup
+from scriptorium.llm.mixing import mix
+from scriptorium.llm.near_dedup import near_dedup, text_key
+from scriptorium.llm.pieces import decode_ids, encode_texts
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a toxicity under the threshold; the model learns from the labels that are not held out."""
+    from scriptorium.llm import toxicity
+    labels = q.table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~q.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model, out="_toxicity")
+    return scored.where(F.col("_toxicity") < q.TOXIC_FROM).select(*docs.columns)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    rows = exact_dedup(docs, carry=[F.struct(*docs.columns).alias("_doc")])
+    return rows.where("kept").select("_doc.*")
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    return docs.join(kept, same, "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as came in, shared out by the weights; a document of a repeated epoch is a row per epoch."""
+    rows = mix(docs, q.source_domain(docs["source"]), q.MIX_WEIGHTS, max_epochs=q.MIX_EPOCHS, carry=[F.struct(*docs.columns).alias("_doc")])
+    return rows.select("_doc.*")
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
+    rows = decode_ids(encode_texts(docs.select("doc_id", "text")))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("mixing", mix_sources), ("sentencepiece", tokenise)]
+
+#: Two stages are a trained model and an encoder, which SQL cannot express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.session import ship_package
+    ship_package(spark)
+    scratch = Scratch(spark, "pipeline")
+    docs = q.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
 ORACLE: dict[str, str] = {}
-STAGES: list = []

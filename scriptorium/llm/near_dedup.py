@@ -81,8 +81,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(np.repeat(part.column("_n").to_numpy(), BANDS))], ["_band", "_nid", "_n"])
 
 
+def text_key(text) -> object:
+    """The 64-bit key that tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (75, 100)) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: id, n_shingles, component_id, kept, text_key.
 
     Words are runs of anything but ASCII white space after lower-casing A-Z; a set holds the distinct 5-word
     shingles, the whole sequence where there are fewer words.  Null, empty and blank texts have an empty set
@@ -94,7 +99,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     floor = num / den - SLACK
     scratch = Scratch(docs.sparkSession, "near")
     text = F.coalesce(docs[text_col], F.lit(""))
-    src = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_tk"), text.alias("_text"))
+    src = docs.select(docs[id_col].alias("_id"), text_key(docs[text_col]).alias("_tk"), text.alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
     rows = scratch.cut(src.mapInArrow(_sets, f"_id {kind}, _tk bigint, _n bigint, _key binary, _sig binary"), "rows")
     nodes = rows.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_lo"), F.min(F.struct("_id", "_tk")).alias("_rep"),
@@ -173,6 +178,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = named.withColumn("_root", F.coalesce("root", "_nid"))
     lows = named.groupBy("_root").agg(F.min("_lo").alias("_low"))
     named = scratch.cut(named.join(lows, "_root").select("_key", "_low"), "named")
-    out = rows.join(named, "_key", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"),
-                                                  F.when(F.col("_n") > 0, F.col("_low")).otherwise(F.col("_id")).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    own = F.when(F.col("_n") > 0, F.col("_low")).otherwise(F.col("_id"))
+    return rows.join(named, "_key", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), own.alias("component_id"),
+                                                   F.col("_id").eqNullSafe(own).alias("kept"), F.col("_tk").alias("text_key"))

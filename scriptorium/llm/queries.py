@@ -130,7 +130,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_near_dedup")
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.near_dedup import near_dedup
-    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 @register("op7_fingerprint")
