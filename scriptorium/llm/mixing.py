@@ -104,4 +104,4 @@ def mix(docs: DataFrame, domain: Column, weights: dict, budget: int | None = Non
     copies = edge.union(other).withColumn("_n", F.col("_full") + F.col("_in").cast("long")).where("_n > 0")
     return copies.select(F.col("_id").alias(id_col), F.col("_dom").alias("domain"), F.col("_lang").alias("lang"), F.col("_src").alias("source"),
                          F.col("_tok").alias("n_tokens"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("epoch"),
-                         *[F.col("_row")[f] for f in rows.schema["_row"].dataType.names[1:]])
+                         *[F.col("_row")[f].alias(f) for f in rows.schema["_row"].dataType.names[1:]])
