@@ -18,9 +18,9 @@ def remove_prefix(c: Column, prefix: str) -> Column:
     return F.when(F.startswith(c, F.lit(prefix)), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
 
 
-def prefix(c: Column, n: int) -> Column:
-    """``s[:n]`` in code points."""
-    return F.substring(c, 1, n)
+def prefix(c: Column, n: int | None) -> Column:
+    """``s[:n]`` in code points (X2); the whole text for None."""
+    return c if n is None else F.substring(c, 1, n)
 
 
 def py_strip(c: Column) -> Column:

@@ -50,8 +50,8 @@ def _numbered(df: DataFrame, order_key: str, tiebreak: list[str], out: str = "rn
 
 
 def minibatches(df: DataFrame, batch_size: int, order_key: str, tiebreak: list[str],
-                drop_last: bool = True) -> DataFrame:
-    """Batch id ``(rn - 1) div b``; the one short final batch is dropped."""
+                drop_last: bool = False) -> DataFrame:
+    """Batch id ``(rn - 1) div b``; the one short final batch is kept unless ``drop_last``."""
     numbered, n = _numbered(df, order_key, tiebreak)
     out = numbered.withColumn("batch_id", F.floor((F.col("rn") - 1) / batch_size).cast("long"))
     if drop_last:

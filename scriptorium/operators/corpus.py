@@ -36,7 +36,7 @@ def year_predicate(year: int | str | None) -> Column:
 
 def paper_scan(papers: DataFrame, *, field: str | None = None, year: int | str | None = None,
                min_citation_count: int | None = None, fields: list[str] | None = None) -> DataFrame:
-    """Filtered paper scan (S1, F3): every predicate reaches the parquet scan."""
+    """Filtered paper scan (S1, F3); predicates on stored columns reach the parquet scan, those on derived ones do not."""
     cond = year_predicate(year)
     if field is not None:
         # a single-valued field column compares directly, so the predicate
@@ -52,7 +52,7 @@ def paper_scan(papers: DataFrame, *, field: str | None = None, year: int | str |
 
 
 def harvest(papers: DataFrame, *, field: str, years=range(2018, 2025), min_citation_count: int = 20,
-            limit: int | None = 1_000_000, order: tuple[str, ...] = ("year", "seq")) -> DataFrame:
+            limit: int | None = None, order: tuple[str, ...] = ("year", "seq")) -> DataFrame:
     """Year-sharded harvest (S13, T10) with an exact global cap.
 
     The year range becomes a partition-pruned range predicate on a table
@@ -81,9 +81,11 @@ def attach_or_embed(papers: DataFrame, vectors: DataFrame, make_fn=None, key: st
     missing = F.col("embeddings").isNull()
     if make_fn is None:
         return j.withColumn("computed", F.lit(False))
+    # a Python UDF inside ``when`` runs on every row, so the rows are split and only the missing ones encoded
     content = embedding_content(F.col("title"), F.col("abstract"))
-    filled = F.when(missing, embed(content, make_fn, batch_size)).otherwise(F.col("embeddings"))
-    return j.withColumn("computed", missing).withColumn("embeddings", filled)
+    have = j.where(~missing).withColumn("computed", F.lit(False))
+    lack = j.where(missing).withColumn("computed", F.lit(True)).withColumn("embeddings", embed(content, make_fn, batch_size))
+    return have.unionByName(lack)
 
 
 def semantic_record(df: DataFrame, model: str, namespace: str = PAPER_NAMESPACE,
@@ -118,11 +120,12 @@ def arxiv_metadata(entries: DataFrame, *keep: str) -> DataFrame:
                           "title", "abstract")
 
 
-def topic_scan(entries: DataFrame, topic: str, max_results: int = 500) -> DataFrame:
-    """Topic scan newest first, capped."""
-    return (entries.where(F.col("category") == topic)
-            .orderBy(F.col("published").desc(), F.col("entry_id"))
-            .limit(max_results))
+def topic_scan(entries: DataFrame, topic: str, max_results: int | None) -> DataFrame:
+    """Topic scan, the newest ``max_results`` (S5, T9), all of them for None."""
+    rows = entries.where(F.col("category") == topic)
+    if max_results is None:
+        return rows
+    return rows.orderBy(F.col("published").desc(), F.col("entry_id")).limit(max_results)
 
 
 def with_content(df: DataFrame) -> DataFrame:
@@ -131,7 +134,8 @@ def with_content(df: DataFrame) -> DataFrame:
 
 def upsert(existing: DataFrame, incoming: DataFrame, *, keys=("namespace", "id"),
            seq: str = "batch_seq", dim: int | None = None) -> DataFrame:
-    """Keyed upsert: the row with the highest ``seq`` wins per key (K2, A4).
+    """Keyed upsert: the row with the highest ``seq`` wins per key (K2, A4); of rows
+    of one ``seq``, the one with the largest hash of all its columns.
 
     The window is partitioned by the key, so work spreads over all keys; a
     vector of the wrong width fails the job instead of being dropped."""
@@ -139,7 +143,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, *, keys=("namespace", "id")
     if dim is not None:
         rows = rows.withColumn("values", F.when(F.size("values") == dim, F.col("values")).otherwise(
             F.raise_error(F.concat(F.lit("vector width differs from "), F.lit(str(dim)))).cast("array<float>")))
-    w = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
+    w = Window.partitionBy(*keys).orderBy(F.col(seq).desc(), F.xxhash64(*rows.columns).desc())
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.draws import draw_key
+from scriptorium.operators.batching import top_n
 
 
 def citation_excerpts(papers: DataFrame, citations: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def explode_excerpts(rows: DataFrame) -> DataFrame:
         .withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
-def first_citations(citations: DataFrame, cap: int = 5, key: str = "citedPaperId", order: str = "seq") -> DataFrame:
+def first_citations(citations: DataFrame, cap: int, key: str = "citedPaperId", order: str = "seq") -> DataFrame:
     """First ``cap`` citations per cited paper (W5).  ``row_number() <= cap``
     plans a partial WindowGroupLimit before the shuffle, so a hot paper
     ships at most ``cap`` rows per partition."""
@@ -33,7 +34,7 @@ def first_citations(citations: DataFrame, cap: int = 5, key: str = "citedPaperId
 
 
 def sample_training_pairs(papers: DataFrame, citations: DataFrame, num_excerpts: int, seed: str,
-                          cap_per_paper: int = 5) -> DataFrame:
+                          cap_per_paper: int) -> DataFrame:
     """Shuffled papers -> first citations -> flattened contexts -> global cap.
 
     The cap counts excerpts (not papers), taken in (paper draw, citation
@@ -44,7 +45,7 @@ def sample_training_pairs(papers: DataFrame, citations: DataFrame, num_excerpts:
     pairs = (c.join(p, c.citedPaperId == p.paperId)
              .select("paperId", "title", "draw", "seq", F.posexplode("contexts").alias("pos", "excerpt"))
              .withColumn("pos", F.col("pos").cast("long")))
-    return (pairs.orderBy("draw", "seq", "pos").limit(num_excerpts)
+    return (top_n(pairs, num_excerpts, ["draw", "seq", "pos"])
             .select("excerpt", F.struct("paperId", "title").alias("cited"), "draw", "seq", "pos"))
 
 
@@ -53,10 +54,10 @@ def attributable(rows: DataFrame, verdict: str = "eval") -> DataFrame:
     return rows.where(F.startswith(F.col(verdict), F.lit(" YES")))
 
 
-def short_pairs(rows: DataFrame, max_len: int = 350, cap: int | None = 10_000,
+def short_pairs(rows: DataFrame, max_len: int = 350, cap: int | None = None,
                 order=("seq", "pos")) -> DataFrame:
-    """``len(excerpt + title) < 350`` -> ``{cited, excerpt}`` -> first ``cap`` rows."""
+    """``len(excerpt + title) < 350`` -> ``{cited, excerpt}`` -> all rows, or the first ``cap``."""
     out = rows.where(F.length(F.concat("excerpt", "title")) < max_len)
     if cap is not None:
-        out = out.orderBy(*order).limit(cap)
+        out = top_n(out, cap, list(order))
     return out.select(F.struct("paperId", "title").alias("cited"), "excerpt", *order)

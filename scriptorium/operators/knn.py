@@ -9,7 +9,7 @@ shuffled and no pair is ever emitted that cannot be in the answer:
   batches, computes distances as one matrix product per batch and keeps a
   running partial top-k per query.  Each partition emits at most Q*k rows,
   so the shuffle into the final ``row_number() <= k`` window is
-  O(partitions * Q * k), independent of the corpus size.
+  O(partitions * Q * k), not proportional to the vectors.
 * **blocked plan** (query side too large to broadcast): queries are hashed
   into B blocks and the corpus into C blocks; each query row is sent to the
   C corpus blocks of its query block and each vector to the B query blocks
@@ -73,27 +73,32 @@ def topk_block(qids: np.ndarray, Q: np.ndarray, ids: np.ndarray, X: np.ndarray,
         xn = np.sqrt(xn2)
     kk = min(k, n)
     slack = 10.0 ** (-decimals) * 2
+    eps = np.finfo(np.float64).eps
     out_q, out_c, out_d = [], [], []
     step = max(1, _PAIR_BUDGET // n)
     for s in range(0, nq, step):
         qs = slice(s, min(nq, s + step))
         dot = Qd[qs] @ Xd.T
-        if metric == "l2":
-            d2 = np.maximum(qn2[qs, None] + xn2[None, :] - 2.0 * dot, 0.0)
-            approx = np.sqrt(d2)
-            tol = 1e-9 * (qn2[qs, None] + xn2[None, :]) ** 0.5 + 1e-9
-        elif metric == "cosine":
-            approx = 1.0 - dot / (qn[qs, None] * xn[None, :])
-            tol = np.full((1, 1), 1e-9)
-        else:
-            raise ValueError(f"unknown metric {metric!r}")
-        if exclude_self:
-            self_pair = qids[qs, None] == ids[None, :]
-            approx = np.where(self_pair, np.inf, approx)
-        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        keep = approx <= (kth[:, None] + slack + tol)
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            if metric == "l2":
+                # rounding error of q2 + x2 - 2qx, which grows with the norms and the width
+                err = 4 * eps * Qd.shape[1] * (qn2[qs, None] + xn2[None, :])
+                d2 = np.maximum(qn2[qs, None] + xn2[None, :] - 2.0 * dot, 0.0)
+                high = np.sqrt(d2 + err)
+                low = np.sqrt(np.maximum(d2 - err, 0.0))
+            elif metric == "cosine":
+                high = 1.0 - dot / (qn[qs, None] * xn[None, :]) + 1e-9
+                low = high - 2e-9
+            else:
+                raise ValueError(f"unknown metric {metric!r}")
+        # pairs without a distance (NaN, or a zero vector under cosine) take no part
+        out = ~np.isfinite(high)
         if exclude_self:
-            keep &= ~self_pair
+            out |= qids[qs, None] == ids[None, :]
+        high = np.where(out, np.inf, high)
+        # the k-th smallest upper bound: whatever lies below it for sure or may lie below it is a candidate
+        kth = np.partition(high, kk - 1, axis=1)[:, kk - 1]
+        keep = ~out & (low <= kth[:, None] + slack)
         rows, cols = np.nonzero(keep)
         rows = rows + s
         if rows.size == 0:
@@ -166,7 +171,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 3, *,
     nq, dim = int(stats["n"]), int(stats["dim"] or 0)
     if nq == 0:
         return _final_topk(spark.createDataFrame([], out_schema), k)
-    q_bytes = nq * dim * 4
+    q_bytes = nq * dim * 8
     if strategy == "auto":
         strategy = "broadcast" if q_bytes <= max_broadcast_bytes else "blocked"
     if strategy == "broadcast":
@@ -185,7 +190,7 @@ def _broadcast_partial(q, c, k, dim, metric, exclude_self, decimals, out_schema)
     spark = q.sparkSession
     tbl = q.toArrow()
     qids = tbl.column("qid").to_numpy(zero_copy_only=False)
-    Q = _stack(tbl.column("qvec"), dim).astype(np.float32)
+    Q = _stack(tbl.column("qvec"), dim).astype(np.float64)
     bc = spark.sparkContext.broadcast((qids, Q))
     qtype = _arrow_type(out_schema["qid"].dataType)
     ctype = _arrow_type(out_schema["id"].dataType)
@@ -193,33 +198,39 @@ def _broadcast_partial(q, c, k, dim, metric, exclude_self, decimals, out_schema)
 
     def scan(batches):
         bq, BQ = bc.value
-        acc_q, acc_id, acc_d = [], [], []
+        acc: list[tuple] = []
+        held = 0
+
+        def prune() -> list[tuple]:
+            if not acc:
+                return []
+            qs, idv, ds = (np.concatenate([part[j] for part in acc]) for j in range(3))
+            qi, ci, d = _prune(qs, np.arange(idv.size), ds, idv, k)
+            return [(qi, idv[ci], d)]
+
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             ids = rb.column("id").to_numpy(zero_copy_only=False)
             X = _stack(rb.column("vec"), dim)
             qi, ci, d = topk_block(bq, BQ, ids, X, k, metric, exclude_self, decimals)
-            acc_q.append(qi)
-            acc_id.append(ids[ci])
-            acc_d.append(d)
-        if not acc_q:
-            return
-        qi = np.concatenate(acc_q)
-        idv = np.concatenate(acc_id)
-        d = np.concatenate(acc_d)
-        qi, ci, d = _prune(qi, np.arange(qi.size), d, idv, k)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bq[qi], type=qtype), pa.array(idv[ci], type=ctype), pa.array(d, type=pa.float64())],
-            schema=arrow_schema)
+            acc.append((qi, ids[ci], d))
+            held += len(d)
+            if held > 2 * len(bq) * k:      # never more than three times the partial top-k in memory
+                acc = prune()
+                held = len(acc[0][0])
+        for qi, idv, d in prune():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bq[qi], type=qtype), pa.array(idv, type=ctype), pa.array(d, type=pa.float64())],
+                schema=arrow_schema)
 
     return c.mapInArrow(scan, out_schema)
 
 
 def _blocked_partial(q, c, k, dim, nq, metric, exclude_self, decimals, out_schema, block_bytes):
     n = c.count()
-    B = max(1, math.ceil(nq * dim * 4 / block_bytes))
-    C = max(1, math.ceil(n * dim * 4 / block_bytes))
+    B = max(1, math.ceil(nq * dim * 8 / block_bytes))
+    C = max(1, math.ceil(n * dim * 8 / block_bytes))
     qb = (q.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(B)))
           .withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(C - 1).cast("long")))))
     cb = (c.withColumn("_cb", F.pmod(F.xxhash64("id"), F.lit(C)))
@@ -230,8 +241,8 @@ def _blocked_partial(q, c, k, dim, nq, metric, exclude_self, decimals, out_schem
             return pd.DataFrame({"qid": [], "id": [], "distance": []})
         qids = qpdf["qid"].to_numpy()
         ids = cpdf["id"].to_numpy()
-        Q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float32)
-        X = np.stack(cpdf["vec"].to_numpy()).astype(np.float32)
+        Q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
+        X = np.stack(cpdf["vec"].to_numpy()).astype(np.float64)
         qi, ci, d = topk_block(qids, Q, ids, X, k, metric, exclude_self, decimals)
         return pd.DataFrame({"qid": qids[qi], "id": ids[ci], "distance": d})
 

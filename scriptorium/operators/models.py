@@ -17,14 +17,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MODELS: dict[int, Callable] = {}
+#: (factory, model) of this worker: the factory is held, so its identity cannot be taken by another one.
+_MODELS: list[tuple[Callable, Callable]] = []
+MAX_MODELS = 8
 
 
 def _model(make_fn: Callable) -> Callable:
-    key = id(make_fn)
-    fn = _MODELS.get(key)
-    if fn is None:
-        fn = _MODELS[key] = make_fn()
+    for held, fn in _MODELS:
+        if held is make_fn:
+            return fn
+    fn = make_fn()
+    _MODELS.append((make_fn, fn))
+    del _MODELS[:-MAX_MODELS]
     return fn
 
 

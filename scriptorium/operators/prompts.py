@@ -72,10 +72,10 @@ OUTPUT_PREFIX = "### Output:\n"
 # ---------------------------------------------------------------------------
 
 
-def attribution_prompt(title: Column, excerpt: Column) -> Column:
-    """User message with title and ``excerpt[:256]``; assistant prefix (Q1)."""
+def attribution_prompt(title: Column, excerpt: Column, max_excerpt: int | None = None) -> Column:
+    """User message with title and excerpt (its first ``max_excerpt`` characters if given); assistant prefix (Q1)."""
     user = F.concat(F.lit(ATTRIBUTION_INSTRUCTION), F.lit("Cited paper title: "), title,
-                    F.lit("\nExcerpts: "), prefix(excerpt, 256), F.lit("\n"))
+                    F.lit("\nExcerpts: "), prefix(excerpt, max_excerpt), F.lit("\n"))
     return F.array(chat.message("user", user), chat.message("assistant", F.lit(ATTRIBUTION_ANSWER_PREFIX)))
 
 
@@ -111,11 +111,11 @@ def numbered_titles_message(keys: DataFrame, titled: DataFrame, key: str) -> Dat
     return keys.join(lists, key, "left").select(key, guess_message(F.col("titles")).alias("message"))
 
 
-def paper_listing(papers: Column) -> Column:
-    """``- Paper ID / Title / [Abstract[:128]] / Citation Count`` blocks."""
+def paper_listing(papers: Column, max_abstract: int | None = None) -> Column:
+    """``- Paper ID / Title / [Abstract] / Citation Count`` blocks (Q6, A6); abstracts cut to ``max_abstract`` if given."""
     def block(p):
         abstract = F.when(F.coalesce(F.length(p["abstract"]), F.lit(0)) > 0,
-                          F.concat(F.lit("\tAbstract: "), prefix(p["abstract"], 128), F.lit("\n"))).otherwise("")
+                          F.concat(F.lit("\tAbstract: "), prefix(p["abstract"], max_abstract), F.lit("\n"))).otherwise("")
         return F.concat(F.lit("- Paper ID: "), p["paperId"], F.lit("\n\tTitle: "), p["title"], F.lit("\n"),
                         abstract, F.lit("\tCitation Count: "), p["citationCount"].cast("string"), F.lit("\n\n"))
     return F.array_join(F.transform(papers, block), "")

@@ -50,19 +50,8 @@ def query_rewards(idx: se.SearchIndex, parsed: DataFrame, key: str, target: str
     checkpoint_dir(parsed.sparkSession)
     parsed = parsed.checkpoint(eager=True)
     todo = parsed.where(F.col("pre_reward").isNull())
-    # one search per distinct term set; the page (<= ``page`` rows per query)
-    # feeds two branches, so it is kept once
-    pg = se.resort_page(se.with_meta(se.search_page(idx, todo.select(F.col(key).alias("qid"), "query"), page),
-                                     idx)).checkpoint(eager=True)
-    tot = pg.where(F.col("pos") == 1).select("qid", "total")
-    by_cit = todo.select(F.col(key).alias("qid"), (F.col("sort") == "search_citation_count").alias("bycit"),
-                         F.col(target).alias("target"))
-    pos = (pg.join(by_cit, "qid")
-           .where(F.col("paperId") == F.col("target"))
-           .select("qid", F.when(F.col("bycit"), F.col("cpos")).otherwise(F.col("pos")).alias("rank")))
-    scored = (parsed.join(tot.withColumnRenamed("qid", key), key, "left")
-              .join(pos.withColumnRenamed("qid", key), key, "left")
-              .withColumn("total", F.coalesce("total", F.lit(0))))
+    ranks = se.ranks_in_page(idx, todo, page, key, target, F.coalesce(F.col("sort") == "search_citation_count", F.lit(False)))
+    scored = parsed.join(ranks, key, "left").withColumn("total", F.coalesce("total", F.lit(0)))
     total = F.col("total").cast("double")
     r2 = (F.when(F.col("total") == 0, F.lit(NO_MATCHES))
           .when(F.col("rank").isNotNull(), F.lit(10.0) / F.sqrt(F.col("rank").cast("double")) + F.lit(1.0) / total)
@@ -99,12 +88,13 @@ def selection_rewards(df: DataFrame, response: str = "response", ref_response: s
             .drop("_a", "_r"))
 
 
-def gold_selection_rows(scored: DataFrame, response: str = "response", ref_response: str = "ref_response",
-                        extra: list | None = None) -> DataFrame:
-    """K4: the right answers, as the gold-selection CSV columns."""
+def gold_selection_rows(scored: DataFrame, response: str = "response", ref_response: str = "ref_response", seq=None) -> DataFrame:
+    """K4: the right answers, as the gold-selection CSV columns, with their order ``seq``
+    (a column or expression; else an id that grows with the rows), which C11 needs."""
+    order = F.monotonically_increasing_id() if seq is None else (F.col(seq) if isinstance(seq, str) else seq)
     return scored.where(F.col("reward") == 2).select(
         "paperId", "title", "excerpt", "reason", F.col(response).alias("action"),
-        F.col(ref_response).alias("ref_action"), "ref_status", *(extra or []))
+        F.col(ref_response).alias("ref_action"), "ref_status", order.cast("long").alias("seq"))
 
 
 def batch_sums(batched: DataFrame, value: str = "reward") -> DataFrame:

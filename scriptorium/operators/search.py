@@ -25,7 +25,8 @@ from scriptorium.functions.text import embedding_content, terms
 K1 = 1.2
 B = 0.75
 SCORE_DECIMALS = 6
-PER_QUERY_BROADCAST_ROWS = 2_000_000   # one row per query; above this the join shuffles
+PER_QUERY_BROADCAST_BYTES = 64 << 20   # checked size of the per-query side; above this the join shuffles
+DOC_BLOCKS = 16                        # pieces of a term's postings list
 
 
 @dataclass
@@ -37,6 +38,11 @@ class SearchIndex:
     avgdl: float
     meta: DataFrame       # paperId, citationCount, title, abstract
 
+    @property
+    def counts(self) -> DataFrame:
+        """paperId, citationCount: all that ranking needs."""
+        return self.meta.select("paperId", "citationCount")
+
 
 def _checkpointed(spark):
     from scriptorium.session import checkpoint_dir
@@ -44,6 +50,17 @@ def _checkpointed(spark):
     return lambda name, build: build().checkpoint(eager=True)
 
 
+def _term_counts(tokens):
+    """array<struct<term, tf, dl>> of a token array: run lengths of the sorted tokens."""
+    def runs(s):
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        ends = lambda a: F.concat(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), F.array(F.size(s) + 1))
+        count = lambda a: F.zip_with(a, ends(a), lambda x, y: F.struct(F.element_at(s, x).alias("term"), (y - x).cast("long").alias("tf"),
+                                                                      F.size(s).cast("long").alias("dl")))
+        return F.when(F.size(s) > 0, F.transform(F.array(starts), count)[0])
+    return F.transform(F.array(F.sort_array(tokens)), runs)[0]
+
+
 def build_index(papers: DataFrame, persist=None, doc_key: str | None = None) -> SearchIndex:
     """Term dictionary and inverted index of ``papers``.
 
@@ -67,16 +84,16 @@ def build_index(papers: DataFrame, persist=None, doc_key: str | None = None) ->
         toks = papers.select(F.col(doc_key).alias("dk"), content.alias("t"))
     # explode_outer + an explicit filter: a plain explode lets Spark infer a
     # size(tokens) > 0 filter and push it into the scan, which would tokenise
-    # every document before the rows are spread over the cluster
-    raw = keep("raw_postings", lambda: (toks.select("dk", F.explode_outer("t").alias("term"))
-                                        .where(F.col("term").isNotNull())
-                                        .groupBy("term", "dk").agg(F.count(F.lit(1)).alias("tf"))))
+    # every document before the rows are spread over the cluster.  A document's
+    # tokens are in one row, so tf and dl need no shuffle
+    raw = keep("raw_postings", lambda: (toks.select("dk", F.explode_outer(_term_counts(F.col("t"))).alias("x"))
+                                        .where(F.col("x").isNotNull())
+                                        .select("dk", "x.term", "x.tf", "x.dl")))
     vocab = keep("terms", lambda: (raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                                    .withColumn("tid", F.monotonically_increasing_id())))
-    parts = max(papers.sparkSession.sparkContext.defaultParallelism, 1)
-    doclen = raw.groupBy("dk").agg(F.sum("tf").alias("dl"))
-    postings = keep("postings", lambda: raw.join(vocab.select("term", "tid"), "term").join(doclen, "dk")
-                    .select("tid", "dk", "tf", "dl").repartition(parts, "tid"))
+    # a frequent term's list is spread over DOC_BLOCKS files
+    postings = keep("postings", lambda: raw.join(vocab.select("term", "tid"), "term").select("tid", "dk", "tf", "dl")
+                    .repartition("tid", F.pmod(F.xxhash64("dk"), F.lit(DOC_BLOCKS))))
     # every document counts, including those without a single term
     n_docs = docs.count()
     total = raw.agg(F.sum("tf")).first()[0] or 0
@@ -97,8 +114,7 @@ def query_terms(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: s
     return q.join(idx.terms, "term", "left").select("qid", "term", "tid", F.coalesce("df", F.lit(0)).alias("df"))
 
 
-def matches(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str = "query",
-            require_all: bool = True) -> DataFrame:
+def matches(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
     """Every (query, paper) match with its BM25 score: ``qid, paperId, score``.
 
     AND semantics.  Per query (a group bounded by the query's term count)
@@ -111,42 +127,38 @@ def matches(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str =
     (query, document) keeps the candidates holding every term.  A frequent
     term never widens the candidate set."""
     qt = query_terms(idx, queries, qid, query)
-    if not require_all:
-        hit = qt.where(F.col("df") > 0).join(idx.postings, "tid").withColumn("s", _bm25(idx))
-        agg = hit.groupBy("qid", "dk").agg(F.sum("s").alias("score"))
-    else:
-        per_q = (qt.groupBy("qid")
-                 .agg(F.min(F.struct("df", "tid")).alias("rare"),
-                      F.collect_list(F.struct("tid", "df")).alias("all"),
-                      F.sum(F.when(F.col("tid").isNull(), 1).otherwise(0)).alias("missing"))
-                 .where((F.col("missing") == 0) & (F.col("rare.df") > 0))
-                 .select("qid", F.col("rare.tid").alias("tid"), F.col("rare.df").alias("df"),
-                         F.filter("all", lambda x: x["tid"] != F.col("rare.tid")).alias("others")))
-        # The per-query side is tiny next to the postings: broadcast it when its
-        # row count (checked) is bounded, so the postings stream past it in
-        # their own splits; otherwise let the planner shuffle both sides.
-        # It is kept once (reliable checkpoint) so the size checks and the
-        # joins do not recompute it.
-        from scriptorium.session import checkpoint_dir
-        checkpoint_dir(per_q.sparkSession)
-        per_q = per_q.checkpoint(eager=True)
-        n_q = per_q.count()
-        side = F.broadcast(per_q) if n_q <= PER_QUERY_BROADCAST_ROWS else per_q
-        first = side.join(idx.postings, "tid").withColumn("s", _bm25(idx))
-        pairs = first.select("qid", "dk", F.size("others").alias("n_others"),
-                             F.explode("others").alias("o")) \
-                     .select("qid", "dk", F.col("o.tid").alias("tid"), F.col("o.df").alias("df"))
-        # only the posting lists of the queries' other terms take part
-        wanted = per_q.select(F.explode("others").alias("o")).select(F.col("o.tid").alias("tid")).distinct()
-        n_w = wanted.count()
-        wanted = F.broadcast(wanted) if n_w <= PER_QUERY_BROADCAST_ROWS else wanted
-        post = idx.postings.join(wanted, "tid", "left_semi")
-        rest = pairs.join(post, ["tid", "dk"]).withColumn("s", _bm25(idx))
-        need = first.select("qid", "dk", (F.size("others") + 1).alias("need"), "s")
-        hit = need.unionByName(rest.select("qid", "dk", F.lit(None).cast("int").alias("need"), "s"))
-        agg = (hit.groupBy("qid", "dk")
-               .agg(F.count(F.lit(1)).alias("matched"), F.max("need").alias("need"), F.sum("s").alias("score"))
-               .where(F.col("matched") == F.col("need")))
+    per_q = (qt.groupBy("qid")
+             .agg(F.min(F.struct("df", "tid")).alias("rare"),
+                  F.collect_list(F.struct("tid", "df")).alias("all"),
+                  F.sum(F.when(F.col("tid").isNull(), 1).otherwise(0)).alias("missing"))
+             .where((F.col("missing") == 0) & (F.col("rare.df") > 0))
+             .select("qid", F.col("rare.tid").alias("tid"), F.col("rare.df").alias("df"),
+                     F.filter("all", lambda x: x["tid"] != F.col("rare.tid")).alias("others")))
+    # The per-query side is tiny next to the postings: broadcast it when its
+    # row count (checked) is bounded, so the postings stream past it in
+    # their own splits; otherwise let the planner shuffle both sides.
+    # It is kept once (reliable checkpoint) so the size checks and the
+    # joins do not recompute it.
+    from scriptorium.session import checkpoint_dir
+    checkpoint_dir(per_q.sparkSession)
+    per_q = per_q.checkpoint(eager=True)
+    row_bytes = F.length(F.col("qid").cast("string")) * 2 + F.size("others") * 48 + 64
+    q_bytes = per_q.agg(F.sum(row_bytes)).first()[0] or 0
+    side = F.broadcast(per_q) if q_bytes <= PER_QUERY_BROADCAST_BYTES else per_q
+    first = side.join(idx.postings, "tid").withColumn("s", _bm25(idx))
+    pairs = first.select("qid", "dk", F.size("others").alias("n_others"),
+                         F.explode("others").alias("o")) \
+                 .select("qid", "dk", F.col("o.tid").alias("tid"), F.col("o.df").alias("df"))
+    # only the posting lists of the queries' other terms take part
+    wanted = per_q.select(F.explode("others").alias("o")).select(F.col("o.tid").alias("tid")).distinct()
+    wanted = F.broadcast(wanted) if q_bytes <= PER_QUERY_BROADCAST_BYTES else wanted   # no larger than the queries
+    post = idx.postings.join(wanted, "tid", "left_semi")
+    rest = pairs.join(post, ["tid", "dk"]).withColumn("s", _bm25(idx))
+    need = first.select("qid", "dk", (F.size("others") + 1).alias("need"), "s")
+    hit = need.unionByName(rest.select("qid", "dk", F.lit(None).cast("int").alias("need"), "s"))
+    agg = (hit.groupBy("qid", "dk")
+           .agg(F.count(F.lit(1)).alias("matched"), F.max("need").alias("need"), F.sum("s").alias("score"))
+           .where(F.col("matched") == F.col("need")))
     return (agg.join(idx.docs, "dk")
             .select("qid", "paperId", F.round("score", SCORE_DECIMALS).alias("score")))
 
@@ -158,30 +170,71 @@ def signatures(queries: DataFrame, qid: str = "qid", query: str = "query") -> Da
                           F.array_join(F.array_sort(F.array_distinct(terms(F.col(query)))), " ").alias("sig"))
 
 
+def _by_signature(idx: SearchIndex, queries: DataFrame, qid: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, sig) of every query, and the matches of every distinct signature (as ``qid``)."""
+    qmap = signatures(queries, qid, query)
+    return qmap, matches(idx, qmap.select(F.col("sig").alias("qid"), F.col("sig").alias("query")).distinct())
+
+
+def _fan_out(qmap: DataFrame, per_sig: DataFrame) -> DataFrame:
+    return qmap.join(per_sig.withColumnRenamed("qid", "sig"), "sig").drop("sig")
+
+
 def search_page(idx: SearchIndex, queries: DataFrame, limit: int, qid: str = "qid", query: str = "query",
                 with_total: bool = True) -> DataFrame:
-    """Top ``limit`` by relevance with ``pos`` and ``total`` for every query.
+    """Top ``limit`` by relevance with ``pos`` (and ``total``) for every query.
+
+    Matching and the page cut run once per distinct term signature; only the
+    cut pages (<= ``limit`` rows each) fan back out to the queries.  The page
+    is a per-query top-L (a partial limit before the shuffle) and the total a
+    partially aggregated count: no task holds a query's whole match list."""
+    qmap, hits = _by_signature(idx, queries, qid, query)
+    if not with_total:
+        return _fan_out(qmap, top_relevance(hits, limit))
+    hits = _kept(hits)
+    return _fan_out(qmap, top_relevance(hits, limit).join(totals(hits), "qid"))
 
-    Matching, totals and the page cut run once per distinct term signature;
-    only the cut pages (<= ``limit`` rows each) fan back out to the queries,
-    so repeated queries cost one search.  Without ``with_total`` the page is
-    a plain per-query top-L, which plans a partial WindowGroupLimit."""
-    qmap = signatures(queries, qid, query)
-    sigs = qmap.select(F.col("sig").alias("qid"), F.col("sig").alias("query")).distinct()
-    hits = matches(idx, sigs)
-    page = (page_with_total(hits, limit) if with_total else top_relevance(hits, limit)).withColumnRenamed("qid", "sig")
-    return qmap.join(page, "sig").drop("sig")
+
+def _kept(df: DataFrame) -> DataFrame:
+    from scriptorium.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def total_matches(idx: SearchIndex, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
+    """(qid, total) of the queries with a match (A1)."""
+    qmap, hits = _by_signature(idx, queries, qid, query)
+    return _fan_out(qmap, totals(hits))
 
 
 def search_ranked(idx: SearchIndex, queries: DataFrame, limit: int, order: str = "relevance",
                   qid: str = "qid", query: str = "query") -> DataFrame:
-    """Per query: the top ``limit`` with metadata, by relevance or by citation
-    count (sort-then-limit, T5), computed per signature and fanned out."""
-    qmap = signatures(queries, qid, query)
-    sigs = qmap.select(F.col("sig").alias("qid"), F.col("sig").alias("query")).distinct()
-    hits = with_meta(matches(idx, sigs), idx)
-    top = sort_then_limit(hits, limit) if order == "citations" else top_relevance(hits, limit)
-    return qmap.join(top.withColumnRenamed("qid", "sig"), "sig").drop("sig")
+    """Per query: the top ``limit`` with metadata, by relevance, by citation
+    count (sort-then-limit, T5) or ``resorted`` (the page by relevance, then
+    ``cpos`` by citations in it, T4); computed per signature and fanned out.
+    Only the citation count is joined before the cut."""
+    qmap, hits = _by_signature(idx, queries, qid, query)
+    if order == "citations":
+        top = sort_then_limit(hits.join(idx.counts, "paperId"), limit).drop("citationCount")
+    elif order == "resorted":
+        top = resort_page(top_relevance(hits, limit).join(idx.counts, "paperId")).drop("citationCount")
+    else:
+        top = top_relevance(hits, limit)
+    return _fan_out(qmap, with_meta(top, idx))
+
+
+def ranks_in_page(idx: SearchIndex, rows: DataFrame, limit: int, key: str, target: str, by_citations) -> DataFrame:
+    """``rows`` (key, target, query) with ``total`` and the 1-based ``rank`` of the target in the
+    query's page, re-sorted by citations where ``by_citations``: one row per row.
+
+    Page, positions and totals are made once per signature and never fanned out: a row looks
+    its target up by (signature, paper)."""
+    sig = F.array_join(F.array_sort(F.array_distinct(terms(F.col("query")))), " ")
+    asked = rows.select(F.col(key), F.col(target).alias("paperId"), by_citations.alias("_bycit"), sig.alias("qid"))
+    hits = _kept(matches(idx, asked.select("qid", F.col("qid").alias("query")).distinct()))
+    page = resort_page(top_relevance(hits, limit).join(idx.counts, "paperId")).select("qid", "paperId", "pos", "cpos")
+    out = asked.join(totals(hits), "qid", "left").join(page, ["qid", "paperId"], "left")
+    return out.select(key, F.coalesce("total", F.lit(0)).alias("total"), F.when(F.col("_bycit"), F.col("cpos")).otherwise(F.col("pos")).alias("rank"))
 
 
 def totals(hits: DataFrame) -> DataFrame:
@@ -189,15 +242,6 @@ def totals(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
 
 
-def page_with_total(hits: DataFrame, limit: int) -> DataFrame:
-    """Top ``limit`` by relevance plus ``total`` (matches before the limit),
-    from one window pass over the matches (A1 + page)."""
-    part = Window.partitionBy("qid")
-    w = part.orderBy(F.col("score").desc(), F.col("paperId"))
-    return (hits.withColumn("total", F.count(F.lit(1)).over(part))
-            .withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit))
-
-
 def top_relevance(hits: DataFrame, limit: int) -> DataFrame:
     """Top ``limit`` per query by (score desc, paperId): ``pos`` 1-based."""
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("paperId"))
@@ -220,17 +264,6 @@ def sort_then_limit(hits_meta: DataFrame, limit: int) -> DataFrame:
     return hits_meta.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
 
 
-def search(idx: SearchIndex, queries: DataFrame, limit: int, *, qid: str = "qid", query: str = "query",
-           by_citations: bool = False) -> DataFrame:
-    """``search_papers``: page of ``limit`` results with metadata, ``total``
-    and the order used (relevance, or the page re-sorted by citations)."""
-    hits = matches(idx, queries, qid, query)
-    page = with_meta(top_relevance(hits, limit), idx)
-    if by_citations:
-        page = resort_page(page).withColumn("pos", F.col("cpos")).drop("cpos")
-    return page.join(totals(hits), "qid")
-
-
 def results_array(page: DataFrame) -> DataFrame:
     """(qid, pos, paper fields) -> one row per query with ``results`` in ``pos``
     order (at most ``limit`` items, so the group is bounded)."""

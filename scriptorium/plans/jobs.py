@@ -27,18 +27,22 @@ from scriptorium.operators.knn import knn_join
 from scriptorium.operators.models import embed, generate
 from scriptorium.operators.sampling import draw_candidates
 from scriptorium.sources import csv_logs
-from scriptorium.sources.materialize import materialize, run_sharded
+from scriptorium.session import checkpoint_dir
+from scriptorium.sources.materialize import cache_key, frame_fingerprint, materialize, run_sharded
 
 ModelFactory = Callable[[], Callable[[list], list]]
 TITLE_SCHEMA = T.StructType([T.StructField("title", T.StringType())])
 
 
 def build_paper_corpus(papers: DataFrame, *, field: str, years=range(2018, 2025), min_citation_count: int = 20,
-                       limit: int | None = 1_000_000, path: str | None = None) -> DataFrame:
+                       limit: int | None = None, path: str | None = None) -> DataFrame:
     """Year-sharded, filtered, exactly capped paper harvest (read-through when ``path`` is given)."""
     def build():
         return co.harvest(papers, field=field, years=years, min_citation_count=min_citation_count, limit=limit)
-    return materialize(papers.sparkSession, path, build) if path else build()
+    if not path:
+        return build()
+    key = cache_key(fp=frame_fingerprint(papers), field=field, years=list(years), least=min_citation_count, limit=limit)
+    return materialize(papers.sparkSession, f"{path.rstrip('/')}/{key}", build)
 
 
 def build_vector_index(papers: DataFrame, vectors: DataFrame, *, model: str, batch_seq: int,
@@ -53,15 +57,19 @@ def build_vector_index(papers: DataFrame, vectors: DataFrame, *, model: str, bat
     return merged
 
 
-def build_arxiv_index(entries: DataFrame, *, topic: str, make_embedder: ModelFactory, max_results: int = 500,
-                      cache_path: str | None = None) -> DataFrame:
-    """C3 (M2): newest entries of a topic -> content -> embedding -> arXiv records."""
+def build_arxiv_index(entries: DataFrame, *, topic: str, make_embedder: ModelFactory, max_results: int | None = None,
+                      cache_path: str | None = None, model_name: str = "") -> DataFrame:
+    """C3 (M2): newest entries of a topic -> content -> embedding -> arXiv records.
+
+    The cache under ``cache_path`` is keyed by the entries' files, the parameters and ``model_name``."""
     meta = co.with_content(co.arxiv_metadata(co.topic_scan(entries, topic, max_results)))
 
     def build():
         return meta.withColumn("embeddings", embed(F.col("content"), make_embedder))
-    table = materialize(entries.sparkSession, cache_path, build) if cache_path else build()
-    return co.arxiv_record(table)
+    if not cache_path:
+        return co.arxiv_record(build())
+    key = cache_key(fp=frame_fingerprint(entries), topic=topic, n=max_results, model=model_name)
+    return co.arxiv_record(materialize(entries.sparkSession, f"{cache_path.rstrip('/')}/{key}", build))
 
 
 def retrieve_for_excerpts(excerpts: DataFrame, index: DataFrame, *, make_chat_model: ModelFactory,
@@ -69,15 +77,18 @@ def retrieve_for_excerpts(excerpts: DataFrame, index: DataFrame, *, make_chat_mo
                           excerpt: str = "excerpt", namespace: str | None = None) -> DataFrame:
     """C4: for every excerpt, model turn 1 writes a query, the query is embedded,
     its k nearest index records are listed, and model turn 2 guesses the paper.
-    ``index`` holds vector records (id, values, metadata JSON with a title)."""
+    ``index`` holds vector records (id, values, and a title or metadata JSON with one).
+    Turn 1 and its embedding are checkpointed: the models run once per excerpt."""
     idx = index.where(F.col("namespace") == namespace) if namespace else index
     first = chat.alternate_roles(F.array(pr.search_prompt(F.col(excerpt))))
     e = excerpts.withColumn("answer1", generate(first, make_chat_model))
     e = e.withColumn("search_query", remove_prefix(F.col("answer1"), pr.QUERY_PREFIX))
-    e = e.withColumn("qvec", embed(F.col("search_query"), make_query_embedder))
+    checkpoint_dir(excerpts.sparkSession)
+    e = e.withColumn("qvec", embed(F.col("search_query"), make_query_embedder)).checkpoint(eager=True)
     hits = knn_join(e.select(key, "qvec"), idx.select("id", "values"), k, query_id=key, query_vec="qvec",
                     corpus_id="id", corpus_vec="values")
-    titled = hits.join(idx.select("id", F.from_json("metadata", TITLE_SCHEMA)["title"].alias("title")), "id") \
+    title = F.col("title") if "title" in idx.columns else F.from_json("metadata", TITLE_SCHEMA)["title"]
+    titled = hits.join(idx.select("id", title.alias("title")), "id") \
         .select(F.col("qid").alias(key), "rank", "title")
     msg = pr.numbered_titles_message(e.select(key), titled, key=key)
     e = e.join(msg, key, "left")
@@ -107,37 +118,36 @@ def attributable_excerpts(excerpt_table: DataFrame, *, make_verdict_model: Model
 
 
 def sample_training_pairs(papers: DataFrame, citations: DataFrame, *, field: str, seed: str,
-                          num_excerpts: int = 160, min_citation_count: int = 20) -> DataFrame:
-    """C7 (service path): shuffled papers, first 5 citations each, excerpts capped."""
+                          num_excerpts: int, cap_per_paper: int = 5, min_citation_count: int = 20) -> DataFrame:
+    """C7 (service path): shuffled papers, their first citations, excerpts capped."""
     p = co.paper_scan(papers, field=field, year="2016-", min_citation_count=min_citation_count)
-    return ex.sample_training_pairs(p, citations, num_excerpts, seed)
+    return ex.sample_training_pairs(p, citations, num_excerpts, seed, cap_per_paper)
 
 
-def training_rows_from_attributable(attributable: DataFrame, cap: int = 10_000) -> DataFrame:
-    """C7 (saved path): short attributable excerpts -> {cited, excerpt}, first ``cap``."""
+def training_rows_from_attributable(attributable: DataFrame, cap: int | None = None) -> DataFrame:
+    """C7 (saved path): short attributable excerpts -> {cited, excerpt}, all or the first ``cap``."""
     return ex.short_pairs(attributable, cap=cap)
 
 
 def score_query_responses(responses: DataFrame, index: se.SearchIndex, *, key: str,
-                          gold_log_path: str | None = None) -> DataFrame:
+                          gold_log_path: str | None = None, batch: str | None = None) -> DataFrame:
     """Parse and validate each response, search its query, reward it; the
     rows that found their target are appended to the gold query log."""
     scored = sc.query_rewards(index, sc.parse_queries(responses), key=key)
     if gold_log_path:
-        csv_logs.append_log(sc.gold_query_rows(scored), gold_log_path)
+        csv_logs.append_log(sc.gold_query_rows(scored), gold_log_path, batch)
     return scored
 
 
 def rank_queries(gold: DataFrame, index: se.SearchIndex, *, key: str = "qid", limit: int = 30) -> DataFrame:
     """C9 core (R5): each gold row with relevance_rank, citation_rank, citations, results."""
-    page = se.with_meta(se.search_page(index, gold.select(F.col(key).alias("qid"), "query"), limit), index)
+    page = se.search_ranked(index, gold.select(F.col(key).alias("qid"), "query"), limit)
     res = se.results_array(page).withColumnRenamed("qid", key)
     return rk.ranked(gold.join(res, key, "left"))
 
 
 def rank_gold_logs(spark, pattern: str, index: se.SearchIndex, *, limit: int = 30) -> DataFrame:
     """Every valid gold CSV log (header-checked, bound by name), ranked."""
-    from scriptorium.session import checkpoint_dir
     checkpoint_dir(spark)
     gold = csv_logs.read_logs(spark, pattern).withColumn("qid", F.monotonically_increasing_id())
     gold = gold.checkpoint(eager=True)          # the key must not change between the two uses
@@ -154,21 +164,30 @@ def selection_prompts(ranked: DataFrame, *, seed: str, key: str = "item_id", k:
     return r.withColumn("prompt", pr.selection_prompt(pr.paper_listing(F.col("candidates")), F.col("excerpt")))
 
 
-def score_selections(responses: DataFrame, *, gold_log_path: str | None = None) -> DataFrame:
-    """C10 scoring (R3 R4 K4): responses and baseline responses -> rewards, gold log."""
-    scored = sc.selection_rewards(responses)
+def score_selections(responses: DataFrame, *, gold_log_path: str | None = None, seq=None, batch: str | None = None) -> DataFrame:
+    """C10 scoring (R3 R4 K4): responses and baseline responses -> rewards, gold log.
+
+    The scored rows are checkpointed, so the models behind the responses run once.  ``seq``
+    names the column that orders the log."""
+    checkpoint_dir(responses.sparkSession)
+    scored = sc.selection_rewards(responses).checkpoint(eager=True)
     if gold_log_path:
-        csv_logs.append_log(sc.gold_selection_rows(scored), gold_log_path)
+        csv_logs.append_log(sc.gold_selection_rows(scored, seq=seq), gold_log_path, batch)
     return scored
 
 
+def gold_selection_log(spark, pattern: str) -> DataFrame:
+    """The gold selection log (K4) as C11 reads it, ``seq`` a number again."""
+    rows = csv_logs.read_logs(spark, pattern, csv_logs.GOLD_SELECTION_COLUMNS)
+    return rows.withColumn("seq", F.col("seq").cast("long"))
+
+
 def supervised_selection_text(ranked: DataFrame, gold_selections: DataFrame, *, seed: str, key: str = "item_id",
                               template: str = chat.PHI_TEMPLATE) -> DataFrame:
     """C11 (F9 F8 J5 W8 Q8 Q10): selection training text, k = 5, the reason of the
     last gold row per paper."""
     g = co.last_wins(gold_selections).select("paperId", F.col("reason").alias("gold_reason"))
-    r = ranked.join(g, "paperId", "left_semi").where(rk.contains_target(F.col("results"), F.col("paperId")))
-    r = r.join(g, "paperId")
+    r = ranked.where(rk.contains_target(F.col("results"), F.col("paperId"))).join(g, "paperId")
     r = r.withColumn("candidates", draw_candidates(F.col("results"), F.col("paperId"), F.lit(5), seed,
                                                    F.col(key).cast("string")))
     user = pr.alpaca(pr.SFT_INSTRUCTIONS, F.concat(F.lit(pr.SFT_SELECT_INPUT_HEAD),
@@ -194,7 +213,7 @@ def title_context_prompts(titles: DataFrame, queries: DataFrame, index: se.Searc
     results become citation strings, blocks are concatenated in rank order and
     put into the context question with the key's query."""
     t = titles.withColumn("qid", F.concat_ws("#", F.col(key).cast("string"), F.col("rank").cast("string")))
-    page = se.search_page(index, t.select("qid", F.col("title").alias("query")), per_title)
+    page = se.search_page(index, t.select("qid", F.col("title").alias("query")), per_title, with_total=False)
     ent = entries.withColumn("plain", latex_to_text(F.col("title")))
     cites = page.join(ent.select("paperId", "plain", "authors", "published", "short_id", "entry_id"), "paperId") \
         .select("qid", "pos", F.col("plain").alias("title"),

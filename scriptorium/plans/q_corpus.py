@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.operators import corpus as co
-from scriptorium.operators.batching import batch_count  # noqa: F401  (A7 restated in SQL below)
+from scriptorium.plans import jobs
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import META_JSON, with_views
 from scriptorium.sources import tables as tb
@@ -27,11 +27,11 @@ def paper_scan_filtered(spark, sf_dir):
 @register("paper_scan_year_shards", with_views(["papers"], """
 SELECT paperId, year, citationCount, title FROM papers
 WHERE fieldOfStudy = 'en' AND year BETWEEN 2018 AND 2024 AND citationCount >= 20
-ORDER BY year, seq LIMIT 1000000"""))
+"""))
 def paper_scan_year_shards(spark, sf_dir):
-    """Years 2018..2024, min 20 citations, exact global cap 1,000,000."""
+    """Years 2018..2024, min 20 citations, uncapped."""
     p = tb.papers(spark, sf_dir)
-    return co.harvest(p, field=FIELD, min_citation_count=20).select("paperId", "year", "citationCount", "title")
+    return jobs.build_paper_corpus(p, field=FIELD, min_citation_count=20).select("paperId", "year", "citationCount", "title")
 
 
 @register("eval_split_year_filter", with_views(["eval_set"], """
@@ -81,13 +81,13 @@ def index_records(spark, sf_dir):
 
 @register("index_records_arxiv", """
 SELECT 'http://arxiv.org/abs/' || CAST(d.doc_id AS VARCHAR) || 'v1#arxiv-metadata#scibert' AS id,
-       substring(split_part(d.text, chr(10), 1), 1, 80) ||
+       split_part(d.text, chr(10), 1) ||
          CASE WHEN instr(d.text, chr(10)) > 0 AND length(substring(d.text, instr(d.text, chr(10)) + 1)) > 0
               THEN ' ' || substring(d.text, instr(d.text, chr(10)) + 1) ELSE '' END AS content,
        CAST(len(e.embedding) AS INTEGER) AS dim,
        CAST(to_json(struct_pack(id := 'http://arxiv.org/abs/' || CAST(d.doc_id AS VARCHAR) || 'v1',
                                 categories := [d.lang],
-                                title := substring(split_part(d.text, chr(10), 1), 1, 80))) AS VARCHAR) AS metadata
+                                title := split_part(d.text, chr(10), 1))) AS VARCHAR) AS metadata
 FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""")
 def index_records_arxiv(spark, sf_dir):
     """arXiv-style records; the key travels with the vector
@@ -102,7 +102,7 @@ def index_records_arxiv(spark, sf_dir):
 
 @register("topic_scan_by_date", """
 SELECT 'http://arxiv.org/abs/' || CAST(doc_id AS VARCHAR) || 'v1' AS id, lang AS category,
-       substring(split_part(text, chr(10), 1), 1, 80) AS title,
+       split_part(text, chr(10), 1) AS title,
        CASE WHEN instr(text, chr(10)) > 0 THEN substring(text, instr(text, chr(10)) + 1) END AS abstract
 FROM documents WHERE lang = 'en'
 ORDER BY make_timestamp(2015 + doc_id % 10, 1, 1 + doc_id % 28, 0, 0, 0) DESC,

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from scriptorium.functions.draws import draw_key
 from scriptorium.operators import excerpts as ex
 from scriptorium.operators.batching import minibatches
-from scriptorium.operators.corpus import paper_scan
 from scriptorium.operators.models import generate
 from scriptorium.operators.prompts import ATTRIBUTION_ANSWER_PREFIX, ATTRIBUTION_INSTRUCTION, attribution_prompt
-from scriptorium.plans import stubs
+from scriptorium.plans import jobs, stubs
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.session import checkpoint_dir
 from scriptorium.sources import tables as tb
-from scriptorium.sources.materialize import cache_key, run_sharded
+from scriptorium.sources.materialize import cache_key, run_sharded, source_fingerprint
 
 FIELD = "en"
 SEED = "42"
@@ -23,8 +22,7 @@ SEED = "42"
 
 def excerpt_table(spark, sf_dir):
     """Papers (field, 2016-, >= 30 citations) JOIN citations."""
-    p = paper_scan(tb.papers(spark, sf_dir), field=FIELD, year="2016-", min_citation_count=30)
-    return ex.citation_excerpts(p, tb.citations(spark, sf_dir))
+    return jobs.build_citation_excerpts(tb.papers(spark, sf_dir), tb.citations(spark, sf_dir), field=FIELD)
 
 
 def excerpt_rows(spark, sf_dir):
@@ -48,7 +46,7 @@ ex AS (SELECT c.seq, c.citedPaperId AS paperId, c.citingPaperId, c.citingTitle,
 exs AS (SELECT ex.*, cp.title FROM ex JOIN cp ON cp.paperId = ex.paperId)"""
 
 _USER_FIXED = len(ATTRIBUTION_INSTRUCTION) + len("Cited paper title: ") + len("\nExcerpts: ") + 1
-_VERDICT_SQL = (f"CASE WHEN ({_USER_FIXED} + length(title) + length(substring(excerpt, 1, 256))) % 3 <> 0 "
+_VERDICT_SQL = (f"CASE WHEN ({_USER_FIXED} + length(title) + length(excerpt)) % 3 <> 0 "
                 "THEN ' YES, attributable' ELSE ' NO, not attributable' END")
 
 
@@ -78,7 +76,7 @@ def excerpt_explode(spark, sf_dir):
 @register("attribution_prompt", _ex_sql(f"""
 SELECT paperId, seq, pos,
        {sql_str(ATTRIBUTION_INSTRUCTION)} || 'Cited paper title: ' || title || chr(10) || 'Excerpts: '
-         || substring(excerpt, 1, 256) || chr(10) AS user_content,
+         || excerpt || chr(10) AS user_content,
        {sql_str(ATTRIBUTION_ANSWER_PREFIX)} AS assistant_content,
        excerpt
 FROM exs"""))
@@ -104,7 +102,8 @@ def sharded_verdict_union(spark, sf_dir):
     checkpoint partition (only missing shards run on a re-run), then read
     back as one table."""
     rows = excerpt_rows(spark, sf_dir).withColumn("prompt", attribution_prompt(F.col("title"), F.col("excerpt")))
-    base = f"{checkpoint_dir(spark)}/verdict_shards/{cache_key(sf_dir=sf_dir, model='verdict-stub-v1', shards=8)}"
+    fp = source_fingerprint(spark, tb.table_path(sf_dir, "documents"))
+    base = f"{checkpoint_dir(spark)}/verdict_shards/{cache_key(fp=fp, model='verdict-stub-v1', shards=8)}"
 
     def job(shard_df):
         return shard_df.withColumn("eval", generate(F.col("prompt"), stubs.make_verdict_model)) \
@@ -113,9 +112,9 @@ def sharded_verdict_union(spark, sf_dir):
     return run_sharded(rows, job, base, shards=8, key=["seq", "pos"])
 
 
-def training_pairs(spark, sf_dir, num_excerpts=160):
-    p = paper_scan(tb.papers(spark, sf_dir), field=FIELD, year="2016-", min_citation_count=20)
-    return ex.sample_training_pairs(p, tb.citations(spark, sf_dir), num_excerpts, SEED)
+def training_pairs(spark, sf_dir, num_excerpts):
+    return jobs.sample_training_pairs(tb.papers(spark, sf_dir), tb.citations(spark, sf_dir), field=FIELD, seed=SEED,
+                                      num_excerpts=num_excerpts)
 
 
 @register("training_pairs_capped", with_views(["papers", "citations"], f"""
@@ -130,25 +129,23 @@ SELECT paperId AS cited_paperId, title AS cited_title, excerpt, seq, pos FROM x
 ORDER BY draw, seq, pos LIMIT 160""").replace(")\n\n, cp AS", "),\ncp AS"))
 def training_pairs_capped(spark, sf_dir):
     """Shuffled papers, first 5 citations each, 160 excerpts."""
-    t = training_pairs(spark, sf_dir)
+    t = training_pairs(spark, sf_dir, num_excerpts=160)
     return t.select(F.col("cited.paperId").alias("cited_paperId"), F.col("cited.title").alias("cited_title"),
                     "excerpt", "seq", "pos")
 
 
 def short_training_rows(spark, sf_dir):
-    a = ex.attributable(verdicts(spark, sf_dir))
-    return ex.short_pairs(a)
+    return jobs.training_rows_from_attributable(ex.attributable(verdicts(spark, sf_dir)))
 
 
 _SHORT_SQL = f"""
 SELECT paperId AS cited_paperId, title AS cited_title, excerpt, seq, pos FROM exs
-WHERE starts_with({_VERDICT_SQL}, ' YES') AND length(excerpt || title) < 350
-ORDER BY seq, pos LIMIT 10000"""
+WHERE starts_with({_VERDICT_SQL}, ' YES') AND length(excerpt || title) < 350"""
 
 
 @register("training_pairs_short", _ex_sql(_SHORT_SQL))
 def training_pairs_short(spark, sf_dir):
-    """Attributable excerpts shorter than 350 with the title; first 10,000."""
+    """Attributable excerpts shorter than 350 with the title, all of them."""
     s = short_training_rows(spark, sf_dir)
     return s.select(F.col("cited.paperId").alias("cited_paperId"), F.col("cited.title").alias("cited_title"),
                     "excerpt", "seq", "pos")
@@ -163,5 +160,5 @@ WHERE rn <= (SELECT (count(*) // 4) * 4 FROM s)""").replace("\n\n, s AS", ",\ns
 def minibatches_drop_last(spark, sf_dir):
     """Seeded shuffle, batches of 4, the short last batch dropped."""
     s = short_training_rows(spark, sf_dir).withColumn("draw", draw_key(SEED, F.col("seq"), F.col("pos")))
-    b = minibatches(s, 4, "draw", ["seq", "pos"])
+    b = minibatches(s, 4, "draw", ["seq", "pos"], drop_last=True)
     return b.select("seq", "pos", "batch_id")

@@ -24,6 +24,7 @@ from scriptorium.operators.sampling import draw_candidates
 from scriptorium.plans import stubs
 from scriptorium.plans.q_excerpts import _EX_CTES, _SHORT_SQL, SEED, short_training_rows
 from scriptorium.plans.q_search import LISTING_BLOCK_SQL, RANKED_CTES, SEARCH_CTES, paper_index, ranked_gold
+from scriptorium.plans import jobs
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.sources import tables as tb
@@ -52,15 +53,14 @@ def training_responses(spark, sf_dir):
         F.col("cited.paperId").alias("paperId"), F.col("cited.title").alias("title"), "excerpt", "seq", "pos")
     key = F.concat_ws("|", F.col("seq").cast("string"), F.col("pos").cast("string"))
     s = s.withColumn("key", key).withColumn("prompt", pr.query_prompt(F.col("excerpt"), pr.action_menu(SEED, key)))
-    s = tb.spread(s)                      # the capped rows arrive in one partition; models run on all cores
+    s = tb.spread(s)                      # models run on all cores
     model_in = F.struct("key", "title", "excerpt", "prompt")
     return s.withColumn("response", generate(model_in, stubs.make_query_responder))
 
 
 def scored_queries(spark, sf_dir):
     idx = paper_index(spark, sf_dir)
-    parsed = sc.parse_queries(training_responses(spark, sf_dir))
-    return sc.query_rewards(idx, parsed, key="key")
+    return jobs.score_query_responses(training_responses(spark, sf_dir), idx, key="key")
 
 
 _STRIP = "regexp_replace({q}, '^\\s+|\\s+$', '', 'g')"
@@ -121,11 +121,11 @@ def gold_queries(spark, sf_dir):
 
 @register("batch_reward_sums", _reward_sql(f"""
 , nb AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|' || key), seq, pos) AS rn FROM rewarded),
-bt AS (SELECT (rn - 1) // 4 AS batch_id, reward FROM nb WHERE rn <= (SELECT (count(*) // 4) * 4 FROM rewarded))
+bt AS (SELECT (rn - 1) // 4 AS batch_id, reward FROM nb)
 SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS n, round(sum(reward), 6) AS total_reward
 FROM bt GROUP BY batch_id""").replace("FROM scored)\n\n, nb AS", "FROM scored),\nnb AS"))
 def batch_reward_sums(spark, sf_dir):
-    """Seeded minibatches of 4 (short batch dropped), reward sum per batch."""
+    """Seeded minibatches of 4 (the short last one too), reward sum per batch."""
     s = scored_queries(spark, sf_dir).withColumn("draw", draw_key(SEED, F.col("key")))
     b = minibatches(s, 4, "draw", ["seq", "pos"])
     return sc.batch_sums(b).select("batch_id", "n", F.col("total_reward").cast("double"))
@@ -151,12 +151,8 @@ def query_prompt_menu(spark, sf_dir):
 # --------------------------------------------------------------------------- selection
 
 def selection_rows(spark, sf_dir, k=None):
-    """F7 F8 then W8: the target and k-1 drawn others, in drawn order."""
-    r = rk.selectable(ranked_gold(spark, sf_dir))
-    key = F.col("item_id").cast("string")
-    kcol = F.lit(k) if k is not None else uniform_int(SEED, key, 2, 5)
-    return (r.withColumn("k", kcol.cast("int"))
-            .withColumn("candidates", draw_candidates(F.col("results"), F.col("paperId"), F.col("k"), SEED, key)))
+    """C10 (F7 F8 W8 Q6 Q7): the target and k-1 drawn others, in drawn order, with the prompt."""
+    return jobs.selection_prompts(ranked_gold(spark, sf_dir), seed=SEED, k=k)
 
 
 _SEL_CTES = """,
@@ -204,19 +200,16 @@ _LISTING = f"(SELECT string_agg({LISTING_BLOCK_SQL}, '' ORDER BY spos) FROM cand
 @register("selection_prompt", _sel_sql(f"SELECT kk.item_id, {_sel_prompt(_LISTING)} AS prompt FROM kk"))
 def selection_prompt(spark, sf_dir):
     """The selection prompt over the drawn candidates."""
-    s = selection_rows(spark, sf_dir)
-    return s.select("item_id", pr.selection_prompt(pr.paper_listing(F.col("candidates")), F.col("excerpt"))
-                    .alias("prompt"))
+    return selection_rows(spark, sf_dir).select("item_id", "prompt")
 
 
 def scored_selections(spark, sf_dir):
     s = selection_rows(spark, sf_dir)
-    s = s.withColumn("prompt", pr.selection_prompt(pr.paper_listing(F.col("candidates")), F.col("excerpt")))
     model_in = F.struct(F.col("item_id").cast("string").alias("key"), F.col("paperId").alias("target"), "prompt")
     pair = F.from_json(generate(model_in, stubs.make_selection_responder), T.ArrayType(T.StringType()))
     s = s.withColumn("_pair", pair).withColumn("response", F.col("_pair")[0]) \
         .withColumn("ref_response", F.col("_pair")[1]).drop("_pair")
-    return sc.selection_rewards(s)
+    return jobs.score_selections(s)
 
 
 _SEL_REWARD = f""",
@@ -239,7 +232,7 @@ def selection_reward(spark, sf_dir):
 def gold_selections(spark, sf_dir):
     """K4 rows, with the item id as the arrival ``seq``."""
     s = scored_selections(spark, sf_dir)
-    return sc.gold_selection_rows(s, extra=[F.col("item_id").alias("seq")])
+    return sc.gold_selection_rows(s, seq="item_id")
 
 
 _GOLD_SEL = """,
@@ -293,18 +286,8 @@ def _sft_sel_sql() -> str:
 @register("supervised_selection", _sft_sel_sql())
 def supervised_selection(spark, sf_dir):
     """Selection training text, k = 5."""
-    g = co.last_wins(gold_selections(spark, sf_dir)).select("paperId", F.col("reason").alias("gold_reason"))
-    r = ranked_gold(spark, sf_dir).join(g, "paperId", "left_semi")            # F9 (J4)
-    r = r.where(rk.contains_target(F.col("results"), F.col("paperId")))       # F8
-    r = r.join(g, "paperId")                                                   # J5
-    key = F.col("item_id").cast("string")
-    r = r.withColumn("candidates", draw_candidates(F.col("results"), F.col("paperId"), F.lit(5), SEED, key))
-    user = pr.alpaca(pr.SFT_INSTRUCTIONS, F.concat(F.lit(pr.SFT_SELECT_INPUT_HEAD),
-                                                   pr.paper_listing(F.col("candidates")),
-                                                   F.lit(pr.SFT_SELECT_INPUT_TAIL)))
-    asst = F.concat(F.lit(pr.OUTPUT_PREFIX), format_select(F.col("paperId"), F.col("gold_reason")))
-    msgs = F.array(chat.message("user", user), chat.message("assistant", asst))
-    return r.select("item_id", chat.render(msgs).alias("text"))
+    text = jobs.supervised_selection_text(ranked_gold(spark, sf_dir), gold_selections(spark, sf_dir), seed=SEED, key="item_id")
+    return text.select("item_id", "text")
 
 
 @register("supervised_query", (lambda: (
@@ -318,9 +301,4 @@ SELECT item_id, {_render_sql(
 FROM ranked"""))())
 def supervised_query(spark, sf_dir):
     """Query training text; the 2-slot template drops ``reason``."""
-    r = ranked_gold(spark, sf_dir)
-    action = rk.choose_action(F.col("relevance_rank"), F.col("citation_rank"))
-    user = pr.alpaca(pr.SFT_INSTRUCTIONS, F.col("excerpt"))
-    asst = F.concat(F.lit(pr.OUTPUT_PREFIX), format_action(F.col("query"), action, F.col("reason")))
-    msgs = F.array(chat.message("user", user), chat.message("assistant", asst))
-    return r.select("item_id", chat.render(msgs).alias("text"))
+    return jobs.supervised_query_text(ranked_gold(spark, sf_dir)).select("item_id", "text")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import ranking as rk
 from scriptorium.operators import search as se
 from scriptorium.operators.prompts import paper_listing
+from scriptorium.plans import jobs
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import with_views
 from scriptorium.sources import tables as tb
@@ -71,11 +72,11 @@ def paper_index(spark, sf_dir):
     """The corpus search index, built once per input and kept as tables
     (reused within the session: the tables are immutable)."""
     src = [tb.table_path(sf_dir, "documents")]
-    key = (id(spark), source_fingerprint(spark, *src))
+    key = (spark.sparkContext.applicationId, source_fingerprint(spark, *src))
     if key not in _INDEXES:
         _INDEXES[key] = se.build_index(tb.papers(spark, sf_dir, spread_rows=True), doc_key="seq",
                                        persist=lambda name, build: derived_table(
-                                           spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=6))
+                                           spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=7))
     return _INDEXES[key]
 
 
@@ -86,12 +87,9 @@ def search_gold(spark, sf_dir):
 
 
 def ranked_gold(spark, sf_dir, limit=30):
-    """Every gold row with relevance_rank, citation_rank, citations, results."""
-    idx, g = search_gold(spark, sf_dir)
-    page = se.with_meta(se.search_page(idx, g, limit, with_total=False), idx)
-    res = se.results_array(page).withColumnRenamed("qid", "item_id")
-    g = gold_queries(spark, sf_dir)
-    return rk.ranked(g.join(res, "item_id", "left"))
+    """Every gold row with relevance_rank, citation_rank, citations, results."""
+    idx = paper_index(spark, sf_dir)
+    return jobs.rank_queries(gold_queries(spark, sf_dir), idx, key="item_id", limit=limit)
 
 
 @register("corpus_search_topk", search_sql(_GOLD_Q, "SELECT qid AS item_id, pos AS rank, paperId, score FROM rel WHERE pos <= 30"))
@@ -108,7 +106,7 @@ def search_total_matches(spark, sf_dir):
     """A1: matches per query counted before the page limit."""
     idx, q = search_gold(spark, sf_dir)
     g = gold_queries(spark, sf_dir).select("item_id")
-    t = se.search_page(idx, q, 1).select(F.col("qid").alias("item_id"), "total")
+    t = se.total_matches(idx, q).select(F.col("qid").alias("item_id"), "total")
     return g.join(t, "item_id", "left").select("item_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
 
 
@@ -119,7 +117,7 @@ FROM rel WHERE pos <= 100"""))
 def search_resort_page(spark, sf_dir):
     """T4: page of 100 by relevance, then re-sorted by citation count inside the page."""
     idx, g = search_gold(spark, sf_dir)
-    page = se.resort_page(se.with_meta(se.search_page(idx, g, 100), idx))
+    page = se.search_ranked(idx, g, 100, order="resorted")
     return page.select(F.col("qid").alias("item_id"), F.col("cpos").cast("long").alias("rank"),
                        "paperId", "citationCount")
 
@@ -170,7 +168,7 @@ def choose_action(spark, sf_dir):
 
 LISTING_BLOCK_SQL = ("'- Paper ID: ' || paperId || chr(10) || chr(9) || 'Title: ' || title || chr(10) || "
                      "CASE WHEN coalesce(length(abstract), 0) > 0 THEN chr(9) || 'Abstract: ' || "
-                     "substring(abstract, 1, 128) || chr(10) ELSE '' END || chr(9) || 'Citation Count: ' || "
+                     "abstract || chr(10) ELSE '' END || chr(9) || 'Citation Count: ' || "
                      "CAST(citationCount AS VARCHAR) || chr(10) || chr(10)")
 
 

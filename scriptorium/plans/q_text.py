@@ -9,17 +9,16 @@ from scriptorium.functions import chat
 from scriptorium.functions.text import citation_string as cite, latex_to_text, py_strip, remove_prefix
 from scriptorium.operators import corpus as co
 from scriptorium.operators import prompts as pr
-from scriptorium.operators import search as se
 from scriptorium.operators.knn import knn_join
 from scriptorium.operators.models import embed, generate
-from scriptorium.plans import stubs
+from scriptorium.plans import jobs, stubs
 from scriptorium.plans.q_search import SEARCH_CTES, paper_index
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.session import checkpoint_dir
 from scriptorium.sources import csv_logs
 from scriptorium.sources import tables as tb
-from scriptorium.sources.materialize import cache_key, is_complete, materialize
+from scriptorium.sources.materialize import cache_key, is_complete, materialize, source_fingerprint
 
 _RENDER_ONE = "'<|' || {role} || '|>' || chr(10) || {content} || '<|end|>' || chr(10)"
 
@@ -53,7 +52,7 @@ def _latex_sql(c: str) -> str:
 
 _ENTRY_SQL = """
 SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS paperId,
-       substring(split_part(text, chr(10), 1), 1, 80) AS title,
+       split_part(text, chr(10), 1) AS title,
        source || ', ' || upper(lang) AS author_names,
        2015 + doc_id % 10 AS year,
        CAST(doc_id AS VARCHAR) || 'v1' AS short_id,
@@ -112,25 +111,10 @@ def title_context(spark, sf_dir):
     hits = knn_join(q, index, 3, query_id="item_id", query_vec="embedding", corpus_id="vec_id",
                     corpus_vec="embedding")
     titled = (hits.join(index.select(F.col("vec_id").alias("id"), "title"), "id")
-              .select(F.col("qid").alias("item_id"), "rank", "title",
-                      (F.col("qid") * 10 + F.col("rank")).alias("qid")))
-    idx = paper_index(spark, sf_dir)
-    page = se.search_page(idx, titled.select("qid", F.col("title").alias("query")), 10, with_total=False)
-    ent = tb.arxiv_entries(spark, sf_dir).withColumn("plain", latex_to_text(F.col("title")))
-    cites = (page.join(ent.select("paperId", "plain", "authors", "published", "short_id", "entry_id"), "paperId")
-             .select("qid", "pos", F.col("plain").alias("title"),
-                     cite(F.col("plain"), F.col("authors"), F.col("published"), F.col("short_id"),
-                          F.col("entry_id")).alias("citation")))
-    per_title = (cites.groupBy("qid")
-                 .agg(F.sort_array(F.collect_list(F.struct("pos", "title", "citation"))).alias("c")))
-    blocks = (titled.join(per_title, "qid", "left")
-              .select("item_id", "rank",
-                      pr.context_block(F.col("title"), F.coalesce(F.col("c"), F.array())).alias("block")))
-    ctx = pr.ordered_titles(blocks, "item_id", order="rank", value="block") \
-        .select("item_id", F.array_join("titles", "").alias("context"))
-    out = bench.join(ctx, "item_id", "left")
-    return out.select("item_id", pr.context_question(tb.first_words(F.col("text")),
-                                                     F.coalesce(F.col("context"), F.lit(""))).alias("prompt"))
+              .select(F.col("qid").alias("item_id"), "rank", "title"))
+    asked = bench.select("item_id", tb.first_words(F.col("text")).alias("query"))
+    return jobs.title_context_prompts(titled, asked, paper_index(spark, sf_dir), tb.arxiv_entries(spark, sf_dir)) \
+        .select("item_id", "prompt")
 
 
 @register("excerpt_query_prompt", f"""
@@ -147,20 +131,8 @@ def excerpt_query_prompt(spark, sf_dir):
 def agent_turns(spark, sf_dir, k=3, writer=stubs.make_query_writer, embedder=stubs.make_letter_embedder):
     """C4 for every evaluation row: prompt -> model turn 1 -> ``Query: `` removed
     -> query embedding -> k-NN over the index -> numbered titles -> turn 2."""
-    e = tb.eval_set(spark, sf_dir)
-    first = chat.alternate_roles(F.array(pr.search_prompt(F.col("excerpt"))))
-    e = e.withColumn("answer1", generate(first, writer))
-    e = e.withColumn("search_query", remove_prefix(F.col("answer1"), pr.QUERY_PREFIX))
-    e = e.withColumn("qvec", embed(F.col("search_query"), embedder))
-    index = tb.vector_index(spark, sf_dir)
-    hits = knn_join(e.select("item_id", "qvec"), index, k, query_id="item_id", query_vec="qvec",
-                    corpus_id="vec_id", corpus_vec="embedding")
-    titled = (hits.join(index.select(F.col("vec_id").alias("id"), "title"), "id")
-              .select(F.col("qid").alias("item_id"), "rank", "title"))
-    msg = pr.numbered_titles_message(e.select("item_id"), titled, key="item_id")
-    e = e.join(msg, "item_id", "left")
-    second = chat.alternate_roles(F.array(pr.search_prompt(F.col("excerpt")), F.col("answer1"), F.col("message")))
-    return e.withColumn("answer", generate(second, writer))
+    index = tb.vector_index(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"), "title")
+    return jobs.retrieve_for_excerpts(tb.eval_set(spark, sf_dir), index, make_chat_model=writer, make_query_embedder=embedder, k=k)
 
 
 _AGENT_SQL = with_views(["papers"], "").rstrip("\n") + f""",
@@ -209,19 +181,19 @@ _VSUM_SQL = ("list_sum(list_transform(range(64), lambda j: length({c}) - "
 @register("embed_table_stub", f"""
 SELECT id, CAST(64 AS INTEGER) AS dim, CAST({_VSUM_SQL.format(c='content')} AS DOUBLE) AS vsum FROM (
   SELECT 'http://arxiv.org/abs/' || CAST(doc_id AS VARCHAR) || 'v1' AS id,
-         substring(split_part(text, chr(10), 1), 1, 80) ||
+         split_part(text, chr(10), 1) ||
            CASE WHEN instr(text, chr(10)) > 0 AND length(substring(text, instr(text, chr(10)) + 1)) > 0
                 THEN ' ' || substring(text, instr(text, chr(10)) + 1) ELSE '' END AS content
   FROM documents WHERE lang = 'en'
   ORDER BY make_timestamp(2015 + doc_id % 10, 1, 1 + doc_id % 28, 0, 0, 0) DESC,
-           'http://arxiv.org/abs/' || CAST(doc_id AS VARCHAR) || 'v1'
-  LIMIT 500) t""")
+           'http://arxiv.org/abs/' || CAST(doc_id AS VARCHAR) || 'v1') t""")
 def embed_table_stub(spark, sf_dir):
-    """M2 (S5 -> P4 -> M1 -> K5): newest 500 entries of a topic embedded and
+    """M2 (S5 -> P4 -> M1 -> K5): the entries of a topic embedded and
     saved with their metadata as one table (read-through cache)."""
-    ent = co.topic_scan(tb.arxiv_entries(spark, sf_dir), "en", 500)
+    ent = co.topic_scan(tb.arxiv_entries(spark, sf_dir), "en", None)
     meta = co.with_content(co.arxiv_metadata(ent))
-    path = f"{checkpoint_dir(spark)}/arxiv_embeddings/{cache_key(sf_dir=sf_dir, topic='en', n=500, model='letters')}"
+    fp = source_fingerprint(spark, tb.table_path(sf_dir, "documents"))
+    path = f"{checkpoint_dir(spark)}/arxiv_embeddings/{cache_key(fp=fp, topic='en', model='letters')}"
     table = materialize(spark, path, lambda: meta.withColumn(
         "embedding", embed(F.col("content"), stubs.make_letter_embedder)))
     return table.select("id", F.size("embedding").alias("dim"),
@@ -253,12 +225,13 @@ def gold_csv_union(spark, sf_dir):
     orders, a log missing ``reason`` (skipped) and an empty file (skipped),
     then read back grouped by header and unioned by name."""
     g = tb.gold(spark, sf_dir).select(*csv_logs.GOLD_QUERY_COLUMNS)
-    base = f"{checkpoint_dir(spark)}/gold_logs/{cache_key(sf_dir=sf_dir, v=2)}"
+    fp = source_fingerprint(spark, tb.table_path(sf_dir, "documents"), tb.table_path(sf_dir, "benchmark"))
+    base = f"{checkpoint_dir(spark)}/gold_logs/{cache_key(fp=fp, v=3)}"
     if not is_complete(spark, f"{base}/_SUCCESS_ALL"):
-        csv_logs.append_log(g, f"{base}/gold_queries_a")
+        csv_logs.append_log(g, f"{base}/gold_queries_a", "first")
         csv_logs.append_log(g.select("reason", "excerpt", "query", "title", "paperId", F.lit("x").alias("extra")),
-                            f"{base}/gold_queries_b")
-        csv_logs.append_log(g.drop("reason"), f"{base}/gold_queries_c")
+                            f"{base}/gold_queries_b", "first")
+        csv_logs.append_log(g.drop("reason"), f"{base}/gold_queries_c", "first")
         csv_logs.write_empty(spark, f"{base}/gold_queries_d.csv")
         csv_logs.write_empty(spark, f"{base}/_SUCCESS_ALL/_SUCCESS")
     return csv_logs.read_logs(spark, f"{base}/gold_queries*")

@@ -9,18 +9,18 @@ from __future__ import annotations
 VIEWS: dict[str, str] = {
     "papers": """
         SELECT CAST(doc_id AS VARCHAR) AS paperId, doc_id AS seq,
-               substring(split_part(text, chr(10), 1), 1, 80) AS title,
+               split_part(text, chr(10), 1) AS title,
                CASE WHEN instr(text, chr(10)) > 0 THEN substring(text, instr(text, chr(10)) + 1) END AS abstract,
                CAST(2015 + doc_id % 10 AS INTEGER) AS year,
                CAST((doc_id * 7919) % 200 AS INTEGER) AS citationCount,
                lang AS fieldOfStudy
         FROM documents""",
     "citations": """
-        SELECT doc_id AS seq, CAST(doc_id % 40 AS VARCHAR) AS citedPaperId,
+        SELECT doc_id AS seq, CAST(doc_id // 8 AS VARCHAR) AS citedPaperId,
                CAST(doc_id AS VARCHAR) AS citingPaperId,
-               substring(split_part(text, chr(10), 1), 1, 80) AS citingTitle,
+               split_part(text, chr(10), 1) AS citingTitle,
                list_filter(string_split(text, chr(10)), lambda x: length(x) > 0) AS contexts
-        FROM documents WHERE doc_id >= 40""",
+        FROM documents""",
     "eval_set": """
         SELECT item_id, text AS excerpt,
                CASE WHEN item_id % 2 = 1 THEN 'train' ELSE 'test' END AS split,

@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GOLD_QUERY_COLUMNS = ["paperId", "title", "query", "excerpt", "reason"]
-GOLD_SELECTION_COLUMNS = ["paperId", "title", "excerpt", "reason", "action", "ref_action", "ref_status"]
+GOLD_SELECTION_COLUMNS = ["paperId", "title", "excerpt", "reason", "action", "ref_action", "ref_status", "seq"]
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Append rows to a CSV log folder (header in every part file)."""
-    (df.write.mode("append").option("header", True).option("escape", '"')
+def append_log(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append rows to a CSV log folder (header in every part file).
+
+    With ``batch`` the rows go to a folder of that name inside the log, replaced as a whole: a
+    batch that is written again after a failure is there once."""
+    if batch is not None:
+        path = f"{path}/{batch}"
+    (df.write.mode("append" if batch is None else "overwrite").option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 

@@ -78,6 +78,11 @@ def source_fingerprint(spark: SparkSession, *paths: str) -> str:
     return hashlib.md5("\n".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
+def frame_fingerprint(*frames: DataFrame) -> str:
+    """Fingerprint of the files that the frames read."""
+    return source_fingerprint(frames[0].sparkSession, *sorted({f for d in frames for f in d.inputFiles()}))
+
+
 def derived_table(spark: SparkSession, name: str, sources: list[str], builder: Callable[[], DataFrame],
                   **params) -> DataFrame:
     """A table derived from ``sources``, written once into the cluster's
@@ -87,7 +92,7 @@ def derived_table(spark: SparkSession, name: str, sources: list[str], builder: C
     return materialize(spark, f"{checkpoint_dir(spark)}/derived/{name}/{key}", builder)
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+_READS: dict[tuple[str, str], DataFrame] = {}
 
 
 def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
@@ -96,7 +101,7 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
     A complete directory never changes (its key covers the inputs and all
     parameters), so the session reuses the DataFrame it read - no repeated
     listing or schema inference."""
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, path)
     if key in _READS:
         return _READS[key]
     if not is_complete(spark, path):
@@ -112,7 +117,8 @@ def run_sharded(rows: DataFrame, job: Callable[[DataFrame], DataFrame], base: st
     The input is written once, ``partitionBy('shard')`` with shard =
     ``pmod(xxhash64(key), shards)``; each shard job then reads only its own
     partition (partition pruning) and writes ``out/shard=i``.  Shards whose
-    output is complete are skipped on a re-run, so a lost run resumes.  The
+    output is complete are skipped on a re-run, so a lost run resumes.  ``base``
+    must name the input (by fingerprint), the model and all parameters.  The
     result is the union of all shard outputs (read of the parent folder)."""
     spark = rows.sparkSession
     base = base.rstrip("/")

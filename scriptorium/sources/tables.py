@@ -27,14 +27,12 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for per-row text work when the scan is coarser than the
-    cluster (e.g. one large row group).  On a many-file table the scan
-    already has more splits than cores and this is a no-op; filters and
+    """Deal rows evenly for per-row text work or model calls, over the configured
+    shuffle partitions.  Lazy: no plan is run to count partitions; filters and
     column pruning still reach the scan below the repartition."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    conf = df.sparkSession.conf
+    want = max(df.sparkSession.sparkContext.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(want)
 
 
 def documents(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
@@ -43,8 +41,8 @@ def documents(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> Da
 
 
 def first_line_title(text: Column) -> Column:
-    """Title = first line of the text, at most 80 code points."""
-    return F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, 80)
+    """Title = the whole first line of the text."""
+    return F.split_part(text, F.lit("\n"), F.lit(1))
 
 
 def after_first_line(text: Column) -> Column:
@@ -70,15 +68,15 @@ def papers(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataF
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation edges: documents from id 40 on cite paper ``doc_id % 40``.
+    """Citation edges: every document cites paper ``doc_id div 8``, so citations grow with the papers.
 
     ``contexts`` are the citing text's non-empty lines; ``seq`` is the order
     of arrival used wherever the reference relies on iteration order.
     """
-    d = documents(spark, sf_dir).where(F.col("doc_id") >= 40)
+    d = documents(spark, sf_dir)
     return d.select(
         d.doc_id.alias("seq"),
-        (d.doc_id % 40).cast("string").alias("citedPaperId"),
+        F.expr("doc_id div 8").cast("string").alias("citedPaperId"),
         F.struct(d.doc_id.cast("string").alias("paperId"),
                  first_line_title(d.text).alias("title")).alias("citingPaper"),
         F.filter(F.split(d.text, "\n"), lambda x: F.length(x) > 0).alias("contexts"),
@@ -104,6 +102,15 @@ def first_words(text: Column, n: int = 3) -> Column:
     return F.array_join(F.slice(F.split(text, " "), 1, n), " ")
 
 
+#: Characters of the anchor of a passage of one or two words.
+GRAM = 6
+
+
+def _no_inner_word(text: Column) -> Column:
+    words = F.split(text, r"\s+")
+    return ~F.exists(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+
+
 def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id",
                     ptext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame:
     """Documents that contain each passage verbatim -> (pid, did).
@@ -112,7 +119,10 @@ def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id
     inner words (all but the first and last whitespace-separated token, which
     may be cut mid-word) are whole tokens of any document containing it.  The
     rarest inner word is the anchor: candidates are the documents holding it,
-    then ``instr`` verifies.  Passages need at least three words.
+    then ``instr`` verifies.  A passage without inner words (one or two words)
+    is anchored by its first ``GRAM`` characters instead, matched against the
+    distinct character grams of the documents; that branch runs only where
+    there are such passages.  An empty passage is in no document.
     """
     toks = passages.select(F.col(pid).alias("_pid"), F.split(F.col(ptext), r"\s+").alias("_t"))
     inner = toks.select(
@@ -132,6 +142,13 @@ def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id
     cand = index.join(anchor, "tok").select("_pid", "_did")
     ptexts = passages.select(F.col(pid).alias("_pid"), F.col(ptext).alias("_ptext"))
     dtexts = docs.select(F.col(did).alias("_did"), F.col(dtext).alias("_dtext"))
+    short = ptexts.where(_no_inner_word(F.col("_ptext")) & (F.length("_ptext") > 0))
+    sizes = [r[0] for r in short.select(F.least(F.length("_ptext"), F.lit(GRAM))).distinct().collect()]   # at most GRAM
+    for size in sizes:
+        head = short.where(F.least(F.length("_ptext"), F.lit(GRAM)) == size).select("_pid", F.substring("_ptext", 1, size).alias("gram"))
+        grams = F.transform(F.sequence(F.lit(1), F.length(dtext) - (size - 1)), lambda i, n=size: F.substring(F.col(dtext), i, F.lit(n)))
+        held = docs.where(F.length(dtext) >= size).select(F.col(did).alias("_did"), F.explode(F.array_distinct(grams)).alias("gram"))
+        cand = cand.union(held.join(head, "gram").select("_pid", "_did"))
     hits = (cand.join(ptexts, "_pid").join(dtexts, "_did")
             .where(F.instr("_dtext", F.col("_ptext")) > 0))
     return hits.select(F.col("_pid").alias(pid), F.col("_did").alias(did))

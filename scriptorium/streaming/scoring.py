@@ -10,6 +10,7 @@ checkpoint location so a restarted query resumes exactly once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.scoring import gold_selection_rows, selection_rewards
@@ -17,7 +18,8 @@ from scriptorium.operators.scoring import gold_selection_rows, selection_rewards
 
 def gold_selection_stream(responses: DataFrame) -> DataFrame:
     """Streaming R3 R4 K4: scored responses -> right answers only."""
-    return gold_selection_rows(selection_rewards(responses))
+    # the log is ordered by the trigger that wrote a row
+    return gold_selection_rows(selection_rewards(responses), seq=F.unix_micros(F.current_timestamp()))
 
 
 def start_gold_log(responses: DataFrame, sink_path: str, checkpoint_path: str,
