@@ -152,9 +152,3 @@ def last_wins(rows: DataFrame, key: str = "paperId", seq: str = "seq") -> DataFr
     ``max_by`` is a partial aggregate, so a hot key is pre-reduced map-side."""
     cols = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_g")).select(key, "_g.*")
-
-
-def write_index(records: DataFrame, path: str) -> None:
-    """Overwrite only the namespaces present in ``records`` (dynamic partitions)."""
-    (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("namespace").parquet(path))

@@ -26,7 +26,7 @@ from scriptorium.operators import search as se
 from scriptorium.operators.knn import knn_join
 from scriptorium.operators.models import embed, generate
 from scriptorium.operators.sampling import draw_candidates
-from scriptorium.sources import csv_logs
+from scriptorium.sources import csv_logs, vector_store
 from scriptorium.session import checkpoint_dir
 from scriptorium.sources.materialize import cache_key, frame_fingerprint, materialize, run_sharded
 
@@ -48,13 +48,16 @@ def build_paper_corpus(papers: DataFrame, *, field: str, years=range(2018, 2025)
 def build_vector_index(papers: DataFrame, vectors: DataFrame, *, model: str, batch_seq: int,
                        existing: DataFrame | None = None, dim: int | None = None,
                        index_path: str | None = None) -> DataFrame:
-    """Papers ⟕ vectors -> records (missing vectors dropped) -> keyed upsert -> write."""
+    """Papers ⟕ vectors -> records (missing vectors dropped) -> keyed upsert.
+
+    With ``index_path`` the records go into the versioned table there and its new state is returned."""
     recs = co.semantic_record(co.attach_vectors(papers, vectors), model).withColumn(
         "batch_seq", F.lit(batch_seq).cast("long"))
-    merged = co.upsert(existing, recs, dim=dim) if existing is not None else recs
     if index_path:
-        co.write_index(merged, index_path)
-    return merged
+        incoming = recs if existing is None else co.upsert(existing, recs, dim=dim)
+        vector_store.upsert_records(papers.sparkSession, index_path, incoming, dim=dim)
+        return vector_store.read_records(papers.sparkSession, index_path)
+    return co.upsert(existing, recs, dim=dim) if existing is not None else recs
 
 
 def build_arxiv_index(entries: DataFrame, *, topic: str, make_embedder: ModelFactory, max_results: int | None = None,

@@ -30,7 +30,7 @@ WHERE fieldOfStudy = 'en' AND year BETWEEN 2018 AND 2024 AND citationCount >= 20
 """))
 def paper_scan_year_shards(spark, sf_dir):
     """Years 2018..2024, min 20 citations, uncapped."""
-    p = tb.papers(spark, sf_dir)
+    p = tb.papers_by_year(spark, sf_dir)
     return jobs.build_paper_corpus(p, field=FIELD, min_citation_count=20).select("paperId", "year", "citationCount", "title")
 
 

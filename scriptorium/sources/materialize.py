@@ -84,18 +84,19 @@ def frame_fingerprint(*frames: DataFrame) -> str:
 
 
 def derived_table(spark: SparkSession, name: str, sources: list[str], builder: Callable[[], DataFrame],
-                  **params) -> DataFrame:
+                  partition_by: list[str] | None = None, **params) -> DataFrame:
     """A table derived from ``sources``, written once into the cluster's
     checkpoint folder and read back by every later job (lineage cut)."""
     from scriptorium.session import checkpoint_dir
     key = cache_key(fp=source_fingerprint(spark, *sources), **params)
-    return materialize(spark, f"{checkpoint_dir(spark)}/derived/{name}/{key}", builder)
+    return materialize(spark, f"{checkpoint_dir(spark)}/derived/{name}/{key}", builder, partition_by)
 
 
 _READS: dict[tuple[str, str], DataFrame] = {}
 
 
-def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
+def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame],
+                partition_by: list[str] | None = None) -> DataFrame:
     """Read-through cache (K7): read ``path`` if complete, else build, write, read.
 
     A complete directory never changes (its key covers the inputs and all
@@ -105,7 +106,7 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
     if key in _READS:
         return _READS[key]
     if not is_complete(spark, path):
-        save(builder(), path)
+        save(builder(), path, partition_by=partition_by)
     df = _READS[key] = spark.read.parquet(path)
     return df
 

@@ -67,6 +67,13 @@ def papers(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataF
     )
 
 
+def papers_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``papers`` as a table partitioned by year, written once per input: a year range reads only its folders."""
+    from scriptorium.sources.materialize import derived_table
+    return derived_table(spark, "papers_by_year", [table_path(sf_dir, "documents")],
+                         lambda: papers(spark, sf_dir), partition_by=["year"])
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation edges: every document cites paper ``doc_id div 8``, so citations grow with the papers.
 
@@ -111,6 +118,10 @@ def _no_inner_word(text: Column) -> Column:
     return ~F.exists(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
 
 
+def _gram(text: str, size: int):
+    return lambda i: F.substring(F.col(text), i, F.lit(size))
+
+
 def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id",
                     ptext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame:
     """Documents that contain each passage verbatim -> (pid, did).
@@ -146,7 +157,7 @@ def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id
     sizes = [r[0] for r in short.select(F.least(F.length("_ptext"), F.lit(GRAM))).distinct().collect()]   # at most GRAM
     for size in sizes:
         head = short.where(F.least(F.length("_ptext"), F.lit(GRAM)) == size).select("_pid", F.substring("_ptext", 1, size).alias("gram"))
-        grams = F.transform(F.sequence(F.lit(1), F.length(dtext) - (size - 1)), lambda i, n=size: F.substring(F.col(dtext), i, F.lit(n)))
+        grams = F.transform(F.sequence(F.lit(1), F.length(dtext) - (size - 1)), _gram(dtext, size))
         held = docs.where(F.length(dtext) >= size).select(F.col(did).alias("_did"), F.explode(F.array_distinct(grams)).alias("gram"))
         cand = cand.union(held.join(head, "gram").select("_pid", "_did"))
     hits = (cand.join(ptexts, "_pid").join(dtexts, "_did")

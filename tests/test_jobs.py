@@ -9,6 +9,7 @@ from scriptorium.operators import scoring as sc
 from scriptorium.plans import jobs, stubs
 from scriptorium.plans.q_search import paper_index
 from scriptorium.sources import tables as tb
+from scriptorium.sources.vector_store import read_records
 from scriptorium.streaming.scoring import start_gold_log
 
 from .conftest import SF_SMALL
@@ -19,9 +20,9 @@ def test_vector_index_build_write_and_reupsert(spark, scratch):
     path = os.path.join(scratch, "index")
     first = jobs.build_vector_index(p, v, model="m", batch_seq=1, dim=64, index_path=path)
     n = first.count()
-    again = jobs.build_vector_index(p, v, model="m", batch_seq=2, existing=spark.read.parquet(path), dim=64)
+    again = jobs.build_vector_index(p, v, model="m", batch_seq=2, existing=first, dim=64)
     assert again.count() == n and {r[0] for r in again.select("batch_seq").distinct().collect()} == {2}
-    assert spark.read.parquet(path).where(F.col("namespace") == "semanticscholar-metadata").count() == n
+    assert read_records(spark, path).where(F.col("namespace") == "semanticscholar-metadata").count() == n
 
 
 def test_retrieve_for_excerpts_with_stub_models(spark):
