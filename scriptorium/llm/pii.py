@@ -49,7 +49,7 @@ def mod97(s: Column) -> Column:
     def fold(rest, c):
         x = F.ascii(c)
         return F.when(x < 58, (rest * 10 + x - 48) % 97).otherwise((rest * 100 + x - 55) % 97)
-    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), fold) == 1
+    return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), fold) == 1
 
 
 def confirmed(kind: str, match: Column) -> Column:

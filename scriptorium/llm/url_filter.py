@@ -40,7 +40,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 def entropy(s: Column) -> Column:
     """Shannon entropy in bits of the characters."""
-    chars = F.array_sort(F.split(s, "(?!^)"))
+    chars = F.array_sort(F.filter(F.split(s, ""), lambda c: c != ""))
     n = F.length(s)
     runs = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
     return F.when(n > 0, F.aggregate(runs, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.lit(0.0))
