@@ -69,13 +69,21 @@ SFT_SELECT_INPUT_HEAD = "From the following academic papers list, you must selec
 SFT_SELECT_INPUT_TAIL = ("\n\n The reason should be single line consice short explanation of why that "
                          "paper is the best match, respond with nothing but a JSON format.")
 OUTPUT_PREFIX = "### Output:\n"
+ATTRIBUTION_TITLE = "Cited paper title: "
+ATTRIBUTION_EXCERPTS = "\nExcerpts: "
+LISTING_ID = "- Paper ID: "
+LISTING_TITLE = "\n\tTitle: "
+LISTING_ABSTRACT = "\tAbstract: "
+LISTING_COUNT = "\tCitation Count: "
+CONTEXT_TITLE = "Title: "
+CONTEXT_CITATION = "citations: "
 # ---------------------------------------------------------------------------
 
 
 def attribution_prompt(title: Column, excerpt: Column, max_excerpt: int | None = None) -> Column:
     """User message with title and excerpt (its first ``max_excerpt`` characters if given); assistant prefix (Q1)."""
-    user = F.concat(F.lit(ATTRIBUTION_INSTRUCTION), F.lit("Cited paper title: "), title,
-                    F.lit("\nExcerpts: "), prefix(excerpt, max_excerpt), F.lit("\n"))
+    user = F.concat(F.lit(ATTRIBUTION_INSTRUCTION), F.lit(ATTRIBUTION_TITLE), title,
+                    F.lit(ATTRIBUTION_EXCERPTS), prefix(excerpt, max_excerpt), F.lit("\n"))
     return F.array(chat.message("user", user), chat.message("assistant", F.lit(ATTRIBUTION_ANSWER_PREFIX)))
 
 
@@ -115,9 +123,9 @@ def paper_listing(papers: Column, max_abstract: int | None = None) -> Column:
     """``- Paper ID / Title / [Abstract] / Citation Count`` blocks (Q6, A6); abstracts cut to ``max_abstract`` if given."""
     def block(p):
         abstract = F.when(F.coalesce(F.length(p["abstract"]), F.lit(0)) > 0,
-                          F.concat(F.lit("\tAbstract: "), prefix(p["abstract"], max_abstract), F.lit("\n"))).otherwise("")
-        return F.concat(F.lit("- Paper ID: "), p["paperId"], F.lit("\n\tTitle: "), p["title"], F.lit("\n"),
-                        abstract, F.lit("\tCitation Count: "), p["citationCount"].cast("string"), F.lit("\n\n"))
+                          F.concat(F.lit(LISTING_ABSTRACT), prefix(p["abstract"], max_abstract), F.lit("\n"))).otherwise("")
+        return F.concat(F.lit(LISTING_ID), p["paperId"], F.lit(LISTING_TITLE), p["title"], F.lit("\n"),
+                        abstract, F.lit(LISTING_COUNT), p["citationCount"].cast("string"), F.lit("\n\n"))
     return F.array_join(F.transform(papers, block), "")
 
 
@@ -150,9 +158,9 @@ def alpaca(instruction: Column | str, inp: Column) -> Column:
 
 def context_block(title: Column, cites: Column) -> Column:
     """``Title: t\\n`` then ``citations: t, c\\n\\n`` per citation (Q4)."""
-    return F.concat(F.lit("Title: "), title, F.lit("\n"),
+    return F.concat(F.lit(CONTEXT_TITLE), title, F.lit("\n"),
                     F.array_join(F.transform(cites, lambda c: F.concat(
-                        F.lit("citations: "), c["title"], F.lit(", "), c["citation"], F.lit("\n\n"))), ""))
+                        F.lit(CONTEXT_CITATION), c["title"], F.lit(", "), c["citation"], F.lit("\n\n"))), ""))
 
 
 def context_question(query: Column, context: Column) -> Column:

@@ -8,7 +8,9 @@ from scriptorium.functions.draws import draw_key
 from scriptorium.operators import excerpts as ex
 from scriptorium.operators.batching import minibatches
 from scriptorium.operators.models import generate
-from scriptorium.operators.prompts import ATTRIBUTION_ANSWER_PREFIX, ATTRIBUTION_INSTRUCTION, attribution_prompt
+from scriptorium.operators.prompts import (
+    ATTRIBUTION_ANSWER_PREFIX, ATTRIBUTION_EXCERPTS, ATTRIBUTION_INSTRUCTION, ATTRIBUTION_TITLE, attribution_prompt,
+)
 from scriptorium.plans import jobs, stubs
 from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import sql_str, with_views
@@ -45,7 +47,7 @@ ex AS (SELECT c.seq, c.citedPaperId AS paperId, c.citingPaperId, c.citingTitle,
        FROM citations c WHERE c.citedPaperId IN (SELECT paperId FROM cp)),
 exs AS (SELECT ex.*, cp.title FROM ex JOIN cp ON cp.paperId = ex.paperId)"""
 
-_USER_FIXED = len(ATTRIBUTION_INSTRUCTION) + len("Cited paper title: ") + len("\nExcerpts: ") + 1
+_USER_FIXED = len(ATTRIBUTION_INSTRUCTION) + len(ATTRIBUTION_TITLE) + len(ATTRIBUTION_EXCERPTS) + 1
 _VERDICT_SQL = (f"CASE WHEN ({_USER_FIXED} + length(title) + length(excerpt)) % 3 <> 0 "
                 "THEN ' YES, attributable' ELSE ' NO, not attributable' END")
 
@@ -75,7 +77,7 @@ def excerpt_explode(spark, sf_dir):
 
 @register("attribution_prompt", _ex_sql(f"""
 SELECT paperId, seq, pos,
-       {sql_str(ATTRIBUTION_INSTRUCTION)} || 'Cited paper title: ' || title || chr(10) || 'Excerpts: '
+       {sql_str(ATTRIBUTION_INSTRUCTION)} || {sql_str(ATTRIBUTION_TITLE)} || title || {sql_str(ATTRIBUTION_EXCERPTS)}
          || excerpt || chr(10) AS user_content,
        {sql_str(ATTRIBUTION_ANSWER_PREFIX)} AS assistant_content,
        excerpt

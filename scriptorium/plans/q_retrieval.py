@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.operators.knn import knn_join
-from scriptorium.operators.prompts import numbered_titles_message
+from scriptorium.operators.prompts import GUESS_SUFFIX, NO_PAPERS, numbered_titles_message
 from scriptorium.plans.registry import register
-from scriptorium.plans.sql_views import with_views
+from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.sources import tables as tb
 
 _KNN_SQL = """
@@ -56,7 +56,7 @@ def retrieve_titles(spark, sf_dir, k=3):
     return numbered_titles_message(bench, titled, key="item_id")
 
 
-_RETRIEVE_SQL = with_views(["papers"], """
+_RETRIEVE_SQL = with_views(["papers"], f"""
 , q AS (SELECT b.item_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 idx AS (SELECT e.vec_id, p.title, e.embedding FROM embeddings e JOIN papers p ON p.paperId = CAST(e.vec_id AS VARCHAR)),
 d AS (SELECT q.item_id, idx.vec_id, idx.title,
@@ -64,8 +64,8 @@ d AS (SELECT q.item_id, idx.vec_id, idx.title,
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, vec_id) AS rk FROM d),
 l AS (SELECT item_id, string_agg(CAST(rk AS VARCHAR) || '. ' || title, chr(10) ORDER BY rk) AS lst
       FROM r WHERE rk <= 3 GROUP BY item_id)
-SELECT b.item_id, coalesce(l.lst, 'No papers found') || chr(10) ||
-       'Now just reply with your guessed cited paper title' AS message
+SELECT b.item_id, coalesce(l.lst, {sql_str(NO_PAPERS)}) ||
+       {sql_str(GUESS_SUFFIX)} AS message
 FROM benchmark b LEFT JOIN l ON l.item_id = b.item_id""").replace("\n\n, q AS", ", q AS")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import ranking as rk
 from scriptorium.operators import search as se
+from scriptorium.operators import prompts as pr
 from scriptorium.operators.prompts import paper_listing
 from scriptorium.plans import jobs
 from scriptorium.plans.registry import register
-from scriptorium.plans.sql_views import with_views
+from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.sources import tables as tb
 from scriptorium.sources.materialize import derived_table, source_fingerprint
 
@@ -166,9 +167,9 @@ def choose_action(spark, sf_dir):
                     rk.choose_action(F.col("relevance_rank"), F.col("citation_rank")).alias("action"))
 
 
-LISTING_BLOCK_SQL = ("'- Paper ID: ' || paperId || chr(10) || chr(9) || 'Title: ' || title || chr(10) || "
-                     "CASE WHEN coalesce(length(abstract), 0) > 0 THEN chr(9) || 'Abstract: ' || "
-                     "abstract || chr(10) ELSE '' END || chr(9) || 'Citation Count: ' || "
+LISTING_BLOCK_SQL = (f"{sql_str(pr.LISTING_ID)} || paperId || {sql_str(pr.LISTING_TITLE)} || title || chr(10) || "
+                     f"CASE WHEN coalesce(length(abstract), 0) > 0 THEN {sql_str(pr.LISTING_ABSTRACT)} || "
+                     f"abstract || chr(10) ELSE '' END || {sql_str(pr.LISTING_COUNT)} || "
                      "CAST(citationCount AS VARCHAR) || chr(10) || chr(10)")
 
 

@@ -91,8 +91,8 @@ ent AS ({_ENTRY_SQL}),
 cites AS (SELECT rel.qid, rel.pos, pl.plain, {_CITE_SQL} AS citation
           FROM rel JOIN (SELECT *, {_latex_sql('title')} AS plain FROM ent) pl ON pl.paperId = rel.paperId
           WHERE rel.pos <= 10),
-blocks AS (SELECT r.item_id, r.rk, 'Title: ' || r.title || chr(10) ||
-                  coalesce((SELECT string_agg('citations: ' || c.plain || ', ' || c.citation || chr(10) || chr(10),
+blocks AS (SELECT r.item_id, r.rk, {sql_str(pr.CONTEXT_TITLE)} || r.title || chr(10) ||
+                  coalesce((SELECT string_agg({sql_str(pr.CONTEXT_CITATION)} || c.plain || ', ' || c.citation || chr(10) || chr(10),
                                               '' ORDER BY c.pos) FROM cites c WHERE c.qid = r.item_id * 10 + r.rk), '')
                   AS block FROM r),
 ctx AS (SELECT item_id, string_agg(block, '' ORDER BY rk) AS context FROM blocks GROUP BY item_id)
@@ -149,7 +149,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, vec_id) A
 l AS (SELECT item_id, string_agg(CAST(rk AS VARCHAR) || '. ' || title, chr(10) ORDER BY rk) AS lst
       FROM r WHERE rk <= 3 GROUP BY item_id),
 m AS (SELECT sq.item_id, sq.answer1, sq.search_query,
-             coalesce(l.lst, 'No papers found') || chr(10) || 'Now just reply with your guessed cited paper title'
+             coalesce(l.lst, {sql_str(pr.NO_PAPERS)}) || {sql_str(pr.GUESS_SUFFIX)}
                AS message
       FROM sq LEFT JOIN l ON l.item_id = sq.item_id)"""
 
