@@ -34,7 +34,8 @@ def test_global_row_number_matches_sorted_order(spark):
 
 def test_minibatches_full_and_disjoint(spark):
     df = spark.range(0, 103).withColumn("h", draw_key("s", F.col("id")))
-    rows = minibatches(df, 4, "h", ["id"]).collect()
+    assert minibatches(df, 4, "h", ["id"]).count() == 103        # the short last batch is kept by default
+    rows = minibatches(df, 4, "h", ["id"], drop_last=True).collect()
     sizes = Counter(r.batch_id for r in rows)
     assert len(rows) == 100 and set(sizes.values()) == {4} and len(sizes) == 25
     assert len({r.id for r in rows}) == 100
