@@ -31,7 +31,7 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def fingerprint_bins(text: Column) -> Column:
-    """array<int>: the low bits of the ``BINS`` densified bins; empty for a text without words."""
+    """array<tinyint>: the low bits of the ``BINS`` densified bins less 128; empty for a text without words."""
     bin_of = lambda h: F.shiftrightunsigned(h, _SHIFT).cast("int")
     flip = lambda h: h.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  signed order becomes unsigned order
 
@@ -55,12 +55,13 @@ def fingerprint_bins(text: Column) -> Column:
 
     hashes = F.transform(shingle_hashes(text), lambda x: flip(x))
     out = F.transform(F.array(F.sort_array(hashes)), lambda h: F.when(F.size(h) > 0, densify(h)).otherwise(F.array().cast("array<int>")))
-    return out[0]
+    # one signed byte a bin
+    return F.transform(out[0], lambda b: (b - F.lit(1 << (BITS - 1))).cast("tinyint"))
 
 
 def packed(bins: Column) -> Column:
     """The bins as a hex string, two digits each."""
-    return F.array_join(F.transform(bins, lambda b: F.lpad(F.lower(F.hex(b)), BITS // 4, "0")), "")
+    return F.array_join(F.transform(bins, lambda b: F.lpad(F.lower(F.hex(b.cast("int") + (1 << (BITS - 1)))), BITS // 4, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,31 +72,30 @@ def likeness(a: Column, b: Column) -> Column:
         .otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
-def with_next(rows: DataFrame, order_col: str, cols: list[str], tie: str, scratch: Scratch, parts: int) -> DataFrame:
-    """``rows`` with struct ``_next`` of ``cols`` of the following row by (``order_col``, ``tie``), the first after the last.
+def with_next(rows: DataFrame, id_col: str, text_col: str, more: dict[str, Column], scratch: Scratch, parts: int) -> DataFrame:
+    """``rows`` and the columns ``more``, with struct ``_next`` of text and ``more`` of the following row by (id, text), the first after the last.
 
-    Rows are dealt to ranges of the order; inside a range a window finds the following row, and the last row of a
-    range takes the first of the next one.  No task sees more than a range; range heads are one row a range.
+    Rows are dealt to ranges of the id; inside a range a window finds the following row, and the last row of a
+    range takes the first of the next one.  No task sees more than a range.  Range heads are found by id first
+    and fetched after, one row a range, so the texts are moved once.
     """
-    key = F.col(order_col)
-    cuts = rows.where(key.isNotNull()).approxQuantile(order_col, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted(set(cuts))
+    key = F.col(id_col)
+    cuts = rows.where(key.isNotNull()).approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     at = F.lit(0)
     if cuts:
-        bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts])
+        bounds = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts))])
         at = F.coalesce(F.size(F.filter(bounds, lambda c: c < key)), F.lit(0))
     ranged = rows.withColumn("_part", at)
-    inside = Window.partitionBy("_part").orderBy(F.col(order_col).asc_nulls_first(), tie)
-    ranged = ranged.withColumns({"_next": F.lead(F.struct(*cols)).over(inside), "_first": F.row_number().over(inside) == 1})
-    ranged = scratch.cut(ranged, "ranged")
-    heads = ranged.where("_first").select("_part", F.struct(*cols).alias("_head"))
-    # range numbers only: one narrow row a range
-    order = Window.partitionBy(F.lit(0)).orderBy("_part")
+    lows = ranged.groupBy(F.col("_part").alias("_of")).agg(F.min(F.struct(id_col)).alias("_low"))  # at most ``parts`` narrow rows
+    heads = ranged.join(F.broadcast(lows), (F.col("_part") == F.col("_of")) & key.eqNullSafe(F.col(f"_low.{id_col}")))
+    heads = heads.groupBy("_part").agg(F.min(text_col).alias(text_col)).withColumns(more)
+    heads = scratch.cut(heads.select("_part", F.struct(text_col, *more).alias("_head")), "heads")
+    order = Window.partitionBy(F.lit(0)).orderBy("_part")  # range numbers only
     follow = heads.select(F.col("_part").alias("_of"), F.coalesce(F.lead("_part").over(order), F.min("_part").over(Window.partitionBy(F.lit(0)))).alias("_part"))
-    heads = scratch.cut(heads.join(follow, "_part").select(F.col("_of").alias("_part"), "_head"), "heads")
-    last = ranged.where("_next is null").drop("_next").join(heads, "_part").withColumnRenamed("_head", "_next")
-    keep = [c for c in ranged.columns if c not in ("_first", "_part")]
-    return ranged.where("_next is not null").select(keep).union(last.select(keep))
+    heads = scratch.cut(heads.join(follow, "_part").select(F.col("_of").alias("_part"), "_head"), "next-heads")
+    inside = Window.partitionBy("_part").orderBy(key.asc_nulls_first(), text_col)
+    out = ranged.withColumns(more).withColumn("_lead", F.lead(F.struct(text_col, *more)).over(inside)).join(heads, "_part")
+    return out.withColumn("_next", F.coalesce("_lead", "_head")).drop("_lead", "_head", "_part")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -109,8 +109,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(docs.sparkSession, "fingerprint")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
-    rows = rows.withColumn("_bins", fingerprint_bins(F.col("_text")))
-    rows = with_next(rows, "_id", ["_text", "_bins"], "_text", scratch, parts)
+    rows = with_next(rows, "_id", "_text", {"_bins": fingerprint_bins(F.col("_text"))}, scratch, parts)
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - half), F.substring(F.col("_next._text"), F.lit(1), half))
