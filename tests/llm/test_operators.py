@@ -313,7 +313,7 @@ def test_toxicity_learns_pairs():
 
 def test_toxicity_rows(spark, docs):
     from scriptorium.llm import toxicity as X
-    bad = [(i, f"plain words here {'idiot' if i % 3 == 0 else 'friend'} number {i % 11}") for i in range(300)]
+    bad = [(i, f"plain words here {'idiot' if i % 3 == 0 else f'w{i % 7}x'} number {i % 11}") for i in range(300)]
     df = H.frame(spark, bad + [(None, "idiot"), (900, None), (901, ""), (902, "idiot " * 30_000), (0, bad[0][1])])
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(5, None), (None, 1), (0, 1), (7, 4)], "doc_id long, toxic int")
     got = X.score(df, X.train(df, labels)).collect()
