@@ -62,7 +62,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = scratch.cut(large.distinct(), "cc")
+        large = large.distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u")
         nxt = small.select("u", F.col("m").alias("v")).union(

@@ -6,8 +6,9 @@ estimates their similarity, and the full shingle sets confirm every link exactly
 
 Documents with equal sets form one node first, so exact copies never meet as pairs.  Inside a band bucket
 pairs are not all emitted: each node is first confirmed against one pivot, the bucket pivot it shares most
-bands with; only nodes of one bucket that are still in different components are paired afterwards, so a
-large group of near copies costs a star, and no link between components is lost.
+bands with, which turns a large group of near copies into one component.  Nodes of one bucket that are still
+in different components are compared afterwards, block by block on their signatures, and only probable pairs
+are confirmed.  No link between components is lost.
 
 Scale: band buckets are counted with partial aggregation; a hot bucket is split by the adaptive skew join
 because every join reads written tables.  Texts of nodes that occur in a pair are fetched once.
@@ -30,8 +31,12 @@ _gen = np.random.default_rng(77)
 MUL = _gen.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _gen.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 BAND_MUL = _gen.integers(1, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A pair is confirmed on full sets unless its estimate is this far below the threshold (over six deviations).
-SLACK = 0.2
+#: A pair is confirmed on full sets unless its estimate is this far below the threshold (over four deviations).
+SLACK = 0.12
+#: Turns of pivots before what is left is compared in blocks (the result is the same after any number).
+STAR_TURNS = 3
+#: Nodes of a block of a bucket.
+BLOCK_NODES = 256
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -81,6 +86,60 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(np.repeat(part.column("_n").to_numpy(), BANDS))], ["_band", "_nid", "_n"])
 
 
+def compare_cells(num: int, den: int, floor: float):
+    """A task over rows sorted by cell (_band, _i, _j): the probable pairs between the blocks _i and _j of a bucket."""
+    def cell(keys, own, nid, comp, n, sig) -> tuple[np.ndarray, np.ndarray]:
+        band, i, j = keys
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+        take = comp[x] != comp[y]
+        if i == j:
+            take &= x < y
+        x, y = x[take], y[take]
+        fits = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
+        x, y = x[fits], y[fits]
+        out_x, out_y = [], []
+        for at in range(0, len(x), 20_000):
+            p, q = x[at:at + 20_000], y[at:at + 20_000]
+            same = sig[p] == sig[q]
+            near = (same.mean(1) - 2.0 ** -BITS) / (1 - 2.0 ** -BITS) >= floor
+            # a pair leaves from the first band it shares only
+            shared = same[near].reshape(-1, BANDS, ROWS).all(2)
+            p, q = p[near], q[near]
+            first = band_keys([sig[r].tobytes() for r in p])[np.arange(len(p)), shared.argmax(1)] == band if len(p) else np.zeros(0, bool)
+            out_x.append(nid[p[first]])
+            out_y.append(nid[q[first]])
+        none = np.zeros(0, np.int64)
+        return np.concatenate(out_x or [none]), np.concatenate(out_y or [none])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cells(table: pa.Table, last: bool):
+            """Pairs of the whole cells of ``table``; what may go on is kept."""
+            held.clear()
+            if not table.num_rows:
+                return
+            keys = np.stack([table.column(c).to_numpy() for c in ("_band", "_i", "_j")], 1)
+            starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]))
+            if not last:
+                held.extend(table.slice(starts[-2]).to_batches())
+                starts = starts[:-1]
+            own, nid, comp, n = (table.column(c).to_numpy() for c in ("_own", "_nid", "_c", "_n"))
+            sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                x, y = cell(keys[s], own[s:e], nid[s:e], comp[s:e], n[s:e], sig[s:e])
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["_x", "_y"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                yield from cells(pa.Table.from_batches([*held, batch.slice(at, 4000)]), False)
+        if held:
+            yield from cells(pa.Table.from_batches(list(held)), True)
+    return run
+
+
 def text_key(text) -> object:
     """The 64-bit key that tells rows of one id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -105,14 +164,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = rows.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_lo"), F.min(F.struct("_id", "_tk")).alias("_rep"),
                                                       F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
     nodes = scratch.cut(nodes.withColumn("_nid", F.monotonically_increasing_id()), "nodes")
+    rows = scratch.cut(rows.select("_id", "_tk", "_n", "_key"), "slim")  # signatures are needed once a node only
+    scratch.drop("rows")
     bands = scratch.cut(nodes.select("_nid", "_n", "_sig").mapInArrow(_bands, "_band bigint, _nid bigint, _n bigint"), "bands")
     shared = bands.groupBy("_band").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_band")
     shared = scratch.cut(shared, "shared")
-    bands = scratch.cut(bands.join(shared, "_band"), "buckets")
+    bands = scratch.cut(bands.join(shared.hint("shuffle_hash"), "_band"), "buckets")
+    scratch.drop("bands", "shared")
     # texts of every node that shares a bucket, fetched once
     some = nodes.join(bands.select("_nid").distinct(), "_nid", "left_semi").select("_nid", F.col("_rep._id").alias("_rid"), F.col("_rep._tk").alias("_rtk"))
     some = scratch.cut(some, "some")
-    texts = scratch.cut(src.join(some, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_tk") == F.col("_rtk"))).select("_nid", "_text"), "texts")
+    texts = scratch.cut(src.join(some.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_tk") == F.col("_rtk"))).select("_nid", "_text"), "texts")
     sigs = nodes.select("_nid", "_n", "_sig")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,49 +195,68 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 near = estimate(b.column("_sx").to_pylist(), b.column("_sy").to_pylist()) >= floor
                 yield b.select(["_x", "_y"]).filter(pa.array(near))
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (_x, _y) whose full sets reach the threshold."""
+    def probable(pairs: DataFrame) -> DataFrame:
+        """The pairs (_x, _y) whose sizes and estimates allow the threshold."""
         both = pairs.join(sigs.select(F.col("_nid").alias("_x"), F.col("_sig").alias("_sx"), F.col("_n").alias("_nx")), "_x")
         both = both.join(sigs.select(F.col("_nid").alias("_y"), F.col("_sig").alias("_sy"), F.col("_n").alias("_ny")), "_y")
         both = both.where(F.least("_nx", "_ny") * den >= F.greatest("_nx", "_ny") * num).select("_x", "_y", "_sx", "_sy")
-        probable = scratch.cut(both.mapInArrow(likely, "_x bigint, _y bigint"), f"{name}-likely")
-        full = probable.join(texts.select(F.col("_nid").alias("_x"), F.col("_text").alias("_tx")), "_x")
-        full = full.join(texts.select(F.col("_nid").alias("_y"), F.col("_text").alias("_ty")), "_y").select("_x", "_y", "_tx", "_ty")
-        return scratch.cut(full.mapInArrow(confirm, "_x bigint, _y bigint").distinct(), f"{name}-links")
+        return both.mapInArrow(likely, "_x bigint, _y bigint")
+
+    def cross_pairs(rows: DataFrame) -> DataFrame:
+        """The probable pairs of nodes of one bucket in different components.
+
+        A bucket is dealt to blocks of about ``BLOCK_NODES`` nodes by hash; every pair of blocks is compared in
+        one step on the signatures, and only probable pairs leave it, from the first band they share.  No task
+        holds more than two blocks, and no list of a bucket's pairs is made."""
+        wide = rows.join(sigs.select("_nid", "_sig"), "_nid").withColumn("_blocks", F.ceil(F.col("_m") / BLOCK_NODES))
+        wide = wide.withColumn("_own", F.pmod(F.xxhash64("_nid", F.lit(3)), F.col("_blocks")))
+        wide = wide.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        wide = wide.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+        wide = wide.select("_band", "_i", "_j", "_own", "_nid", "_c", "_n", "_sig")
+        cells = wide.repartition("_band", "_i", "_j").sortWithinPartitions("_band", "_i", "_j")
+        return cells.mapInArrow(compare_cells(num, den, floor), "_x bigint, _y bigint")
+
+    def confirmed(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The pairs whose full sets reach the threshold, and the pairs tried.
 
-    found, comp, turn = None, None, 0
-    open_rows = bands.withColumn("_c", F.col("_nid"))
+        The join strategy is fixed: pairs and texts grow with the corpus, so neither is ever broadcast."""
+        pairs = scratch.cut(pairs, f"{name}-likely")
+        full = pairs.hint("shuffle_hash").join(texts.select(F.col("_nid").alias("_x"), F.col("_text").alias("_tx")), "_x")
+        full = full.join(texts.select(F.col("_nid").alias("_y"), F.col("_text").alias("_ty")).hint("merge"), "_y").select("_x", "_y", "_tx", "_ty")
+        return scratch.cut(full.mapInArrow(confirm, "_x bigint, _y bigint"), f"{name}-links"), pairs
+
+    def merged(label: DataFrame, new: DataFrame, name: str) -> DataFrame:
+        """``label`` (_nid, _c) after joining the components that the new links connect."""
+        ends = new.join(label.select(F.col("_nid").alias("_x"), F.col("_c").alias("a")), "_x")
+        ends = ends.join(label.select(F.col("_nid").alias("_y"), F.col("_c").alias("b")), "_y").select("a", "b")
+        moved = components(ends, scratch).select(F.col("node").alias("_c"), "root")
+        return scratch.cut(label.join(moved, "_c", "left").select("_nid", F.coalesce("root", "_c").alias("_c")), f"{name}-label")
+
+    label, turn, productive = some.select("_nid", F.col("_nid").alias("_c")), 0, True
     while True:
+        now = scratch.cut(bands.join(label, "_nid"), f"now{turn}")
+        mixed = now.groupBy("_band").agg(F.count(F.lit(1)).alias("_m"), F.min("_c").alias("_a"), F.max("_c").alias("_z"))
+        mixed = scratch.cut(mixed.where("_a <> _z").select("_band", "_m"), f"mixed{turn}")
+        open_rows = scratch.cut(now.join(mixed, "_band"), f"open{turn}")
+        per = open_rows.groupBy("_band", "_c").agg(F.count(F.lit(1)).alias("k")).groupBy("_band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
+        rows_open, pairs_open = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).head()
+        if not rows_open:
+            break
+        if turn >= STAR_TURNS or turn and (not productive or pairs_open <= 4 * rows_open):
+            new, _ = confirmed(cross_pairs(open_rows), "rest")
+            label = merged(label, new, "rest")
+            break
         # pivots: one node per bucket, another one each turn; every node takes the pivot it shares most buckets with
         pivot = open_rows.groupBy("_band").agg(F.min(F.struct(F.xxhash64("_nid", "_band", F.lit(turn)), F.col("_nid").alias("p"), F.col("_c").alias("c"))).alias("_p"))
         pivot = scratch.cut(pivot.select("_band", F.col("_p.p").alias("_y"), F.col("_p.c").alias("_cy")), f"pivots{turn}")
         stars = open_rows.join(pivot, "_band").where("_c <> _cy").groupBy(F.col("_nid").alias("_x"), "_y").agg(F.count(F.lit(1)).alias("_k"))
         stars = stars.groupBy("_x").agg(F.max(F.struct("_k", "_y")).alias("_b")).select("_x", F.col("_b._y").alias("_y"))
-        new = links(scratch.cut(stars, f"stars{turn}"), f"star{turn}")
-        progress = not new.isEmpty()
-        found = new if found is None else scratch.cut(found.union(new).distinct(), f"found{turn}")
-        comp = components(found.select(F.col("_x").alias("a"), F.col("_y").alias("b")), scratch)
-        comp = scratch.cut(comp, f"comp{turn}")
-        now = bands.join(comp.select(F.col("node").alias("_nid"), F.col("root")), "_nid", "left").withColumn("_c", F.coalesce("root", "_nid")).drop("root")
-        now = scratch.cut(now, f"now{turn}")
-        mixed = now.groupBy("_band").agg(F.min("_c").alias("_a"), F.max("_c").alias("_z")).where("_a <> _z").select("_band")
-        open_rows = scratch.cut(now.join(scratch.cut(mixed, f"mixed{turn}"), "_band"), f"open{turn}")
-        if open_rows.isEmpty():
-            break
-        per = open_rows.groupBy("_band", "_c").agg(F.count(F.lit(1)).alias("k")).groupBy("_band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
-        size = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).head()
+        new, tried = confirmed(probable(stars), f"star{turn}")
+        productive = new.count() * 20 >= tried.count()
+        label = merged(label, new, f"turn{turn}")
+        scratch.drop(f"now{turn}", f"mixed{turn}", f"open{turn}", f"pivots{turn}")
         turn += 1
-        if not progress or size[1] <= 4 * size[0]:
-            # what is left: nodes of one bucket in different components, of sizes that allow the threshold
-            a = open_rows.select("_band", F.col("_nid").alias("_x"), F.col("_c").alias("_cx"), F.col("_n").alias("_nx"))
-            b = open_rows.select("_band", F.col("_nid").alias("_y"), F.col("_c").alias("_cy"), F.col("_n").alias("_ny"))
-            pairs = a.join(b, "_band").where((F.col("_cx") < F.col("_cy")) & (F.least("_nx", "_ny") * den >= F.greatest("_nx", "_ny") * num))
-            new = links(scratch.cut(pairs.select("_x", "_y").distinct(), "rest"), "rest")
-            found = found.union(new)
-            comp = scratch.cut(components(found.select(F.col("_x").alias("a"), F.col("_y").alias("b")), scratch), "comp")
-            break
-    named = nodes.select("_nid", "_key", "_lo").join(comp.select(F.col("node").alias("_nid"), "root"), "_nid", "left")
-    named = named.withColumn("_root", F.coalesce("root", "_nid"))
+    named = nodes.select("_nid", "_key", "_lo").join(label, "_nid", "left").withColumn("_root", F.coalesce("_c", "_nid"))
     lows = named.groupBy("_root").agg(F.min("_lo").alias("_low"))
     named = scratch.cut(named.join(lows, "_root").select("_key", "_low"), "named")
     own = F.when(F.col("_n") > 0, F.col("_low")).otherwise(F.col("_id"))
