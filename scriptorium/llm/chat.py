@@ -5,12 +5,19 @@ written ``##+ role: ...``.  Inside roles and texts ``\\``, ``</turn>`` and ``##`
 ``\\e`` and ``\\h`` (a role's ``:`` as ``\\c``), so no text can hold a control string and every text is
 read back exactly.
 
-Windows: a turn's window is its prefix sum of tokens (words plus a constant for the markup) divided by
-the budget, so windows hold whole turns.  Every window after the first starts with the conversation's
-leading system turn and the ``history`` turns before its own; those repeated turns carry no loss.
+Windows hold whole turns; a turn's tokens are its words plus a constant for the markup.  Every window after
+the first starts with the conversation's leading system turn and the ``history`` turns before its own; those
+repeated turns carry no loss.  There are two rules:
+
+* by default (the rule of the query's SQL) a turn's window is its prefix sum of tokens divided by the budget.
+  The budget is a step, not a bound: a window's last turn may run past it, and repeated turns are not counted.
+* with ``strict`` repeated and new turns together stay within the budget, and a turn over it is alone in its
+  window.  A window takes its first new turn, the system turn if that fits, as many of the ``history`` turns
+  before it as fit, the nearest first, and then new turns while they fit.
 
 Scale: prefix sums are taken in two levels, over blocks of turn numbers and inside a block, so a very
-long conversation is spread over tasks; a window's group is bounded by its budget.  Column expressions only.
+long conversation is spread over tasks; a strict window does not cross a block of positions, which are packed
+on lists of token counts alone.  Column expressions only.
 """
 
 from __future__ import annotations
@@ -51,12 +58,13 @@ def _line(t) -> Column:
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                 text_col: str = "text", budget: int = 512, history: int = 2) -> DataFrame:
+                 text_col: str = "text", budget: int = 512, history: int = 2, strict: bool = False) -> DataFrame:
     """One row per window: conv_id, window, formatted, loss_mask array<struct<start, end>> (code points).
 
     Rows of a conversation are ordered by turn, then role, then text (repeated rows stay, each a turn).
-    Null role and text count as empty; a null conversation is a conversation of its own.  A turn over
-    the budget fills a window alone.  The mask covers the texts of new assistant turns.
+    Null role and text count as empty; a null conversation is a conversation of its own.  Window numbers rise
+    with the turns but have gaps.  Only ``strict`` windows stay within the budget (see above).  The mask covers
+    the texts of new assistant turns.
     """
     scratch = Scratch(turns.sparkSession, "chat")
     rows = turns.select(turns[conv_col].alias("conv"), turns[turn_col].cast("long").alias("turn"),
@@ -70,17 +78,14 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"pos": F.row_number().over(inside), "cum": F.sum("tok").over(upto) - F.col("tok")})
     rows = rows.join(per, F.col("conv").eqNullSafe(F.col("pc")) & (F.col("block") == F.col("pb")))
-    rows = rows.select("conv", (F.col("pos") + F.col("n0")).cast("long").alias("pos"), F.floor((F.col("cum") + F.col("tok0")) / budget).alias("window"),
-                       "role", "text")
-    rows = scratch.cut(rows, "turns")
-    starts = rows.groupBy("conv", "window").agg(F.min("pos").alias("p")).where("p > 1")
-    lead = [F.lit(1).cast("long")] + [F.col("p") - k for k in range(1, history + 1)]
-    want = starts.select(F.col("conv").alias("wc"), F.col("window").alias("ww"), F.col("p"),
-                         F.explode(F.array_distinct(F.array(*lead))).alias("wp")).where("wp >= 1")
-    again = rows.join(want, F.col("conv").eqNullSafe(F.col("wc")) & (F.col("pos") == F.col("wp")))
-    again = again.where((F.col("pos") >= F.col("p") - history) | (F.col("role") == "system"))
-    parts = rows.select("conv", "window", F.struct("pos", F.lit(False).alias("again"), "role", "text").alias("t")).union(
-        again.select("conv", F.col("ww").alias("window"), F.struct("pos", F.lit(True).alias("again"), "role", "text").alias("t")))
+    rows = rows.select("conv", (F.col("pos") + F.col("n0")).cast("long").alias("pos"), "tok", (F.col("cum") + F.col("tok0")).alias("cum"), "role", "text")
+    if strict:
+        rows = scratch.cut(rows, "turns")
+        parts = rows.join(_packed(rows, budget, history), F.col("conv").eqNullSafe(F.col("wc")) & (F.col("pos") == F.col("wp")))
+        parts = parts.select("conv", "window", F.struct("pos", (F.col("pos") < F.col("window")).alias("again"), "role", "text").alias("t"))
+    else:
+        rows = scratch.cut(rows.select("conv", "pos", F.floor(F.col("cum") / budget).alias("window"), "role", "text"), "turns")
+        parts = _stepped(rows, history)
     windows = parts.groupBy("conv", "window").agg(F.array_sort(F.collect_list("t")).alias("ts"))
 
     def add(acc, t):
@@ -97,6 +102,56 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.aggregate("ts", F.struct(F.lit(0).alias("at"), none.alias("mask")), add, lambda acc: acc["mask"]).alias("loss_mask"))
 
 
+def _stepped(rows: DataFrame, history: int) -> DataFrame:
+    """(conv, window, t): the turns of every window numbered by prefix sum, repeated turns in front."""
+    starts = rows.groupBy("conv", "window").agg(F.min("pos").alias("p")).where("p > 1")
+    lead = [F.lit(1).cast("long")] + [F.col("p") - k for k in range(1, history + 1)]
+    want = starts.select(F.col("conv").alias("wc"), F.col("window").alias("ww"), F.col("p"),
+                         F.explode(F.array_distinct(F.array(*lead))).alias("wp")).where("wp >= 1")
+    again = rows.join(want, F.col("conv").eqNullSafe(F.col("wc")) & (F.col("pos") == F.col("wp")))
+    again = again.where((F.col("pos") >= F.col("p") - history) | (F.col("role") == "system"))
+    return rows.select("conv", "window", F.struct("pos", F.lit(False).alias("again"), "role", "text").alias("t")).union(
+        again.select("conv", F.col("ww").alias("window"), F.struct("pos", F.lit(True).alias("again"), "role", "text").alias("t")))
+
+
+def _packed(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """(wc, window, wp): the positions of every strict window, named by the position of its first new turn.
+
+    A block of positions is a list of (pos, tok, cum) with the ``history`` turns in front of it; no window holds
+    more turns than a block."""
+    size = max(BLOCK, budget // TOKENS_PER_TURN)
+    block = lambda pos: F.floor(pos / size)
+    at = F.explode(F.sequence(block(F.col("pos") - 1), block(F.col("pos") - 1 + history))).alias("blk")
+    blocks = rows.select("conv", at, F.struct("pos", "tok", "cum").alias("t")).groupBy("conv", "blk").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    system = rows.where("pos = 1 and role = 'system'").select(F.col("conv").alias("sc"), F.col("tok").alias("sys"))
+    blocks = blocks.join(system, F.col("conv").eqNullSafe(F.col("sc")), "left")
+
+    def opened(t, i):
+        """What a window holds that starts with this turn."""
+        lead = F.coalesce((t["pos"] > 1) & (F.col("sys") + t["tok"] <= budget), F.lit(False))
+        used = t["tok"] + F.when(lead, F.col("sys")).otherwise(0)
+        near = F.slice("ts", F.greatest(i - history, F.lit(0)) + 1, F.least(i, F.lit(history)))
+        near = F.filter(near, lambda h: (t["cum"] - h["cum"] + used <= budget) & ~((h["pos"] == 1) & F.col("sys").isNotNull()))
+        return F.struct(t["pos"].alias("pos"), t["tok"].alias("tok"), lead.alias("lead"), F.size(near).cast("long").alias("back"),
+                        (used + F.coalesce(t["cum"] - F.get(near, F.lit(0))["cum"], F.lit(0))).alias("used"))
+
+    def add(acc, t):
+        fits = (F.size(acc["ws"]) > 0) & (acc["used"] + t["tok"] <= budget)
+        new = F.concat(acc["ws"], F.array(F.struct(t["pos"].alias("p"), (t["pos"] - t["back"]).alias("first"), t["lead"].alias("lead"))))
+        return F.struct(F.when(fits, acc["used"] + t["tok"]).otherwise(t["used"]).alias("used"), F.when(fits, acc["ws"]).otherwise(new).alias("ws"))
+
+    none = F.array().cast("array<struct<p:bigint,first:bigint,lead:boolean>>")
+    blocks = blocks.select("conv", "blk", F.transform("ts", opened).alias("ts")).select(
+        "conv", F.element_at("ts", -1)["pos"].alias("last"), F.filter("ts", lambda t: t["pos"] > F.col("blk") * size).alias("own"))
+    blocks = blocks.select("conv", "last", F.aggregate("own", F.struct(F.lit(0).cast("long").alias("used"), none.alias("ws")), add, lambda acc: acc["ws"]).alias("ws"))
+    spans = blocks.select("conv", F.explode(F.transform("ws", lambda w, i: F.struct(
+        w["p"].alias("p"), w["first"].alias("first"), w["lead"].alias("lead"),
+        F.coalesce(F.get("ws", i + 1)["p"] - 1, F.col("last")).alias("last")))).alias("w"))
+    span = F.sequence("w.first", "w.last")
+    return spans.select(F.col("conv").alias("wc"), F.col("w.p").alias("window"),
+                        F.explode(F.when(F.col("w.lead"), F.concat(F.array(F.lit(1).cast("long")), span)).otherwise(span)).alias("wp"))
+
+
 def read_back(formatted: Column) -> Column:
     """array<struct<again, role, text>> of one window, parsed from its formatted text."""
     blocks = F.split(formatted, "</turn>\n", -1)

@@ -292,6 +292,49 @@ def test_chat_blocks(spark, monkeypatch):
     assert whole == read()
 
 
+def _strict(tokens, system, budget, history):
+    """(context positions, new positions) of every window of one conversation."""
+    out, at = [], 0
+    while at < len(tokens):
+        used, context = tokens[at], []
+        if system and at and used + tokens[0] <= budget:
+            used, context = used + tokens[0], [0]
+        back = []
+        for h in range(at - 1, max(at - history, int(system)) - 1, -1):
+            if used + tokens[h] > budget:
+                break
+            used, back = used + tokens[h], [h, *back]
+        end = at + 1
+        while end < len(tokens) and end % 8 and used + tokens[end] <= budget:
+            used, end = used + tokens[end], end + 1
+        out.append((context + back, list(range(at, end))))
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("history", [0, 2, 11])
+def test_chat_strict_budget(spark, monkeypatch, history):
+    """All tokens of a strict window, repeated ones too, are within the budget, or its only turn is over it."""
+    from scriptorium.llm import chat
+    rng = random.Random(16)
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    rows = [(c, k, "system" if c % 3 and not k else rng.choice(["user", "assistant"]), "w " * rng.choice([0, 1, 3, 9, 20, 27, 28, 29, 60]))
+            for c in range(20) for k in range(rng.randint(1, 40))]
+    rows += [(None, k, "user", f"w{k}") for k in range(5)] + [(99, None, "system", "w " * 40), (99, 1, "user", "w " * 9), (99, 2, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = defaultdict(list)
+    out = chat.format_chats(df, budget=32, history=history, strict=True)
+    for r in sorted(out.withColumn("t", chat.read_back(F.col("formatted"))).withColumn("m", chat.masked_texts(F.col("formatted"), F.col("loss_mask"))).collect(), key=lambda r: r.window):
+        got[r.conv_id].append(r)
+        assert sum(len(t.text.split()) + 4 for t in r.t) <= 32 or len(r.t) == 1
+        assert r.m == [t.text for t in r.t if not t.again and t.role == "assistant"]
+    for c in {r[0] for r in rows}:
+        own = [(r, x or "") for cc, _, r, x in rows if cc == c]
+        want = _strict([len(x.split()) + 4 for _, x in own], own[0][0] == "system", 32, history)
+        assert [[(t.again, t.role, t.text) for t in w.t] for w in got[c]] == [[(True, *own[i]) for i in old] + [(False, *own[i]) for i in new] for old, new in want]
+    assert chat.format_chats(df.limit(0), strict=True).count() == 0
+
+
 def test_toxicity_learns_pairs():
     """Labels that only a product of two terms explains."""
     import numpy as np
