@@ -113,7 +113,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, max_terms: in
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str):
-    """(term rows, labels, weights) of at most ``sample_rows`` labelled rows a class."""
+    """(term rows, labels, weights) of at most ``sample_rows`` labelled rows a class.
+
+    An id is one row however often it repeats in ``docs``: the one with the smallest hash of its text."""
     marked = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,6 +123,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col
     picked = [marked.where(F.col("_y") == c).orderBy(order, "_id").limit(sample_rows) for c in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 x sample_rows narrow rows
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(chosen, "_id")
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("_one")  # partially aggregated
+    rows = rows.groupBy("_id", "_y").agg(one).select("_id", "_y", F.col("_one.t").alias("_text"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: s
           label_col: str = "toxic", **fit_args) -> Model:
     """A model from the rows of ``labels`` (others' labels must be taken out by the caller).
 
-    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts once, toxic if once so."""
+    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts once, toxic if once so, and an
+    id with several rows in ``docs`` gives one of them."""
     return fit(*sample_labelled(docs, labels, sample_rows, id_col, text_col, label_col), **fit_args)
 
 

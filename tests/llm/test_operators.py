@@ -367,6 +367,23 @@ def test_toxicity_rows(spark, docs):
     assert all(0 <= r.toxicity <= 1 for r in X.score(docs, X.train(df, labels.where("toxic = 1"))).collect())
 
 
+def test_toxicity_repeated_ids(spark):
+    """A chosen id that repeats in documents reaches the driver as one row, the same one in any order."""
+    import numpy as np
+
+    from scriptorium.llm import toxicity as X
+    rows = [(i, f"words {i % 5} {'idiot' if i % 2 else 'fine'}") for i in range(40)]
+    rows += [(3, f"copy {k % 7}") for k in range(500)] + [(4, None)] * 50 + [(5, rows[5][1])] * 50
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(900, 1)], "doc_id long, toxic int")
+    take = lambda r, n: X.sample_labelled(H.frame(spark, r), labels, n, "doc_id", "text", "toxic")
+    terms, y, weight = take(rows, 10)
+    assert len(terms) == len(y) == 20 and weight.sum() == 41
+    terms, y, weight = take(rows, 100)
+    assert len(terms) == 40 and (y == np.arange(40) % 2).all() and weight.sum() == 41 and not len(terms[4])
+    again = take(rows[::-1], 100)
+    assert [t.tolist() for t in terms] == [t.tolist() for t in again[0]]
+
+
 def test_toxicity_held_out(spark):
     """Labels of the rows held out are predicted from the others, on a given table."""
     from scriptorium.llm import queries as q
