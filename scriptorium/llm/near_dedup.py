@@ -1,6 +1,6 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Signatures keep the low 16 bits of ``BANDS * ROWS`` minima over a document's set of word shingles.  Bands of
+Signatures keep the low 16 bits of ``bands * rows`` minima over a document's set of word shingles.  Bands of
 the packed signature propose pairs, the share of equal signature parts, corrected for chance collisions,
 estimates their similarity, and the full shingle sets confirm every link exactly.
 
@@ -16,6 +16,7 @@ because every join reads written tables.  Texts of nodes that occur in a pair ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,29 +27,49 @@ from pyspark.sql import functions as F
 from scriptorium.llm import kernels as K
 from scriptorium.llm.common import Scratch, components
 
+#: Bands and rows at thresholds of 0.75 and more; ``scheme`` has those of lower ones.
 BANDS, ROWS, BITS = 48, 5, 16
+#: A link is in no common band with at most this probability, at any threshold.
+MISS = 2.5e-6
 _gen = np.random.default_rng(77)
 MUL = _gen.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _gen.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 BAND_MUL = _gen.integers(1, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A pair is confirmed on full sets unless its estimate is this far below the threshold (over four deviations).
-SLACK = 0.12
+#: A pair is confirmed on full sets unless its estimate is this far below the threshold, and so many deviations.
+SLACK, DEVIATIONS = 0.12, 4.25
 #: Turns of pivots before what is left is compared in blocks (the result is the same after any number).
 STAR_TURNS = 3
 #: Nodes of a block of a bucket.
 BLOCK_NODES = 256
 
 
-def signature(s: np.ndarray) -> bytes:
-    low = np.full(len(MUL), np.iinfo(np.uint64).max, np.uint64)
+def scheme(threshold: float) -> tuple[int, int, float]:
+    """(bands, rows, slack): the most rows a band, out of as many minima as ``BANDS * ROWS``, that miss a pair at the
+    threshold with a probability of ``MISS`` at most; more minima, a row each, where none does."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold {threshold} is not above 0 and at most 1")
+    total = BANDS * ROWS
+    bands, rows = next(((total // r, r) for r in range(ROWS, 0, -1) if (1 - threshold ** r) ** (total // r) <= MISS),
+                       (math.ceil(math.log(MISS) / math.log1p(-threshold)) if threshold < 1 else 1, 1))
+    return bands, rows, max(SLACK, DEVIATIONS * math.sqrt(threshold * (1 - threshold) / (bands * rows)))
+
+
+def hashes(minima: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of so many minima."""
+    more = np.random.default_rng(78).integers(1, 1 << 62, (max(0, minima - len(MUL)), 2), dtype=np.uint64)
+    return np.concatenate((MUL, more[:, 0] * np.uint64(2) + np.uint64(1)))[:minima], np.concatenate((ADD, more[:, 1]))[:minima]
+
+
+def signature(s: np.ndarray, mul: np.ndarray = MUL, add: np.ndarray = ADD) -> bytes:
+    low = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
     for part in np.array_split(s, len(s) // 4096 + 1):
-        low = np.minimum(low, (part[:, None] * MUL + ADD).min(0))
+        low = np.minimum(low, (part[:, None] * mul + add).min(0))
     return ((low ^ (low >> np.uint64(32))) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def band_keys(sigs: list[bytes]) -> np.ndarray:
-    parts = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), BANDS, ROWS).astype(np.uint64)
-    keys = (K.mix(parts + np.uint64(1)) * BAND_MUL).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def band_keys(sigs: list[bytes], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    parts = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), bands, rows).astype(np.uint64)
+    keys = (K.mix(parts + np.uint64(1)) * BAND_MUL[:rows]).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return K.mix(keys).view(np.int64)
 
 
@@ -64,29 +85,34 @@ def _texts(column) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").lower() for t in column.to_pylist()]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw = _texts(b.column("_text"))
-        n, key, sig = [], [], []
-        for _, part in K.by_bytes(raw):
-            for s in K.shingle_sets(part):
-                n.append(len(s))
-                key.append(np.array([K.mix(s).sum(), K.mix(s ^ MUL[0]).sum()], np.uint64).tobytes() if len(s) else None)
-                sig.append(signature(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_tk"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
-                                         ["_id", "_tk", "_n", "_key", "_sig"])
+def _sets(minima: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mul, add = hashes(minima)
+        for b in batches:
+            raw = _texts(b.column("_text"))
+            n, key, sig = [], [], []
+            for _, part in K.by_bytes(raw):
+                for s in K.shingle_sets(part):
+                    n.append(len(s))
+                    key.append(np.array([K.mix(s).sum(), K.mix(s ^ MUL[0]).sum()], np.uint64).tobytes() if len(s) else None)
+                    sig.append(signature(s, mul, add) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_tk"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+                                             ["_id", "_tk", "_n", "_key", "_sig"])
+    return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
-            keys = band_keys(part.column("_sig").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("_nid").to_numpy(), BANDS)),
-                                              pa.array(np.repeat(part.column("_n").to_numpy(), BANDS))], ["_band", "_nid", "_n"])
+def _bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                keys = band_keys(part.column("_sig").to_pylist(), bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("_nid").to_numpy(), bands)),
+                                                  pa.array(np.repeat(part.column("_n").to_numpy(), bands))], ["_band", "_nid", "_n"])
+    return run
 
 
-def compare_cells(num: int, den: int, floor: float):
+def compare_cells(num: int, den: int, floor: float, bands: int = BANDS, rows: int = ROWS):
     """A task over rows sorted by cell (_band, _i, _j): the probable pairs between the blocks _i and _j of a bucket."""
     def cell(keys, own, nid, comp, n, sig) -> tuple[np.ndarray, np.ndarray]:
         band, i, j = keys
@@ -104,9 +130,9 @@ def compare_cells(num: int, den: int, floor: float):
             same = sig[p] == sig[q]
             near = (same.mean(1) - 2.0 ** -BITS) / (1 - 2.0 ** -BITS) >= floor
             # a pair leaves from the first band it shares only
-            shared = same[near].reshape(-1, BANDS, ROWS).all(2)
+            shared = same[near].reshape(-1, bands, rows).all(2)
             p, q = p[near], q[near]
-            first = band_keys([sig[r].tobytes() for r in p])[np.arange(len(p)), shared.argmax(1)] == band if len(p) else np.zeros(0, bool)
+            first = band_keys([sig[r].tobytes() for r in p], bands, rows)[np.arange(len(p)), shared.argmax(1)] == band if len(p) else np.zeros(0, bool)
             out_x.append(nid[p[first]])
             out_y.append(nid[q[first]])
         none = np.zeros(0, np.int64)
@@ -150,23 +176,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Words are runs of anything but ASCII white space after lower-casing A-Z; a set holds the distinct 5-word
     shingles, the whole sequence where there are fewer words.  Null, empty and blank texts have an empty set
-    and are linked with nothing.  Links need intersection / union >= threshold, exactly.  component_id is the
+    and are linked with nothing.  Links need intersection / union >= threshold, exactly; at any threshold
+    above 0 the candidate search misses a link with probability ``MISS`` at most.  component_id is the
     smallest id reachable (the row's own if its set is empty); rows of a null id never give one.  Repeated rows
     are rows of one node.  An empty table gives no rows.
     """
     num, den = threshold
-    floor = num / den - SLACK
+    n_bands, n_rows, slack = scheme(num / den)
+    floor = num / den - slack
     scratch = Scratch(docs.sparkSession, "near")
     text = F.coalesce(docs[text_col], F.lit(""))
     src = docs.select(docs[id_col].alias("_id"), text_key(docs[text_col]).alias("_tk"), text.alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    rows = scratch.cut(src.mapInArrow(_sets, f"_id {kind}, _tk bigint, _n bigint, _key binary, _sig binary"), "rows")
+    rows = scratch.cut(src.mapInArrow(_sets(n_bands * n_rows), f"_id {kind}, _tk bigint, _n bigint, _key binary, _sig binary"), "rows")
     nodes = rows.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_lo"), F.min(F.struct("_id", "_tk")).alias("_rep"),
                                                       F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
     nodes = scratch.cut(nodes.withColumn("_nid", F.monotonically_increasing_id()), "nodes")
     rows = scratch.cut(rows.select("_id", "_tk", "_n", "_key"), "slim")  # signatures are needed once a node only
     scratch.drop("rows")
-    bands = scratch.cut(nodes.select("_nid", "_n", "_sig").mapInArrow(_bands, "_band bigint, _nid bigint, _n bigint"), "bands")
+    bands = scratch.cut(nodes.select("_nid", "_n", "_sig").mapInArrow(_bands(n_bands, n_rows), "_band bigint, _nid bigint, _n bigint"), "bands")
     shared = bands.groupBy("_band").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_band")
     shared = scratch.cut(shared, "shared")
     bands = scratch.cut(bands.join(shared.hint("shuffle_hash"), "_band"), "buckets")
@@ -214,7 +242,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wide = wide.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
         wide = wide.select("_band", "_i", "_j", "_own", "_nid", "_c", "_n", "_sig")
         cells = wide.repartition("_band", "_i", "_j").sortWithinPartitions("_band", "_i", "_j")
-        return cells.mapInArrow(compare_cells(num, den, floor), "_x bigint, _y bigint")
+        return cells.mapInArrow(compare_cells(num, den, floor, n_bands, n_rows), "_x bigint, _y bigint")
 
     def confirmed(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """The pairs whose full sets reach the threshold, and the pairs tried.

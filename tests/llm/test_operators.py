@@ -60,6 +60,27 @@ def test_near_dedup_large_group(spark, monkeypatch):
     assert got == {d: c for (d, _), c in zip(rows, H.near_components(rows), strict=True)}
 
 
+def test_near_dedup_low_threshold(spark):
+    """Pairs just at a low threshold are all found; the given threshold keeps its bands."""
+    from scriptorium.llm import near_dedup as N
+    assert N.scheme(0.75) == (N.BANDS, N.ROWS, N.SLACK)
+    for t in (0.01, 0.05, 0.2, 0.5, 0.6, 0.7, 0.75, 0.9, 1.0):
+        bands, rows, slack = N.scheme(t)
+        assert (1 - t ** rows) ** bands <= N.MISS and slack >= 4.2 * (t * (1 - t) / (bands * rows)) ** 0.5
+    for t in (0, -0.1, 1.1):
+        with pytest.raises(ValueError):
+            N.scheme(t)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    rows = []
+    for i in range(150):  # 60 shared of 120 shingles, then 59 of 121
+        same = 64 if i < 120 else 63
+        common = [word() for _ in range(same)]
+        rows += [(2 * i + k, " ".join(common + [word() for _ in range(94 - same)])) for k in (1, 2)]
+    got = {r.doc_id: r.component_id for r in N.near_dedup(H.frame(spark, rows), threshold=(50, 100)).collect()}
+    assert got == {d: d - (d % 2 == 0 and d <= 240) for d, _ in rows}
+
+
 def test_cells_give_every_probable_pair_once():
     """Blocks of all buckets, cut into small batches: each probable pair of different components leaves once."""
     import numpy as np
