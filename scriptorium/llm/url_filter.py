@@ -1,7 +1,7 @@
 """URL filter: rules by host and path, gradient-boosted trees on lexical features for the rest.
 
-The trees are trained on labelled URLs (here: those a rule decides), at most ``sample_rows`` of them, the
-smallest by a hash of the URL.  Features: lengths, path depth, digit ratio, character entropy, parameter
+The trees are trained on labelled URLs (here: those a rule decides), at most ``sample_rows`` distinct ones, the
+smallest by a hash of the URL, each with its number of rows as weight.  Features: lengths, path depth, digit ratio, character entropy, parameter
 count, and the block rate and count of the host's suffix over all labelled URLs.
 """
 
@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_suffix_rate", "f_suffix_n"]
 
@@ -58,6 +60,26 @@ def lexical(rows: DataFrame, url: str = "_url", host: str = "_host", path: str =
         "_suffix": F.regexp_extract(F.col(host), "[^.]*$", 0)})
 
 
+def sample_urls(labelled: DataFrame, sample_rows: int) -> DataFrame:
+    """(_label, _weight, features) of at most ``sample_rows`` distinct URLs, of both labels where both are seen.
+
+    Rows of one URL are one, weighted by their number.  Where the smallest hashes hold one label only, either label
+    gives half of the sample, weighted back to its rows."""
+    scratch = Scratch(labelled.sparkSession, "urls")
+    urls = labelled.groupBy("_url").agg(F.count(F.lit(1)).cast("double").alias("_weight"), F.first("_label").alias("_label"),
+                                        *[F.first(f).alias(f) for f in FEATURES])
+    order = [F.xxhash64("_url"), F.col("_url")]
+    sample = scratch.cut(urls.orderBy(*order).limit(sample_rows), "sample")
+    if sample.select("_label").distinct().count() < 2:
+        halves = [urls.where(F.col("_label") == c).orderBy(*order).limit(max(1, sample_rows // 2)) for c in (0, 1)]
+        sample = scratch.cut(halves[0].union(halves[1]), "halves")
+        rows = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        held = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.sum("_weight").alias("n")).collect()}
+        back = F.when(F.col("_label") == 1, rows.get(1.0, 0) / held.get(1.0, 1)).otherwise(rows.get(0.0, 0) / held.get(0.0, 1))
+        sample = sample.withColumn("_weight", F.col("_weight") * back)
+    return sample.select("_label", "_weight", *FEATURES)
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url",
                sample_rows: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 11) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, block_score.
@@ -78,9 +100,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     rows = rows.withColumns({"f_suffix_rate": (F.coalesce("_blocks", F.lit(0.0)) + 2 * base) / (n + 2), "f_suffix_n": F.log1p(n)})
     if len(seen) == 2:
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-        sample = rows.where("_rule is not null").select("_url", label.alias("_label"), *FEATURES).orderBy(F.xxhash64("_url")).limit(sample_rows)
-        sample = assemble.transform(sample.repartition(4)).select("_label", "_features")
-        model = GBTClassifier(labelCol="_label", featuresCol="_features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(sample)
+        sample = sample_urls(rows.where("_rule is not null").select("_url", label.alias("_label"), *FEATURES), sample_rows)
+        sample = assemble.transform(sample.repartition(4)).select("_label", "_weight", "_features")
+        model = GBTClassifier(labelCol="_label", featuresCol="_features", weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(sample)
         model.setProbabilityCol("_prob").setRawPredictionCol("_raw").setPredictionCol("_pred")
         rows = model.transform(assemble.transform(rows)).withColumn("block_score", vector_to_array("_prob")[1])
     else:

@@ -270,6 +270,33 @@ def test_url_trees_learn(spark):
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) >= 36
 
 
+def test_url_sample_of_repeated_urls(spark):
+    """URLs repeated by the hundreds are one weighted row each, and a rare label is in the sample."""
+    from scriptorium.llm import url_filter as U
+    urls = [f"http://u{i}.net/{i}" for i in range(60)]
+    label = lambda u: float(int(u.rsplit("/", 1)[1]) % 2)
+    frame = lambda us, lab: spark.createDataFrame([(u, lab(u), *[float(u.rsplit("/", 1)[1])] * len(U.FEATURES)) for u in us], ["_url", "_label", *U.FEATURES])
+    got = U.sample_urls(frame(urls[:3] * 400 + urls[3:], label), 20).collect()
+    assert len(got) == 20 and len({r.f_len for r in got}) == 20 and {r._label for r in got} == {0.0, 1.0}
+    assert all(r._label == r.f_len % 2 and r._weight == (400 if r.f_len < 3 else 1) for r in got)
+    for rare in (urls[0], urls[33]):
+        got = U.sample_urls(frame(urls + [rare] * 2, lambda u, x=rare: float(u == x)), 6).collect()
+        assert len({r.f_len for r in got}) == len(got) <= 6 and {r._label for r in got} == {0.0, 1.0}
+        if [r for r in got if r._label == 1] and len(got) < 6:
+            assert sum(r._weight for r in got) == pytest.approx(62)
+
+
+def test_url_trees_on_repeated_urls(spark):
+    """A few URLs repeated more often than the sample is large do not leave the trees with one class."""
+    from scriptorium.llm import url_filter as U
+    urls = [f"http://h{i}.{'bad' if i % 2 else 'good'}.org/{'9' * 30 if i % 2 else 'abc'}/{i}" for i in range(100)]
+    first = min(urls, key=lambda u: spark.range(1).select(F.xxhash64(F.lit(u))).head()[0])
+    rows = [(i, u) for i, u in enumerate(urls + [first] * 300)] + [(1000 + i, f"http://new{i}.org/{'8' * 29 if i % 2 else 'abd'}/{i}") for i in range(40)]
+    got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad.org", "/"), ("allow", "good.org", "/")], sample_rows=100)
+    got = got.where("rule is null").collect()
+    assert len(got) == 40 and sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) >= 36
+
+
 def test_chat(spark):
     from scriptorium.llm import chat
     rng = random.Random(6)
