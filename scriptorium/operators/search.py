@@ -242,10 +242,11 @@ def totals(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
 
 
-def top_relevance(hits: DataFrame, limit: int) -> DataFrame:
-    """Top ``limit`` per query by (score desc, paperId): ``pos`` 1-based."""
+def top_relevance(hits: DataFrame, limit: int | None) -> DataFrame:
+    """Top ``limit`` per query (all if None) by (score desc, paperId): ``pos`` 1-based."""
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("paperId"))
-    return hits.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
+    ranked = hits.withColumn("pos", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("pos") <= limit)
 
 
 def with_meta(ranked: DataFrame, idx: SearchIndex) -> DataFrame:

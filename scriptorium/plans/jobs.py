@@ -121,7 +121,7 @@ def attributable_excerpts(excerpt_table: DataFrame, *, make_verdict_model: Model
 
 
 def sample_training_pairs(papers: DataFrame, citations: DataFrame, *, field: str, seed: str,
-                          num_excerpts: int, cap_per_paper: int = 5, min_citation_count: int = 20) -> DataFrame:
+                          num_excerpts: int, cap_per_paper: int, min_citation_count: int = 20) -> DataFrame:
     """C7 (service path): shuffled papers, their first citations, excerpts capped."""
     p = co.paper_scan(papers, field=field, year="2016-", min_citation_count=min_citation_count)
     return ex.sample_training_pairs(p, citations, num_excerpts, seed, cap_per_paper)
@@ -142,15 +142,15 @@ def score_query_responses(responses: DataFrame, index: se.SearchIndex, *, key: s
     return scored
 
 
-def rank_queries(gold: DataFrame, index: se.SearchIndex, *, key: str = "qid", limit: int = 30) -> DataFrame:
-    """C9 core (R5): each gold row with relevance_rank, citation_rank, citations, results."""
+def rank_queries(gold: DataFrame, index: se.SearchIndex, *, key: str = "qid", limit: int | None) -> DataFrame:
+    """C9 core (R5): each gold row with relevance_rank, citation_rank, citations, results (the top ``limit``, all if None)."""
     page = se.search_ranked(index, gold.select(F.col(key).alias("qid"), "query"), limit)
     res = se.results_array(page).withColumnRenamed("qid", key)
     return rk.ranked(gold.join(res, key, "left"))
 
 
-def rank_gold_logs(spark, pattern: str, index: se.SearchIndex, *, limit: int = 30) -> DataFrame:
-    """Every valid gold CSV log (header-checked, bound by name), ranked."""
+def rank_gold_logs(spark, pattern: str, index: se.SearchIndex, *, limit: int | None = None) -> DataFrame:
+    """Every valid gold CSV log (header-checked, bound by name), ranked over all results or the top ``limit``."""
     checkpoint_dir(spark)
     gold = csv_logs.read_logs(spark, pattern).withColumn("qid", F.monotonically_increasing_id())
     gold = gold.checkpoint(eager=True)          # the key must not change between the two uses
@@ -211,9 +211,9 @@ def supervised_query_text(ranked: DataFrame, *, template: str = chat.PHI_TEMPLAT
 
 
 def title_context_prompts(titles: DataFrame, queries: DataFrame, index: se.SearchIndex, entries: DataFrame, *,
-                          key: str = "item_id", per_title: int = 10) -> DataFrame:
-    """C13 (S6 X9 J6 A5 Q4): for each (key, rank, title) the title search's top
-    results become citation strings, blocks are concatenated in rank order and
+                          key: str = "item_id", per_title: int | None = None) -> DataFrame:
+    """C13 (S6 X9 J6 A5 Q4): for each (key, rank, title) the title search's
+    results, all or the top ``per_title``, become citation strings, blocks are concatenated in rank order and
     put into the context question with the key's query."""
     t = titles.withColumn("qid", F.concat_ws("#", F.col(key).cast("string"), F.col("rank").cast("string")))
     page = se.search_page(index, t.select("qid", F.col("title").alias("query")), per_title, with_total=False)

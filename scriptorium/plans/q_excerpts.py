@@ -116,7 +116,7 @@ def sharded_verdict_union(spark, sf_dir):
 
 def training_pairs(spark, sf_dir, num_excerpts):
     return jobs.sample_training_pairs(tb.papers(spark, sf_dir), tb.citations(spark, sf_dir), field=FIELD, seed=SEED,
-                                      num_excerpts=num_excerpts)
+                                      num_excerpts=num_excerpts, cap_per_paper=5)
 
 
 @register("training_pairs_capped", with_views(["papers", "citations"], f"""

@@ -113,7 +113,7 @@ def title_context(spark, sf_dir):
     titled = (hits.join(index.select(F.col("vec_id").alias("id"), "title"), "id")
               .select(F.col("qid").alias("item_id"), "rank", "title"))
     asked = bench.select("item_id", tb.first_words(F.col("text")).alias("query"))
-    return jobs.title_context_prompts(titled, asked, paper_index(spark, sf_dir), tb.arxiv_entries(spark, sf_dir)) \
+    return jobs.title_context_prompts(titled, asked, paper_index(spark, sf_dir), tb.arxiv_entries(spark, sf_dir), per_title=10) \
         .select("item_id", "prompt")
 
 

@@ -71,6 +71,22 @@ def test_title_context_prompts(spark):
         assert "citations: " in r.prompt           # a paper's own title finds at least itself
 
 
+def test_jobs_without_a_cap_cut_nothing(spark):
+    """A job's cap is required or, where it may be left out, the whole result set is used."""
+    import inspect
+
+    from scriptorium.operators import search as se
+    for job, cap in ((jobs.sample_training_pairs, "cap_per_paper"), (jobs.rank_queries, "limit")):
+        assert inspect.signature(job).parameters[cap].default is inspect.Parameter.empty
+    for job, cap in ((jobs.rank_gold_logs, "limit"), (jobs.title_context_prompts, "per_title")):
+        assert inspect.signature(job).parameters[cap].default is None
+    idx = paper_index(spark, SF_SMALL)
+    word = tb.papers(spark, SF_SMALL).select(F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").head()["w"]
+    gold = spark.createDataFrame([("0", word)], "qid string, query string")
+    whole, page = (jobs.rank_queries(gold.withColumn("paperId", F.lit("x")), idx, limit=n).head()["results"] for n in (None, 2))
+    assert len(page) <= 2 and whole[:len(page)] == page and len(whole) == se.search_page(idx, gold, 1).head()["total"]
+
+
 def test_streaming_gold_selection_log(spark, scratch):
     ok = json.dumps({"reason": "r", "action": {"name": "select_paper", "paper_id": "7"}})
     bad = json.dumps({"reason": "r", "action": {"name": "select_paper", "paper_id": "8"}})
