@@ -157,3 +157,16 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.decode_ids(pieces.encode_texts(docs))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace(text, F.lit("▁"), F.lit(" "))).alias("round_trip"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole document, a tenth of which the contract makes repeat a stretch to their end."""
+    from scriptorium.llm import runs
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = runs.periodic_runs(docs, prepare=runs.plant, keep_text=False)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    rows = rows.withColumn("_best", best)
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.s")).alias("start"), F.col("_best.length").alias("length"),
+                       (-F.col("_best.p")).alias("period"), F.expr("1000 * _best.length div -_best.p").alias("exponent_milli"),
+                       "runs_sha256", "collapsed_sha256")

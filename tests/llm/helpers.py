@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -104,3 +105,36 @@ def base_spans(t: str) -> list[str]:
             if ok:
                 out.append(f"{kind}:{m.start()}:{m.end()}")
     return out
+
+
+def word_runs(words: list[str], min_length: int = 12) -> list[tuple]:
+    """(start, length, period) of all runs: every lag's maximal stretches, the smallest lag of equal ones."""
+    out: dict[tuple, int] = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(min_length, 2 * q):
+                out.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted((s, n, q) for (s, n), q in out.items())
+
+
+def planted_words(doc_id: int | None, text: str | None) -> list[str]:
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    a = (h // 10) % len(w)
+    p = 1 + (len(w) - a) // (3 + (h // 10) % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+
+
+def run_row(doc_id: int | None, words: list[str]) -> tuple:
+    """n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256."""
+    runs = word_runs(words)
+    kept = [w for i, w in enumerate(words) if not any(s + q <= i < s + n for s, n, q in runs)]
+    s, n, q = max(runs, key=lambda r: (r[1], -r[0], -r[2])) if runs else (None, None, None)
+    return (len(runs), s, n, q, 1000 * n // q if runs else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(" ".join(kept)))
