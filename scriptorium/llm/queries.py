@@ -170,3 +170,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.s")).alias("start"), F.col("_best.length").alias("length"),
                        (-F.col("_best.p")).alias("period"), F.expr("1000 * _best.length div -_best.p").alias("exponent_milli"),
                        "runs_sha256", "collapsed_sha256")
+
+
+@register("op13_hard_negatives", oracle.OP13)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.hard_negatives import mine
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10).otherwise(rows["label"])
+    whole = F.transform(rows["embedding"].cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * 256).cast("double")))
+    found = mine(rows.select("vec_id", whole.alias("embedding"), label.alias("label")), F.col("id") % 100 == 0)
+    return found.withColumns({"positive_score": F.col("positive_score").cast("long"), "negative_score": F.col("negative_score").cast("long")})
