@@ -180,3 +180,10 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.transform(rows["embedding"].cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * 256).cast("double")))
     found = mine(rows.select("vec_id", whole.alias("embedding"), label.alias("label")), F.col("id") % 100 == 0)
     return found.withColumns({"positive_score": F.col("positive_score").cast("long"), "negative_score": F.col("negative_score").cast("long")})
+
+
+@register("op11_quality_rules", oracle.op11(30, 40))
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.quality import quality_rules
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules(docs, carry=[docs["doc_id"]])
