@@ -39,12 +39,20 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         for name in names:
             if path := self.paths.pop(name, None):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def close(self) -> None:
+        """Remove everything: after the last read."""
+        self.paths.clear()
+        self._delete(self.base)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -5,9 +5,10 @@ and their 4- and 5-letter heads, so that inflected forms share a term.  The pair
 combinations (an insult with a group mention) that no sum of single weights can express.
 
 Training takes a bounded sample of labelled rows (``sample_rows`` per class, the smallest by a hash of the
-id), weighted back to the class counts of all labelled rows; its hashed terms are fitted with numpy on the
-driver, where memory is bounded by the sample.  The model holds at most ``max_terms`` terms.  Scoring is one
-scan: Arrow batches, no shuffle, whole texts.
+id), weighted back to the class counts of all labelled rows.  Their terms are counted by class and cut to the
+``max_terms`` most telling ones in Spark; the driver gets, per row, the numbers of those it holds, and fits with
+numpy, so its memory is bounded by rows and terms whatever the texts' lengths.  Scoring is one scan: Arrow
+batches, no shuffle, whole texts.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import Scratch
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words kept in a worker's memory with their terms; beyond it the memory is emptied.
 MEMO = 400_000
+#: Characters of a text looked at at once.
+PIECE = 1 << 20
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -39,7 +44,16 @@ def word_terms(word: str) -> tuple[int, ...]:
 
 
 def words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+    """Distinct lower-cased words, found in bounded pieces of the text that end where a word does."""
+    out: set[str] = set()
+    at, size = 0, len(text or "")
+    while at < size:
+        end = min(at + PIECE, size)
+        while end < size and text[end - 1].isalnum():
+            end += 1
+        out.update(_WORD.findall(text[at:end].lower()))
+        at = end
+    return out
 
 
 @dataclass
@@ -57,49 +71,31 @@ class Model:
         return float(self.bias + self.w[idx].sum() + 0.5 * (s @ s - (v * v).sum()))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, max_terms: int = 4096, min_rows: int = 3, min_chi: float = 15.0,
-        rank: int = 4, epochs: int = 12, min_steps: int = 2000, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Logistic FM by Adagrad over rows of distinct term hashes.
+def fit(terms: np.ndarray, lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int = 4, epochs: int = 12,
+        min_steps: int = 2000, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Logistic FM by Adagrad over rows of distinct indices into ``terms``.
 
-    Terms in fewer than ``min_rows`` rows or with a chi-square against the label under ``min_chi`` are left out;
-    of the rest the ``max_terms`` with the largest stay.  Few rows are passed over more often, for ``min_steps``
-    batches at least.  Without rows of both classes the model is the prior alone."""
+    Few rows are passed over more often, for ``min_steps`` batches at least.  Without rows of both classes the model
+    is the prior alone."""
     pos, neg = float((weight * (y == 1)).sum()), float((weight * (y == 0)).sum())
     bias = float(np.log((pos + 0.5) / (neg + 0.5)))
     if not pos or not neg:
         return Model(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, rank)))
-    lens = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if lens.sum() else np.zeros(0, np.int64)
-    terms, inv, n = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(rows)), lens)
-    n1 = np.bincount(inv, (weight * (y == 1))[owner], len(terms))
-    n0 = np.bincount(inv, (weight * (y == 0))[owner], len(terms))
-    shrink = len(rows) / (pos + neg)  # to the rows seen
-    chi = shrink * (pos + neg) * (n1 * neg - n0 * pos) ** 2 / (pos * neg * (n1 + n0) * np.maximum(pos + neg - n1 - n0, 1))
-    chi[n < min_rows] = 0
-    keep = np.sort(np.argsort(-chi, kind="stable")[:max_terms])
-    keep = keep[chi[keep] >= min_chi]
-    place = np.full(len(terms), -1)
-    place[keep] = np.arange(len(keep))
-    sel = place[inv] >= 0
-    idx, owner = place[inv[sel]], owner[sel]
-    ends = np.cumsum(np.bincount(owner, minlength=len(rows)))
-    lists = np.split(idx, ends[:-1])
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(keep)), rng.normal(0, 0.01, (len(keep), rank))
-    gw, gv, gb = np.full(len(keep), 1e-6), np.full((len(keep), rank), 1e-6), 1e-6
+    w, v = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), rank))
+    gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), rank), 1e-6), 1e-6
     scale = weight / weight.mean()
-    batches = max(1, len(rows) // 64)
+    batches = max(1, len(lists) // 64)
     for _ in range(max(epochs, min_steps // batches)):
-        for part in np.array_split(rng.permutation(len(rows)), batches):
+        for part in np.array_split(rng.permutation(len(lists)), batches):
             own = np.repeat(np.arange(len(part)), [len(lists[i]) for i in part])
-            ix = np.concatenate([lists[i] for i in part]) if len(part) else np.zeros(0, np.int64)
+            ix = np.concatenate([lists[i] for i in part]).astype(np.int64) if len(part) else np.zeros(0, np.int64)
             s = np.zeros((len(part), rank))
             np.add.at(s, own, v[ix])
             sq = np.bincount(own, (v[ix] ** 2).sum(1), len(part))
             z = bias + np.bincount(own, w[ix], len(part)) + 0.5 * ((s * s).sum(1) - sq)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * scale[part] / len(part)
-            g = np.bincount(ix, err[own], len(keep)) + decay * w
+            g = np.bincount(ix, err[own], len(terms)) + decay * w
             h = np.zeros_like(v)
             np.add.at(h, ix, err[own, None] * (s[own] - v[ix]))
             h += decay * v
@@ -109,11 +105,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, max_terms: in
             w -= rate * g / np.sqrt(gw)
             v -= 0.3 * rate * h / np.sqrt(gv)
             bias -= rate * err.sum() / np.sqrt(gb)
-    return Model(terms[keep], bias, w, v)
+    return Model(terms, bias, w, v)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str):
-    """(term rows, labels, weights) of at most ``sample_rows`` labelled rows a class.
+def sample_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """(_id, _y, _terms) of at most ``sample_rows`` labelled rows a class, and the labelled rows of each class.
 
     An id is one row however often it repeats in ``docs``: the one with the smallest hash of its text."""
     marked = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
@@ -132,21 +128,48 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(terms, pa.list_(pa.int64()))], ["_id", "_y", "_terms"])
 
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, _terms array<bigint>"
-    got = rows.mapInArrow(featurize, schema).toArrow().sort_by([("_id", "ascending")])
-    y = got.column("_y").to_numpy()
-    lists = got.column("_terms").combine_chunks()
-    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    per = {c: counts.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], y, np.array([per[int(c)] for c in y], float)
+    return rows.mapInArrow(featurize, schema), counts
+
+
+def telling_terms(rows: DataFrame, per: dict[int, float], n: int, max_terms: int, min_rows: int, min_chi: float) -> np.ndarray:
+    """The terms, at most ``max_terms``, with the largest chi-square against the label, weighted by class; terms in fewer
+    than ``min_rows`` rows or under ``min_chi`` are left out.  Counted and cut in Spark: only these reach the driver."""
+    counts = rows.select("_y", F.explode("_terms").alias("t")).groupBy("t").agg(F.count_if(F.col("_y") == 1).alias("c1"), F.count_if(F.col("_y") == 0).alias("c0"))
+    pos, neg = per[1] * n[1], per[0] * n[0]
+    n1, n0, all_rows = F.col("c1") * per[1], F.col("c0") * per[0], pos + neg
+    shrink = (n[0] + n[1]) / all_rows  # to the rows seen
+    miss = F.greatest(all_rows - n1 - n0, F.lit(1.0))
+    chi = shrink * all_rows * F.pow(n1 * neg - n0 * pos, 2) / (pos * neg * (n1 + n0) * miss)
+    best = counts.where(F.col("c0") + F.col("c1") >= min_rows).select("t", chi.alias("chi")).where(F.col("chi") >= min_chi)
+    best = best.orderBy(F.desc("chi"), "t").limit(max_terms).select("t").toArrow()
+    return np.sort(best["t"].to_numpy().astype(np.int64))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", **fit_args) -> Model:
+          label_col: str = "toxic", max_terms: int = 4096, min_rows: int = 3, min_chi: float = 15.0, **fit_args) -> Model:
     """A model from the rows of ``labels`` (others' labels must be taken out by the caller).
 
     Labels other than 0 and 1 and null ids are left out; an id labelled twice counts once, toxic if once so, and an
     id with several rows in ``docs`` gives one of them."""
-    return fit(*sample_labelled(docs, labels, sample_rows, id_col, text_col, label_col), **fit_args)
+    rows, counts = sample_labelled(docs, labels, sample_rows, id_col, text_col, label_col)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.cut(rows, "terms")
+    n = {0: 0, 1: 0} | {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = {c: counts.get(c, 0) / max(1, n[c]) for c in n}
+    terms = telling_terms(rows, per, n, max_terms, min_rows, min_chi) if n[0] and n[1] else np.zeros(0, np.int64)
+
+    def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.flatnonzero(np.isin(terms, x.values.to_numpy(), assume_unique=True)).astype(np.int16) for x in b.column("_terms")]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(own, pa.list_(pa.int16()))], ["_id", "_y", "_own"])
+
+    # at most 2 x sample_rows lists of at most max_terms numbers, whatever the texts' lengths
+    got = rows.mapInArrow(indices, f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, _own array<smallint>").toArrow().sort_by([("_id", "ascending")])
+    scratch.close()
+    y, own = got.column("_y").to_numpy(), got.column("_own").combine_chunks()
+    values, ends = own.values.to_numpy(), own.offsets.to_numpy()
+    lists = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return fit(terms, lists, y, np.array([per[int(c)] for c in y], float), **fit_args)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:

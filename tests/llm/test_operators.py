@@ -396,7 +396,8 @@ def test_toxicity_learns_pairs():
         rows.append(np.array(sorted({h for w in X.words(text) for h in X.word_terms(w)}), np.int64))
         y.append(int(a and b))
     y = np.array(y)
-    m = X.fit(rows[:1000], y[:1000], np.ones(1000))
+    all_terms = np.unique(np.concatenate(rows[:1000]))
+    m = X.fit(all_terms, [np.searchsorted(all_terms, r) for r in rows[:1000]], y[:1000], np.ones(1000))
     place = {int(h): i for i, h in enumerate(m.terms)}
     z = np.array([m.raw(np.array([place[int(h)] for h in r if int(h) in place], np.int64)) for r in rows[1000:]])
     assert ((z > 0) == (y[1000:] == 1)).mean() > 0.97 and np.abs(m.v).max() > 0.1
@@ -423,13 +424,53 @@ def test_toxicity_repeated_ids(spark):
     rows = [(i, f"words {i % 5} {'idiot' if i % 2 else 'fine'}") for i in range(40)]
     rows += [(3, f"copy {k % 7}") for k in range(500)] + [(4, None)] * 50 + [(5, rows[5][1])] * 50
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(900, 1)], "doc_id long, toxic int")
-    take = lambda r, n: X.sample_labelled(H.frame(spark, r), labels, n, "doc_id", "text", "toxic")
-    terms, y, weight = take(rows, 10)
-    assert len(terms) == len(y) == 20 and weight.sum() == 41
-    terms, y, weight = take(rows, 100)
-    assert len(terms) == 40 and (y == np.arange(40) % 2).all() and weight.sum() == 41 and not len(terms[4])
+    def take(r, n):
+        sample, counts = X.sample_labelled(H.frame(spark, r), labels, n, "doc_id", "text", "toxic")
+        got = sorted(sample.collect())
+        return [x["_terms"] for x in got], np.array([x["_y"] for x in got]), counts
+    terms, y, counts = take(rows, 10)
+    assert len(terms) == len(y) == 20 and sum(counts.values()) == 41
+    terms, y, counts = take(rows, 100)
+    assert len(terms) == 40 and (y == np.arange(40) % 2).all() and sum(counts.values()) == 41 and not len(terms[4])
     again = take(rows[::-1], 100)
-    assert [t.tolist() for t in terms] == [t.tolist() for t in again[0]]
+    assert terms == again[0]
+
+
+def test_toxicity_terms_and_score(spark):
+    """Terms by chi-square against plain Python; the score against the double sum over pairs."""
+    import numpy as np
+
+    from scriptorium.llm import toxicity as X
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["grumf", "zolk", "plim", "dar", f"u{rng.randrange(30)}x"]) for _ in range(rng.randint(0, 6)))) for i in range(300)]
+    lab = {i: int("grumf" in t and rng.random() < 0.7 or rng.random() < 0.1) for i, t in rows}
+    sample, counts = X.sample_labelled(H.frame(spark, rows), spark.createDataFrame(list(lab.items()), "doc_id long, toxic int"), 60, "doc_id", "text", "toxic")
+    got = sample.collect()
+    n = {c: sum(r["_y"] == c for r in got) for c in (0, 1)}
+    per = {c: counts[c] / n[c] for c in n}
+    want = {}
+    for t in {t for r in got for t in r["_terms"]}:
+        c = [sum(t in r["_terms"] and r["_y"] == k for r in got) for k in (0, 1)]
+        a, b, pos, neg = c[1] * per[1], c[0] * per[0], n[1] * per[1], n[0] * per[0]
+        chi = (n[0] + n[1]) / (pos + neg) * (pos + neg) * (a * neg - b * pos) ** 2 / (pos * neg * (a + b) * max(pos + neg - a - b, 1))
+        if sum(c) >= 3 and chi >= 0.5:
+            want[t] = chi
+    assert X.telling_terms(sample, per, n, 1000, 3, 0.5).tolist() == sorted(want)
+    assert X.telling_terms(sample, per, n, 4, 3, 0.5).tolist() == sorted(sorted(want, key=lambda t: (-want[t], t))[:4])
+    gen = np.random.default_rng(1)
+    m = X.Model(np.arange(9), 0.3, gen.normal(size=9), gen.normal(size=(9, 4)))
+    for idx in ([], [3], [0, 2, 5, 8]):
+        plain = m.bias + sum(m.w[i] for i in idx) + sum(float(m.v[i] @ m.v[j]) for i in idx for j in idx if i < j)
+        assert abs(m.raw(np.array(idx, np.int64)) - plain) < 1e-9
+
+
+def test_toxicity_words_in_pieces(monkeypatch):
+    from scriptorium.llm import toxicity as X
+    text = "One two,three x² 42 été " + "y" * 50 + " end9tail"
+    whole = X.words(text)
+    for size in (1, 2, 7):
+        monkeypatch.setattr(X, "PIECE", size)
+        assert X.words(text) == whole
 
 
 def test_toxicity_held_out(spark):
