@@ -29,6 +29,8 @@ from scriptorium.llm.common import Scratch
 
 BLOCK_ROWS = 2048
 BLOCK_ANCHORS = 256
+#: Result rows a task gathers before it merges them.
+HELD_ROWS = 400_000
 #: Slack of computed distances, as a share of the largest norm (a hundred times their rounding).
 SLACK = 1e-6
 
@@ -257,14 +259,30 @@ def visits(anchors: DataFrame, tree: Tree, blocks: dict[int, tuple[int, int]], w
     return anchors.mapInArrow(task, "a bigint, b bigint")
 
 
-def meet(pairs: DataFrame, anchors: DataFrame, rows: DataFrame, kernel: Callable, schema: str, width: int) -> DataFrame:
-    """``kernel(anchor block, row block, scores)`` over every pair of blocks."""
+def first_rows(cols: list[np.ndarray], keep: int) -> list[np.ndarray]:
+    """Of columns (group columns..., id, score) the first ``keep`` rows of every group, by score, then id."""
+    *groups, ids, score = cols
+    order = np.lexsort((ids, -score, *groups[::-1]))
+    cols = [c[order] for c in cols]
+    new = np.ones(len(ids), bool)
+    if len(ids):
+        new[1:] = np.any([g[1:] != g[:-1] for g in cols[:len(groups)]], axis=0)
+    at = np.arange(len(ids))
+    rank = at - np.maximum.accumulate(np.where(new, at, 0))
+    return [c[rank < keep] for c in cols]
+
+
+def meet(pairs: DataFrame, anchors: DataFrame, rows: DataFrame, kernel: Callable, schema: str, width: int, keep: int) -> DataFrame:
+    """``kernel(anchor block, row block, scores)`` over every pair of blocks; a task passes on the first ``keep`` rows of
+    each group it has seen, merging whenever ``HELD_ROWS`` have gathered."""
     extra = [c for c in anchors.columns if c not in ("block", "ids", "labels", "mat")]
     left = anchors.select(F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), F.col("mat").alias("a_mat"), *extra)
     joined = pairs.join(left, "a").join(rows.withColumnRenamed("block", "b"), "b")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k] for n in batch.schema.names}
@@ -272,7 +290,16 @@ def meet(pairs: DataFrame, anchors: DataFrame, rows: DataFrame, kernel: Callable
                 x, y = unpack(row["a_mat"].as_py(), width), unpack(row["mat"].as_py(), width)
                 out = kernel({n: row[n].as_py() for n in extra}, arr("a_ids", np.int64), arr("a_labels", np.int64),
                              arr("ids", np.int64), arr("labels", np.int64), x @ y.T)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+                held.append(out)
+                size += len(out[0])
+                if size > HELD_ROWS:
+                    held = [first_rows([np.concatenate(c) for c in zip(*held, strict=True)], keep)]
+                    size = len(held[0][0])
+                    if size > HELD_ROWS // 2:  # many anchors: pass on what is known so far
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in first_rows([np.concatenate(c) for c in zip(*held, strict=True)], keep)], names)
     return joined.mapInArrow(task, schema)
 
 
@@ -321,7 +348,7 @@ def mine(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_col:
             i, j = np.nonzero(np.take_along_axis(ok, order, 1))
             return a_ids[i], ids[order[i, j]], score[i, order[i, j]]
         pairs = visits(who, tree, blocks, width, wanted, near, first)
-        return scratch.cut(meet(pairs, who, packed, kernel, "anchor_id bigint, positive_id bigint, positive_score double", width), name)
+        return scratch.cut(meet(pairs, who, packed, kernel, "anchor_id bigint, positive_id bigint, positive_score double", width, positives), name)
 
     rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id"))
     found = best("positives", pack(anchors.withColumn("floor", F.lit(-np.inf)), F.col("block"), width, {"floor": "double"}), True)
@@ -369,7 +396,7 @@ def mine(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_col:
                 out.append((a_ids[i], np.full(len(i), k + 1), ids[order[i, at[i, j]]], got[i, j]))
             return [np.concatenate(c) for c in zip(*out, strict=True)]
         pairs = visits(who, tree, blocks, width, wanted, near, first)
-        return scratch.cut(meet(pairs, who, packed, kernel, "anchor_id bigint, nth bigint, negative_id bigint, negative_score double", width), name)
+        return scratch.cut(meet(pairs, who, packed, kernel, "anchor_id bigint, nth bigint, negative_id bigint, negative_score double", width, negatives), name)
 
     place = F.row_number().over(Window.partitionBy("anchor_id", "nth").orderBy(F.desc("negative_score"), "negative_id"))
     with_p = scratch.cut(anchors.join(state, "id"), "windows")

@@ -62,6 +62,7 @@ def test_small_blocks(spark, monkeypatch):
     from scriptorium.llm import hard_negatives as H
     monkeypatch.setattr(H, "BLOCK_ROWS", 16)
     monkeypatch.setattr(H, "BLOCK_ANCHORS", 4)
+    monkeypatch.setattr(H, "HELD_ROWS", 50)
     rows = vectors("copies", 300, 5) + [(1000 + i, v, lab) for i, v, lab in vectors("clusters", 200, 6)]
     docs = spark.createDataFrame([(*r, [1], "x", 0) for r in rows], SCHEMA)
     got = H.mine(docs, F.col("id") % 10 == 0, positives=3, negatives=4, window=(1, 2, 2), sample_rows=100, branch=5, leaf_rows=40)
