@@ -33,10 +33,14 @@ class Scratch:
         self.paths: dict[str, str] = {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back.  A name given again takes the place of the table before, which goes."""
         self.n += 1
+        old = self.paths.get(name)
         path = self.paths[name] = f"{self.base}/{self.n:03d}-{name}"
         schema = df.schema
         df.write.parquet(path)
+        if old:
+            self._delete(old)
         return self.spark.read.schema(schema).parquet(path)
 
     def _delete(self, path: str) -> None:

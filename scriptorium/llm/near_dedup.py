@@ -1,14 +1,16 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Signatures keep the low 16 bits of ``bands * rows`` minima over a document's set of word shingles.  Bands of
-the packed signature propose pairs, the share of equal signature parts, corrected for chance collisions,
-estimates their similarity, and the full shingle sets confirm every link exactly.
+Signatures pack the low ``BITS`` bits of ``bands * rows`` minima over a document's set of word shingles.  Bands of
+the packed signature propose pairs, the count of equal lanes (bits of the folded exclusive or), corrected for
+chance collisions, estimates their similarity, and the full shingle sets confirm every link exactly.
 
 Documents with equal sets form one node first, so exact copies never meet as pairs.  Inside a band bucket
 pairs are not all emitted: each node is first confirmed against one pivot, the bucket pivot it shares most
-bands with, which turns a large group of near copies into one component.  Nodes of one bucket that are still
-in different components are compared afterwards, block by block on their signatures, and only probable pairs
-are confirmed.  No link between components is lost.
+bands with, which turns a large group of near copies into one component.  What is left in different components
+is compared in cells, blocks of a bucket's nodes that carry signatures and shingle sets: first, for a few turns,
+every block with itself only (each node once), then every pair of blocks.  A cell goes through its probable pairs,
+the likeliest first, skips those that are in one component by then, confirms the others on the sets and passes on
+the links that join components; no list of pairs leaves it.  No link between components is lost.
 
 Scale: band buckets are counted with partial aggregation; a hot bucket is split by the adaptive skew join
 because every join reads written tables.  Texts of nodes that occur in a pair are fetched once.
@@ -28,7 +30,7 @@ from scriptorium.llm import kernels as K
 from scriptorium.llm.common import Scratch, components
 
 #: Bands and rows at thresholds of 0.75 and more; ``scheme`` has those of lower ones.
-BANDS, ROWS, BITS = 48, 5, 16
+BANDS, ROWS, BITS = 48, 5, 8
 #: A link is in no common band with at most this probability, at any threshold.
 MISS = 2.5e-6
 _gen = np.random.default_rng(77)
@@ -38,9 +40,11 @@ BAND_MUL = _gen.integers(1, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.
 #: A pair is confirmed on full sets unless its estimate is this far below the threshold, and so many deviations.
 SLACK, DEVIATIONS = 0.12, 4.25
 #: Turns of pivots before what is left is compared in blocks (the result is the same after any number).
-STAR_TURNS = 3
-#: Nodes of a block of a bucket.
-BLOCK_NODES = 256
+STAR_TURNS = 2
+#: Turns in which blocks are compared with themselves only.
+BLOCK_TURNS = 2
+#: Nodes of a block of a bucket, and shingles of all of them.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def scheme(threshold: float) -> tuple[int, int, float]:
@@ -64,21 +68,35 @@ def signature(s: np.ndarray, mul: np.ndarray = MUL, add: np.ndarray = ADD) -> by
     low = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
     for part in np.array_split(s, len(s) // 4096 + 1):
         low = np.minimum(low, (part[:, None] * mul + add).min(0))
-    return ((low ^ (low >> np.uint64(32))) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+    return (low ^ (low >> np.uint64(32))).astype(np.uint8).tobytes()
 
 
 def band_keys(sigs: list[bytes], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    parts = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), bands, rows).astype(np.uint64)
+    parts = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), bands, rows).astype(np.uint64)
     keys = (K.mix(parts + np.uint64(1)) * BAND_MUL[:rows]).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return K.mix(keys).view(np.int64)
 
 
-def estimate(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Similarities from packed signatures, corrected for chance collisions of the low bits."""
-    x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), -1)
-    same = (x == np.frombuffer(b"".join(b), np.uint16).reshape(len(b), -1)).mean(1)
+def packed(sigs: list[bytes]) -> np.ndarray:
+    """Signatures as rows of 64-bit words, filled up with 0."""
+    size = len(sigs[0]) if sigs else 0
+    out = np.zeros((len(sigs), -(-size // 8) * 8), np.uint8)
+    out[:, :size] = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), size)
+    return out.view(np.uint64)
+
+
+def likeness(x: np.ndarray, y: np.ndarray, lanes: int) -> np.ndarray:
+    """Similarities of packed rows from the bits that count unequal lanes, corrected for chance collisions."""
+    apart = x ^ y
+    for fold in (4, 2, 1):
+        apart |= apart >> np.uint64(fold)
+    unlike = np.bitwise_count(apart & np.uint64(0x0101010101010101)).sum(1, dtype=np.int64)
     chance = 2.0 ** -BITS
-    return (same - chance) / (1 - chance)
+    return (1 - unlike / lanes - chance) / (1 - chance)
+
+
+def estimate(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    return likeness(packed(a), packed(b), len(a[0]) if a else 1)
 
 
 def _texts(column) -> list[bytes]:
@@ -113,30 +131,54 @@ def _bands(bands: int, rows: int):
 
 
 def compare_cells(num: int, den: int, floor: float, bands: int = BANDS, rows: int = ROWS):
-    """A task over rows sorted by cell (_band, _i, _j): the probable pairs between the blocks _i and _j of a bucket."""
-    def cell(keys, own, nid, comp, n, sig) -> tuple[np.ndarray, np.ndarray]:
+    """A task over rows sorted by cell (_band, _i, _j): links between the blocks _i and _j of a bucket that join components.
+
+    Every probable pair (size and estimate allow the threshold) of different components is looked at in the cell of
+    the first band it shares only."""
+    def probable(band, a, b, same_block, comp, n, sig, words) -> tuple[np.ndarray, np.ndarray]:
+        """Probable pairs, the likeliest first."""
+        found = []
+        step = max(1, 100_000 // max(1, len(b)))
+        for at in range(0, len(a), step):
+            x, y = np.repeat(a[at:at + step], len(b)), np.tile(b, len(a[at:at + step]))
+            take = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+            if same_block:
+                take &= x < y
+            x, y = x[take], y[take]
+            near = likeness(words[x], words[y], bands * rows)
+            likely = near >= floor
+            x, y, near = x[likely], y[likely], near[likely]
+            if len(x):
+                shared = (sig[x] == sig[y]).reshape(-1, bands, rows).all(2)
+                first = band_keys([r.tobytes() for r in sig[x]], bands, rows)[np.arange(len(x)), shared.argmax(1)] == band
+                found.append((x[first], y[first], near[first]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        x, y, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(-near, kind="stable")
+        return x[order], y[order]
+
+    def cell(keys, own, nid, comp, n, sig, words, sets) -> tuple[list[int], list[int]]:
         band, i, j = keys
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-        take = comp[x] != comp[y]
-        if i == j:
-            take &= x < y
-        x, y = x[take], y[take]
-        fits = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
-        x, y = x[fits], y[fits]
+        x, y = probable(band, np.flatnonzero(own == i), np.flatnonzero(own == j), i == j, comp, n, sig, words)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
         out_x, out_y = [], []
-        for at in range(0, len(x), 20_000):
-            p, q = x[at:at + 20_000], y[at:at + 20_000]
-            same = sig[p] == sig[q]
-            near = (same.mean(1) - 2.0 ** -BITS) / (1 - 2.0 ** -BITS) >= floor
-            # a pair leaves from the first band it shares only
-            shared = same[near].reshape(-1, bands, rows).all(2)
-            p, q = p[near], q[near]
-            first = band_keys([sig[r].tobytes() for r in p], bands, rows)[np.arange(len(p)), shared.argmax(1)] == band if len(p) else np.zeros(0, bool)
-            out_x.append(nid[p[first]])
-            out_y.append(nid[q[first]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate(out_x or [none]), np.concatenate(out_y or [none])
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = find(int(comp[p])), find(int(comp[q]))
+            if a == b:
+                continue
+            both = len(np.intersect1d(np.frombuffer(sets[p].as_buffer(), np.uint64), np.frombuffer(sets[q].as_buffer(), np.uint64), assume_unique=True))
+            if den * both >= num * (int(n[p]) + int(n[q]) - both):
+                root[a] = b
+                out_x.append(int(nid[p]))
+                out_y.append(int(nid[q]))
+        return out_x, out_y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -152,11 +194,12 @@ def compare_cells(num: int, den: int, floor: float, bands: int = BANDS, rows: in
                 held.extend(table.slice(starts[-2]).to_batches())
                 starts = starts[:-1]
             own, nid, comp, n = (table.column(c).to_numpy() for c in ("_own", "_nid", "_c", "_n"))
-            sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+            raw, sets = table.column("_sig").to_pylist(), table.column("_set").combine_chunks()
+            sig, words = np.frombuffer(b"".join(raw), np.uint8).reshape(table.num_rows, -1), packed(raw)
             for s, e in zip(starts[:-1], starts[1:], strict=True):
-                x, y = cell(keys[s], own[s:e], nid[s:e], comp[s:e], n[s:e], sig[s:e])
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["_x", "_y"])
+                x, y = cell(keys[s], own[s:e], nid[s:e], comp[s:e], n[s:e], sig[s:e], words[s:e], sets[s:e])
+                if x:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["_x", "_y"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
@@ -217,6 +260,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ok.append(den * both >= num * (len(s) + len(mine) - both))
             yield b.select(["_x", "_y"]).filter(pa.array(ok, pa.bool_()))
 
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [s.tobytes() for _, part in K.by_bytes(_texts(b.column("_text"))) for s in K.shingle_sets(part)]
+            yield pa.RecordBatch.from_arrays([b.column("_nid"), pa.array(found, pa.binary())], ["_nid", "_set"])
+
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -230,17 +278,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = both.where(F.least("_nx", "_ny") * den >= F.greatest("_nx", "_ny") * num).select("_x", "_y", "_sx", "_sy")
         return both.mapInArrow(likely, "_x bigint, _y bigint")
 
-    def cross_pairs(rows: DataFrame) -> DataFrame:
-        """The probable pairs of nodes of one bucket in different components.
-
-        A bucket is dealt to blocks of about ``BLOCK_NODES`` nodes by hash; every pair of blocks is compared in
-        one step on the signatures, and only probable pairs leave it, from the first band they share.  No task
-        holds more than two blocks, and no list of a bucket's pairs is made."""
-        wide = rows.join(sigs.select("_nid", "_sig"), "_nid").withColumn("_blocks", F.ceil(F.col("_m") / BLOCK_NODES))
-        wide = wide.withColumn("_own", F.pmod(F.xxhash64("_nid", F.lit(3)), F.col("_blocks")))
-        wide = wide.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    def cell_links(rows: DataFrame, sets: DataFrame, turn: int | None) -> DataFrame:
+        """Links between nodes of one bucket in different components.
+
+        A bucket is dealt by hash to blocks of about ``BLOCK_NODES`` nodes and ``BLOCK_SHINGLES`` shingles.  With
+        ``turn`` a block is compared with itself, dealt anew each turn; without, with every block of its bucket.
+        No task holds more than two blocks, and no list of a bucket's pairs is made."""
+        wide = rows.join(sets, "_nid")
+        wide = wide.withColumn("_blocks", F.ceil(F.greatest(F.col("_m") / BLOCK_NODES, F.col("_sum") / BLOCK_SHINGLES)))
+        wide = wide.withColumn("_own", F.pmod(F.xxhash64("_nid", F.lit(turn or 0)), F.col("_blocks")))
+        others = F.array("_own") if turn is not None else F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
+        wide = wide.withColumn("_other", F.explode(others))
         wide = wide.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
-        wide = wide.select("_band", "_i", "_j", "_own", "_nid", "_c", "_n", "_sig")
+        wide = wide.select("_band", "_i", "_j", "_own", "_nid", "_c", "_n", "_sig", "_set")
         cells = wide.repartition("_band", "_i", "_j").sortWithinPartitions("_band", "_i", "_j")
         return cells.mapInArrow(compare_cells(num, den, floor, n_bands, n_rows), "_x bigint, _y bigint")
 
@@ -258,22 +308,35 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ends = new.join(label.select(F.col("_nid").alias("_x"), F.col("_c").alias("a")), "_x")
         ends = ends.join(label.select(F.col("_nid").alias("_y"), F.col("_c").alias("b")), "_y").select("a", "b")
         moved = components(ends, scratch).select(F.col("node").alias("_c"), "root")
-        return scratch.cut(label.join(moved, "_c", "left").select("_nid", F.coalesce("root", "_c").alias("_c")), f"{name}-label")
+        out = scratch.cut(label.join(moved, "_c", "left").select("_nid", F.coalesce("root", "_c").alias("_c")), f"{name}-label")
+        scratch.drop("cc", *[k for k in scratch.paths if k.endswith("-label") and k != f"{name}-label"])
+        return out
 
-    label, turn, productive = some.select("_nid", F.col("_nid").alias("_c")), 0, True
+    label, turn, productive, sets = some.select("_nid", F.col("_nid").alias("_c")), 0, True, None
     while True:
         now = scratch.cut(bands.join(label, "_nid"), f"now{turn}")
-        mixed = now.groupBy("_band").agg(F.count(F.lit(1)).alias("_m"), F.min("_c").alias("_a"), F.max("_c").alias("_z"))
-        mixed = scratch.cut(mixed.where("_a <> _z").select("_band", "_m"), f"mixed{turn}")
+        mixed = now.groupBy("_band").agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_sum"), F.min("_c").alias("_a"), F.max("_c").alias("_z"))
+        mixed = scratch.cut(mixed.where("_a <> _z").select("_band", "_m", "_sum"), f"mixed{turn}")
         open_rows = scratch.cut(now.join(mixed, "_band"), f"open{turn}")
-        per = open_rows.groupBy("_band", "_c").agg(F.count(F.lit(1)).alias("k")).groupBy("_band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"))
-        rows_open, pairs_open = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).head()
-        if not rows_open:
-            break
-        if turn >= STAR_TURNS or turn and (not productive or pairs_open <= 4 * rows_open):
-            new, _ = confirmed(cross_pairs(open_rows), "rest")
-            label = merged(label, new, "rest")
+        scratch.drop("buckets", f"now{turn - 1}", f"open{turn - 1}", f"now{turn}", f"mixed{turn}")
+        bands = open_rows.select("_band", "_nid", "_n")  # a bucket that is one component stays one
+        widest = open_rows.agg(F.max("_m")).head()[0]
+        if not widest:
             break
+        if turn >= STAR_TURNS or turn and not productive:
+            if sets is None:
+                nodes_open = open_rows.select("_nid").distinct()
+                sets = texts.join(nodes_open, "_nid").mapInArrow(shingled, "_nid bigint, _set binary").join(sigs.select("_nid", "_sig"), "_nid")
+                sets = scratch.cut(sets, "sets")
+                scratch.drop("texts")
+                cells_from = turn
+            last = turn - cells_from >= BLOCK_TURNS or widest <= BLOCK_NODES
+            new = scratch.cut(cell_links(open_rows, sets, None if last else turn), f"cells{turn}")
+            label = merged(label, new, f"turn{turn}")
+            if last:
+                break
+            turn += 1
+            continue
         # pivots: one node per bucket, another one each turn; every node takes the pivot it shares most buckets with
         pivot = open_rows.groupBy("_band").agg(F.min(F.struct(F.xxhash64("_nid", "_band", F.lit(turn)), F.col("_nid").alias("p"), F.col("_c").alias("c"))).alias("_p"))
         pivot = scratch.cut(pivot.select("_band", F.col("_p.p").alias("_y"), F.col("_p.c").alias("_cy")), f"pivots{turn}")
@@ -282,7 +345,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new, tried = confirmed(probable(stars), f"star{turn}")
         productive = new.count() * 20 >= tried.count()
         label = merged(label, new, f"turn{turn}")
-        scratch.drop(f"now{turn}", f"mixed{turn}", f"open{turn}", f"pivots{turn}")
+        scratch.drop(f"pivots{turn}", f"star{turn}-likely", f"star{turn}-links")
         turn += 1
     named = nodes.select("_nid", "_key", "_lo").join(label, "_nid", "left").withColumn("_root", F.coalesce("_c", "_nid"))
     lows = named.groupBy("_root").agg(F.min("_lo").alias("_low"))

@@ -81,28 +81,46 @@ def test_near_dedup_low_threshold(spark):
     assert got == {d: d - (d % 2 == 0 and d <= 240) for d, _ in rows}
 
 
-def test_cells_give_every_probable_pair_once():
-    """Blocks of all buckets, cut into small batches: each probable pair of different components leaves once."""
+def test_cells_link_what_brute_force_links():
+    """Blocks of all buckets, cut into small batches: only true links between different components leave, none twice, and
+    they join what all links of pairs with a common band join."""
     import numpy as np
     import pyarrow as pa
 
     from scriptorium.llm import near_dedup as N
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
-    sets = [np.unique(np.concatenate((base[rng.random(300) < 0.93], rng.integers(0, 1 << 62, 10).astype(np.uint64)))) for _ in range(40)]
+    sets = [np.unique(np.concatenate((base[rng.random(300) < rng.choice([0.9, 0.93, 0.96])], rng.integers(0, 1 << 62, 10).astype(np.uint64)))) for _ in range(40)]
     sigs = [N.signature(s) for s in sets]
-    keys, comp, size = N.band_keys(sigs), [i % 7 for i in range(40)], [len(s) for s in sets]
+    keys, comp, size = N.band_keys(sigs), [i % 20 for i in range(40)], [len(s) for s in sets]
     rows = []
     for j in range(N.BANDS):
         for key in set(keys[:, j]):
             for x in np.flatnonzero(keys[:, j] == key):
-                rows += [(int(key), min(x % 3, o), max(x % 3, o), x % 3, x, comp[x], size[x], sigs[x]) for o in range(3)]
+                rows += [(int(key), min(x % 3, o), max(x % 3, o), x % 3, x, comp[x], size[x], sigs[x], sets[x].tobytes()) for o in range(3)]
     rows.sort(key=lambda r: r[:3])
-    table = pa.table(dict(zip(("_band", "_i", "_j", "_own", "_nid", "_c", "_n", "_sig"), map(list, zip(*rows, strict=True)), strict=True)))
-    got = [(min(x, y), max(x, y)) for b in N.compare_cells(75, 100, 0.6)(iter(table.to_batches(max_chunksize=37))) for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    want = {(x, y) for y in range(40) for x in range(y) if comp[x] != comp[y] and (keys[x] == keys[y]).any() and N.estimate([sigs[x]], [sigs[y]])[0] >= 0.6
-            and 100 * min(size[x], size[y]) >= 75 * max(size[x], size[y])}
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    table = pa.table(dict(zip(("_band", "_i", "_j", "_own", "_nid", "_c", "_n", "_sig", "_set"), map(list, zip(*rows, strict=True)), strict=True)))
+    for num in (70, 75, 80, 85):
+        got = [(min(x, y), max(x, y)) for b in N.compare_cells(num, 100, num / 100 - 0.2)(iter(table.to_batches(max_chunksize=37)))
+               for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        want = set()
+        for y in range(40):
+            for x in range(y):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if comp[x] != comp[y] and (keys[x] == keys[y]).any() and 100 * both >= num * (size[x] + size[y] - both):
+                    want.add((x, y))
+
+        def joined(pairs):
+            root = {c: c for c in comp}
+            for x, y in pairs:
+                a, b = root[comp[x]], root[comp[y]]
+                root = {c: b if r == a else r for c, r in root.items()}
+            groups: dict = {}
+            for c, r in root.items():
+                groups.setdefault(r, set()).add(c)
+            return sorted(map(sorted, groups.values()))
+        assert len(got) == len(set(got)) and set(got) <= want and joined(got) == joined(want)
+    assert len(want) < 780
 
 
 def test_bbit_estimate_is_corrected():
@@ -113,6 +131,9 @@ def test_bbit_estimate_is_corrected():
     common, a, b = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (600, 100, 100))
     x, y = (N.signature(np.unique(np.concatenate((common, z)))) for z in (a, b))
     assert abs(N.estimate([x], [y])[0] - 0.75) < 0.12 and N.estimate([x], [x])[0] == 1.0
+    lanes = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    plain = ((lanes[0] == lanes[1]).mean() - 2.0 ** -N.BITS) / (1 - 2.0 ** -N.BITS)
+    assert len(x) == N.BANDS * N.ROWS and abs(N.estimate([x], [y])[0] - plain) < 1e-12
 
 
 def test_repeats(spark, docs):
