@@ -5,10 +5,12 @@ to end and indexed by a suffix array as deep as the longest piece.  Every piece
 up in it by binary search; its range of suffixes gives all its occurrences at once.  The occurrences are the
 edges (start, end, rank); sorted by position they are relaxed together for all units: in each round every
 unit takes its best edge that joins exactly two of its current symbols (the leftmost of equal ranks) until
-none is left, which is the merge order of the model.  Characters without a piece fall back to byte pieces.
+none is left, which is the merge order of the model.  The edges of long units come from a heap instead, which is
+the same order and visits each edge once.  Characters without a piece fall back to byte pieces.
 
 Scale: one scan, no shuffle; the vocabulary (some 32,000 strings) travels with the task.  The index covers
-``INDEX_CHARS`` characters of new units at a time and a worker remembers at most ``MEMO`` units.
+``INDEX_CHARS`` characters of new units at a time; a worker process keeps one encoder over its tasks, which
+remembers at most ``MEMO`` units.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 INDEX_CHARS = 400_000
 MEMO = 300_000
-#: Longer units are merged one by one with a heap: a round of the joint relaxation takes one edge a unit.
+#: Longer units take their edges from a heap: a round of the joint relaxation takes one edge a unit.
 LONG_UNIT = 48
 
 
@@ -53,6 +55,9 @@ class Vocabulary:
         scores = np.array([m.get_score(i) for i in range(n)])
         return Vocabulary(pieces, np.unique(-scores, return_inverse=True)[1], kinds)
 
+    def digest(self) -> str:
+        return hashlib.sha256("\0".join(self.pieces).encode("utf-8", "surrogatepass") + self.ranks.tobytes() + self.kinds.tobytes()).hexdigest()
+
 
 class Encoder:
     def __init__(self, vocab: Vocabulary):
@@ -79,26 +84,35 @@ class Encoder:
             codes[r, :len(row)] = row
             tops[r, :len(row)] = row
         self.low, self.high = codes.view(f"S{2 * self.depth}").ravel(), tops.view(f"S{2 * self.depth}").ravel()
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.place: dict[str, int] = {}  # numbers of the units met, in order
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # their ids end to end
 
     def edges(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, index into ``many``) of every occurrence of a longer piece in code points, by position."""
-        n = len(chars)
-        padded = np.zeros(n + self.depth, ">u2")
-        padded[:n] = self.letter[chars]
-        rows = np.lib.stride_tricks.sliding_window_view(padded, self.depth)[:n]
-        suffixes = np.ascontiguousarray(rows).view(f"S{2 * self.depth}").ravel()
-        order = np.argsort(suffixes, kind="stable")  # the suffix array, as deep as the longest piece
-        suffixes = suffixes[order]
-        a, b = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
-        hits = b - a
-        start = order[np.repeat(a - np.concatenate(([0], np.cumsum(hits)[:-1])), hits) + np.arange(hits.sum())]
-        piece = np.repeat(np.arange(len(self.many)), hits)
-        by = np.argsort(start, kind="stable")
-        return start[by], piece[by]
-
-    def relax(self, units: list[str]) -> list[tuple[int, ...]]:
-        """Ids of every unit, all units together."""
+        """(start, index into ``many``) of every occurrence of a longer piece in code points, by position.
+
+        The index is cut into stretches of ``INDEX_CHARS`` that overlap by the longest piece."""
+        found = []
+        for at in range(0, len(chars), INDEX_CHARS):
+            part = chars[at:at + INDEX_CHARS + self.depth - 1]
+            n = len(part)
+            padded = np.zeros(n + self.depth, ">u2")
+            padded[:n] = self.letter[part]
+            rows = np.lib.stride_tricks.sliding_window_view(padded, self.depth)[:min(n, INDEX_CHARS)]
+            suffixes = np.ascontiguousarray(rows).view(f"S{2 * self.depth}").ravel()
+            order = np.argsort(suffixes, kind="stable")  # the suffix array, as deep as the longest piece
+            suffixes = suffixes[order]
+            a, b = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
+            hits = b - a
+            start = order[np.repeat(a - np.concatenate(([0], np.cumsum(hits)[:-1])), hits) + np.arange(hits.sum())]
+            piece = np.repeat(np.arange(len(self.many)), hits)
+            by = np.argsort(start, kind="stable")
+            found.append((start[by] + at, piece[by]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def relax(self, units: list[str], single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, end to end, and how many each has.
+
+        ``single`` takes the edges one after another, for units so long that a round an edge would not do."""
         text = "".join(units)
         lens = np.array([len(u) for u in units])
         ends = np.cumsum(lens)
@@ -108,9 +122,23 @@ class Encoder:
         stop = start + self.many_len[piece]
         inside = stop <= ends[unit[start]]
         start, piece, stop = start[inside], piece[inside], stop[inside]
-        rank = (self.vocab.ranks[self.many[piece]].astype(np.int64) << 32) | start
         ids = self.single[chars].astype(np.int64)
         cut = np.ones(len(text) + 1, bool)  # symbol boundaries
+        (self.by_heap if single else self.by_rounds)(start, piece, stop, unit, ids, cut)
+        symbols = np.flatnonzero(cut[:-1])
+        got = ids[symbols]
+        count = np.ones(len(got), np.int64)
+        raw = {k: self.fallback(text[symbols[k]]) for k in np.flatnonzero(got < 0).tolist()}
+        for k, b in raw.items():
+            count[k] = len(b)
+        out, upto = np.repeat(got, count), np.concatenate(([0], np.cumsum(count)))
+        for k, b in raw.items():
+            out[upto[k]:upto[k + 1]] = b
+        return out.astype(np.int32), np.diff(upto[np.searchsorted(symbols, np.concatenate(([0], ends)))])
+
+    def by_rounds(self, start, piece, stop, unit, ids, cut) -> None:
+        """Every unit takes its best joinable edge in each round."""
+        rank = (self.vocab.ranks[self.many[piece]].astype(np.int64) << 32) | start
         while len(start):
             upto = np.cumsum(cut)
             inner = upto[stop - 1] - upto[start]
@@ -126,74 +154,82 @@ class Encoder:
             borders = np.flatnonzero(cut)
             cut[borders[upto[start[take]]]] = False
             ids[start[take]] = self.many[piece[take]]
-        symbols = np.flatnonzero(cut[:-1])
-        bounds = np.searchsorted(symbols, np.concatenate(([0], ends)))
-        flat = ids[symbols].tolist()
-        out = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            got = flat[a:b]
-            if -1 in got:
-                got = list(chain.from_iterable([i] if i >= 0 else self.fallback(text[symbols[a + k]]) for k, i in enumerate(got)))
-            out.append(tuple(got))
-        return out
+
+    def by_heap(self, start, piece, stop, unit, ids, cut) -> None:
+        """One edge after the other, the best of all joinable ones."""
+        ranks, pieces, ends = self.vocab.ranks[self.many[piece]].tolist(), self.many[piece].tolist(), stop.tolist()
+        first = np.searchsorted(start, np.arange(len(cut) + 1)).tolist()  # edges by start
+        after, before = list(range(1, len(cut) + 1)), list(range(-1, len(cut) - 1))  # neighbouring symbol boundaries
+        heap = [(ranks[e], i, e) for e, i in enumerate(start.tolist()) if ends[e] == i + 2]
+        heapq.heapify(heap)
+        while heap:
+            _, i, e = heapq.heappop(heap)
+            mid, j = after[i], ends[e]
+            if not (cut[i] and cut[j] and mid < j and after[mid] == j):
+                continue
+            cut[mid] = False
+            after[i], before[j], ids[i] = j, i, pieces[e]
+            for x, y in ((i, after[j]), (before[i], j)):
+                if x >= 0:
+                    for k in range(first[x], first[x + 1]):
+                        if ends[k] == y:
+                            heapq.heappush(heap, (ranks[k], x, k))
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")]
 
-    def merge_long(self, unit: str) -> tuple[int, ...]:
-        """One long unit by the same merge order, with a heap of joinable neighbours."""
-        piece, ranks = list(unit), self.vocab.ranks
-        left, right = list(range(-1, len(unit) - 1)), list(range(1, len(unit) + 1))
-        right[-1] = -1
-        heap: list[tuple[int, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (k := self.ids.get(piece[i] + piece[j])) is not None:
-                heapq.heappush(heap, (int(ranks[k]), i, piece[i] + piece[j]))
-
-        for i in range(len(unit) - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, joined = heapq.heappop(heap)
-            j = right[i] if piece[i] else -1
-            if j < 0 or piece[i] + piece[j] != joined:
-                continue
-            piece[i], piece[j] = joined, ""
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(left[i], i)
-            offer(i, right[i])
-        return tuple(chain.from_iterable([self.ids[p]] if p in self.ids else self.fallback(p) for p in piece if p))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text; nothing for an empty one."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and how many each has; none for an empty one."""
         split = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        out, group, size, first = [], set(), 0, 0
+        ids, counts, group, size, first = [], [], set(), 0, 0
         for r, units in enumerate(split):
-            fresh = {u for u in units if u not in self.memo} - group
+            fresh = set(units).difference(self.place)
+            fresh -= group
             group |= fresh
             size += sum(map(len, fresh))
             if size >= INDEX_CHARS or r == len(split) - 1:
                 self.learn(group)
-                out += [np.fromiter(chain.from_iterable(map(self.memo.__getitem__, u)), np.int32) for u in split[first:r + 1]]
+                part = split[first:r + 1]
+                at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(part)), np.int64)
+                count = self.ends[at + 1] - self.ends[at]
+                upto = np.concatenate(([0], np.cumsum(count)))
+                ids.append(self.flat[np.arange(upto[-1]) + np.repeat(self.ends[at] - upto[:-1], count)])
+                counts.append(np.diff(upto[np.cumsum([0] + [len(u) for u in part])]))
                 group, size, first = set(), 0, r + 1
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-        return out
+                self.forget()
+        return np.concatenate(ids or [np.zeros(0, np.int32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
 
     def learn(self, units: set[str]) -> None:
-        short = sorted(u for u in units if len(u) <= LONG_UNIT)
-        part, size = [], 0
-        for u in short:
-            part.append(u)
-            size += len(u)
-            if size >= INDEX_CHARS:
-                self.memo.update(zip(part, self.relax(part), strict=True))
-                part, size = [], 0
-        if part:
-            self.memo.update(zip(part, self.relax(part), strict=True))
-        self.memo.update((u, self.merge_long(u)) for u in units if len(u) > LONG_UNIT)
+        """Number the units and keep their ids."""
+        for single in (False, True):
+            todo = sorted(u for u in units if (len(u) > LONG_UNIT) == single)
+            sizes = np.cumsum([len(u) for u in todo]) // INDEX_CHARS
+            for a, b in zip(*(lambda x: (x[:-1], x[1:]))(np.searchsorted(sizes, np.arange(sizes[-1] + 2)) if todo else [0]), strict=True):
+                part = todo[a:b]
+                if part:
+                    ids, count = self.relax(part, single)
+                    self.place.update(zip(part, range(len(self.place), len(self.place) + len(part)), strict=True))
+                    self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(count)))
+                    self.flat = np.concatenate((self.flat, ids))
+
+    def forget(self) -> None:
+        """The older half of the units, when there are too many."""
+        if len(self.place) > MEMO:
+            half = len(self.place) // 2
+            self.place = {u: k for k, u in enumerate(islice(self.place, half, None))}
+            self.flat, self.ends = self.flat[self.ends[half]:], self.ends[half:] - self.ends[half]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocab: Vocabulary) -> Encoder:
+    """The worker process's encoder of this vocabulary, with the units it has met in earlier tasks."""
+    key = vocab.digest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocab)
+    return _ENCODERS[key]
 
 
 class Decoder:
@@ -244,5 +280,44 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", mode
     return rows.mapInArrow(run, schema)
 
 
-def digest(ids: np.ndarray) -> str:
-    return hashlib.sha256(np.ascontiguousarray(ids, "<i4").tobytes()).hexdigest()
+def _tasks(vocab: Vocabulary, names: list[str], text_at: int | None, ids_at: int | None, decode: bool):
+    """A task that adds the ids of column ``text_at`` and, with ``decode``, the text of the ids (own or of column ``ids_at``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = encoder_of(vocab) if text_at is not None else None, Decoder(vocab)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                cols = list(b.columns)
+                if encoder:
+                    flat, count = encoder.encode([t or "" for t in b.column(text_at).to_pylist()])
+                    ends = np.concatenate(([0], np.cumsum(count)))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+                if decode:
+                    lists = cols[-1] if encoder else b.column(ids_at)
+                    cols.append(pa.array([decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+    return run
+
+
+def _added(rows: DataFrame, columns: dict[str, str]):
+    """The schema with more columns; a name that is there already is refused."""
+    if taken := [c for c in columns if c.lower() in {x.lower() for x in rows.columns}]:
+        raise ValueError(f"columns {taken} exist: give other names")
+    return rows.selectExpr("*", *[f"cast(null as {t}) as `{c}`" for c, t in columns.items()]).schema
+
+
+def encode_texts(docs: DataFrame, text_col: str = "text", out: str = "ids", model: str = MODEL, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``out``: array<int> of the whole text's ids; null and empty texts have none.  With ``decoded`` also
+    the text that ``decode_ids`` gives for them, in the same pass.
+
+    The ids are those of the model's own encoder, its leading space included.  Rows are independent.  A name in use
+    for a new column is refused."""
+    schema = _added(docs, {out: "array<int>"} | ({decoded: "string"} if decoded else {}))
+    return docs.mapInArrow(_tasks(Vocabulary.load(model), schema.names, docs.columns.index(text_col), None, bool(decoded)), schema)
+
+
+def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
+    """``rows`` with ``out``: the text of the ids; null for null ids.  Spaces that the text wrote as U+2581 come back as
+    spaces.  A name in use for the new column is refused."""
+    schema = _added(rows, {out: "string"})
+    return rows.mapInArrow(_tasks(Vocabulary.load(model), schema.names, None, rows.columns.index(ids_col), True), schema)

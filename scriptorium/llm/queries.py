@@ -77,7 +77,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, source_domain(docs["source"]), MIX_WEIGHTS, max_epochs=MIX_EPOCHS)
 
 
-@register("op9_chat_format", oracle.op9(512, 2))
+@register("op9_chat_format", oracle.op9(512, 2, 1024))
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm import chat
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -154,7 +154,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm import pieces
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    rows = pieces.decode_ids(pieces.encode_texts(docs))
+    rows = pieces.encode_texts(docs, decoded="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace(text, F.lit("▁"), F.lit(" "))).alias("round_trip"))
 
