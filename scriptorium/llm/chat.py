@@ -5,18 +5,14 @@ written ``##+ role: ...``.  Inside roles and texts ``\\``, ``</turn>`` and ``##`
 ``\\e`` and ``\\h`` (a role's ``:`` as ``\\c``), so no text can hold a control string and every text is
 read back exactly.
 
-Windows hold whole turns; a turn's tokens are its words plus a constant for the markup.  Every window after
-the first starts with the conversation's leading system turn and the ``history`` turns before its own; those
-repeated turns carry no loss.  There are two rules:
-
-* by default (the rule of the query's SQL) a turn's window is its prefix sum of tokens divided by the budget.
-  The budget is a step, not a bound: a window's last turn may run past it, and repeated turns are not counted.
-* with ``strict`` repeated and new turns together stay within the budget, and a turn over it is alone in its
-  window.  A window takes its first new turn, the system turn if that fits, as many of the ``history`` turns
-  before it as fit, the nearest first, and then new turns while they fit.
+Windows hold whole turns; a turn's tokens are its words plus a constant for the markup.  Prefix sums of the tokens
+choose the spans: a window takes its first new turn, the conversation's leading system turn if that fits, as many
+of the ``history`` turns before it as fit, the nearest first, and then new turns while they fit.  So all turns of a
+window, repeated ones too, stay within the budget; a turn over it is alone in its window.  Repeated turns carry
+no loss.
 
 Scale: prefix sums are taken in two levels, over blocks of turn numbers and inside a block, so a very
-long conversation is spread over tasks; a strict window does not cross a block of positions, which are packed
+long conversation is spread over tasks; a window does not cross a block of positions, which are packed
 on lists of token counts alone.  Column expressions only.
 """
 
@@ -58,13 +54,12 @@ def _line(t) -> Column:
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                 text_col: str = "text", budget: int = 512, history: int = 2, strict: bool = False) -> DataFrame:
+                 text_col: str = "text", budget: int = 512, history: int = 2) -> DataFrame:
     """One row per window: conv_id, window, formatted, loss_mask array<struct<start, end>> (code points).
 
     Rows of a conversation are ordered by turn, then role, then text (repeated rows stay, each a turn).
-    Null role and text count as empty; a null conversation is a conversation of its own.  Window numbers rise
-    with the turns but have gaps.  Only ``strict`` windows stay within the budget (see above).  The mask covers
-    the texts of new assistant turns.
+    Null role and text count as empty; a null conversation is a conversation of its own.  A window's number is the
+    position of its first new turn.  The mask covers the texts of new assistant turns.  An empty table gives no rows.
     """
     scratch = Scratch(turns.sparkSession, "chat")
     rows = turns.select(turns[conv_col].alias("conv"), turns[turn_col].cast("long").alias("turn"),
@@ -79,13 +74,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows = rows.withColumns({"pos": F.row_number().over(inside), "cum": F.sum("tok").over(upto) - F.col("tok")})
     rows = rows.join(per, F.col("conv").eqNullSafe(F.col("pc")) & (F.col("block") == F.col("pb")))
     rows = rows.select("conv", (F.col("pos") + F.col("n0")).cast("long").alias("pos"), "tok", (F.col("cum") + F.col("tok0")).alias("cum"), "role", "text")
-    if strict:
-        rows = scratch.cut(rows, "turns")
-        parts = rows.join(_packed(rows, budget, history), F.col("conv").eqNullSafe(F.col("wc")) & (F.col("pos") == F.col("wp")))
-        parts = parts.select("conv", "window", F.struct("pos", (F.col("pos") < F.col("window")).alias("again"), "role", "text").alias("t"))
-    else:
-        rows = scratch.cut(rows.select("conv", "pos", F.floor(F.col("cum") / budget).alias("window"), "role", "text"), "turns")
-        parts = _stepped(rows, history)
+    rows = scratch.cut(rows, "turns")
+    parts = rows.join(_packed(rows, budget, history), F.col("conv").eqNullSafe(F.col("wc")) & (F.col("pos") == F.col("wp")))
+    parts = parts.select("conv", "window", F.struct("pos", (F.col("pos") < F.col("window")).alias("again"), "role", "text").alias("t"))
     windows = parts.groupBy("conv", "window").agg(F.array_sort(F.collect_list("t")).alias("ts"))
 
     def add(acc, t):
@@ -102,20 +93,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.aggregate("ts", F.struct(F.lit(0).alias("at"), none.alias("mask")), add, lambda acc: acc["mask"]).alias("loss_mask"))
 
 
-def _stepped(rows: DataFrame, history: int) -> DataFrame:
-    """(conv, window, t): the turns of every window numbered by prefix sum, repeated turns in front."""
-    starts = rows.groupBy("conv", "window").agg(F.min("pos").alias("p")).where("p > 1")
-    lead = [F.lit(1).cast("long")] + [F.col("p") - k for k in range(1, history + 1)]
-    want = starts.select(F.col("conv").alias("wc"), F.col("window").alias("ww"), F.col("p"),
-                         F.explode(F.array_distinct(F.array(*lead))).alias("wp")).where("wp >= 1")
-    again = rows.join(want, F.col("conv").eqNullSafe(F.col("wc")) & (F.col("pos") == F.col("wp")))
-    again = again.where((F.col("pos") >= F.col("p") - history) | (F.col("role") == "system"))
-    return rows.select("conv", "window", F.struct("pos", F.lit(False).alias("again"), "role", "text").alias("t")).union(
-        again.select("conv", F.col("ww").alias("window"), F.struct("pos", F.lit(True).alias("again"), "role", "text").alias("t")))
-
-
 def _packed(rows: DataFrame, budget: int, history: int) -> DataFrame:
-    """(wc, window, wp): the positions of every strict window, named by the position of its first new turn.
+    """(wc, window, wp): the positions of every window, named by the position of its first new turn.
 
     A block of positions is a list of (pos, tok, cum) with the ``history`` turns in front of it; no window holds
     more turns than a block."""

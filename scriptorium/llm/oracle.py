@@ -95,23 +95,36 @@ c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source O
 SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, f + CASE WHEN part THEN 1 ELSE 0 END)) AS BIGINT) AS epoch FROM c"""
 
 
-def op9(budget: int, history: int) -> str:
+def op9(budget: int, history: int, block: int) -> str:
     esc = lambda c: f"replace(replace(replace({c}, '\\', '\\\\'), '</turn>', '\\e'), '##', '\\h')"
+    back = " + ".join(f"CASE WHEN pos > {j} AND NOT (pos = {j + 1} AND sys IS NOT NULL) AND cum - c{j} + own <= {budget} THEN 1 ELSE 0 END" for j in range(1, history + 1))
+    held = " ".join(f"WHEN {j} THEN cum - c{j}" for j in range(1, history + 1))
     return f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 k AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS tok,
              4 + length(replace({esc("role")}, ':', '\\c')) + 2 + length({esc("text")}) + 8 AS chars,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
-w AS (SELECT *, (sum(tok) OVER (PARTITION BY conv_id ORDER BY pos) - tok) // {budget} AS win FROM k),
-s AS (SELECT conv_id, win, min(pos) AS p FROM w GROUP BY ALL HAVING min(pos) > 1),
-r AS (SELECT s.conv_id, sum(w.chars) AS chars FROM s JOIN w ON w.conv_id IS NOT DISTINCT FROM s.conv_id
-      AND (w.pos BETWEEN s.p - {history} AND s.p - 1 OR (w.pos = 1 AND w.role = 'system')) GROUP BY ALL),
+c AS (SELECT *, sum(tok) OVER w - tok AS cum, sum(chars) OVER w AS upto, max(CASE WHEN pos = 1 AND role = 'system' THEN tok END) OVER (PARTITION BY conv_id) AS sys,
+             max(CASE WHEN pos = 1 THEN chars END) OVER (PARTITION BY conv_id) AS sys_chars
+      FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, {", ".join(f"lag(cum, {j}) OVER w AS c{j}" for j in range(1, history + 1))}, pos > 1 AND coalesce(sys + tok <= {budget}, false) AS lead,
+             tok + CASE WHEN pos > 1 AND coalesce(sys + tok <= {budget}, false) THEN sys ELSE 0 END AS own FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+b AS (SELECT *, {back} AS back FROM l),
+o AS (SELECT *, own + CASE back {held} ELSE 0 END AS held FROM b),
+r AS (SELECT conv_id, pos, pos AS win, held AS used FROM o WHERE pos = 1
+      UNION ALL SELECT o.conv_id, o.pos, CASE WHEN fresh THEN o.pos ELSE win END, CASE WHEN fresh THEN held ELSE used + tok END
+      FROM (SELECT o.*, r.win, r.used, (o.pos - 1) % {block} = 0 OR r.used + o.tok > {budget} AS fresh
+            FROM r JOIN o ON o.pos = r.pos + 1 AND o.conv_id IS NOT DISTINCT FROM r.conv_id) AS o),
+s AS (SELECT conv_id, win, max(pos) AS last FROM r GROUP BY ALL),
+z AS (SELECT s.conv_id, sum(e.upto - f.upto + f.chars + CASE WHEN o.lead THEN o.sys_chars ELSE 0 END) AS chars
+      FROM s JOIN o ON o.pos = s.win AND o.conv_id IS NOT DISTINCT FROM s.conv_id
+             JOIN o AS e ON e.pos = s.last AND e.conv_id IS NOT DISTINCT FROM s.conv_id
+             JOIN o AS f ON f.pos = s.win - o.back AND f.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY s.conv_id),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
-             coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM w GROUP BY conv_id)
-SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-       CAST(g.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars
-FROM g LEFT JOIN r ON g.conv_id IS NOT DISTINCT FROM r.conv_id"""
+             coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM k GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(z.chars AS BIGINT) AS formatted_chars
+FROM g JOIN z ON g.conv_id IS NOT DISTINCT FROM z.conv_id"""
 
 
 OP13 = """

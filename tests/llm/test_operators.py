@@ -338,30 +338,24 @@ def test_chat(spark):
         new = [(t.role, t.text) for w in by[c] for t in w.t if not t.again]
         assert new == [(r, x) for _, r, x in own]
         assert [x for w in by[c] for x in w.m] == [x for _, r, x in own if r == "assistant"]
-        at = 0
-        for w in by[c]:
-            fresh = [t for t in w.t if not t.again]
-            again = [(t.role, t.text) for t in w.t if t.again]
-            flat = [(r, x) for _, r, x in own]
-            history = flat[max(0, at - 2):at]
-            head = flat[:1] if at > 2 and flat[0][0] == "system" else []
-            assert again == head + history
-            at += len(fresh)
-            assert sum(len(t.text.split()) + 4 for t in fresh[:-1]) <= 40
+        want = _windows([len(x.split()) + 4 for _, _, x in own], own[0][1] == "system", 40, 2, 1024)
+        flat = [(r, x) for _, r, x in own]
+        assert [[(t.again, t.role, t.text) for t in w.t] for w in by[c]] == [[(True, *flat[i]) for i in old] + [(False, *flat[i]) for i in new] for old, new in want]
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
 def test_chat_blocks(spark, monkeypatch):
-    """Prefix sums over blocks of turns give the windows of one running sum."""
+    """Prefix sums over blocks of turns: windows end where a block of positions does, and no others change."""
     from scriptorium.llm import chat
+    tokens = [k % 7 + 4 for k in range(200)]
     df = spark.createDataFrame([(1, k, "user", "w " * (k % 7)) for k in range(200)], "conv_id long, turn long, role string, text string")
-    read = lambda: sorted((r.window, r.formatted) for r in chat.format_chats(df, budget=30).collect())
-    whole = read()
-    monkeypatch.setattr(chat, "BLOCK", 9)
-    assert whole == read()
+    for block in (1024, 9):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        got = [r.window - 1 for r in chat.format_chats(df, budget=30).orderBy("window").collect()]
+        assert got == [new[0] for _, new in _windows(tokens, False, 30, 2, block)]
 
 
-def _strict(tokens, system, budget, history):
+def _windows(tokens, system, budget, history, block):
     """(context positions, new positions) of every window of one conversation."""
     out, at = [], 0
     while at < len(tokens):
@@ -374,7 +368,7 @@ def _strict(tokens, system, budget, history):
                 break
             used, back = used + tokens[h], [h, *back]
         end = at + 1
-        while end < len(tokens) and end % 8 and used + tokens[end] <= budget:
+        while end < len(tokens) and end % block and used + tokens[end] <= budget:
             used, end = used + tokens[end], end + 1
         out.append((context + back, list(range(at, end))))
         at = end
@@ -382,8 +376,8 @@ def _strict(tokens, system, budget, history):
 
 
 @pytest.mark.parametrize("history", [0, 2, 11])
-def test_chat_strict_budget(spark, monkeypatch, history):
-    """All tokens of a strict window, repeated ones too, are within the budget, or its only turn is over it."""
+def test_chat_budget(spark, monkeypatch, history):
+    """All tokens of a window, repeated ones too, are within the budget, or its only turn is over it."""
     from scriptorium.llm import chat
     rng = random.Random(16)
     monkeypatch.setattr(chat, "BLOCK", 8)
@@ -392,16 +386,16 @@ def test_chat_strict_budget(spark, monkeypatch, history):
     rows += [(None, k, "user", f"w{k}") for k in range(5)] + [(99, None, "system", "w " * 40), (99, 1, "user", "w " * 9), (99, 2, "assistant", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     got = defaultdict(list)
-    out = chat.format_chats(df, budget=32, history=history, strict=True)
+    out = chat.format_chats(df, budget=32, history=history)
     for r in sorted(out.withColumn("t", chat.read_back(F.col("formatted"))).withColumn("m", chat.masked_texts(F.col("formatted"), F.col("loss_mask"))).collect(), key=lambda r: r.window):
         got[r.conv_id].append(r)
         assert sum(len(t.text.split()) + 4 for t in r.t) <= 32 or len(r.t) == 1
         assert r.m == [t.text for t in r.t if not t.again and t.role == "assistant"]
     for c in {r[0] for r in rows}:
         own = [(r, x or "") for cc, _, r, x in rows if cc == c]
-        want = _strict([len(x.split()) + 4 for _, x in own], own[0][0] == "system", 32, history)
+        want = _windows([len(x.split()) + 4 for _, x in own], own[0][0] == "system", 32, history, 8)
         assert [[(t.again, t.role, t.text) for t in w.t] for w in got[c]] == [[(True, *own[i]) for i in old] + [(False, *own[i]) for i in new] for old, new in want]
-    assert chat.format_chats(df.limit(0), strict=True).count() == 0
+    assert chat.format_chats(df.limit(0)).count() == 0
 
 
 def test_toxicity_learns_pairs():
