@@ -6,10 +6,14 @@ the caller's columns by ``select``, so extra columns of any name cannot clash.
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Words of a text: runs of anything but ASCII white space.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -21,16 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_dir(spark).rstrip("/")
 
 
+#: Scratch folders are removed by a later run when they are older.
+MAX_AGE_DAYS = 7
+
+
 class Scratch:
     """Intermediate tables in the shared folder: written once, read by every later job.
 
-    A lost executor re-reads finished tables instead of recomputing their lineage."""
+    A lost executor re-reads finished tables instead of recomputing their lineage.  Results are read from these tables
+    when the caller runs them, so they stay until ``close`` (or the end of ``scratch_closed``); folders that nobody
+    closed go when a later run finds them older than ``MAX_AGE_DAYS``."""
+
+    open_now: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+        top = f"{shared_dir(spark)}/llm"
+        self.base = f"{top}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[str, str] = {}
+        for held in Scratch.open_now:
+            held.append(self)
+        self._sweep(top)
+
+    def _sweep(self, top: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(top)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            for f in fs.listStatus(p):
+                if f.getModificationTime() < (time.time() - MAX_AGE_DAYS * 86400) * 1000:
+                    fs.delete(f.getPath(), True)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written and read back.  A name given again takes the place of the table before, which goes."""
@@ -59,6 +83,40 @@ class Scratch:
         self._delete(self.base)
 
 
+@contextmanager
+def scratch_closed() -> Iterator[None]:
+    """Removes at its end the scratch tables opened inside: for results written to a table of the caller's."""
+    held: list[Scratch] = []
+    Scratch.open_now.append(held)
+    try:
+        yield
+    finally:
+        Scratch.open_now.remove(held)
+        for s in held:
+            s.close()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def require_new(df: DataFrame, *names: str) -> None:
+    """Refuse names of new columns that are in use."""
+    if taken := [n for n in names if n.lower() in {c.lower() for c in df.columns}]:
+        raise ValueError(f"columns {taken} exist: give other names")
+
+
+def map_rows(df: DataFrame, task, schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, dots included: the task sees and gives c0, c1, ... in order."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    inner = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+    return plain.mapInArrow(task, inner).toDF(*schema.names)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: one row (node, root) per node
     with an edge, root = the smallest node reachable.

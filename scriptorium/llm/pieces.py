@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scriptorium.llm.common import map_rows, require_new
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -280,7 +282,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", mode
     return rows.mapInArrow(run, schema)
 
 
-def _tasks(vocab: Vocabulary, names: list[str], text_at: int | None, ids_at: int | None, decode: bool):
+def _tasks(vocab: Vocabulary, text_at: int | None, ids_at: int | None, decode: bool):
     """A task that adds the ids of column ``text_at`` and, with ``decode``, the text of the ids (own or of column ``ids_at``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = encoder_of(vocab) if text_at is not None else None, Decoder(vocab)
@@ -295,14 +297,13 @@ def _tasks(vocab: Vocabulary, names: list[str], text_at: int | None, ids_at: int
                 if decode:
                     lists = cols[-1] if encoder else b.column(ids_at)
                     cols.append(pa.array([decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays(cols, names=[f"c{k}" for k in range(len(cols))])
     return run
 
 
 def _added(rows: DataFrame, columns: dict[str, str]):
-    """The schema with more columns; a name that is there already is refused."""
-    if taken := [c for c in columns if c.lower() in {x.lower() for x in rows.columns}]:
-        raise ValueError(f"columns {taken} exist: give other names")
+    """The schema with more columns."""
+    require_new(rows, *columns)
     return rows.selectExpr("*", *[f"cast(null as {t}) as `{c}`" for c, t in columns.items()]).schema
 
 
@@ -313,11 +314,11 @@ def encode_texts(docs: DataFrame, text_col: str = "text", out: str = "ids", mode
     The ids are those of the model's own encoder, its leading space included.  Rows are independent.  A name in use
     for a new column is refused."""
     schema = _added(docs, {out: "array<int>"} | ({decoded: "string"} if decoded else {}))
-    return docs.mapInArrow(_tasks(Vocabulary.load(model), schema.names, docs.columns.index(text_col), None, bool(decoded)), schema)
+    return map_rows(docs, _tasks(Vocabulary.load(model), docs.columns.index(text_col), None, bool(decoded)), schema)
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """``rows`` with ``out``: the text of the ids; null for null ids.  Spaces that the text wrote as U+2581 come back as
     spaces.  A name in use for the new column is refused."""
     schema = _added(rows, {out: "string"})
-    return rows.mapInArrow(_tasks(Vocabulary.load(model), schema.names, None, rows.columns.index(ids_col), True), schema)
+    return map_rows(rows, _tasks(Vocabulary.load(model), None, rows.columns.index(ids_col), True), schema)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import require_new
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: kind -> (pattern, a literal every match holds or None, score without context, context words)
 KINDS = {
@@ -92,8 +94,10 @@ def pii_spans(docs: DataFrame, text_col: str = "text", kinds=tuple(KINDS), out:
     """``docs`` with column ``out``: array<struct<kind, start, end, score>>, by kind as listed, then start.
 
     Offsets are code points, end exclusive.  Null and empty text: an empty array.  Kinds in ``BASE`` stay
-    whatever their score; the others need ``MIN_SCORE``, which context words in front can give.
+    whatever their score; the others need ``MIN_SCORE``, which context words in front can give.  A name in use
+    for the new column is refused.
     """
+    require_new(docs, out)
     text = F.coalesce(docs[text_col], F.lit(""))
     return docs.withColumn(out, F.concat(*[kind_spans(text, k) for k in kinds]))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Scratch
+from scriptorium.llm.common import Scratch, map_rows, require_new
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words kept in a worker's memory with their terms; beyond it the memory is emptied.
@@ -173,7 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: s
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """``docs`` with ``out``: the toxicity of the whole text, 0 to 1; null and empty texts get the score of no terms."""
+    """``docs`` with ``out``: the toxicity of the whole text, 0 to 1; null and empty texts get the score of no terms.
+    A name in use for the new column is refused."""
+    require_new(docs, out)
     schema = docs.select("*", F.lit(0.0).alias(out)).schema
     at = docs.columns.index(text_col)
 
@@ -194,6 +196,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
                         idx.update(hit)
                 raw[r] = model.raw(np.fromiter(sorted(idx), np.int64, len(idx)))
             prob = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prob)], schema=pa.schema([*b.schema, pa.field(out, pa.float64(), False)]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prob)], names=[*b.schema.names, f"c{b.num_columns}"])
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)
