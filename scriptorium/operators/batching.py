@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,36 +65,86 @@ def batch_count(n_rows: int, batch_size: int = 500) -> int:
     return (n_rows + batch_size - 1) // batch_size
 
 
-SMALL_TOP_N = 100_000
-
-
-def top_n(df: DataFrame, n: int, order: list[str], partitions: int | None = None) -> DataFrame:
-    """Exact first ``n`` rows in ``order`` (a unique key), without one task
-    merging partitions x n rows.
-
-    Small ``n``: ``orderBy().limit()`` (per-partition top-n, bounded merge).
-    Large ``n``: range-partition on the order (checkpointed, so partition ids
-    are stable), count rows per range partition (a small table), keep every
-    partition before the one where the running count crosses ``n``, and
-    number rows only inside that one partition."""
-    if n <= SMALL_TOP_N:
-        return df.orderBy(*order).limit(n)
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
-    ranged = (df.repartitionByRange(parts, *order)
-              .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
-    counts = ranged.groupBy("_pid").count().orderBy("_pid").collect()
-    acc, cut, rest = 0, None, 0
-    for r in counts:
-        if acc + r["count"] >= n:
-            cut, rest = int(r["_pid"]), n - acc
+#: Rows that one task may merge and sort at the cut, and buckets of a histogram.
+EDGE_ROWS, CUT_BUCKETS = 100_000, 1024
+
+
+def _digits(df: DataFrame, name: str, width: int) -> list[Column]:
+    """Whole numbers that, compared one after the other, order the rows as column ``name`` does; null where it is null.
+
+    ``width`` is the longest value in bytes, for strings."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        raw = F.encode(c, "UTF-8")
+        parts = [F.conv(F.rpad(F.hex(F.substring(raw, at + 1, 7)), 14, "0"), 16, 10).cast("long") for at in range(0, max(width, 1), 7)]
+        return [*parts, F.octet_length(c).cast("long")]
+    if isinstance(kind, T.TimestampType):
+        return [F.unix_micros(c)]
+    if isinstance(kind, T.DateType):
+        return [F.unix_date(c).cast("long")]
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return [c.cast("long")]
+    raise TypeError(f"no exact cut by {name}: {kind.simpleString()}")
+
+
+def _bounds(bucket: int, width: int) -> tuple[int, int]:
+    """Smallest and largest number whose quotient by ``width``, cut off towards 0, is ``bucket``."""
+    if bucket > 0:
+        return bucket * width, bucket * width + width - 1
+    return bucket * width - width + 1, bucket * width if bucket else width - 1
+
+
+def top_n(df: DataFrame, n: int, order: list[str], edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """Exact first ``n`` rows in ``order``, without a sort or a checkpoint of the rows and without a task that merges
+    more than ``edge_rows`` of them.
+
+    ``order`` names columns (integers, strings, dates, timestamps; a leading ``-`` for descending) that together tell
+    rows apart; nulls come first, last when descending.  Histograms of the first key, partially aggregated to at most
+    ``CUT_BUCKETS`` counts, find the bucket in which the n-th row lies, and are refined inside it, then by the next
+    key, until it is small.  The rows before it are a plain filter of ``df``, and only that bucket is sorted and cut.
+    ``df`` is read once per histogram, its key columns only, and must give the same rows each time."""
+    columns = [(k.removeprefix("-"), k.startswith("-")) for k in order]
+    sort = [F.desc(f"`{k}`") if down else F.asc(f"`{k}`") for k, down in columns]
+    for name, _ in columns:
+        _digits(df, name, 0)      # refuses what it cannot order
+    scope, head, rest = F.lit(True), F.lit(False), n
+    total = None
+    for name, down in columns:
+        c = F.col(f"`{name}`")
+        text = isinstance(df.schema[name].dataType, T.StringType)
+        seen = df.where(scope).agg(F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("nulls"),
+                                   (F.max(F.octet_length(c)) if text else F.lit(0)).alias("width")).head()
+        if total is None:
+            total = seen["n"]
+            if total <= n:
+                return df
+        if seen["n"] <= edge_rows:
             break
-        acc += int(r["count"])
-    if cut is None:                                   # fewer than n rows: all of them
-        return ranged.drop("_pid")
-    head = ranged.where(F.col("_pid") < cut)
-    w = Window.partitionBy("_pid").orderBy(*order)
-    edge = (ranged.where(F.col("_pid") == cut).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= rest).drop("_rn"))
-    return head.unionByName(edge).drop("_pid")
+        if seen["nulls"]:
+            first, count = (c.isNotNull(), seen["n"] - seen["nulls"]) if down else (c.isNull(), seen["nulls"])
+            if rest <= count:
+                scope = scope & first
+            else:
+                head, rest, scope = head | (scope & first), rest - count, scope & ~first
+            if df.where(scope & c.isNotNull()).isEmpty():
+                continue          # the n-th row has no value here: the next key decides
+        size = None
+        for digit in _digits(df, name, seen["width"] or 0):
+            digit = -digit if down else digit
+            lo, hi = df.where(scope).agg(F.min(digit), F.max(digit)).head()
+            while lo < hi and (size is None or size > edge_rows):
+                width = -(-(hi - lo + 1) // CUT_BUCKETS)
+                bucket = digit if width == 1 else F.call_function("div", digit, F.lit(width).cast("long"))
+                counts = df.where(scope).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()   # at most CUT_BUCKETS + 2
+                for r in counts:
+                    if rest <= r["n"]:
+                        break
+                    rest -= r["n"]
+                head, scope, size = head | (scope & (bucket < r["b"])), scope & (bucket == r["b"]), r["n"]
+                lo, hi = (r["b"], r["b"]) if width == 1 else (max(lo, _bounds(r["b"], width)[0]), min(hi, _bounds(r["b"], width)[1]))
+            if size is not None and size <= edge_rows:
+                break
+        if size is not None and size <= edge_rows:
+            break
+    edge = df.where(scope).orderBy(*sort).limit(rest)
+    return df.where(head).unionByName(edge)

@@ -125,7 +125,8 @@ def topic_scan(entries: DataFrame, topic: str, max_results: int | None) -> DataF
     rows = entries.where(F.col("category") == topic)
     if max_results is None:
         return rows
-    return rows.orderBy(F.col("published").desc(), F.col("entry_id")).limit(max_results)
+    from scriptorium.operators.batching import top_n
+    return top_n(rows, max_results, ["-published", "entry_id"])
 
 
 def with_content(df: DataFrame) -> DataFrame:

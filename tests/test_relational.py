@@ -163,16 +163,36 @@ def test_csv_logs_bind_by_name(spark, scratch):
     assert all(r.paperId == "1" and r.excerpt == "line one\nline \"two\"" and r.reason == "r" for r in out)
 
 
-def test_top_n_large_path_equals_order_limit(spark):
-    import scriptorium.operators.batching as b
-    df = spark.range(0, 3000).withColumn("year", (F.col("id") * 7919 % 5).cast("int")) \
-        .withColumn("seq", F.col("id") * 3 % 3001)
-    old = b.SMALL_TOP_N
-    b.SMALL_TOP_N = 10                                  # force the distributed path
-    try:
-        for n in (1, 777, 2999, 5000):
-            got = [tuple(r) for r in b.top_n(df, n, ["year", "seq"], partitions=7).orderBy("year", "seq").collect()]
-            want = [tuple(r) for r in df.orderBy("year", "seq").limit(n).collect()]
-            assert got == want, n
-    finally:
-        b.SMALL_TOP_N = old
+def test_top_n_equals_order_limit(spark):
+    """The histogram cut against a sort, with nulls, ties, negative and far apart numbers, strings that differ in a NUL."""
+    import datetime as dt
+    import random
+
+    from scriptorium.operators import batching as b
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("ab\0é\uffff") for _ in range(rng.randint(0, 12)))
+    day = dt.date(2020, 1, 1)
+    rows = [(i, rng.choice([None, -5, 0, 7, 2**62, -2**62, rng.randint(-50, 50)]), rng.choice([None, word(), "shared prefix " + word()]),
+             rng.choice([None, day + dt.timedelta(days=rng.randint(-9000, 9000))]), i % 3 == 0,
+             dt.datetime(1969, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=rng.randint(0, 10**9))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, num long, txt string, day date, flag boolean, ts timestamp").repartition(5).cache()
+    for order in (["num", "id"], ["-num", "-id"], ["txt", "id"], ["-txt", "id"], ["day", "-id"], ["flag", "txt", "-num", "id"], ["-ts", "id"], ["-id"]):
+        sort = [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in order]
+        want = [r.id for r in df.orderBy(*sort).collect()]
+        for n in (0, 1, 37, 250, 499, 500, 900):
+            got = b.top_n(df, n, order, edge_rows=10)
+            assert sorted(r.id for r in got.collect()) == sorted(want[:n]), (order, n)
+    with pytest.raises(TypeError):
+        b.top_n(df.select(F.col("num").cast("double").alias("x")), 3, ["x"])
+
+
+def test_top_n_sorts_one_bucket_only(spark):
+    """Rows before the cut pass through a filter; the sort sees the bucket of the cut, in whatever order keys repeat."""
+    from scriptorium.operators import batching as b
+    df = spark.range(200_000).select((F.col("id") % 10).alias("year"), "id").repartition(8)
+    got = b.top_n(df, 130_007, ["year", "id"], edge_rows=1000)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "Window" not in plan and "Checkpoint" not in plan and "LogicalRDD" not in plan
+    assert got.count() == 130_007 and got.where("year = 6").agg(F.count("id"), F.max("id")).head() == (10_007, 10_006 * 10 + 6)
+    edge = [c for c in (got._jdf.queryExecution().optimizedPlan().children().apply(1),)]
+    assert "Sort" in edge[0].toString()
