@@ -2,7 +2,7 @@
 
 Stateless per row: the same functions score a batch DataFrame or a
 streaming one.  The search behind R2 is the postings join of
-``operators.search``; only the response parse is Python (X7).
+``operators.search``; the response parse (X7) is native but for rare rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.actions import parse_action
+from scriptorium.functions.actions import with_action
 from scriptorium.functions.text import is_empty_or_multiline, letter_count, py_strip
 from scriptorium.operators import search as se
 from scriptorium.session import checkpoint_dir
@@ -20,15 +20,23 @@ PENALTY = -0.3
 NO_MATCHES = 0.1
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """The responses checkpointed: model output is the expensive part and must not be recomputed."""
+    if df.isStreaming:
+        return df
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def parse_queries(df: DataFrame, response: str = "response") -> DataFrame:
-    """X7 + X3 + R1's early ladder: ``pre_reward`` is set when the ladder stops early."""
+    """X7 + X3 + R1's early ladder: ``pre_reward`` is set when the ladder stops early.  The responses are checkpointed."""
     a = F.col("_a")
     q = py_strip(a["query"])
     pre = (F.when(~a["search_keys"], F.lit(INVALID))
            .when(~a["query_is_str"], F.lit(INVALID))              # reference crashes here; counted malformed
            .when(is_empty_or_multiline(q), F.lit(PENALTY))
            .when(letter_count(q) < 2, F.lit(PENALTY)))
-    return (df.withColumn("_a", parse_action(F.col(response)))
+    return (with_action(_held(df), response, "_a")
             .withColumn("pre_reward", pre)
             .withColumn("query", F.when(pre.isNull(), q))
             .withColumn("sort", a["name"])
@@ -45,10 +53,8 @@ def query_rewards(idx: se.SearchIndex, parsed: DataFrame, key: str, target: str
     citations, anything else keeps relevance order (T4).  Adds ``reward``,
     ``found``, ``rank`` (1-based, W4) and ``total``.
 
-    The parsed responses feed three branches; they are checkpointed first
-    (model output is the expensive part and must not be recomputed)."""
-    checkpoint_dir(parsed.sparkSession)
-    parsed = parsed.checkpoint(eager=True)
+    ``parsed`` feeds three branches: it must be cheap to read again, as the
+    native parse of checkpointed responses is."""
     todo = parsed.where(F.col("pre_reward").isNull())
     ranks = se.ranks_in_page(idx, todo, page, key, target, F.coalesce(F.col("sort") == "search_citation_count", F.lit(False)))
     scored = parsed.join(ranks, key, "left").withColumn("total", F.coalesce("total", F.lit(0)))
@@ -70,7 +76,7 @@ def selection_rewards(df: DataFrame, response: str = "response", ref_response: s
     """R3 + R4: +2 right paper, -1 wrong paper, -2 invalid or not ``select_paper``;
     ``ref_status`` (correct / incorrect / invalid) only for right answers; the
     baseline's action name is ignored.  Ids compare as strings: a numeric
-    ``paper_id`` never equals."""
+    ``paper_id`` never equals.  The responses are checkpointed (not on a stream)."""
     a, r = F.col("_a"), F.col("_r")
     right = a["paper_id"].isNotNull() & (a["paper_id"] == F.col(target))
     reward = (F.when(~a["select_keys"], F.lit(-2))
@@ -80,8 +86,7 @@ def selection_rewards(df: DataFrame, response: str = "response", ref_response: s
     status = (F.when(~r["paper_id_key"], F.lit("invalid"))
               .when(r["paper_id"].isNotNull() & (r["paper_id"] == F.col(target)), F.lit("correct"))
               .otherwise(F.lit("incorrect")))
-    return (df.withColumn("_a", parse_action(F.col(response)))
-            .withColumn("_r", parse_action(F.col(ref_response)))
+    return (with_action(with_action(_held(df), response, "_a"), ref_response, "_r")
             .withColumn("reward", reward.cast("int"))
             .withColumn("ref_status", F.when(reward == 2, status))
             .withColumn("reason", a["reason"])

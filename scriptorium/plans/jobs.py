@@ -170,10 +170,9 @@ def selection_prompts(ranked: DataFrame, *, seed: str, key: str = "item_id", k:
 def score_selections(responses: DataFrame, *, gold_log_path: str | None = None, seq=None, batch: str | None = None) -> DataFrame:
     """C10 scoring (R3 R4 K4): responses and baseline responses -> rewards, gold log.
 
-    The scored rows are checkpointed, so the models behind the responses run once.  ``seq``
+    The responses are checkpointed, so the models behind them run once.  ``seq``
     names the column that orders the log."""
-    checkpoint_dir(responses.sparkSession)
-    scored = sc.selection_rewards(responses).checkpoint(eager=True)
+    scored = sc.selection_rewards(responses)
     if gold_log_path:
         csv_logs.append_log(sc.gold_selection_rows(scored, seq=seq), gold_log_path, batch)
     return scored

@@ -7,7 +7,7 @@ import urllib.parse
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.functions.actions import parse_action, parse_action_text
+from scriptorium.functions.actions import parse_action, parse_action_text, with_action
 from scriptorium.functions.chat import alternate_roles, render
 
 ALPHABET = list("ab Z9 \t\n\r\x0b\x0c  é字ß-_.~/*+%\"'") + ["Query: "]
@@ -80,6 +80,33 @@ def test_parse_action_udf_matches_python(spark):
         assert r["a"].asDict() == parse_action_text(CASES[r["i"]][0])
 
 
+HARD = ['{"a":1}] foo', '{"a":1}} foo', '{"a":1},2', '{"a":1},"k2":3', '1}{', '1] , [2', "", " ", "null", '"x"', "NaN", "-Infinity", '{"a":NaN}', "tru", "[1", "-", "{}", "nan", "NaN tail", " Infinity ", "7" * 5000, '{"a": ' + "7" * 5000 + "}", '"a" b',
+        '{"reason": 1.50, "action": {"name": null, "query": null, "paper_id": "7"}}', '{"reason": {"b": [1, true]}, "action": {"name": "x", "query": "\\u00e9"}}',
+        '{"reason": true, "action": {"name": "x", "query": "q", "paper_id": 7}}', '{"action": {"query": "a", "query": "b", "name": "n"}, "reason": ""}',
+        '{"a": 12345678901234567890123456789012345678901234567890}', '{"a": 1e400}', '{"a": 01}', '{"a": "x\ty"}', '{"a":1}//c', '\ufeff{"a":1}', '{"a":1,}',
+        '{"action": "query name paper_id", "reason": "r"}', '{"action": [{"query": 1}], "reason": "r"}', '{"reason":"x\0y"}', '{"k": {"action": {"query": "q"}}}',
+        ' \n{"reason": "é日", "action": {"name": "search", "query": "q\\n"}}\t', '\x0b{"a": 1}', '{"action": {"query": "\\ud83d\\ude00", "name": "n"}, "reason": "r"}',
+        "[" * 900 + "]" * 900, '{"reason": "r", "action": {"name": "n", "query": "' + "w " * 50_000 + '"}}']
+
+
+def test_native_parse_equals_python(spark):
+    texts = [c[0] for c in CASES] + HARD
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    rows = with_action(df, "s", "a").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["a"].asDict() == parse_action_text(texts[r["i"]]), texts[r["i"]][:80]
+
+
+def test_plain_responses_need_no_python(spark):
+    plain = ['{"reason": "r", "action": {"name": "search_relevance", "query": "a b"}}', "I would search for it.", None, '{"reason": null}']
+    df = spark.createDataFrame([(t,) for t in plain], "s string")
+    got = with_action(df, "s", "a")
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 4
+    tail = with_action(df.union(spark.createDataFrame([(plain[0] + " tail",)], "s string")), "s", "a")
+    assert "Python" in tail._jdf.queryExecution().executedPlan().toString() and tail.where("a.parsed").count() == 2
+
+
 def test_numeric_paper_id_is_not_a_string():
     a = parse_action_text(json.dumps({"reason": "r", "action": {"name": "select_paper", "paper_id": 12}}))
     assert a["select_keys"] and a["paper_id"] is None
