@@ -157,7 +157,7 @@ def op11(common: int, word_chars: int) -> str:
     return f"""
 WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 d AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, [{counts}] AS c5,
-             regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"()', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS pw,
+             regexp_extract_all(lower(regexp_replace(t, '[.,;:!?"()]+', '', 'g')), '[^\x20\x09-\x0D]+') AS pw,
              list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d0),
 e AS (SELECT *, list_append(c5, length(t) - list_sum(c5)) AS c FROM d),
 v AS (SELECT lang, CASE WHEN length(x) <= {word_chars} THEN x END AS x, count(*) AS n FROM (SELECT lang, unnest(pw) AS x FROM e) GROUP BY ALL),

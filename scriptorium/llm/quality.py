@@ -26,23 +26,21 @@ MARKS = "[#*$%&|<>]+"
 #: Common words per language, and the longest that counts as one.
 COMMON = 30
 WORD_CHARS = 40
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Marks around a word that are not part of it.
-_EDGES = ".,;:!?\"()"
-#: One letter per common word, and one for the others.
-_CODES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Marks at a word's edges that are not part of it.
+_EDGES = "[.,;:!?\"()]+"
+#: Bits of a window's key that hold its position; longer texts compare all their windows.
+PLACE_BITS = 24
 #: Languages whose references are broadcast (about 2 KB each).
 BROADCAST_LANGUAGES = 4096
 
 
 def words_of(text: Column) -> Column:
-    flat = F.btrim(text, F.lit(BLANK))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, "[\\x20\\x09-\\x0D]+"))
+    return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
-def plain_words(text: Column) -> Column:
-    """Words in lower case (A-Z) without the marks at their edges."""
-    return words_of(F.translate(text, _UPPER + _EDGES, _LOWER))
+def plain(text: Column) -> Column:
+    """The text in lower case without the marks at its words' edges."""
+    return F.lower(F.regexp_replace(text, _EDGES, ""))
 
 
 def class_counts(rows: DataFrame, text: str, out: str, marks: str) -> DataFrame:
@@ -58,21 +56,30 @@ def class_counts(rows: DataFrame, text: str, out: str, marks: str) -> DataFrame:
 
 
 def repeat_words(rows: DataFrame, words: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: words in windows of three that are found twice or more in the text."""
+    """``rows`` with ``out``: words in windows of three that are found twice or more in the text.
+
+    Windows that may repeat are found by sorting numbers, each the high bits of a window's hash with its position;
+    few are left, and these are compared word by word."""
     w = lambda i: F.get(F.col(words), i)
-    at = F.sequence(F.lit(0), F.size(words) - 3)
-    grams = F.when(F.size(words) >= 3, F.transform(at, lambda i: F.struct(F.concat_ws(" ", w(i), w(i + 1), w(i + 2)).alias("g"), i.alias("i"))))
-    rows = rows.withColumn("_grams", F.coalesce(grams, F.array().cast("array<struct<g:string,i:int>>")))
-    # most texts repeat no window: a hash set tells so without a sort
-    distinct = F.size(F.array_distinct("_grams.g")) == F.size("_grams")
-    rows = rows.withColumn("_grams", F.when(distinct, F.array().cast("array<struct<g:string,i:int>>")).otherwise(F.array_sort("_grams")))
-    same = lambda a, b: (a["g"] == b["g"])
-    g = lambda k: F.get(F.col("_grams"), k)
-    twice = F.filter("_grams", lambda x, k: F.coalesce((k > 0) & same(g(k - 1), x), F.lit(False)) | F.coalesce(same(g(k + 1), x), F.lit(False)))
+    n = F.size(words)
+    place = F.lit((1 << PLACE_BITS) - 1).cast("long")
+    key = lambda i: F.xxhash64(w(i), w(i + 1), w(i + 2)).bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long"))
+    at = F.sequence(F.lit(0), n - 3)
+    none = F.array().cast("array<bigint>")
+    rows = rows.withColumn("_keys", F.sort_array(F.when((n >= 3) & (n < 1 << PLACE_BITS), F.transform(at, key)).otherwise(none)))
+    each = lambda k: F.get(F.col("_keys"), k)
+    pairs = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_keys") - 2, F.lit(0))), lambda k: F.shiftright(each(k), PLACE_BITS) == F.shiftright(each(k + 1), PLACE_BITS))
+    rows = rows.withColumn("_pairs", pairs)
+    twins = F.array_distinct(F.concat(F.transform("_pairs", each), F.transform("_pairs", lambda k: each(k + 1))))
+    places = F.when(n < 1 << PLACE_BITS, F.transform(twins, lambda x: x.bitwiseAND(place).cast("int"))).otherwise(at)
+    rows = rows.withColumn("_places", places).drop("_keys", "_pairs")
+    rows = rows.withColumn("_grams", F.array_sort(F.transform("_places", lambda i: F.struct(F.concat_ws(" ", w(i), w(i + 1), w(i + 2)).alias("g"), i.alias("i")))))
+    g = lambda k: F.get(F.col("_grams"), k)["g"]
+    twice = F.filter("_grams", lambda x, k: F.coalesce((k > 0) & (g(k - 1) == x["g"]), F.lit(False)) | F.coalesce(g(k + 1) == x["g"], F.lit(False)))
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     total = F.aggregate(starts, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
                         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")), lambda acc: acc["n"])
-    return rows.withColumn(out, total).drop("_grams")
+    return rows.withColumn(out, total).drop("_grams", "_places")
 
 
 def lines_of(text: Column) -> Column:
@@ -80,11 +87,12 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != "")
 
 
-def references(docs: DataFrame, min_words: int) -> DataFrame:
-    """Per language (``lang``, null counts as ''): ``top``, its COMMON most frequent words, ``words``, their counts and
+def references(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """Per language (``lang``, null counts as ''): ``top``, its COMMON most frequent words, ``listed``, the same joined by commas, ``words``, their counts and
     the count of all others, and ``chars``, its characters by class.  Languages with fewer words have none."""
-    words = docs.select("lang", F.explode_outer(plain_words(F.col("text"))).alias("w")).where("w is not null")
+    words = docs.select("lang", F.explode_outer(words_of(plain(F.col("text")))).alias("w")).where("w is not null")
     counts = words.groupBy("lang", F.when(F.length("w") <= WORD_CHARS, F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    counts = scratch.cut(counts, "words")  # read twice
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     top = counts.where("w is not null").withColumn("k", place).where(F.col("k") <= COMMON)
     top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "w", "n"))).alias("t"))  # COMMON rows a language
@@ -92,19 +100,24 @@ def references(docs: DataFrame, min_words: int) -> DataFrame:
     rest = F.col("all") - F.aggregate("t.n", F.lit(0).cast("long"), lambda a, x: a + x)
     classes = class_counts(docs.select("lang", "text"), "text", "c", "m").select("lang", *[F.get("c", F.lit(k)).alias(f"c{k}") for k in range(len(CLASSES) + 1)])
     classes = classes.groupBy("lang").agg(F.array(*[F.sum(f"c{k}") for k in range(len(CLASSES) + 1)]).alias("chars"))
-    return top.join(whole, "lang").join(classes, "lang").select("lang", F.col("t.w").alias("top"), F.concat("t.n", F.array(rest)).alias("words"), "chars")
+    return top.join(whole, "lang").join(classes, "lang").select("lang", F.col("t.w").alias("top"), F.array_join("t.w", ",").alias("listed"), F.concat("t.n", F.array(rest)).alias("words"), "chars")
 
 
 def divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence in bits of two arrays of counts; null if either is empty."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    shares = F.zip_with(F.transform(p, lambda x: x / total(p)), F.transform(q, lambda x: x / total(q)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
-    def part(s: Column) -> Column:
-        m = (s["x"] + s["y"]) / 2
-        return (F.when(s["x"] > 0, s["x"] * F.ln(s["x"] / m)).otherwise(0.0) + F.when(s["y"] > 0, s["y"] * F.ln(s["y"] / m)).otherwise(0.0)) / 2
-    bits = F.aggregate(shares, F.lit(0.0), lambda a, s: a + part(s)) / F.ln(F.lit(2.0))
-    return F.when((total(p) > 0) & (total(q) > 0), F.greatest(bits, F.lit(0.0)))
+    def part(x: Column, y: Column) -> Column:
+        m = (x + y) / 2
+        return (F.when(x > 0, x * F.ln(x / m)).otherwise(0.0) + F.when(y > 0, y * F.ln(y / m)).otherwise(0.0)) / 2
+
+    def add(acc: Column, s: Column) -> Column:
+        bits = acc["bits"] + part(s["p"] / acc["np"], s["q"] / acc["nq"])
+        return F.struct(acc["np"].alias("np"), acc["nq"].alias("nq"), bits.alias("bits"))
+    pairs = F.zip_with(p, q, lambda x, y: F.struct(x.alias("p"), y.alias("q")))
+    bits = F.aggregate(pairs, F.struct(total(p).alias("np"), total(q).alias("nq"), F.lit(0.0).alias("bits")), add,
+                       lambda acc: F.when((acc["np"] > 0) & (acc["nq"] > 0), acc["bits"]))
+    return F.greatest(bits / F.ln(F.lit(2.0)), bits * 0)
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list | None = None, max_chars: float = 0.25,
@@ -122,25 +135,28 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     scratch = Scratch(spark, "quality")
     carry = [docs[c] for c in docs.columns] if carry is None else list(carry)
     source = docs.select(F.struct(*carry).alias("_row"), F.coalesce(docs[lang_col], F.lit("")).alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    refs = scratch.cut(references(source.select("lang", "text"), min_reference), "references")
+    refs = scratch.cut(references(source.select("lang", "text"), min_reference, scratch), "references")
+    scratch.drop("words")
     if refs.count() <= BROADCAST_LANGUAGES:
         refs = F.broadcast(refs)
-    rows = source.join(refs.withColumnsRenamed({"words": "_ref_words", "chars": "_ref_chars", "top": "_top"}), "lang", "left")
+    rows = source.join(refs.withColumnsRenamed({"words": "_ref_words", "chars": "_ref_chars", "top": "_top", "listed": "_set"}), "lang", "left")
     rows = class_counts(rows, "text", "_chars", "n_symbols")
     rows = rows.withColumns({"_words": words_of(F.col("text")), "_lines": lines_of(F.col("text"))})
-    code = lambda x: F.substring(F.lit(_CODES), (F.coalesce(F.array_position(F.col("_top"), x), F.lit(0)) + 1).cast("int"), F.lit(1))
-    rows = rows.withColumn("_codes", F.when(F.col("_top").isNotNull(), F.array_join(F.transform(plain_words(F.col("text")), code), "")))
+    # one character a word: its place among the common words, counted by what is left without it
+    # (plain words hold no comma)
+    code = lambda x: F.char(F.find_in_set(x, F.col("_set")) + ord("0"))
+    rows = rows.withColumn("_codes", F.when(F.col("_top").isNotNull(), F.array_join(F.transform(words_of(plain(F.col("text"))), code), "")))
     rows = repeat_words(rows, "_words", "n_repeat_words")
     rows = rows.withColumns({"n_words": F.size("_words").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
                              "word_chars": (F.length("text") - F.get("_chars", F.lit(1))).cast("long")})
     n = F.length("_codes")
-    hits = [(n - F.length(F.replace("_codes", F.lit(_CODES[k]), F.lit("")))).cast("long") for k in range(1, COMMON + 1)]
-    found = F.slice(F.array(*hits), 1, F.size("_top"))
-    rows = rows.withColumn("_counts", F.concat(found, F.array(n - F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x))))
+    hits = [(n - F.length(F.replace("_codes", F.lit(chr(ord("0") + k)), F.lit("")))).cast("long") for k in range(1, COMMON + 1)]
+    rows = rows.withColumns({"_hits": F.slice(F.array(*hits), 1, F.size("_top")), "_n": n.cast("long")})
+    rows = rows.withColumn("_counts", F.concat("_hits", F.array(F.col("_n") - F.aggregate("_hits", F.lit(0).cast("long"), lambda a, x: a + x))))
     rows = rows.withColumns({"_cd": F.when(F.col("n_words") >= min_words, divergence(F.col("_chars"), F.col("_ref_chars"))),
-                             "_wd": F.when(n >= min_words, divergence(F.col("_counts"), F.col("_ref_words")))})
+                             "_wd": F.when(F.col("_n") >= min_words, divergence(F.col("_counts"), F.col("_ref_words")))})
     chars_over = F.col("_cd") > max_chars ** 2 + (len(CLASSES) + 1) / (4 * F.col("n_words"))
-    words_over = F.col("_wd") > max_words ** 2 + F.size("_counts") / (4 * n)
+    words_over = F.col("_wd") > max_words ** 2 + F.size("_counts") / (4 * F.col("_n"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     rows = rows.withColumns({"base_failed": failed, "kept": ~(failed | F.coalesce(chars_over, F.lit(False)) | F.coalesce(words_over, F.lit(False)))})
     return rows.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
