@@ -105,18 +105,17 @@ def references(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
 
 def divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence in bits of two arrays of counts; null if either is empty."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    total = lambda a: F.greatest(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.lit(0.1))
 
     def part(x: Column, y: Column) -> Column:
-        m = (x + y) / 2
-        return (F.when(x > 0, x * F.ln(x / m)).otherwise(0.0) + F.when(y > 0, y * F.ln(y / m)).otherwise(0.0)) / 2
+        return (F.when(x > 0, x * F.ln(x / ((x + y) / 2))).otherwise(0.0) + F.when(y > 0, y * F.ln(y / ((x + y) / 2))).otherwise(0.0)) / 2
 
     def add(acc: Column, s: Column) -> Column:
         bits = acc["bits"] + part(s["p"] / acc["np"], s["q"] / acc["nq"])
         return F.struct(acc["np"].alias("np"), acc["nq"].alias("nq"), bits.alias("bits"))
     pairs = F.zip_with(p, q, lambda x, y: F.struct(x.alias("p"), y.alias("q")))
     bits = F.aggregate(pairs, F.struct(total(p).alias("np"), total(q).alias("nq"), F.lit(0.0).alias("bits")), add,
-                       lambda acc: F.when((acc["np"] > 0) & (acc["nq"] > 0), acc["bits"]))
+                       lambda acc: F.when((acc["np"] >= 1) & (acc["nq"] >= 1), acc["bits"]))
     return F.greatest(bits / F.ln(F.lit(2.0)), bits * 0)
 
 
