@@ -106,18 +106,26 @@ def build_citation_excerpts(papers: DataFrame, citations: DataFrame, *, field: s
     return ex.citation_excerpts(p, citations)
 
 
-def attributable_excerpts(excerpt_table: DataFrame, *, make_verdict_model: ModelFactory, base_path: str,
-                          shards: int = 8, batch_size: int = 32) -> DataFrame:
-    """One row per excerpt with its attribution prompt, the verdict model run
-    shard by shard with a checkpoint per shard, then the ' YES' filter."""
+def excerpt_verdicts(rows: DataFrame, make_verdict_model: ModelFactory, batch_size: int = 32) -> DataFrame:
+    """One row per excerpt (title, excerpt, ...) with its attribution prompt and the model's verdict (Q1 M4)."""
+    rows = rows.withColumn("prompt", pr.attribution_prompt(F.col("title"), F.col("excerpt")))
+    return rows.withColumn("eval", generate(F.col("prompt"), make_verdict_model, batch_size))
+
+
+def sharded_verdicts(excerpt_table: DataFrame, *, make_verdict_model: ModelFactory, base_path: str,
+                     rows_per_shard: int, batch_size: int = 32) -> DataFrame:
+    """C6 up to the filter: one row per excerpt, the verdict model run with a checkpoint per shard."""
     rows = ex.explode_excerpts(excerpt_table).select(
         F.col("paper.paperId").alias("paperId"), F.col("paper.title").alias("title"), "seq", "pos", "excerpt")
-    rows = rows.withColumn("prompt", pr.attribution_prompt(F.col("title"), F.col("excerpt")))
+    return run_sharded(rows, lambda part: excerpt_verdicts(part, make_verdict_model, batch_size), base_path,
+                       rows_per_shard=rows_per_shard, key=["seq", "pos"])
 
-    def job(part):
-        return part.withColumn("eval", generate(F.col("prompt"), make_verdict_model, batch_size))
 
-    return ex.attributable(run_sharded(rows, job, base_path, shards=shards, key=["seq", "pos"]))
+def attributable_excerpts(excerpt_table: DataFrame, *, make_verdict_model: ModelFactory, base_path: str,
+                          rows_per_shard: int, batch_size: int = 32) -> DataFrame:
+    """The excerpts whose verdict, of a run with a checkpoint per shard, is ' YES'."""
+    return ex.attributable(sharded_verdicts(excerpt_table, make_verdict_model=make_verdict_model, base_path=base_path,
+                                            rows_per_shard=rows_per_shard, batch_size=batch_size))
 
 
 def sample_training_pairs(papers: DataFrame, citations: DataFrame, *, field: str, seed: str,

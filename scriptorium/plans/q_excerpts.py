@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from scriptorium.functions.draws import draw_key
 from scriptorium.operators import excerpts as ex
 from scriptorium.operators.batching import minibatches
-from scriptorium.operators.models import generate
 from scriptorium.operators.prompts import (
     ATTRIBUTION_ANSWER_PREFIX, ATTRIBUTION_EXCERPTS, ATTRIBUTION_INSTRUCTION, ATTRIBUTION_TITLE, attribution_prompt,
 )
@@ -16,10 +15,11 @@ from scriptorium.plans.registry import register
 from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.session import checkpoint_dir
 from scriptorium.sources import tables as tb
-from scriptorium.sources.materialize import cache_key, run_sharded, source_fingerprint
+from scriptorium.sources.materialize import cache_key, source_fingerprint
 
 FIELD = "en"
 SEED = "42"
+ROWS_PER_SHARD = 1000
 
 
 def excerpt_table(spark, sf_dir):
@@ -36,8 +36,7 @@ def excerpt_rows(spark, sf_dir):
 
 def verdicts(spark, sf_dir, make_fn=stubs.make_verdict_model):
     """C6 core: attribution prompt per excerpt, then the injected verdict model (M4)."""
-    rows = excerpt_rows(spark, sf_dir).withColumn("prompt", attribution_prompt(F.col("title"), F.col("excerpt")))
-    return tb.spread(rows).withColumn("eval", generate(F.col("prompt"), make_fn, batch_size=32))
+    return jobs.excerpt_verdicts(tb.spread(excerpt_rows(spark, sf_dir)), make_fn)
 
 
 _EX_CTES = """
@@ -98,20 +97,28 @@ def attributable_filter(spark, sf_dir):
     return ex.attributable(v).select("paperId", "title", "seq", "pos", "excerpt", "eval")
 
 
+def _verdict_base(spark, sf_dir) -> str:
+    fp = source_fingerprint(spark, tb.table_path(sf_dir, "documents"))
+    return f"{checkpoint_dir(spark)}/verdict_shards/{cache_key(fp=fp, model='verdict-stub-v1', rows=ROWS_PER_SHARD)}"
+
+
 @register("sharded_verdict_union", _ex_sql(f"SELECT paperId, seq, pos, {_VERDICT_SQL} AS eval FROM exs"))
 def sharded_verdict_union(spark, sf_dir):
-    """Verdicts computed per hash shard, each shard written as a
-    checkpoint partition (only missing shards run on a re-run), then read
-    back as one table."""
-    rows = excerpt_rows(spark, sf_dir).withColumn("prompt", attribution_prompt(F.col("title"), F.col("excerpt")))
-    fp = source_fingerprint(spark, tb.table_path(sf_dir, "documents"))
-    base = f"{checkpoint_dir(spark)}/verdict_shards/{cache_key(fp=fp, model='verdict-stub-v1', shards=8)}"
+    """Verdicts computed per hash shard in one job, each shard's output a checkpoint of its own (only missing
+    shards run on a re-run), then read back as one table."""
+    v = jobs.sharded_verdicts(excerpt_table(spark, sf_dir), make_verdict_model=stubs.make_verdict_model,
+                              base_path=_verdict_base(spark, sf_dir), rows_per_shard=ROWS_PER_SHARD)
+    return v.select("paperId", "seq", "pos", "eval")
 
-    def job(shard_df):
-        return shard_df.withColumn("eval", generate(F.col("prompt"), stubs.make_verdict_model)) \
-            .select("paperId", "seq", "pos", "eval")
 
-    return run_sharded(rows, job, base, shards=8, key=["seq", "pos"])
+@register("attributable_excerpts", _ex_sql(f"""
+SELECT paperId, title, seq, pos, excerpt, {_VERDICT_SQL} AS eval FROM exs
+WHERE starts_with({_VERDICT_SQL}, ' YES')"""))
+def attributable_excerpts(spark, sf_dir):
+    """C6 as a whole: excerpts, sharded verdicts, the ' YES' filter."""
+    v = jobs.attributable_excerpts(excerpt_table(spark, sf_dir), make_verdict_model=stubs.make_verdict_model,
+                                   base_path=_verdict_base(spark, sf_dir), rows_per_shard=ROWS_PER_SHARD)
+    return v.select("paperId", "title", "seq", "pos", "excerpt", "eval")
 
 
 def training_pairs(spark, sf_dir, num_excerpts):

@@ -111,26 +111,40 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
     return df
 
 
-def run_sharded(rows: DataFrame, job: Callable[[DataFrame], DataFrame], base: str, shards: int = 8,
+def _done_shards(spark: SparkSession, out: str) -> set[int]:
+    """Shards with a committed file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/shard=*/part-*")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return {int(st.getPath().getParent().getName().split("=")[1]) for st in found}
+
+
+def run_sharded(rows: DataFrame, job: Callable[[DataFrame], DataFrame], base: str, rows_per_shard: int,
                 key: list[str] | None = None) -> DataFrame:
-    """Per-shard checkpointing of a long map.
-
-    The input is written once, ``partitionBy('shard')`` with shard =
-    ``pmod(xxhash64(key), shards)``; each shard job then reads only its own
-    partition (partition pruning) and writes ``out/shard=i``.  Shards whose
-    output is complete are skipped on a re-run, so a lost run resumes.  ``base``
-    must name the input (by fingerprint), the model and all parameters.  The
-    result is the union of all shard outputs (read of the parent folder)."""
+    """Per-shard checkpointing of a long map in one job.
+
+    The input is written once, ``partitionBy('shard')`` with shard = ``pmod(xxhash64(key), shards)`` and as many shards
+    as its rows need.  One job then maps all shards that have no output yet, side by side: each is dealt whole to one
+    task, which stages its file and moves it to ``out/shard=i`` when it is whole (the committer's second algorithm, which
+    moves a task's output at the end of the task).  A run that dies has the shards of its finished tasks; the next
+    one maps the others.  ``job`` maps rows to rows and keeps their ``shard``.  ``base`` must name the input (by
+    fingerprint), the model and all parameters.  The result is the union of all shard outputs."""
     spark = rows.sparkSession
     base = base.rstrip("/")
-    inp = f"{base}/in"
+    inp, out = f"{base}/in", f"{base}/out"
     if not is_complete(spark, inp):
         cols = [F.col(c) for c in (key or rows.columns)]
-        save(rows.withColumn("shard", F.pmod(F.xxhash64(*cols), F.lit(shards))), inp, partition_by=["shard"])
-    for i in range(shards):
-        out = f"{base}/out/shard={i}"
-        if is_complete(spark, out):
-            continue
-        part = spark.read.parquet(inp).where(F.col("shard") == i).drop("shard")
-        save(job(part), out)
-    return spark.read.parquet(f"{base}/out").drop("shard")
+        shards = max(1, -(-rows.count() // rows_per_shard))
+        number = F.pmod(F.xxhash64(*cols), F.lit(shards)).cast("int")
+        save(rows.withColumn("shard", number).repartition(shards, "shard"), inp, partition_by=["shard"])
+    part = spark.read.schema(rows.withColumn("shard", F.lit(0)).schema).parquet(inp)
+    mapped = job(part)
+    if "shard" not in mapped.columns:
+        raise ValueError("the job must keep the column shard")
+    if not is_complete(spark, out):
+        done = _done_shards(spark, out)
+        every = [r["shard"] for r in part.select("shard").distinct().collect()]       # folder names
+        missing = sorted(set(every) - done)
+        todo = part.where(F.col("shard").isin(missing)).repartition(max(1, len(missing)), "shard")
+        (job(todo).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy("shard").parquet(out))
+    return spark.read.schema(mapped.schema).parquet(out).drop("shard")

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import scoring as sc
@@ -41,11 +42,44 @@ def test_retrieve_for_excerpts_with_stub_models(spark):
 def test_attributable_excerpts_sharded(spark, scratch):
     t = jobs.build_citation_excerpts(tb.papers(spark, SF_SMALL), tb.citations(spark, SF_SMALL), field="en")
     out = jobs.attributable_excerpts(t, make_verdict_model=stubs.make_verdict_model,
-                                     base_path=os.path.join(scratch, "verdicts"), shards=3)
+                                     base_path=os.path.join(scratch, "verdicts"), rows_per_shard=100)
     rows = out.collect()
     assert rows and all(r.eval.startswith(" YES") for r in rows)
 
 
+def test_shards_run_at_once_and_only_missing_ones_again(spark, scratch):
+    """One job maps all shards; one that fails leaves the finished shards, and the next run maps the others only."""
+    from scriptorium.sources.materialize import run_sharded
+    rows = spark.range(1000).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def job(bad):
+        def task(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                ids = b.column(0).to_pylist()
+                if bad is not None and bad in ids:
+                    import time
+                    time.sleep(6)      # the others finish meanwhile
+                    raise RuntimeError("lost")
+                yield b
+        return lambda part: part.mapInArrow(task, part.schema)
+    base = os.path.join(scratch, "shards")
+    with pytest.raises(Exception, match="lost"):
+        run_sharded(rows, job(17), base, rows_per_shard=100, key=["id"]).count()
+    done = {int(d.split("=")[1]) for d in os.listdir(f"{base}/out") if d.startswith("shard=")}
+    first = seen.value        # a failed task's rows are not counted
+    kept = spark.read.parquet(f"{base}/in").where(F.col("shard").isin(sorted(done))).count()
+    assert len(done) >= 5 and kept == first < 1000 and not os.path.exists(f"{base}/out/_SUCCESS")
+    out = run_sharded(rows, job(None), base, rows_per_shard=100, key=["id"])
+    assert sorted(r.id for r in out.collect()) == list(range(1000)) and seen.value == 1000
+    again = seen.value
+    assert run_sharded(rows, job(None), base, rows_per_shard=100, key=["id"]).count() == 1000 and seen.value == again
+    with pytest.raises(ValueError, match="shard"):
+        run_sharded(rows, lambda part: part.drop("shard"), base, rows_per_shard=100)
+    assert run_sharded(rows.limit(0), job(None), f"{base}0", rows_per_shard=100).count() == 0
+
+
 def test_rank_gold_logs_and_supervised_text(spark, scratch):
     from scriptorium.sources import csv_logs
     gold = tb.gold(spark, SF_SMALL).select("paperId", "title", "query", "excerpt", "reason")
