@@ -82,6 +82,6 @@ def terms(c: Column) -> Column:
                     lambda t: F.length(t) > 0)
 
 
-def run_stamp(fmt: str = "yyyyMMdd_HHmmss") -> Column:
-    """Run date stamp (X14), e.g. ``MM-dd-yyyy`` for index names; paths take a run id argument."""
-    return F.date_format(F.current_timestamp(), fmt)
+def run_stamp(fmt: str = "yyyyMMdd_HHmmss", at: Column | None = None) -> Column:
+    """Date stamp (X14) of ``at``, now if not given, e.g. ``MM-dd-yyyy`` for index names; paths take a run id argument."""
+    return F.date_format(F.current_timestamp() if at is None else at, fmt)

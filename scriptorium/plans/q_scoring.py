@@ -203,13 +203,17 @@ def selection_prompt(spark, sf_dir):
     return selection_rows(spark, sf_dir).select("item_id", "prompt")
 
 
-def scored_selections(spark, sf_dir):
+def selection_responses(spark, sf_dir):
+    """Selection prompts with the stub models' answers."""
     s = selection_rows(spark, sf_dir)
     model_in = F.struct(F.col("item_id").cast("string").alias("key"), F.col("paperId").alias("target"), "prompt")
     pair = F.from_json(generate(model_in, stubs.make_selection_responder), T.ArrayType(T.StringType()))
-    s = s.withColumn("_pair", pair).withColumn("response", F.col("_pair")[0]) \
+    return s.withColumn("_pair", pair).withColumn("response", F.col("_pair")[0]) \
         .withColumn("ref_response", F.col("_pair")[1]).drop("_pair")
-    return jobs.score_selections(s)
+
+
+def scored_selections(spark, sf_dir):
+    return jobs.score_selections(selection_responses(spark, sf_dir))
 
 
 _SEL_REWARD = f""",

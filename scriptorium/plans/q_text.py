@@ -18,7 +18,7 @@ from scriptorium.plans.sql_views import sql_str, with_views
 from scriptorium.session import checkpoint_dir
 from scriptorium.sources import csv_logs
 from scriptorium.sources import tables as tb
-from scriptorium.sources.materialize import cache_key, is_complete, materialize, source_fingerprint
+from scriptorium.sources.materialize import cache_key, is_complete, source_fingerprint
 
 _RENDER_ONE = "'<|' || {role} || '|>' || chr(10) || {content} || '<|end|>' || chr(10)"
 
@@ -188,16 +188,12 @@ SELECT id, CAST(64 AS INTEGER) AS dim, CAST({_VSUM_SQL.format(c='content')} AS D
   ORDER BY make_timestamp(2015 + doc_id % 10, 1, 1 + doc_id % 28, 0, 0, 0) DESC,
            'http://arxiv.org/abs/' || CAST(doc_id AS VARCHAR) || 'v1') t""")
 def embed_table_stub(spark, sf_dir):
-    """M2 (S5 -> P4 -> M1 -> K5): the entries of a topic embedded and
-    saved with their metadata as one table (read-through cache)."""
-    ent = co.topic_scan(tb.arxiv_entries(spark, sf_dir), "en", None)
-    meta = co.with_content(co.arxiv_metadata(ent))
-    fp = source_fingerprint(spark, tb.table_path(sf_dir, "documents"))
-    path = f"{checkpoint_dir(spark)}/arxiv_embeddings/{cache_key(fp=fp, topic='en', model='letters')}"
-    table = materialize(spark, path, lambda: meta.withColumn(
-        "embedding", embed(F.col("content"), stubs.make_letter_embedder)))
-    return table.select("id", F.size("embedding").alias("dim"),
-                        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("vsum"))
+    """C3 (M2: S5 -> P4 -> M1 -> K5): the entries of a topic embedded, saved as one table (read-through cache) and
+    turned into records."""
+    table = jobs.build_arxiv_index(tb.arxiv_entries(spark, sf_dir), topic="en", make_embedder=stubs.make_letter_embedder,
+                                   cache_path=f"{checkpoint_dir(spark)}/arxiv_embeddings", model_name="letters")
+    return table.select(F.split_part("id", F.lit("#"), F.lit(1)).alias("id"), F.size("values").alias("dim"),
+                        F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("vsum"))
 
 
 @register("attach_vectors_fallback", with_views(["papers"], f"""

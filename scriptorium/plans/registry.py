@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from scriptorium.plans import (  # noqa: F401
-        q_corpus, q_excerpts, q_retrieval, q_search, q_scoring, q_text,
+        q_corpus, q_edges, q_excerpts, q_retrieval, q_search, q_scoring, q_text,
     )
 
 

@@ -1,9 +1,8 @@
 """Gold CSV logs: append sink (K3 K4) and the header-checked union source.
 
 Spark binds CSV columns by position inside one read, so files whose
-headers differ in order would be mis-bound silently.  The source reads only
-the header line of each file on the driver (a listing, not data), groups
-files by identical header, reads each group with its own schema and
+headers differ in order would be mis-bound silently.  The source finds the
+header lines of all files in one job, groups files by identical header, reads each group with its own schema and
 ``unionByName``s the groups.  Files lacking a required column are skipped
 whole, empty files are skipped, and empty fields read as ``''`` like a
 Python ``csv`` reader.
@@ -13,6 +12,8 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,29 +60,33 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(out)
 
 
-def read_header(spark: SparkSession, path: str) -> list[str] | None:
-    """The first CSV record of a file, or None when the file is empty."""
-    jvm, conf = _hadoop(spark)
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(conf).open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    if line is None or line == "":
-        return None
-    return next(csv.reader(io.StringIO(line)))
+def file_headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """First line -> files that start with it; empty files and empty first lines are left out.
+
+    One job, whose tasks read the files as text: of every file's first block the line read first.  Only distinct first
+    lines with their files' names, a listing, come to the driver."""
+    if not files:
+        return {}
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+                                          F.monotonically_increasing_id().alias("n"))
+    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("head")).where("head <> ''")
+    known = {_plain(f): f for f in files}
+    return {r["head"]: sorted(known[_plain(unquote(p))] for p in r["paths"])
+            for r in first.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()}
+
+
+def _plain(path: str) -> str:
+    """A local path without its scheme, another one as it is."""
+    return re.sub(r"^file:/+", "/", path)
 
 
 def read_logs(spark: SparkSession, pattern: str, required: list[str] = GOLD_QUERY_COLUMNS) -> DataFrame:
     """Union of every CSV file under ``pattern`` whose header has ``required``."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f in list_files(spark, pattern):
-        header = read_header(spark, f)
-        if header is None or not set(required) <= set(header):
-            continue
-        groups.setdefault(tuple(header), []).append(f)
+    for line, files in file_headers(spark, list_files(spark, pattern)).items():
+        header = next(csv.reader(io.StringIO(line)))
+        if set(required) <= set(header):
+            groups.setdefault(tuple(header), []).extend(files)
     schema_out = T.StructType([T.StructField(c, T.StringType()) for c in required])
     out = spark.createDataFrame([], schema_out)
     for header, files in sorted(groups.items()):

@@ -196,3 +196,21 @@ def test_top_n_sorts_one_bucket_only(spark):
     assert got.count() == 130_007 and got.where("year = 6").agg(F.count("id"), F.max("id")).head() == (10_007, 10_006 * 10 + 6)
     edge = [c for c in (got._jdf.queryExecution().optimizedPlan().children().apply(1),)]
     assert "Sort" in edge[0].toString()
+
+
+def test_many_small_logs_in_one_job(spark, scratch):
+    """Headers of hundreds of files by one job, odd file names, quoted headers, empty files and empty first lines."""
+    from scriptorium.sources import csv_logs
+    cols = csv_logs.GOLD_QUERY_COLUMNS
+    os.makedirs(f"{scratch}/gold_queries_x")
+    for i in range(300):
+        names = cols if i % 3 else cols[::-1] if i % 2 else [*cols[:-1], "other"]
+        with open(f"{scratch}/gold_queries_x/log {i} 100%41é.csv", "w") as f:
+            f.write("" if i == 5 else "\n" if i == 7 else ",".join(f'"{c}"' for c in names) + "\n" + ",".join(f"{c}{i}" for c in names) + "\n")
+    spark.sparkContext.setJobGroup("heads", "heads")
+    heads = csv_logs.file_headers(spark, csv_logs.list_files(spark, f"{scratch}/gold_queries*"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("heads")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(heads) == 3 and sum(map(len, heads.values())) == 298 and len(jobs) <= 6
+    rows = csv_logs.read_logs(spark, f"{scratch}/gold_queries*").collect()
+    assert {tuple(r) for r in rows} == {tuple(f"{c}{i}" for c in cols) for i in range(300) if i not in (5, 7) and (i % 3 or i % 2)}
