@@ -9,13 +9,24 @@ from scriptorium.functions.draws import draw_key
 from scriptorium.operators.batching import top_n
 
 
-def citation_excerpts(papers: DataFrame, citations: DataFrame) -> DataFrame:
+#: Citations of one paper that one task may join.
+HOT_ROWS = 1_000_000
+
+
+def citation_excerpts(papers: DataFrame, citations: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """papers JOIN citations on the cited id -> {paper, citingPaper, excerpts}.
 
-    A heavily cited paper is a hot key on the citations side; AQE's skew
-    join splits it, the papers side is one row per key."""
-    p = papers.select("paperId", F.struct(*papers.columns).alias("paper"))
-    return (citations.join(p, citations.citedPaperId == p.paperId)
+    A paper with more than ``hot_rows`` citations is a hot key: its citations are dealt over as many salts as their
+    count needs, and its one row is copied to each, so no task joins many more than ``hot_rows`` of them, whatever the
+    adaptive skew join does.  The table of hot papers holds at most citations / ``hot_rows`` narrow rows, which is the
+    bound of its broadcast."""
+    counts = citations.groupBy(F.col("citedPaperId").alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.where(F.col("_n") > hot_rows).select("_hot", F.ceil(F.col("_n") / hot_rows).alias("_salts")))
+    p = papers.select("paperId", F.struct(*papers.columns).alias("paper")).join(hot, F.col("paperId") == F.col("_hot"), "left")
+    p = p.select("paperId", "paper", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)).alias("_copy"))
+    c = citations.join(hot, F.col("citedPaperId") == F.col("_hot"), "left")
+    c = c.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("seq"), F.col("_salts")), F.lit(0)))
+    return (c.join(p, (F.col("citedPaperId") == F.col("paperId")) & (F.col("_salt") == F.col("_copy")))
             .select("paper", "citingPaper", F.col("contexts").alias("excerpts"), "seq"))
 
 

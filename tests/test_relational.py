@@ -214,3 +214,23 @@ def test_many_small_logs_in_one_job(spark, scratch):
     assert len(heads) == 3 and sum(map(len, heads.values())) == 298 and len(jobs) <= 6
     rows = csv_logs.read_logs(spark, f"{scratch}/gold_queries*").collect()
     assert {tuple(r) for r in rows} == {tuple(f"{c}{i}" for c in cols) for i in range(300) if i not in (5, 7) and (i % 3 or i % 2)}
+
+
+def test_hot_paper_is_dealt_over_tasks(spark):
+    """A third of all citations on one paper: no task joins twice the median, without the adaptive join; rows as of the plain join."""
+    from scriptorium.operators import excerpts as ex
+    papers = spark.range(200).select(F.col("id").cast("string").alias("paperId"), F.concat(F.lit("t"), F.col("id")).alias("title"))
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 200).cast("string")
+    cites = spark.range(30_000).select(F.col("id").alias("seq"), key.alias("citedPaperId"), F.col("id").cast("string").alias("citingPaper"), F.array(F.lit("x")).alias("contexts"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = ex.citation_excerpts(papers, cites, hot_rows=100)
+        sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 30_000 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+        plain = cites.join(papers, cites.citedPaperId == papers.paperId).select("seq", "title")
+        assert got.select("seq", "paper.title").exceptAll(plain).isEmpty()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
