@@ -157,10 +157,9 @@ def op11(common: int, word_chars: int) -> str:
     return f"""
 WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 d AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, [{counts}] AS c5,
-             regexp_extract_all(lower(regexp_replace(t, '[.,;:!?"()]+', '', 'g')), '[^\x20\x09-\x0D]+') AS pw,
              list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d0),
 e AS (SELECT *, list_append(c5, length(t) - list_sum(c5)) AS c FROM d),
-v AS (SELECT lang, CASE WHEN length(x) <= {word_chars} THEN x END AS x, count(*) AS n FROM (SELECT lang, unnest(pw) AS x FROM e) GROUP BY ALL),
+v AS (SELECT lang, CASE WHEN length(x) <= {word_chars} AND NOT contains(x, ',') THEN x END AS x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM e) GROUP BY ALL),
 r AS (SELECT lang, list(x ORDER BY n DESC, x) AS top, list(n ORDER BY n DESC, x) AS ns FROM (
         SELECT * FROM v WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= {common}) GROUP BY lang),
 a AS (SELECT lang, sum(n) AS total FROM v GROUP BY lang HAVING sum(n) >= 2000),
@@ -168,13 +167,13 @@ k AS (SELECT lang, list(s ORDER BY i) AS chars FROM (SELECT lang, i, sum(c[i]) A
 ref AS (SELECT lang, top, list_append(ns, total - list_sum(ns)) AS words, chars FROM r JOIN a USING (lang) JOIN k USING (lang)),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM e)),
 rep AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1), range(3) AS z(j) GROUP BY rid),
-h AS (SELECT e.*, len(w) AS nw, len(pw) AS np, coalesce(n_repeat_words, 0) AS nr, top, words, chars,
-             list_transform(top, lambda x: len(list_filter(pw, lambda y: y = x))) AS f FROM e LEFT JOIN rep USING (rid) LEFT JOIN ref USING (lang)),
-j AS (SELECT *, list_append(f, np - list_sum(f)) AS p FROM h),
-m AS (SELECT *, CASE WHEN nw >= 50 THEN {_divergence("c", "chars")} END AS cd, CASE WHEN np >= 50 THEN {_divergence("p", "words")} END AS wd,
+h AS (SELECT e.*, len(w) AS nw, coalesce(n_repeat_words, 0) AS nr, top, words, chars,
+             list_transform(top, lambda x: len(list_filter(w, lambda y: y = x))) AS f FROM e LEFT JOIN rep USING (rid) LEFT JOIN ref USING (lang)),
+j AS (SELECT *, list_append(f, nw - list_sum(f)) AS p FROM h),
+m AS (SELECT *, CASE WHEN nw >= 50 THEN {_divergence("c", "chars")} END AS cd, CASE WHEN nw >= 50 THEN {_divergence("p", "words")} END AS wd,
              nw < 50 OR 100 * nr > 50 * nw AS base_failed FROM j)
 SELECT doc_id, nw AS n_words, CAST(length(t) - c[2] AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, nr AS n_repeat_words, base_failed, round(sqrt(cd), 5) AS char_distance,
        round(sqrt(wd), 5) AS word_distance,
-       NOT (base_failed OR coalesce(cd > 0.25 * 0.25 + 7 / (4 * nw), false) OR coalesce(wd > 0.22 * 0.22 + len(p) / (4 * np), false)) AS kept
+       NOT (base_failed OR coalesce(cd > 0.25 * 0.25 + 7 / (4 * nw), false) OR coalesce(wd > 0.22 * 0.22 + len(p) / (4 * nw), false)) AS kept
 FROM m"""

@@ -23,11 +23,9 @@ BLANK = " \t\n\x0b\f\r"
 #: Character classes, taken out of the text one after another; what is left are other symbols.
 CLASSES = {"lower": "[a-z]+", "space": "[\\x20\\x09-\\x0D]+", "upper": "[A-Z]+", "punct": "[.,;:!?'\"()-]+", "digit": "[0-9]+", "foreign": "[^\\x00-\\x7F]+"}
 MARKS = "[#*$%&|<>]+"
-#: Common words per language, and the longest that counts as one.
+#: Common words per language, as written, and the longest that counts as one; none holds a comma.
 COMMON = 30
 WORD_CHARS = 40
-#: Marks at a word's edges that are not part of it.
-_EDGES = "[.,;:!?\"()]+"
 #: Bits of a window's key that hold its position; longer texts compare all their windows.
 PLACE_BITS = 24
 #: Languages whose references are broadcast (about 2 KB each).
@@ -38,11 +36,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
-def plain(text: Column) -> Column:
-    """The text in lower case without the marks at its words' edges."""
-    return F.lower(F.regexp_replace(text, _EDGES, ""))
-
-
 def class_counts(rows: DataFrame, text: str, out: str, marks: str) -> DataFrame:
     """``rows`` with ``out`` (characters by class, in the order of CLASSES, then the rest) and ``marks`` (of MARKS)."""
     counts, rest = [], text
@@ -90,8 +83,8 @@ def lines_of(text: Column) -> Column:
 def references(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """Per language (``lang``, null counts as ''): ``top``, its COMMON most frequent words, ``listed``, the same joined by commas, ``words``, their counts and
     the count of all others, and ``chars``, its characters by class.  Languages with fewer words have none."""
-    words = docs.select("lang", F.explode_outer(words_of(plain(F.col("text")))).alias("w")).where("w is not null")
-    counts = words.groupBy("lang", F.when(F.length("w") <= WORD_CHARS, F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select("lang", F.explode_outer(words_of(F.col("text"))).alias("w")).where("w is not null")
+    counts = words.groupBy("lang", F.when((F.length("w") <= WORD_CHARS) & ~F.contains("w", F.lit(",")), F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     counts = scratch.cut(counts, "words")  # read twice
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     top = counts.where("w is not null").withColumn("k", place).where(F.col("k") <= COMMON)
@@ -126,7 +119,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat`` percent of the words in repeated windows.
     kept: neither that nor a distance over its limit.  A distance is null, and so no reason to drop, where the document
-    (its plain words) or the language (``min_reference``) is too short.  Null text counts as empty: no words, base_failed.
+    or the language (``min_reference``) is too short.  Null text counts as empty: no words, base_failed.
     A null language is a language of its own.  Repeated rows are rows like any other and count in the references; an
     empty table gives no rows; the input's columns may have any name.
     """
@@ -142,9 +135,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     rows = class_counts(rows, "text", "_chars", "n_symbols")
     rows = rows.withColumns({"_words": words_of(F.col("text")), "_lines": lines_of(F.col("text"))})
     # one character a word: its place among the common words, counted by what is left without it
-    # (plain words hold no comma)
+    # (no common word holds a comma)
     code = lambda x: F.char(F.find_in_set(x, F.col("_set")) + ord("0"))
-    rows = rows.withColumn("_codes", F.when(F.col("_top").isNotNull(), F.array_join(F.transform(words_of(plain(F.col("text"))), code), "")))
+    rows = rows.withColumn("_codes", F.when(F.col("_top").isNotNull(), F.array_join(F.transform("_words", code), "")))
     rows = repeat_words(rows, "_words", "n_repeat_words")
     rows = rows.withColumns({"n_words": F.size("_words").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
                              "word_chars": (F.length("text") - F.get("_chars", F.lit(1))).cast("long")})
