@@ -77,7 +77,7 @@ def paper_index(spark, sf_dir):
     if key not in _INDEXES:
         _INDEXES[key] = se.build_index(tb.papers(spark, sf_dir, spread_rows=True), doc_key="seq",
                                        persist=lambda name, build: derived_table(
-                                           spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=7))
+                                           spark, f"search_{name}", src, build, k1=se.K1, b=se.B, version=8))
     return _INDEXES[key]
 
 
