@@ -126,7 +126,7 @@ SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS n, round(sum(reward), 6
 FROM bt GROUP BY batch_id""").replace("FROM scored)\n\n, nb AS", "FROM scored),\nnb AS"))
 def batch_reward_sums(spark, sf_dir):
     """Seeded minibatches of 4 (the short last one too), reward sum per batch."""
-    s = scored_queries(spark, sf_dir).withColumn("draw", draw_key(SEED, F.col("key")))
+    s = scored_queries(spark, sf_dir).select("seq", "pos", "reward", draw_key(SEED, F.col("key")).alias("draw"))
     b = minibatches(s, 4, "draw", ["seq", "pos"])
     return sc.batch_sums(b).select("batch_id", "n", F.col("total_reward").cast("double"))
 
