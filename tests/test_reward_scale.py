@@ -17,3 +17,15 @@ def test_batches_number_narrow_rows(spark, monkeypatch):
     monkeypatch.setattr(q_scoring, "minibatches", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k))
     assert q_scoring.batch_reward_sums(spark, SF_SMALL).count() > 0
     assert seen == [["seq", "pos", "reward", "draw"]]
+
+
+def test_rewards_use_whole_totals(spark):
+    docs = {str(i): "the of" for i in range(300)}
+    idx = se.build_index(_papers(spark, docs))
+    rows = [(1, "0", "the", None), (2, "299", "the", "search_citation_count"), (3, "99", "of the", None)]
+    parsed = (spark.createDataFrame(rows, "key int, paperId string, query string, sort string")
+              .withColumn("pre_reward", F.lit(None).cast("double")))
+    got = {r.key: (r.total, r["rank"]) for r in sc.query_rewards(idx, parsed, key="key").collect()}
+    order = sorted(docs)[:100]           # equal scores: the page is by id
+    assert got == {1: (300, 1), 2: (300, None if "299" not in order else sorted(order, key=lambda p: (-(int(p) % 5), order.index(p))).index("299") + 1),
+                   3: (300, None if "99" not in order else order.index("99") + 1)}
