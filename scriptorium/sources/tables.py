@@ -36,8 +36,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
+    """``spread_rows``: dealt over the cluster where the table has fewer files than half its cores; a larger table's
+    scan is fine enough, and its texts are not shuffled."""
     d = table(spark, sf_dir, "documents")
-    return spread(d) if spread_rows else d
+    return spread(d) if spread_rows and 2 * len(d.inputFiles()) < spark.sparkContext.defaultParallelism else d
 
 
 def first_line_title(text: Column) -> Column:
@@ -122,6 +124,10 @@ def _gram(text: str, size: int):
     return lambda i: F.substring(F.col(text), i, F.lit(size))
 
 
+#: Bytes of passages (checked) that are broadcast to the documents.
+PASSAGE_BYTES = 32 << 20
+
+
 def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id",
                     ptext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame:
     """Documents that contain each passage verbatim -> (pid, did).
@@ -130,7 +136,9 @@ def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id
     inner words (all but the first and last whitespace-separated token, which
     may be cut mid-word) are whole tokens of any document containing it.  The
     rarest inner word is the anchor: candidates are the documents holding it,
-    then ``instr`` verifies.  A passage without inner words (one or two words)
+    then ``instr`` verifies.  Passages within ``PASSAGE_BYTES`` are broadcast:
+    the documents stream past them and only partial counts of the passages'
+    own words are shuffled.  A passage without inner words (one or two words)
     is anchored by its first ``GRAM`` characters instead, matched against the
     distinct character grams of the documents; that branch runs only where
     there are such passages.  An empty passage is in no document.
@@ -140,29 +148,39 @@ def passage_sources(passages: DataFrame, docs: DataFrame, *, pid: str = "item_id
         "_pid",
         F.explode(F.array_distinct(F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))))).alias("tok"),
     ).where(F.length("tok") > 0)
+    ptexts = passages.select(F.col(pid).alias("_pid"), F.col(ptext).alias("_ptext"))
+    small = (ptexts.agg(F.sum(F.octet_length("_ptext") + 64)).first()[0] or 0) <= PASSAGE_BYTES
+    side = F.broadcast if small else lambda df: df
     index = (docs.select(F.col(did).alias("_did"),
                          F.explode_outer(F.array_distinct(F.split(F.col(dtext), r"\s+"))).alias("tok"))
              .where(F.col("tok").isNotNull()))     # no inferred size() filter pushed into the scan
     wanted = inner.select("tok").distinct()
-    dfreq = index.join(wanted, "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
+    dfreq = index.select("tok").join(side(wanted), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
     anchor = (inner.join(dfreq, "tok", "left")
               .groupBy("_pid")
               .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok")).alias("a"))
               .where(F.col("a.df") > 0)
               .select("_pid", F.col("a.tok").alias("tok")))
-    cand = index.join(anchor, "tok").select("_pid", "_did")
-    ptexts = passages.select(F.col(pid).alias("_pid"), F.col(ptext).alias("_ptext"))
     dtexts = docs.select(F.col(did).alias("_did"), F.col(dtext).alias("_dtext"))
     short = ptexts.where(_no_inner_word(F.col("_ptext")) & (F.length("_ptext") > 0))
     sizes = [r[0] for r in short.select(F.least(F.length("_ptext"), F.lit(GRAM))).distinct().collect()]   # at most GRAM
+    keyed = [(anchor, F.split(F.col("_dtext"), r"\s+"))]
     for size in sizes:
-        head = short.where(F.least(F.length("_ptext"), F.lit(GRAM)) == size).select("_pid", F.substring("_ptext", 1, size).alias("gram"))
-        grams = F.transform(F.sequence(F.lit(1), F.length(dtext) - (size - 1)), _gram(dtext, size))
-        held = docs.where(F.length(dtext) >= size).select(F.col(did).alias("_did"), F.explode(F.array_distinct(grams)).alias("gram"))
-        cand = cand.union(held.join(head, "gram").select("_pid", "_did"))
-    hits = (cand.join(ptexts, "_pid").join(dtexts, "_did")
-            .where(F.instr("_dtext", F.col("_ptext")) > 0))
-    return hits.select(F.col("_pid").alias(pid), F.col("_did").alias(did))
+        head = short.where(F.least(F.length("_ptext"), F.lit(GRAM)) == size).select("_pid", F.substring("_ptext", 1, size).alias("tok"))
+        keyed.append((head, F.transform(F.sequence(F.lit(1), F.greatest(F.length("_dtext") - (size - 1), F.lit(1))), _gram("_dtext", size))))
+    hits = None
+    for keys, parts in keyed:
+        if small:
+            # the document's keys among the wanted ones, in the document's row: its text is copied once a candidate only
+            every = keys.agg(F.collect_set("tok").alias("_keys"))
+            cand = (dtexts.crossJoin(F.broadcast(every)).withColumn("tok", F.explode_outer(F.array_intersect(parts, F.col("_keys")))).drop("_keys")
+                    .join(F.broadcast(keys.join(ptexts, "_pid")), "tok"))
+        else:
+            held = dtexts.select("_did", F.explode_outer(F.array_distinct(parts)).alias("tok")).where(F.col("tok").isNotNull())
+            cand = held.join(keys, "tok").select("_pid", "_did").join(ptexts, "_pid").join(dtexts, "_did")
+        found = cand.where(F.instr("_dtext", F.col("_ptext")) > 0).select(F.col("_pid").alias(pid), F.col("_did").alias(did))
+        hits = found if hits is None else hits.union(found)
+    return hits
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +201,12 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
                      first_words(bench.text).alias("query"),
                      bench.text.alias("excerpt"),
                      F.concat(F.lit("r"), bench.item_id.cast("string")).alias("reason")))
-        return g.join(p, "paperId").select("item_id", "paperId", "title", "query", "excerpt", "reason")
+        few = (bench.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) <= PASSAGE_BYTES
+        return p.join(F.broadcast(g) if few else g, "paperId").select("item_id", "paperId", "title", "query", "excerpt", "reason")
 
     from scriptorium.sources.materialize import derived_table
     return derived_table(spark, "gold", [table_path(sf_dir, "benchmark"), table_path(sf_dir, "documents")],
-                         build, version=1)
+                         build, version=2)
 
 
 def arxiv_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
