@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 _PAIR_BUDGET = 4_000_000  # doubles per distance tile
+FIRST, TILE = 256, 10_000  # corpus rows of the first tile and of the largest
 
 
 def _arrow_type(dt: T.DataType) -> pa.DataType:
@@ -123,6 +124,85 @@ def topk_block(qids: np.ndarray, Q: np.ndarray, ids: np.ndarray, X: np.ndarray,
     return _prune(q_idx, c_idx, dist, ids, k)
 
 
+class Nearest:
+    """Running top-k of the queries over tiles of the corpus, Euclidean.
+
+    A tile costs one product in single precision and one comparison a pair:
+    with rows (q, 1) and (-2x, x2) the product is the squared distance less
+    q2, and a pair is looked at again, in doubles, only if that lies below the
+    query's k-th distance so far, with the rounding error of the product added
+    to it.  The first tile, and vectors that single precision cannot hold or
+    tell apart, go through ``topk_block``."""
+
+    def __init__(self, qids: np.ndarray, Q: np.ndarray, k: int, exclude_self: bool, decimals: int):
+        self.qids, self.Q, self.k, self.exclude_self, self.decimals = qids, Q.astype(np.float64, copy=False), k, exclude_self, decimals
+        self.n2 = np.einsum("ij,ij->i", self.Q, self.Q)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.Q1 = np.hstack([self.Q, np.ones((len(Q), 1))]).astype(np.float32)
+        self.kth, self.seen = np.full(len(Q), np.inf), 0
+        self.rows = (np.empty(0, dtype=np.int64), np.empty(0, dtype=qids.dtype), np.empty(0))     # query, id, distance
+
+    def _add(self, q, ids, d) -> None:
+        if not len(q):
+            return
+        q, ids, d = (np.concatenate([a.astype(b.dtype), b]) for a, b in zip(self.rows, (q, ids, d)))
+        q, c, d = _prune(q, np.arange(len(q)), d, ids, self.k)
+        self.rows = q, ids[c], d
+        full = np.flatnonzero(np.bincount(q, minlength=len(self.Q)) == self.k)
+        self.kth[full] = d[np.searchsorted(q, full, "right") - 1]
+
+    def add(self, ids: np.ndarray, X: np.ndarray) -> None:
+        at = 0
+        while at < len(ids):      # as many rows as were seen before, so that the bounds follow the rows
+            to = at + min(max(self.seen, FIRST), TILE)
+            self._tile(ids[at:to], X[at:to].astype(np.float64, copy=False))
+            self.seen += len(ids[at:to])
+            at = to
+
+    def _tile(self, ids: np.ndarray, X: np.ndarray) -> None:
+        x2 = np.einsum("ij,ij->i", X, X)
+        sound = x2 < 1e30                     # not NaN either
+        if not sound.all():
+            self._plain(np.arange(len(self.Q)), ids[~sound], X[~sound])
+            ids, X, x2 = ids[sound], X[sound], x2[sound]
+        if not len(ids):
+            return
+        X1 = np.hstack([-2.0 * X, x2[:, None]]).astype(np.float32).T.copy()
+        # a product sums up to 2 |q| |x| + x2 at most, and so to q2 + 2 x2
+        error = (X.shape[1] + 8) * 2.0 * np.finfo(np.float32).eps * (self.n2 + 2.0 * float(x2.max()))
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = (self.kth + 2 * 10.0 ** (-self.decimals)) ** 2 - self.n2 + error
+        fast = np.isfinite(bound) & (self.n2 < 1e30)
+        plain, new = [np.flatnonzero(~fast)], []
+        todo, step = np.flatnonzero(fast), max(1, _PAIR_BUDGET // len(ids))
+        for s in range(0, len(todo), step):
+            at = todo[s:s + step]
+            near = (self.Q1[at] @ X1) <= np.nextafter(bound[at].astype(np.float32), np.float32(np.inf))[:, None]
+            if np.count_nonzero(near) > near.size // 16 + len(at) * self.k:      # single precision doesn't tell these apart
+                plain.append(at)
+                continue
+            pair = np.flatnonzero(near)
+            r, c = at[pair // len(ids)], pair % len(ids)
+            if self.exclude_self:
+                other = self.qids[r] != ids[c]
+                r, c = r[other], c[other]
+            d = np.empty(len(r))
+            for p in range(0, len(r), 100_000):
+                diff = self.Q[r[p:p + 100_000]] - X[c[p:p + 100_000]]
+                d[p:p + 100_000] = _round_half_up(np.sqrt(np.einsum("ij,ij->i", diff, diff)), self.decimals)
+            better = d <= self.kth[r]
+            new.append((r[better], ids[c[better]], d[better]))
+        if new:
+            self._add(*(np.concatenate(x) for x in zip(*new)))
+        for at in plain:
+            self._plain(at, ids, X)
+
+    def _plain(self, at, ids, Xd) -> None:
+        if len(at) and len(ids):
+            q, c, d = topk_block(self.qids[at], self.Q[at], ids, Xd, self.k, "l2", self.exclude_self, self.decimals)
+            self._add(at[q], ids[c], d)
+
+
 def _prune(q_idx, c_idx, dist, ids, k):
     pdf = pd.DataFrame({"q": q_idx, "c": c_idx, "d": dist, "id": ids[c_idx]})
     pdf = pdf[np.isfinite(pdf["d"].to_numpy())]
@@ -137,6 +217,11 @@ def _stack(col: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(len(col), dim) if len(col) else np.empty((0, dim), dtype=np.float32)
 
 
+def _slices(rows: tuple, size: int = 500_000):
+    for i in range(0, len(rows[0]), size):
+        yield tuple(x[i:i + size] for x in rows)
+
+
 def _final_topk(partial: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy("distance", "id")
     return (partial.withColumn("rank", F.row_number().over(w))
@@ -198,6 +283,7 @@ def _broadcast_partial(q, c, k, dim, metric, exclude_self, decimals, out_schema)
 
     def scan(batches):
         bq, BQ = bc.value
+        near = Nearest(bq, BQ, k, exclude_self, decimals) if metric == "l2" and len(bq) else None
         acc: list[tuple] = []
         held = 0
 
@@ -213,13 +299,16 @@ def _broadcast_partial(q, c, k, dim, metric, exclude_self, decimals, out_schema)
                 continue
             ids = rb.column("id").to_numpy(zero_copy_only=False)
             X = _stack(rb.column("vec"), dim)
+            if near is not None:
+                near.add(ids, X)
+                continue
             qi, ci, d = topk_block(bq, BQ, ids, X, k, metric, exclude_self, decimals)
             acc.append((qi, ids[ci], d))
             held += len(d)
             if held > 2 * len(bq) * k:      # never more than three times the partial top-k in memory
                 acc = prune()
                 held = len(acc[0][0])
-        for qi, idv, d in prune():
+        for qi, idv, d in prune() if near is None else _slices(near.rows):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bq[qi], type=qtype), pa.array(idv, type=ctype), pa.array(d, type=pa.float64())],
                 schema=arrow_schema)
@@ -243,6 +332,11 @@ def _blocked_partial(q, c, k, dim, nq, metric, exclude_self, decimals, out_schem
         ids = cpdf["id"].to_numpy()
         Q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
         X = np.stack(cpdf["vec"].to_numpy()).astype(np.float64)
+        if metric == "l2":
+            near = Nearest(qids, Q, k, exclude_self, decimals)
+            near.add(ids, X)
+            qi, idv, d = near.rows
+            return pd.DataFrame({"qid": qids[qi], "id": idv, "distance": d})
         qi, ci, d = topk_block(qids, Q, ids, X, k, metric, exclude_self, decimals)
         return pd.DataFrame({"qid": qids[qi], "id": ids[ci], "distance": d})
 

@@ -48,3 +48,30 @@ def test_knn_broadcast_bound_is_checked(spark):
     qdf, cdf, _, _ = _frames(spark)
     with pytest.raises(ValueError):
         knn_join(qdf, cdf, 3, strategy="broadcast", max_broadcast_bytes=10)
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_running_nearest_equals_brute_force(copies):
+    """Tiles against running bounds: few pairs are looked at again, and copies, ties, NaN and long vectors stay right."""
+    from scriptorium.operators import knn
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(1500, 16))
+    X /= np.linalg.norm(X, axis=1)[:, None]
+    X[1500 - copies:] = X[0]
+    X[7], X[8] = np.nan, 1e20
+    X = X.astype(np.float32)
+    ids = rng.permutation(1500)
+    near, looked, real = knn.Nearest(ids[:60], X[:60], 3, True, 5), [], knn.topk_block
+    knn.topk_block = lambda q, Q, i, x, *a: looked.append(len(q) * len(i)) or real(q, Q, i, x, *a)
+    try:
+        with np.errstate(over="ignore", invalid="ignore"):
+            for at in range(0, 1500, 500):
+                near.add(ids[at:at + 500], X[at:at + 500])
+    finally:
+        knn.topk_block = real
+    got = sorted(zip(ids[near.rows[0]].tolist(), near.rows[1].tolist(), near.rows[2].tolist()))
+    ok = [i for i in range(1500) if i not in (7, 8)]
+    own = [i for i in range(60) if i not in (7, 8)]
+    want = sorted((a, b, d) for a, b, d, _ in knn.knn_brute_force(ids[own], X[own], ids[ok], X[ok], 3, exclude_self=True))
+    assert [x for x in got if x[0] not in (ids[7], ids[8])] == [(int(a), int(b), d) for a, b, d in want]
+    assert copies or sum(looked) < 60 * 1500 // 3
