@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from scriptorium.operators import search as se
+from scriptorium.plans import q_search
 from scriptorium.sources import tables as tb
-from tests.conftest import SF_MID
+from tests.conftest import SF_MID, SF_SMALL
 
 
 @pytest.fixture(autouse=True)
@@ -38,3 +41,11 @@ def test_large_passage_tables_give_the_same(spark, monkeypatch):
     for most in (tb.PASSAGE_BYTES, 0):
         monkeypatch.setattr(tb, "PASSAGE_BYTES", most)
         assert {tuple(r) for r in tb.passage_sources(passages, docs).collect()} == want
+
+
+def test_metadata_is_read_past_a_small_page(spark):
+    """choose_action: titles and abstracts are not shuffled to the page."""
+    idx, g = q_search.search_gold(spark, SF_SMALL)
+    few = se.with_meta(se.pages(idx, g, 5), idx)
+    assert not _shuffles(few) and few.select("abstract").count() == se.pages(idx, g, 5).count()
+    assert few.where(F.col("title").isNull()).count() == 0
