@@ -213,7 +213,9 @@ def selection_responses(spark, sf_dir):
 
 
 def scored_selections(spark, sf_dir):
-    return jobs.score_selections(selection_responses(spark, sf_dir))
+    """The responses scored, without the results and prompts they came from: the scoring keeps (checkpoints) its rows."""
+    rows = selection_responses(spark, sf_dir).select("item_id", "paperId", "title", "excerpt", "response", "ref_response")
+    return jobs.score_selections(rows)
 
 
 _SEL_REWARD = f""",

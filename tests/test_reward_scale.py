@@ -29,3 +29,11 @@ def test_rewards_use_whole_totals(spark):
     order = sorted(docs)[:100]           # equal scores: the page is by id
     assert got == {1: (300, 1), 2: (300, None if "299" not in order else sorted(order, key=lambda p: (-(int(p) % 5), order.index(p))).index("299") + 1),
                    3: (300, None if "99" not in order else order.index("99") + 1)}
+
+
+def test_selections_keep_narrow_rows(spark, monkeypatch):
+    """selection_reward: the rows that are kept for the scoring have no result lists and prompts."""
+    seen, real = [], q_scoring.jobs.score_selections
+    monkeypatch.setattr(q_scoring.jobs, "score_selections", lambda df, **k: seen.append(df.columns) or real(df, **k))
+    q_scoring.selection_reward(spark, SF_SMALL).count()
+    assert seen == [["item_id", "paperId", "title", "excerpt", "response", "ref_response"]]
