@@ -37,3 +37,11 @@ def test_selections_keep_narrow_rows(spark, monkeypatch):
     monkeypatch.setattr(q_scoring.jobs, "score_selections", lambda df, **k: seen.append(df.columns) or real(df, **k))
     q_scoring.selection_reward(spark, SF_SMALL).count()
     assert seen == [["item_id", "paperId", "title", "excerpt", "response", "ref_response"]]
+
+
+def test_supervised_selection_ranks_once(spark, monkeypatch):
+    """supervised_selection: the text and the gold selections come from one ranking of the gold rows."""
+    calls, real = [], q_scoring.ranked_gold
+    monkeypatch.setattr(q_scoring, "ranked_gold", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert q_scoring.supervised_selection(spark, SF_SMALL).count() >= 0
+    assert len(calls) == 1
