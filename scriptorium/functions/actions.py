@@ -114,7 +114,8 @@ def with_action(df: DataFrame, response: str, out: str) -> DataFrame:
     """``df`` with ``out``: the strict parse of ``response``.
 
     ``df`` must be cheap to read again (a checkpoint): one pass looks for rows that need Python, and without any the
-    plan has no Python in it.  On a stream every batch goes through it, with those rows' texts alone."""
+    plan has no Python in it.  Else, and on a stream, every batch goes through it, with those rows' texts alone: a filter
+    would parse each response again for every use of the parse in its condition."""
     s, v, ok, ask = F.col(response), f"_{out}_v", f"_{out}_ok", f"_{out}_ask"
     rows = df.withColumn(v, F.try_parse_json(F.concat(F.lit('{"k":'), s, F.lit("}"))))
     alone = F.size(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).try_cast("array<variant>")) == 1
@@ -124,14 +125,10 @@ def with_action(df: DataFrame, response: str, out: str) -> DataFrame:
     undecided = F.when(F.col(ok), ~F.coalesce(reason.isin("STRING", "VOID"), F.lit(True)) | s.rlike(_HALF_PAIR) | long).otherwise(s.rlike(_JSON_START))
     rows = rows.withColumn(ask, F.coalesce(undecided, F.lit(False)))
     native, extra = _native(F.col(v), F.col(ok)), [v, ok, ask]
-    if df.isStreaming:
-        asked = parse_action(F.when(F.col(ask), s))
-        return rows.withColumn(out, F.when(F.col(ask), asked).otherwise(native)).drop(*extra)
-    plain = rows.withColumn(out, native).where(~F.col(ask)).drop(*extra)
-    asked = rows.where(F.col(ask))
-    if asked.isEmpty():
-        return plain
-    return plain.unionByName(asked.withColumn(out, parse_action(s)).drop(*extra))
+    if not df.isStreaming and rows.where(F.col(ask)).isEmpty():
+        return rows.withColumn(out, native).drop(*extra)
+    asked = parse_action(F.when(F.col(ask), s))
+    return rows.withColumn(out, F.when(F.col(ask), asked).otherwise(native)).drop(*extra)
 
 
 def format_action(query: Column, action: Column, reason: Column) -> Column:

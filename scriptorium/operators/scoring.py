@@ -53,8 +53,10 @@ def query_rewards(idx: se.SearchIndex, parsed: DataFrame, key: str, target: str
     citations, anything else keeps relevance order (T4).  Adds ``reward``,
     ``found``, ``rank`` (1-based, W4) and ``total``.
 
-    ``parsed`` feeds three branches: it must be cheap to read again, as the
-    native parse of checkpointed responses is."""
+    ``parsed`` feeds three branches and is checkpointed: read through a filter
+    or a join, the parse of a response is done over for each of its uses.  It
+    should have no columns that are not wanted of the result."""
+    parsed = _held(parsed)
     todo = parsed.where(F.col("pre_reward").isNull())
     ranks = se.ranks_in_page(idx, todo, page, key, target, F.coalesce(F.col("sort") == "search_citation_count", F.lit(False)))
     scored = parsed.join(ranks, key, "left").withColumn("total", F.coalesce("total", F.lit(0)))

@@ -19,6 +19,21 @@ def test_batches_number_narrow_rows(spark, monkeypatch):
     assert seen == [["seq", "pos", "reward", "draw"]]
 
 
+def test_responses_are_kept_narrow_and_parsed_once(spark, monkeypatch):
+    """batch_reward_sums: neither prompts nor excerpts are kept with the responses, and no plan over them parses again."""
+    seen, real = [], q_scoring.jobs.score_query_responses
+
+    def scored(df, *a, **k):
+        out = real(df, *a, **k)
+        seen.append((df.columns, out._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(q_scoring.jobs, "score_query_responses", scored)
+    assert q_scoring.batch_reward_sums(spark, SF_SMALL).count() > 0
+    (columns, plan), = seen
+    assert columns == ["key", "paperId", "seq", "pos", "response"] and "parse" not in plan.lower()
+
+
 def test_rewards_use_whole_totals(spark):
     docs = {str(i): "the of" for i in range(300)}
     idx = se.build_index(_papers(spark, docs))
